@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaspan.llm import mixing
-from mediaspan.llm.shared import table
+from mediaspan.llm import mixing, tokens, topk
+from mediaspan.llm.shared import scratch, table
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
-QUERIES: dict = {"op1_mixing": op1_mixing}
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    tokens.write(table(spark, sf_dir, "documents"), path, vocabulary())
+    return tokens.read(spark, path)
+
+
+QUERIES: dict = {"op1_mixing": op1_mixing, "op7_topk": op7_topk, "op10_token_ids": op10_token_ids}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_topk": topk.ORACLE}

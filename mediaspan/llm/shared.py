@@ -89,8 +89,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of bytes: a 64-bit hash of each word (A-Z lower-cased), the row's first word
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of bytes: a 64-bit hash of each word (A-Z lower-cased by the usual letters), the row's first word
     as offsets, and where each word starts and ends. A word is a run without ASCII white space."""
     n = len(data)
     rows = len(offsets) - 1
@@ -111,7 +111,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = np.flatnonzero(last) + 1
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTERS[data] * up[:n], out=sums[1:])
+    np.cumsum(letters[data] * up[:n], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts])
     return hashes, np.searchsorted(starts, offsets), starts, ends
 
