@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaspan.llm import mixing, tokens, topk
+from mediaspan.llm import minhash, mixing, tokens, topk
 from mediaspan.llm.shared import scratch, table
 
 
@@ -28,6 +28,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, path)
 
 
-QUERIES: dict = {"op1_mixing": op1_mixing, "op7_topk": op7_topk, "op10_token_ids": op10_token_ids}
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
-SQL: dict[str, str] = {"op7_topk": topk.ORACLE}
+
+QUERIES: dict = {"op1_mixing": op1_mixing, "op7_topk": op7_topk, "op9_minhash": op9_minhash, "op10_token_ids": op10_token_ids}
+
+SQL: dict[str, str] = {"op7_topk": topk.ORACLE, "op9_minhash": minhash.ORACLE}
