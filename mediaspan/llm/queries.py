@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaspan.llm import minhash, mixing, tokens, topk, toxicity
+from mediaspan.llm import lm, minhash, mixing, tokens, topk, toxicity
 from mediaspan.llm.shared import scratch, table
 
 
@@ -36,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict = {"op1_mixing": op1_mixing, "op5_toxicity": op5_toxicity, "op7_topk": op7_topk, "op9_minhash": op9_minhash, "op10_token_ids": op10_token_ids}
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict = {"op1_mixing": op1_mixing, "op5_toxicity": op5_toxicity, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_minhash": op9_minhash, "op10_token_ids": op10_token_ids}
 
 SQL: dict[str, str] = {"op7_topk": topk.ORACLE, "op9_minhash": minhash.ORACLE}
