@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaspan.llm import lm, minhash, mixing, tokens, topk, toxicity
+from mediaspan.llm import lm, minhash, mixing, repeats, tokens, topk, toxicity
 from mediaspan.llm.shared import scratch, table
 
 
@@ -32,6 +32,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,6 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict = {"op1_mixing": op1_mixing, "op5_toxicity": op5_toxicity, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_minhash": op9_minhash, "op10_token_ids": op10_token_ids}
+QUERIES: dict = {"op1_mixing": op1_mixing, "op4_suffix_dedup": op4_suffix_dedup, "op5_toxicity": op5_toxicity, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_minhash": op9_minhash, "op10_token_ids": op10_token_ids}
 
 SQL: dict[str, str] = {"op7_topk": topk.ORACLE, "op9_minhash": minhash.ORACLE}

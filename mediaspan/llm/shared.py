@@ -65,7 +65,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTERS = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64)
 _LETTERS[65:91] = _LETTERS[97:123]
-_BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
+#: Letters of hashes that tell upper from lower case.
+EXACT = np.random.default_rng(77).integers(1, 2**64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -89,9 +91,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _LETTERS, split: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows of bytes: a 64-bit hash of each word (A-Z lower-cased by the usual letters), the row's first word
-    as offsets, and where each word starts and ends. A word is a run without ASCII white space."""
+    as offsets, and where each word starts and ends. A word is a run without ASCII white space; `split` marks
+    bytes at which a run is cut in two."""
     n = len(data)
     rows = len(offsets) - 1
     if not n:
@@ -103,11 +106,15 @@ def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _LETTERS)
     cuts = offsets[1:-1]
     cuts = cuts[cuts < n]
     first[cuts] = inside[cuts]
+    if split is not None:
+        first |= split
     starts = np.flatnonzero(first)
     gone = ~inside
     last = inside.copy()
     last[:-1] &= gone[1:]
     last[cuts[cuts > 0] - 1] = inside[cuts[cuts > 0] - 1]
+    if split is not None:
+        last[:-1] |= split[1:]
     ends = np.flatnonzero(last) + 1
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
