@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaspan.llm import decontaminate, lm, minhash, mixing, repeats, tokens, topk, toxicity
+from mediaspan.llm import decontaminate, lm, minhash, mixing, pii, repeats, tokens, topk, toxicity
 from mediaspan.llm.shared import scratch, table
 
 
@@ -32,6 +32,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,6 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict = {"op1_mixing": op1_mixing, "op3_decontamination": op3_decontamination, "op4_suffix_dedup": op4_suffix_dedup, "op5_toxicity": op5_toxicity, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_minhash": op9_minhash, "op10_token_ids": op10_token_ids}
+QUERIES: dict = {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op3_decontamination": op3_decontamination, "op4_suffix_dedup": op4_suffix_dedup, "op5_toxicity": op5_toxicity, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_minhash": op9_minhash, "op10_token_ids": op10_token_ids}
 
 SQL: dict[str, str] = {"op7_topk": topk.ORACLE, "op9_minhash": minhash.ORACLE}
