@@ -22,8 +22,9 @@ from mediaspan.llm import shared
 
 MAGIC, STEP = b"DAC1", 512
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint32)
-#: Letters that keep their case: special tokens' strings are told apart by it.
-_EXACT = np.random.default_rng(77).integers(1, 2**64, 256, dtype=np.uint64)
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+#: A piece may begin at these after an ASCII letter, as no token spans the two.
+_MARK = np.array([chr(b) in '!"#$%&()*+,-./:;=?@[]^_`{}~' for b in range(256)])
 
 
 def encode_level(chunks: np.ndarray, more: np.ndarray) -> bytes:
@@ -94,40 +95,69 @@ class Block:
 
 
 class Encoder:
-    """Token ids of texts. The vocabulary drops white space and splits at it, so a text's ids are
-    those of its words one after another: each distinct word is encoded once by the library."""
+    """Token ids of texts. The vocabulary drops white space and splits at it, and between letters
+    and marks, so a text's ids are those of its pieces one after another: each distinct piece is
+    encoded once by the library. Pieces met earlier are kept, up to `most`."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    _made: dict = {}
+
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.forget()
 
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The one encoder of a Python worker, which serves its tasks in turn."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
     def forget(self) -> None:
-        self.known, self.parts, self.flat, self.lengths = {}, [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        one = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        return np.array(one.ids, np.uint32), np.bincount(np.array(one.word_ids, np.int64), minlength=len(texts))
 
-    def learn(self, texts: list[str], keys: list[int]) -> None:
-        for x, key in zip(self.tokenizer.encode_batch(texts, add_special_tokens=False), keys, strict=True):
-            self.known[key] = len(self.known)
-            self.parts.append(np.array(x.ids, np.uint32))
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        if len(self.keys) + len(keys) > self.most:
+            self.forget()
+        ids, size = self._encoded(texts)
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, ids])
+        spot = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = np.insert(self.keys, spot, keys), np.insert(self.begin, spot, begin), np.insert(self.size, spot, size)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        where = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return where, self.keys[where] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and how many each has."""
-        hashes, first, starts, ends = shared.words(data, offsets, _EXACT)
+        raw = data.tobytes()
+        split = np.zeros(len(data), bool)
+        split[1:] = _MARK[data[1:]] & _LETTER[data[:-1]]
+        hashes, first, starts, ends = shared.words(data, offsets, shared.EXACT if b"<|" in raw else shared._LETTERS, split)
         keys, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.most:
-            self.forget()
-        raw, new = data.tobytes(), [i for i, key in enumerate(keys.tolist()) if key not in self.known]
-        self.learn([raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in new], [int(keys[i]) for i in new])
-        if self.parts:
-            self.lengths = np.concatenate([self.lengths, [len(x) for x in self.parts]]).astype(np.int64)
-            self.flat, self.parts = np.concatenate([self.flat, *self.parts]), []
-        known = np.fromiter((self.known[key] for key in keys.tolist()), np.int64, len(keys))[back]
-        begin, size = (np.cumsum(self.lengths) - self.lengths)[known], self.lengths[known]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.diff(np.concatenate([[0], ends])[first])
+        where, known = self._find(keys)
+        if not known.all():
+            new = at[~known]
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            had = len(self.keys)
+            self._learn(keys[~known], texts)
+            where, known = self._find(keys)
+            if len(self.keys) < had and not known.all():  # older ones were just dropped
+                new = at[~known]
+                self._learn(keys[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+                where, known = self._find(keys)
+        begin, size = self.begin[where][back], self.size[where][back]
+        last = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
+        return ids, np.diff(np.concatenate([[0], last])[first])
 
 
 def _with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +173,7 @@ def write(documents: DataFrame, path: str, vocabulary: str, end_id: int = 1) ->
     """
 
     def blocks(batches):
-        encoder = Encoder(vocabulary)
+        encoder = Encoder.of(vocabulary)
         for x in batches:
             data, offsets = shared.buffer(x.column(1))
             doc_ids = x.column(0).to_pylist()
