@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from mediaspan.plans import span_queries
+
 QUERIES: dict = {}
 SQL: dict = {}
+for module in (span_queries,):
+    QUERIES.update(module.QUERIES)
+    SQL.update(module.SQL)
 
 
 def FLAGSHIP(spark, sf_dir):
