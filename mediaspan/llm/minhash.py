@@ -132,7 +132,8 @@ def _texts(documents: DataFrame, members: DataFrame, size: int) -> DataFrame:
                 blobs = [found[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.record_batch([x.column(0).slice(a, b - a), x.column(1).slice(a, b - a), pa.array(blobs, pa.binary())], schema=schema)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").select("id", "cluster", "text")
+    # Members grow with the texts, so their join is a sorted one at every size.
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.hint("merge"), "id").select("id", "cluster", "text")
     return rows.mapInArrow(sets, "id long, cluster long, found binary")
 
 
