@@ -124,8 +124,6 @@ class Encoder:
         return np.array(one.ids, np.uint32), np.bincount(np.array(one.word_ids, np.int64), minlength=len(texts))
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self.forget()
         ids, size = self._encoded(texts)
         begin = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, ids])
@@ -144,16 +142,13 @@ class Encoder:
         hashes, first, starts, ends = shared.words(data, offsets, shared.EXACT if b"<|" in raw else shared._LETTERS, split)
         keys, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         where, known = self._find(keys)
+        if len(self.keys) + (~known).sum() > self.most:
+            self.forget()
+            known[:] = False
         if not known.all():
             new = at[~known]
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            had = len(self.keys)
-            self._learn(keys[~known], texts)
-            where, known = self._find(keys)
-            if len(self.keys) < had and not known.all():  # older ones were just dropped
-                new = at[~known]
-                self._learn(keys[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-                where, known = self._find(keys)
+            self._learn(keys[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            where, _ = self._find(keys)
         begin, size = self.begin[where][back], self.size[where][back]
         last = np.cumsum(size)
         ids = self.flat[np.repeat(begin - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
