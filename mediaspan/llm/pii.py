@@ -18,6 +18,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 SHAPES = 256  # shapes of candidates that are told apart, for each pattern that finds them
 SURE = 0.9  # least marginal at which the field adds a span
+ALIKE = 200  # pairs of likes with one label that are taken as seen before any are counted
 
 # The contract's patterns, written so that each is linear in the text. A digit run
 # that fails as an address's first part fails at each of its later digits too.
@@ -139,7 +140,7 @@ def learn(documents: DataFrame) -> dict[str, np.ndarray]:
 
     found = documents.select("text").mapInArrow(count, "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
     shape = np.full((SHAPES, LABELS), 0.5)
-    pairs = {"chain": np.full((LABELS, LABELS), 1.0), "skip": np.full((LABELS, LABELS), 1.0) + 20 * np.eye(LABELS)}
+    pairs = {"chain": np.full((LABELS, LABELS), 1.0), "skip": np.full((LABELS, LABELS), 1.0) + ALIKE * np.eye(LABELS)}
     for r in found:
         if r["what"] == "shape":
             shape[r["a"], r["b"]] += r["n"]
