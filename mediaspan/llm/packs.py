@@ -23,7 +23,7 @@ def packs(documents: DataFrame, most: int = 4 << 20) -> DataFrame:
 
     def fill(batches):
         at, number = TaskContext.get().partitionId(), 0
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=5)
         ids, texts, size = [], [], 0
 
         def row():

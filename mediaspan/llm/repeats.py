@@ -124,7 +124,7 @@ def _classes(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, back
 
 
-def least_owners(context: np.ndarray, bits: np.ndarray, docs: np.ndarray, batch: int = 40_000) -> np.ndarray:
+def least_owners(context: np.ndarray, bits: np.ndarray, docs: np.ndarray, batch: int = 20_000) -> np.ndarray:
     """Of seeds in their contexts: as bits, at which offsets a smaller document has the same run.
 
     context: rows of WIDE bytes about the seed and two of how many are real on either side.
@@ -143,8 +143,8 @@ def least_owners(context: np.ndarray, bits: np.ndarray, docs: np.ndarray, batch:
         some = order[a : a + batch]
         own = bits[first[some]]
         row, offset = np.nonzero(own[:, None] >> _OFFSETS.astype(np.uint32) & np.uint32(1))
-        at = (SIDE - offset)[:, None] + np.arange(LENGTH)
-        text = np.ascontiguousarray(context[first[some]][row[:, None], at]).view(f"S{LENGTH}").ravel()
+        runs = np.lib.stride_tricks.sliding_window_view(context[first[some], :WIDE], LENGTH, axis=1)
+        text = np.ascontiguousarray(runs[row, SIDE - offset]).view(f"S{LENGTH}").ravel()
         least = family.add(text, owner[some][row])
         earlier = least < owner[some][row]
         mask = np.bincount(row, weights=np.where(earlier, 2.0**offset, 0.0), minlength=len(some))
@@ -153,7 +153,7 @@ def least_owners(context: np.ndarray, bits: np.ndarray, docs: np.ndarray, batch:
 
 
 def _press(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(np.ascontiguousarray(x).tobytes())
 
 
 def _open(x: bytes, dtype) -> np.ndarray:
@@ -172,10 +172,10 @@ def repeats(documents: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
     (a chance match costs work, never a result). Their contexts are dealt by the seed; equal
     contexts are one request a pack, so a passage in a third of all texts is one row a pack.
     """
-    packed = packs.packs(documents)
+    packed = packs.packs(documents, 2 << 20)
     total = packed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-total // part_bytes))
-    finer = parts * 4
+    finer = parts * 2
 
     def fingerprints(hashes):
         """Spread again: the least hashes of many are small."""
@@ -201,9 +201,9 @@ def repeats(documents: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
     announced = packed.select("pack", "ids", "offsets", "text").mapInArrow(announce, "pack long, part int, marks binary")
     flags = announced.groupBy("part").applyInArrow(twice, "pack long, part int, bits binary")
 
-    def ask(key, left, right):
+    def flagged(left, right):
+        """Of each pack: its anchors that go on, their contexts' classes, and the classes' owners."""
         answer = dict(zip(right["part"].to_pylist(), right["bits"].to_pylist(), strict=True))
-        out = []
         for pack, (ids, null, data, offsets) in packs.each(left.to_batches()):
             at, hashes, lefts, rights, bits = anchors(data, offsets, null)
             marks = fingerprints(hashes)
@@ -213,23 +213,38 @@ def repeats(documents: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
             go &= bits > 0
             at, marks, lefts, rights, bits = (x[go] for x in (at, marks, lefts, rights, bits))
             doc = ids[np.searchsorted(offsets, at, "right") - 1]
-            spot = (at - SIDE)[:, None] + np.arange(WIDE)
-            context = data[np.clip(spot, 0, max(0, len(data) - 1))] if len(data) else np.zeros((0, WIDE), np.uint8)
+            around = np.zeros(len(data) + 2 * WIDE, np.uint8)
+            around[SIDE : SIDE + len(data)] = data
+            context = np.lib.stride_tricks.sliding_window_view(around, WIDE)[at]
             context[(np.arange(WIDE) < (SIDE - lefts)[:, None]) | (np.arange(WIDE) >= (SIDE + SEED + rights)[:, None])] = 0
             context = np.concatenate([context, lefts[:, None].astype(np.uint8), rights[:, None].astype(np.uint8)], 1)
             first, back = _classes(context) if len(at) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             owner = np.full(len(first), np.iinfo(np.int64).max)
             np.minimum.at(owner, back, doc)
+            yield pack, at, marks, bits, doc, context, first, back, owner
+
+    def ask(key, left, right):
+        out = []
+        for pack, _, marks, bits, _, context, first, _, owner in flagged(left, right):
             for part, places in packs.by_part(marks[first], finer):
                 rows = first[places]
                 out.append((pack, part, _press(context[rows]), _press(bits[rows]), _press(owner[places])))
-            # What this pack does with the replies: places, classes, and whether another text of the pack owns the class.
-            out.append((pack, -1, _press(at.astype(np.int64)), _press(np.where(doc > owner[back], bits, 0).astype(np.uint32)), _press(np.stack([back, marks[first][back].view(np.int64)]))))
         columns = list(zip(*out, strict=True)) if out else [()] * 5
         return pa.table({"pack": pa.array(columns[0], pa.int64()), "part": pa.array(columns[1], pa.int32()), "context": pa.array(columns[2], pa.binary()), "bits": pa.array(columns[3], pa.binary()), "owner": pa.array(columns[4], pa.binary())})
 
-    asked = packed.select("pack", "ids", "offsets", "text").groupBy("pack").cogroup(flags.groupBy("pack")).applyInArrow(ask, "pack long, part int, context binary, bits binary, owner binary")
-    asked = shared.kept(asked)
+    def keep(key, left, right):
+        """What a pack does with the replies: places, classes, and what its own texts already tell."""
+        out = []
+        for pack, at, marks, bits, doc, _, first, back, owner in flagged(left, right):
+            out.append((pack, _press(at.astype(np.int64)), _press(np.where(doc > owner[back], bits, 0).astype(np.uint32)), _press(np.stack([back, marks[first][back].view(np.int64)]))))
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        return pa.table({"pack": pa.array(columns[0], pa.int64()), "part": pa.array([-1] * len(out), pa.int32()), "bits": pa.array(columns[2], pa.binary()), "context": pa.array(columns[1], pa.binary()), "owner": pa.array(columns[3], pa.binary())})
+
+    # One plan uses the packs' exchange three times and finds the anchors anew where it needs
+    # them, which is cheaper on disk than to keep what is found.
+    texts = packed.select("pack", "ids", "offsets", "text")
+    asked = texts.groupBy("pack").cogroup(flags.groupBy("pack")).applyInArrow(ask, "pack long, part int, context binary, bits binary, owner binary")
+    own = texts.groupBy("pack").cogroup(flags.groupBy("pack")).applyInArrow(keep, "pack long, part int, bits binary, context binary, owner binary")
 
     def reply(key, group):
         context = [_open(x, np.uint8).reshape(-1, WIDE + 2) for x in group["context"].to_pylist()]
@@ -239,8 +254,7 @@ def repeats(documents: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
         parts_ = [_press(x) for x in np.split(masks, np.cumsum([len(x) for x in bits])[:-1])]
         return pa.table({"pack": group["pack"], "part": group["part"], "bits": pa.array(parts_, pa.binary())})
 
-    replies = asked.where("part >= 0").groupBy("part").applyInArrow(reply, "pack long, part int, bits binary")
-    own = asked.where("part < 0").select("pack", "part", "bits", "context", "owner")
+    replies = asked.groupBy("part").applyInArrow(reply, "pack long, part int, bits binary")
     replies = replies.select("pack", "part", "bits", F.lit(None).cast("binary").alias("context"), F.lit(None).cast("binary").alias("owner")).unionByName(own)
     schema = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
 
@@ -278,7 +292,7 @@ def repeats(documents: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
             out.append(pa.table([pa.array(ids, pa.int64(), mask=null), pa.array(np.diff(offsets)), *lists, pa.array(texts, pa.binary())], names=["doc_id", "n_bytes", "starts", "ends", "kept"]))
         return pa.concat_tables(out)
 
-    done = packed.select("pack", "ids", "offsets", "text").groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(cut, schema)
+    done = texts.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(cut, schema)
     spans = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
     return done.select("doc_id", "n_bytes", spans.alias("spans"), "kept")
 
