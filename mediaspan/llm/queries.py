@@ -58,4 +58,4 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op3_decontamination": op3_decontamination, "op4_suffix_dedup": op4_suffix_dedup, "op5_toxicity": op5_toxicity, "op6_licenses": op6_licenses, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_minhash": op9_minhash, "op10_token_ids": op10_token_ids}
 
-SQL: dict[str, str] = {"op7_topk": topk.ORACLE, "op9_minhash": minhash.ORACLE}
+SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op4_suffix_dedup": repeats.ORACLE, "op7_topk": topk.ORACLE, "op9_minhash": minhash.ORACLE}
