@@ -113,6 +113,7 @@ def scan(documents: DataFrame, templates: dict[str, list[str]] | None = None) ->
     as dictionary saves. A block is confirmed if at most DIFFER of its template's words differ,
     case and marks at words' edges apart. Repeated rows and null ids are each reported.
     """
+    shared.small_batches(documents.sparkSession)
     templates = templates or TEMPLATES
 
     def search(batches):

@@ -201,6 +201,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, threshold: int = 85) ->
     Equal sets are one class before any table is built, so copies cost nothing further. A pair
     at the threshold shares no table with a chance of 2e-5; a pair above it with less.
     """
+    shared.small_batches(documents.sparkSession)
     m = bands(threshold)
     rows = shared.kept(signed(documents, size, m))
     filled = rows.where(F.col("n_shingles") > 0)

@@ -14,7 +14,7 @@ from mediaspan.llm import shared
 SCHEMA = "pack long, size long, ids binary, offsets binary, text binary"
 
 
-def packs(documents: DataFrame, most: int = 4 << 20) -> DataFrame:
+def packs(documents: DataFrame, most: int = 2 << 20) -> DataFrame:
     """documents(doc_id, text) -> a table of packs in the shared folder.
 
     The table freezes which texts are in which pack, so later jobs, and tasks that run again,
@@ -47,6 +47,7 @@ def packs(documents: DataFrame, most: int = 4 << 20) -> DataFrame:
         if texts:
             yield row()
 
+    shared.small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return shared.kept(rows.mapInArrow(fill, SCHEMA))
 

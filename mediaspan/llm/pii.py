@@ -208,6 +208,7 @@ def find(documents: DataFrame) -> DataFrame:
     then kind as in KINDS. A null or empty text has no spans; rows with a null or repeated id
     are each answered. Texts are searched whole, in time linear in their length.
     """
+    shared.small_batches(documents.sparkSession)
     weights = documents.sparkSession.sparkContext.broadcast(learn(documents))
 
     def search(batches):

@@ -31,6 +31,14 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From here on Spark hands Python batches of about so many bytes, unless the session says
+    otherwise: by default a batch is a number of rows, however long their texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,7 +59,7 @@ def buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 2 << 20) -> list[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
     """Runs of rows of at most so many bytes; a longer row is a run of its own."""
     out, first, n = [], 0, len(offsets) - 1
     while first < n:

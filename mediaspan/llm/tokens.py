@@ -101,7 +101,7 @@ class Encoder:
 
     _made: dict = {}
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -177,6 +177,7 @@ def write(documents: DataFrame, path: str, vocabulary: str, end_id: int = 1) ->
                 ids, counts = _with_end(ids, counts, end_id)
                 yield pa.record_batch({"block": pa.array([encode_block(doc_ids[a:b], counts, ids)], pa.binary())})
 
+    shared.small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # Spark's text writer puts out the bytes of a string column unchanged.
@@ -199,6 +200,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.record_batch([pa.array([name] * len(keys)), pa.array(np.arange(len(keys)) + place), keys, pa.array(block.starts + before), pa.array(block.counts), pa.array(crcs, pa.int64())], schema=out)
                     at, before, place = at + block.size + 1, before + block.tokens, place + block.documents
 
+    shared.small_batches(spark)
     files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("path", "content")
     rows = shared.kept(files.mapInArrow(documents, "file string, place long, doc_id long, before long, n_tokens long, ids_crc32 long"))
     # One row a file: its place follows from the ids it holds, as ranges of ids do not overlap.

@@ -208,6 +208,7 @@ def fit(documents: DataFrame, labels: DataFrame, held: int = 1, base: int = 3, r
     hash of doc_id), and the `grams` most frequent expressions. The comparison is weighed by
     documents that the other half's counts have scored, at the classes' shares of all labels.
     """
+    shared.small_batches(documents.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.where(remainder(F.col("doc_id"), base) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = shared.kept(known.withColumn("h", F.xxhash64(F.lit(5), "doc_id")))
@@ -248,6 +249,7 @@ def score(documents: DataFrame, classifier: Classifier, columns=("doc_id",), thr
 
     A null text is empty; a text without words has the score of no evidence.
     """
+    shared.small_batches(documents.sparkSession)
     shipped = documents.sparkSession.sparkContext.broadcast(classifier)
     rows = documents.select(*columns, "text")
     schema = rows.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
