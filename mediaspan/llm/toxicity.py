@@ -201,7 +201,7 @@ class Classifier:
         self.model, self.beta = model, beta
 
 
-def fit(documents: DataFrame, labels: DataFrame, held: int = 1, base: int = 3, rows: int = 4000, grams: int = 600_000) -> Classifier:
+def fit(documents: DataFrame, labels: DataFrame, held: int = 1, base: int = 3, rows: int = 4000, grams: int = 250_000) -> Classifier:
     """Learns from documents(doc_id, text) with labels(doc_id, toxic) outside the held-out part.
 
     Bounds, the only ones: at most `rows` labelled documents of each class (those of the least
@@ -235,6 +235,9 @@ def fit(documents: DataFrame, labels: DataFrame, held: int = 1, base: int = 3, r
                 yield pa.record_batch([x.column(1), *(pa.array(np.where(fold == 0, a, b)) for a, b in zip(*both, strict=True))], names=["toxic", "mean", "above", "n"])
 
     scored = texts.select("text", "toxic", "fold").mapInArrow(cross, "toxic int, mean double, above double, n long").toArrow()
+    # What only the weighing needed goes: the driver holds one model.
+    shipped.destroy()
+    del found, part, keys, halves
     y, *parts = (np.asarray(scored[c]).astype(float) for c in ("toxic", "mean", "above", "n"))
     beta = np.zeros(4)
     if len(y):
