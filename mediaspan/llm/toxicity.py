@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaspan.llm import shared
+from mediaspan.llm import packs, shared
 
 #: Longest expression in bytes, with a word's border as one; Kneser-Ney discount; counts that each
 #: class's estimate takes from the shared one; log ratio above which a word weighs by itself.
@@ -15,6 +16,9 @@ ORDER, DISCOUNT, PRIOR, MARGIN = 7, 0.75, 20.0, 2.0
 #: Words of toxicity are runs of letters and digits; other ASCII separates them.
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _COUNTS = [f"n{fold}{toxic}" for fold in (0, 1) for toxic in (0, 1)]
+#: The models: for fold 0, for fold 1, and for all; and what each has of an expression.
+VERSIONS, _KINDS = (0, 1, 2), ("both", "plain", "toxic")
+_ASKED = pa.schema([("part", pa.int64()), ("pack", pa.int64()), ("hashes", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
 
 
 def _plain(data: np.ndarray) -> np.ndarray:
@@ -79,99 +83,209 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
 
     rows = texts.select("text", "toxic", "fold").mapInArrow(count, schema)
-    return rows.groupBy("gram", "size").agg(F.first("context").alias("context"), F.first("tail").alias("tail"), *(F.sum(c).alias(c) for c in _COUNTS))
+    return rows.groupBy("gram").agg(*(F.first(c).alias(c) for c in ("context", "tail", "size")), *(F.sum(c).alias(c) for c in _COUNTS))
 
 
-class Model:
-    """Kneser-Ney estimates of the next byte of a word for two classes, and ratios of words.
+def estimates(counts: DataFrame) -> DataFrame:
+    """All expressions with their counts -> a row for each run of bytes (key): its counts as an
+    expression, and as a context the sum of its followers' counts (total) and how many (after).
 
     Counts of both classes together make an interpolated Kneser-Ney model: long expressions by
     their counts, shorter ones by in how many longer ones they end. Each class discounts its own
     counts of the longest expression at a place and gives the rest, and PRIOR counts more, to
     that shared model. An expression rare in a class so has nearly the same chance in both.
+    Versions 0 and 1 know only the other fold's counts, version 2 all. What a run is not has 0.
     """
-
-    def __init__(self, gram, context, tail, size, plain, toxic):
-        """Aligned arrays: hashes, lengths, and each class's counts."""
-        order = np.argsort(gram)
-        gram, context, tail = gram[order], context[order], tail[order]
-        raw = np.stack([plain[order], toxic[order]]).astype(np.float64)
-        both = raw.sum(0)
-        below = np.minimum(np.searchsorted(gram, tail), max(0, len(gram) - 1))
-        longer = (gram[below] == tail) & (size[order] > 1) if len(gram) else np.zeros(0, bool)
-        ends = np.bincount(below[longer], minlength=len(gram)).astype(float)
-        self.gram = gram
-        self.context, back = np.unique(context, return_inverse=True)
-        used = np.where(ends > 0, ends, both)
-        self.alpha, self.rest = self._discounted(used, back, 0.0)
-        self.own = [self._discounted(raw[c], back, PRIOR) for c in (0, 1)]
-
-    def _discounted(self, counts, back, prior):
-        total = np.bincount(back, weights=counts, minlength=len(self.context)) + prior
-        held = np.minimum(counts, DISCOUNT)
-        loose = np.bincount(back, weights=held, minlength=len(self.context)) + prior
+    kinds = [f"{kind}{v}" for v in VERSIONS for kind in _KINDS]
+    halves = {0: ("n10", "n11"), 1: ("n00", "n01"), 2: ("n00 + n10", "n01 + n11")}
+    raw = [F.expr(x).alias(f"{kind}{v}") for v, pair in halves.items() for kind, x in zip(_KINDS[1:], pair, strict=True)]
+    rows = counts.select("gram", "context", "tail", "size", *raw)
+    seen = {v: F.col(f"plain{v}") + F.col(f"toxic{v}") for v in VERSIONS}
+    ends = rows.where(F.col("size") > 1).groupBy(F.col("tail").alias("gram")).agg(*(F.count_if(seen[v] > 0).alias(f"ends{v}") for v in VERSIONS))
+    # Counts come dealt by expression, so neither join moves them again.
+    rows = rows.drop("tail", "size").join(ends.hint("merge"), "gram", "left")
+    rows = rows.withColumns({f"both{v}": F.when(F.col(f"ends{v}") > 0, F.col(f"ends{v}")).otherwise(seen[v]) for v in VERSIONS})
+    followers = [x for k in kinds for x in (F.sum(k).alias(f"total_{k}"), F.count_if(F.col(k) > 0).alias(f"after_{k}"))]
+    contexts = rows.groupBy(F.col("context").alias("key")).agg(*followers)
+    both = rows.select(F.col("gram").alias("key"), *kinds).join(contexts.hint("merge"), "key", "full")
+    return shared.kept(both.select("key", *(F.coalesce(c, F.lit(0)).alias(c) for v in VERSIONS for c in _values(v))))
+
+
+def _values(v: int) -> list[str]:
+    return [f"{part}{kind}{v}" for part in ("", "total_", "after_") for kind in _KINDS]
+
+
+def _runs(run: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The distinct keys that `ratios` of these words looks up."""
+    grams, at, out = _Grams(run), np.flatnonzero(place > 0), []
+    for size in range(1, ORDER + 1):
+        end = at[place[at] >= size - 1] + 1
+        out += [np.unique(grams(end - size, end - 1)), np.unique(grams(end - size, end))]
+    return np.unique(np.concatenate(out))
+
+
+def ratios(keys: np.ndarray, values: np.ndarray, run: np.ndarray, begin: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of bordered words: log P(word | toxic) - log P(word | ordinary), from ascending keys and
+    their `_values`."""
+    grams, at = _Grams(run), np.flatnonzero(place > 0)
+    values = np.concatenate([values, np.zeros((1, 9))])
+    chance = np.full(len(at), 1 / 256)
+    ratio = np.zeros(len(at))
+
+    def look(wanted):
+        where = np.searchsorted(keys, wanted)
+        known = where < len(keys)
+        known[known] = keys[where[known]] == wanted[known]
+        return values[np.where(known, where, len(keys))]
+
+    for size in range(1, ORDER + 1):
+        can = np.flatnonzero(place[at] >= size - 1)
+        end = at[can] + 1
+        counts, context = look(grams(end - size, end))[:, :3], look(grams(end - size, end - 1))
+        total, loose = context[:, 3:6] + [0.0, PRIOR, PRIOR], DISCOUNT * context[:, 6:] + [0.0, PRIOR, PRIOR]
         some = total > 0
         safe = np.where(some, total, 1.0)
-        return (counts - held) / safe[back], np.where(some, loose / safe, 1.0)
-
-    def ratios(self, run: np.ndarray, begin: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Of bordered words: log P(word | toxic) - log P(word | ordinary)."""
-        grams, at = _Grams(run), np.flatnonzero(place > 0)
-        chance = np.full(len(at), 1 / 256)
-        ratio = np.zeros(len(at))
-        for size in range(1, ORDER + 1):
-            can = np.flatnonzero(place[at] >= size - 1)
-            end = at[can] + 1
-            where, hit = self._find(self.context, grams(end - size, end - 1))
-            spot, there = self._find(self.gram, grams(end - size, end))
-            chance[can[hit]] *= self.rest[where[hit]]
-            chance[can[there]] += self.alpha[spot[there]]
-            last = (np.minimum(place[at[can]] + 1, ORDER) == size) & hit
-            own = []
-            for alpha, rest in self.own:
-                own.append(chance[can] * np.where(hit, rest[where], 1.0) + np.where(there, alpha[spot], 0.0) if len(self.gram) else chance[can])
-            ratio[can[last]] = np.log(own[1][last]) - np.log(own[0][last])
-        word = np.cumsum(place == 0)[at] - 1
-        return np.bincount(word, weights=ratio, minlength=len(begin))
-
-    @staticmethod
-    def _find(table, keys):
-        where = np.minimum(np.searchsorted(table, keys.view(np.int64)), max(0, len(table) - 1))
-        return where, table[where] == keys.view(np.int64) if len(table) else np.zeros(len(keys), bool)
-
-
-class Scorer:
-    """Length-normalised ratios of each row; a word met before in the task is looked up.
+        alpha, rest = np.where(some, np.maximum(counts - DISCOUNT, 0), 0.0) / safe, np.where(some, loose / safe, 1.0)
+        chance[can] = chance[can] * rest[:, 0] + alpha[:, 0]
+        last = np.flatnonzero(np.minimum(place[at[can]] + 1, ORDER) == size)
+        plain, toxic = (chance[can[last]] * rest[last, c] + alpha[last, c] for c in (1, 2))
+        ratio[can[last]] = np.log(toxic) - np.log(plain)
+    word = np.cumsum(place == 0)[at] - 1
+    return np.bincount(word, weights=ratio, minlength=len(begin))
+
+
+def _packed(rows: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """Rows whose last column is the text -> a table of packs in the shared folder: a few MB of
+    rows as one Arrow message. Later jobs, and tasks that run again, see the same packs."""
+
+    def pack(batches):
+        at, number = TaskContext.get().partitionId(), 0
+        waiting, size = [], 0
+
+        def row():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, waiting[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for x in waiting:
+                    out.write_batch(x)
+            return pa.record_batch({"pack": pa.array([(at << 33) + number], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        for x in batches:
+            _, offsets = shared.buffer(x.column(x.num_columns - 1))
+            for a, b in shared.slices(offsets):
+                if waiting and size + offsets[b] - offsets[a] > most:
+                    yield row()
+                    number, waiting, size = number + 1, [], 0
+                waiting.append(x.slice(a, b - a))
+                size += int(offsets[b] - offsets[a])
+        if waiting:
+            yield row()
+
+    shared.small_batches(rows.sparkSession)
+    return shared.kept(rows.mapInArrow(pack, "pack long, rows binary"))
+
+
+def _unpacked(blob: bytes):
+    """The record batches of a pack, each with its texts' bytes (plain) and offsets."""
+    for x in pa.ipc.open_stream(blob):
+        data, offsets = shared.buffer(x.column(x.num_columns - 1))
+        yield x, _plain(data), offsets
+
+
+def _distinct(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """A pack's distinct words: ascending hashes, sizes, and bytes in that order."""
+    keys, found = np.zeros(0, np.uint64), []
+    for _, text, offsets in _unpacked(blob):
+        hashes, _, starts, ends = shared.words(text, offsets)
+        some, at = np.unique(hashes, return_index=True)
+        new = ~np.isin(some, keys, assume_unique=True)
+        some, at = some[new], at[new]
+        raw = text.tobytes()
+        found += [(h, raw[a:b]) for h, a, b in zip(some.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)]
+        keys = np.union1d(keys, some)
+    found.sort()
+    return keys, np.array([len(w) for _, w in found], np.int32), b"".join(w for _, w in found)
+
+
+def _words_of(table: pa.Table) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct words of requests: their ascending hashes, and `_bordered`."""
+    parts = [[np.frombuffer(x, kind) for x in table[c].to_pylist()] for c, kind in (("hashes", np.uint64), ("sizes", np.int32), ("bytes", np.uint8))]
+    hashes, sizes, data = (shared.joined(x, kind) for x, kind in zip(parts, (np.uint64, np.int64, np.uint8), strict=True))
+    ends = np.cumsum(sizes, dtype=np.int64)
+    keys, at = np.unique(hashes, return_index=True)
+    return keys, _bordered(data, (ends - sizes)[at], ends[at])
+
+
+def word_ratios(packed: DataFrame, model: DataFrame, versions: list[int]) -> DataFrame:
+    """Packs -> pack, part, ratios: of each pack's distinct words of that part, in order of their
+    hashes, the ratios by each version in turn.
+
+    Words are dealt into parts by hash, so a word is decided once however many packs have it. A
+    part asks the model's table, by a join, for the runs of its words: no task and no driver
+    holds more of the model than the words of one part need.
+    """
+    parts = max(8, -(-packed.count() // 8))
+
+    def ask(batches):
+        for x in batches:
+            for pack, blob in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                keys, sizes, data = _distinct(blob)
+                ends = np.cumsum(sizes, dtype=np.int64)
+                dealt = [(p, at[0], at[-1] + 1) for p, at in packs.by_part(keys, parts)]
+                rows = [(p, pack, keys[a:b].tobytes(), sizes[a:b].tobytes(), data[ends[a] - sizes[a] : ends[b - 1]]) for p, a, b in dealt]
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 5, _ASKED, strict=True)], schema=_ASKED)
+
+    def runs(key, table):
+        found = _runs(*_words_of(table)[1][::2]).view(np.int64)
+        return pa.table({"part": pa.array(np.full(len(found), key[0].as_py())), "key": pa.array(found)})
+
+    def decide(key, asked, known):
+        keys, words = _words_of(asked)
+        table = np.asarray(known["key"], np.int64).view(np.uint64)
+        order = np.argsort(table)
+        values = [np.stack([np.asarray(known[c], float)[order] for c in _values(v)], 1) for v in versions]
+        found = np.stack([ratios(table[order], x, *words) for x in values])
+        blobs = [found[:, np.searchsorted(keys, np.frombuffer(x, np.uint64))].tobytes() for x in asked["hashes"].to_pylist()]
+        return pa.table({"pack": asked["pack"], "part": asked["part"], "ratios": pa.array(blobs, pa.binary())})
+
+    asked = shared.kept(packed.mapInArrow(ask, "part long, pack long, hashes binary, sizes binary, bytes binary"))
+    wanted = asked.groupBy("part").applyInArrow(runs, "part long, key long")
+    known = wanted.join(model.select("key", *(c for v in versions for c in _values(v))), "key")
+    return asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(decide, "pack long, part long, ratios binary")
+
+
+def _measures(row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length-normalised ratios of each row of words.
 
     The median word's ratio is what a row's language is worth, and is taken from every word's.
     Of each row: the mean over words; the mean of what is above MARGIN; the number of words.
     """
-
-    def __init__(self, model: Model, most: int = 1_000_000):
-        self.model, self.most = model, most
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        text = _plain(data)
-        hashes, first, starts, ends = shared.words(text, offsets)
-        keys, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        values = np.zeros(len(keys))
-        where = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        known = self.keys[where] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        values[known] = self.values[where[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            values[new] = self.model.ratios(*_bordered(text, starts[at[new]], ends[at[new]]))
-            if len(self.keys) + len(new) > self.most:
-                self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
-            spot = np.searchsorted(self.keys, keys[new])
-            self.keys, self.values = np.insert(self.keys, spot, keys[new]), np.insert(self.values, spot, values[new])
-        n, row = np.diff(first), values[back]
-        middle = np.array([np.median(row[a:b]) if b > a else 0.0 for a, b in zip(first[:-1], first[1:], strict=True)])
-        row = row - np.repeat(middle, n)
-        sums = np.concatenate([[0.0], np.cumsum(row)])
-        above = np.concatenate([[0.0], np.cumsum(np.maximum(row - MARGIN, 0))])
-        return tuple((x[first[1:]] - x[first[:-1]]) / np.maximum(n, 1) for x in (sums, above)) + (n,)
+    n = np.diff(first)
+    middle = np.array([np.median(row[a:b]) if b > a else 0.0 for a, b in zip(first[:-1], first[1:], strict=True)])
+    row = row - np.repeat(middle, n)
+    sums = np.concatenate([[0.0], np.cumsum(row)])
+    above = np.concatenate([[0.0], np.cumsum(np.maximum(row - MARGIN, 0))])
+    return tuple((x[first[1:]] - x[first[:-1]]) / np.maximum(n, 1) for x in (sums, above)) + (n,)
+
+
+def _measured(packed: DataFrame, model: DataFrame, versions: list[int], finish, schema) -> DataFrame:
+    """finish(batch, the measures by each version) of every batch of every pack, without its text."""
+
+    def apply(key, blobs, replies):
+        order = np.argsort(np.asarray(replies["part"], np.int64))
+        answers = replies["ratios"].to_pylist()
+        values = [np.frombuffer(answers[i], float).reshape(len(versions), -1) for i in order]
+        values = np.concatenate(values, 1) if values else np.zeros((len(versions), 0))
+        out = []
+        for blob in blobs["rows"].to_pylist():
+            found = [(x, *shared.words(text, offsets)[:2]) for x, text, offsets in _unpacked(blob)]
+            keys = np.unique(np.concatenate([hashes for _, hashes, _ in found]))
+            for x, hashes, first in found:
+                at = np.searchsorted(keys, hashes)
+                out.append(finish(x, [_measures(v[at], first) for v in values]))
+        return pa.Table.from_batches(out)
+
+    replies = word_ratios(packed, model, versions)
+    return packed.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(apply, schema)
 
 
 def _features(mean: np.ndarray, above: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -195,18 +309,18 @@ def remainder(doc_id: Column, base: int) -> Column:
 
 
 class Classifier:
-    """What scoring needs: the models' tables and the weights of the final comparison."""
+    """What scoring needs: the model's table and the weights of the final comparison."""
 
-    def __init__(self, model: Model, beta: np.ndarray):
+    def __init__(self, model: DataFrame, beta: np.ndarray):
         self.model, self.beta = model, beta
 
 
-def fit(documents: DataFrame, labels: DataFrame, held: int = 1, base: int = 3, rows: int = 4000, grams: int = 250_000) -> Classifier:
+def fit(documents: DataFrame, labels: DataFrame, held: int = 1, base: int = 3, rows: int = 4000) -> Classifier:
     """Learns from documents(doc_id, text) with labels(doc_id, toxic) outside the held-out part.
 
-    Bounds, the only ones: at most `rows` labelled documents of each class (those of the least
-    hash of doc_id), and the `grams` most frequent expressions. The comparison is weighed by
-    documents that the other half's counts have scored, at the classes' shares of all labels.
+    The only bound: at most `rows` labelled documents of each class (those of the least hash of
+    doc_id). Every expression of theirs counts. The comparison is weighed by documents that the
+    other half's counts have scored, at the classes' shares of all labels.
     """
     shared.small_batches(documents.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -216,28 +330,16 @@ def fit(documents: DataFrame, labels: DataFrame, held: int = 1, base: int = 3, r
     few = [known.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(rows) for c in (0, 1)]
     sample = few[0].unionByName(few[1]).select("doc_id", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("fold"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.kept(sample), "doc_id")
-    texts = shared.kept(texts)
-    total = F.expr("+".join(_COUNTS))
-    found = gram_counts(texts).orderBy(total.desc(), "gram").limit(grams).toArrow()
-    part = {c: np.asarray(found[c]) for c in found.column_names}
-    keys = [part[c] for c in ("gram", "context", "tail", "size")]
-    halves = [Model(*keys, part[f"n{1 - f}0"], part[f"n{1 - f}1"]) for f in (0, 1)]  # scores fold f
-    model = Model(*keys, part["n00"] + part["n10"], part["n01"] + part["n11"])
-    shipped = documents.sparkSession.sparkContext.broadcast(halves)
-
-    def cross(batches):
-        scorers = [Scorer(m) for m in shipped.value]
-        for x in batches:
-            data, offsets = shared.buffer(x.column(0))
-            fold = np.asarray(x.column(2))
-            both = [s(data, offsets) for s in scorers] if len(fold) else []
-            if both:
-                yield pa.record_batch([x.column(1), *(pa.array(np.where(fold == 0, a, b)) for a, b in zip(*both, strict=True))], names=["toxic", "mean", "above", "n"])
-
-    scored = texts.select("text", "toxic", "fold").mapInArrow(cross, "toxic int, mean double, above double, n long").toArrow()
-    # What only the weighing needed goes: the driver holds one model.
-    shipped.destroy()
-    del found, part, keys, halves
+    texts = shared.kept(texts.select("toxic", "fold", "text"))
+    counts = gram_counts(texts).persist()
+    model = estimates(counts)
+    counts.unpersist()
+
+    def cross(x, both):
+        fold = np.asarray(x.column(1))
+        return pa.record_batch([x.column(0), *(pa.array(np.where(fold == 0, a, b)) for a, b in zip(*both, strict=True))], names=["toxic", "mean", "above", "n"])
+
+    scored = _measured(_packed(texts), model, [0, 1], cross, "toxic int, mean double, above double, n long").toArrow()
     y, *parts = (np.asarray(scored[c]).astype(float) for c in ("toxic", "mean", "above", "n"))
     beta = np.zeros(4)
     if len(y):
@@ -252,21 +354,15 @@ def score(documents: DataFrame, classifier: Classifier, columns=("doc_id",), thr
 
     A null text is empty; a text without words has the score of no evidence.
     """
-    shared.small_batches(documents.sparkSession)
-    shipped = documents.sparkSession.sparkContext.broadcast(classifier)
-    rows = documents.select(*columns, "text")
+    beta = classifier.beta
+    rows = documents.select(*columns, F.col("text").alias("text"))
     schema = rows.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
-    def apply(batches):
-        scorer, beta = Scorer(shipped.value.model), shipped.value.beta
-        for x in batches:
-            data, offsets = shared.buffer(x.column(len(columns)))
-            means = [scorer(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in shared.slices(offsets)]
-            parts = [shared.joined([m[i] for m in means], float) for i in range(3)]
-            p = 1 / (1 + np.exp(-np.clip(_features(*parts) @ beta, -50, 50)))
-            yield pa.record_batch([*x.columns[: len(columns)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
+    def apply(x, measures):
+        p = 1 / (1 + np.exp(-np.clip(_features(*measures[0]) @ beta, -50, 50)))
+        return pa.record_batch([*x.columns[: len(columns)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
 
-    return rows.mapInArrow(apply, schema)
+    return _measured(_packed(rows), classifier.model, [2], apply, schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, held: int = 1, base: int = 3) -> DataFrame:

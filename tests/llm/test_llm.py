@@ -231,6 +231,51 @@ def test_toxicity(spark, odd, none):
     assert toxicity.toxicity(none, frame).count() == 0
 
 
+def test_toxicity_keeps_every_expression(spark):
+    rng = random.Random(11)
+    rows = [(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(200)), i % 2, i // 2 % 2) for i in range(60)]
+    counts = shared.kept(toxicity.gram_counts(spark.createDataFrame(rows, "text string, toxic int, fold int")))
+    seen = {}
+    for text, bad, _ in rows:
+        for word in text.split():
+            w = f"\1{word}\1"
+            for end in range(1, len(w)):
+                for size in range(1, min(end + 1, 7) + 1):
+                    seen.setdefault(w[end + 1 - size : end + 1], [0, 0])[bad] += 1
+    assert counts.count() == len(seen) > 250_000
+    ends = collections.Counter(g[1:] for g in seen if len(g) > 1)
+    after = collections.defaultdict(list)
+    for g in seen:
+        after[g[:-1]].append(g)
+
+    def plain(word):
+        w, total = f"\1{word}\1", 0.0
+        for end in range(1, len(w)):
+            chance = 1 / 256
+            for size in range(1, min(end + 1, 7) + 1):
+                g = w[end + 1 - size : end + 1]
+
+                def step(below, count, prior, g=g):
+                    all_of = [count(x) for x in after[g[:-1]]] if g[:-1] in after else []
+                    if not sum(all_of) + prior:
+                        return below
+                    own = count(g) if g in seen else 0
+                    return (own - min(own, 0.75) + below * (sum(min(x, 0.75) for x in all_of) + prior)) / (sum(all_of) + prior)
+
+                chance = step(chance, lambda x: ends[x] or sum(seen[x]), 0.0)
+                each = [step(chance, lambda x, c=c: seen[x][c], 20.0) for c in (0, 1)]
+            total += math.log(each[1]) - math.log(each[0])
+        return total
+
+    text = f"{rows[0][0]} {rows[1][0]} nowhereseen q"
+    packed = toxicity._packed(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    replies = toxicity.word_ratios(packed, toxicity.estimates(counts), [2]).orderBy("part").collect()
+    got = np.concatenate([np.frombuffer(r["ratios"]) for r in replies])
+    hashes = shared.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
+    expected = dict(zip(hashes.tolist(), map(plain, text.split()), strict=True))
+    assert np.allclose(got, [expected[h] for h in sorted(expected)], atol=1e-9) and len(got) == 402
+
+
 def test_licenses(spark, odd, none):
     got = [(r["doc_id"], r["license"], r["n_differences"]) for r in licenses.scan(odd).collect()]
     assert sorted(got) == [(9, "CC-BY-NC-4.0", 0), (9, "MIT", 0)]
