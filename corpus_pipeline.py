@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediaspan.llm import decontaminate, minhash, mixing, tokens, toxicity
@@ -16,10 +16,25 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, classifier, docs.columns).where(F.col("predicted") == 0).select(*docs.columns)
 
 
+def _hash(*columns: str) -> Column:
+    """The same for the same values; nulls count, so they don't leave a place to another column."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8) the least doc_id."""
-    kept = minhash.near_duplicates(docs, size=5, threshold=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8) the least doc_id.
+
+    Rows are compared, not ids: rows that share a doc_id stay unless their texts are alike, rows
+    with a null doc_id are texts like others (and the last that a group keeps), and of equal rows
+    one stays.
+    """
+    rows = docs.withColumn("row_key", _hash(*docs.columns))
+    found = minhash.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"), size=5, threshold=80)
+    groups = found.select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    groups = groups.join(rows.select("row_key", "doc_id").distinct(), "row_key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    kept = groups.groupBy("component_id").agg(least.alias("least")).select("least.row_key")
+    return rows.join(kept.hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +43,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that sources come to their weights: a row for each copy."""
-    mixed = mixing.mix(docs).where(F.col("copies") > 0).select("doc_id", "copies")
-    copies = docs.join(mixed.hint("merge"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return copies.select(*docs.columns)
+    """Repeats or drops documents so that sources come to their weights: a row for each copy.
+
+    Each row, whatever its doc_id, gets the copies of one unit: those of rows with the same
+    doc_id, source and size, which are alike to the mixing, are handed out in the rows' order.
+    """
+    unit = _hash("doc_id", "source", "size").alias("unit")
+    copies = mixing.mix(docs).select(unit, "copies").groupBy("unit").agg(F.array_sort(F.collect_list("copies")).alias("copies"))
+    rows = docs.withColumn("size", mixing.word_count(F.col("text"))).select(*docs.columns, unit, _hash(*docs.columns).alias("row_key"))
+    rows = rows.join(copies.where(F.exists("copies", lambda n: n > 0)).hint("merge"), "unit")
+    place = F.row_number().over(Window.partitionBy("unit").orderBy("row_key"))
+    rows = rows.withColumn("place", place).withColumn("copies", F.element_at("copies", F.col("place"))).where(F.col("copies") > 0)
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -510,3 +510,23 @@ def test_pipeline(spark, odd, none):
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0
         assert stage(spark, odd, sf).count() > 0
+
+
+def test_pipeline_keeps_odd_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(1000)}" for _ in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, b), (2, a + " more"), (3, b + " more"), (3, d), (None, c), (None, c), (None, a), (None, c + " more"), (None, ""), (None, None)]
+    kept = pipeline.near_duplicates(spark, table(spark, rows[:0]).unionByName(docs(spark, [(i, t, "en", "s", 1) for i, t in rows])), "")
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(x for x in got if x[0]) == sorted([(1, a), (1, b), (3, d)])
+    others = [t for i, t in got if i is None]
+    assert len(others) == 3 and "" in others and None in others and (c in others or c + " more" in others)
+    rows = [(rng.choice([None, 1, 2, 3]), " ".join("w" * rng.randint(1, 3)), "en", rng.choice([None, "s0", "s1", "s2"]), 1) for _ in range(200)]
+    frame = shared.kept(docs(spark, rows + rows[:40]))
+    size = lambda t: len((t or "").split())
+    mixed = collections.Counter((r["doc_id"], r["source"], size(r["text"])) for r in pipeline.mixture(spark, frame, "").collect())
+    expected = collections.Counter()
+    for r in mixing.mix(frame).collect():
+        expected[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert mixed == +expected and any(k[0] is None for k in mixed)
