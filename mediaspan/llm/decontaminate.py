@@ -89,7 +89,8 @@ def matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> list[tuple[i
 
     A window like an item shares a shingle with it, so windows are laid where shared shingles
     put them: at that shingle's place in the item. Each window's fingerprint is looked up among
-    all items of its length; what lies within the radius is compared exactly.
+    all items of its length; what lies within the radius is compared exactly. An item that has no
+    such window may still be there with its parts in another order: see `_anywhere`.
     """
     out = []
     for size, (keys, item, offset, quick) in items.seeds.items():
@@ -104,6 +105,7 @@ def matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> list[tuple[i
         place = np.repeat(may - at[row], count)
         post = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
         row, begin, n = np.repeat(row, count), place - offset[post], items.lengths[item[post]]
+        met = np.unique(np.stack([row, item[post], place], 1), axis=0)
         windows = np.unique(np.stack([row, begin, n], 1), axis=0)
         row, begin, n = windows.T
         words = (first[1:] - first[:-1])[row]
@@ -122,6 +124,34 @@ def matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> list[tuple[i
                 for x in near:
                     if (like := similarity(own, sets[x])) >= SIMILARITY - 1e-12:
                         out.append((int(row[k]), int(group[x]), int(begin[k]), int(end[k] - begin[k]), like))
+        out += _anywhere(items, met, {(r, i) for r, i, *_ in out}, found, at, np.diff(first), size)
+    return out
+
+
+def _anywhere(items: Items, met: np.ndarray, done: set, found: np.ndarray, at: np.ndarray, words: np.ndarray, size: int) -> list[tuple[int, int, int, int, float]]:
+    """As `matches`, of all windows at all places, for pairs of row and item that are not done.
+
+    met: the ascending (row, item, place) of shared shingles. In a window like an item, shingles
+    at 0.8 of as many places as the item has are the item's, so only such windows are compared.
+    """
+    out = []
+    cuts = np.flatnonzero(np.any(np.diff(met[:, :2], axis=0), axis=1)) + 1
+    cuts = np.concatenate([[0], cuts, [len(met)]])
+    least = np.ceil(SIMILARITY * (items.lengths - size + 1) - 1e-9)
+    for k in np.flatnonzero(np.diff(cuts) >= least[met[cuts[:-1], 1]]):
+        row, item = met[cuts[k], :2].tolist()
+        n, places = int(items.lengths[item]), met[cuts[k] : cuts[k + 1], 2]
+        if (row, item) in done or words[row] < size:
+            continue
+        begin = np.unique(np.arange(-n, 1) + places[:, None])
+        begin, end = np.unique(np.stack([np.maximum(begin, 0), np.minimum(begin + n, words[row])], 1), axis=0).T
+        shares = np.searchsorted(places, end - size, "right") - np.searchsorted(places, begin, "left")
+        group, _, sets = items.groups[n]
+        own = sets[int(np.searchsorted(group, item))]
+        for b, e in zip(begin[shares >= least[item]].tolist(), end[shares >= least[item]].tolist(), strict=True):
+            mine = np.unique(found[at[row] + b : at[row] + e - size + 1], return_counts=True)
+            if (like := similarity(mine, own)) >= SIMILARITY - 1e-12:
+                out.append((row, item, b, e - b, like))
     return out
 
 
@@ -132,6 +162,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, most_words: int = 1
     """documents(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, first_word, n_words,
     similarity, n_windows: for each row and item, the best window (the first of equals).
 
+    Compared are the windows that begin where a shared shingle's place in the item puts them, and,
+    where none of those is like the item, all windows at all places; n_windows counts the like ones.
+
     Words as elsewhere: runs without ASCII white space, A-Z lower-cased. A window has as many
     words as the item (fewer at a text's ends) and is like it at a weighted Jaccard similarity
     of 0.8 of their five-word shingles, by multiplicity; items of fewer words are one shingle.

@@ -154,6 +154,23 @@ def test_decontamination(spark, corpus, odd, none):
     assert decontaminate.contaminated(none, benchmark).count() == decontaminate.contaminated(odd, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_reordered_items(spark):
+    item = [f"w{k}" for k in range(60)]
+    around = [f"x{k}" for k in range(80)]
+    rows = [(k, " ".join(around + item[k:] + item[:k] + around)) for k in (0, 10, 20, 30)] + [(99, " ".join(around + item[::-1]))]
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    grams = lambda v: collections.Counter(tuple(v[k : k + 5]) for k in range(len(v) - 4))
+    own, expected = grams(item), {}
+    for d, t in rows:
+        w = t.split()
+        likes = [((grams(w[max(0, a) : a + 60]) & own).total() / (grams(w[max(0, a) : a + 60]) | own).total(), a) for a in range(-59, len(w))]
+        if max(likes)[0] >= 0.8:
+            expected[d] = max(likes)[0]
+    got = {r["doc_id"]: r["similarity"] for r in decontaminate.contaminated(table(spark, rows), benchmark).collect()}
+    assert got == pytest.approx(expected) and got.keys() == {0, 10, 20, 30}
+    assert [r["doc_id"] for r in decontaminate.clean(table(spark, rows), benchmark).collect()] == [99]
+
+
 def test_hamming_blocks():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 2**63, 200, dtype=np.uint64)
