@@ -355,12 +355,12 @@ def score(documents: DataFrame, classifier: Classifier, columns=("doc_id",), thr
     A null text is empty; a text without words has the score of no evidence.
     """
     beta = classifier.beta
-    rows = documents.select(*columns, F.col("text").alias("text"))
+    rows = documents.select(*(c for c in columns if c != "text"), "text")
     schema = rows.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def apply(x, measures):
         p = 1 / (1 + np.exp(-np.clip(_features(*measures[0]) @ beta, -50, 50)))
-        return pa.record_batch([*x.columns[: len(columns)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
+        return pa.record_batch([*(x.column(x.schema.get_field_index(c)) for c in columns), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
 
     return _measured(_packed(rows), classifier.model, [2], apply, schema)
 
