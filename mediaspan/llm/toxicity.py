@@ -4,21 +4,35 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspan.llm import packs, shared
 
-#: Longest expression in bytes, with a word's border as one; Kneser-Ney discount; counts that each
-#: class's estimate takes from the shared one; log ratio above which a word weighs by itself.
+#: Longest expression in bytes, with a word's border as one (at most 7: an expression is a number);
+#: Kneser-Ney discount; counts that each class's estimate takes from the shared one; log ratio
+#: above which a word weighs by itself.
 ORDER, DISCOUNT, PRIOR, MARGIN = 7, 0.75, 20.0, 2.0
 #: Words of toxicity are runs of letters and digits; other ASCII separates them.
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+BORDER = 1
 _COUNTS = [f"n{fold}{toxic}" for fold in (0, 1) for toxic in (0, 1)]
 #: The models: for fold 0, for fold 1, and for all; and what each has of an expression.
 VERSIONS, _KINDS = (0, 1, 2), ("both", "plain", "toxic")
-_ASKED = pa.schema([("part", pa.int64()), ("pack", pa.int64()), ("hashes", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
+#: Rows of counts that a task holds before it hands them on; bytes of words that are decided at a time.
+_HELD, _AT_ONCE = 2_000_000, 1 << 18
+_ASKED = pa.schema([("part", pa.int64()), ("pack", pa.int64()), ("words", pa.binary())])
+_MODEL = pa.schema([("version", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+
+
+def _press(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _open(x: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype)
 
 
 def _plain(data: np.ndarray) -> np.ndarray:
@@ -29,106 +43,186 @@ def _plain(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bordered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words one after another, each between border bytes; where each begins; each byte's place in its word."""
+def _bordered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words one after another, each between border bytes."""
     sizes = ends - starts + 2
     begin = np.cumsum(sizes) - sizes
-    out = np.full(int(sizes.sum()), 1, np.uint8)
+    out = np.full(int(sizes.sum()), BORDER, np.uint8)
     place = np.arange(len(out)) - np.repeat(begin, sizes)
     body = (place > 0) & (place < np.repeat(sizes, sizes) - 1)
     out[body] = data[(np.repeat(starts, sizes) + place - 1)[body]]
-    return out, begin, place
+    return out
 
 
-class _Grams:
-    """Hashes of the byte runs of each length that end at a place."""
+def _places(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of bordered words: where each begins, and each byte's place in its word."""
+    edges = np.flatnonzero(run == BORDER)
+    begin = edges[::2]
+    return begin, np.arange(len(run)) - np.repeat(begin, edges[1::2] - begin + 1)
 
-    def __init__(self, data: np.ndarray):
-        self.up, self.down = shared._powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(shared._LETTERS[data] * self.up[: len(data)], out=self.sums[1:])
 
-    def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        size = (end - first).astype(np.uint64)
-        return shared.mixed((self.sums[end] - self.sums[first]) * self.down[first] + size)
+def _expressions(run: np.ndarray):
+    """For each size, the number of the expression of that size that ends at each byte: its bytes
+    in order below, its size above. Numbers across a word's beginning mean nothing."""
+    value = np.zeros(len(run), np.int64)
+    for size in range(1, ORDER + 1):
+        value[size - 1 :] += run[: len(run) - size + 1].astype(np.int64) << (8 * (size - 1))
+        yield size, value + (size << 56)
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """texts(text, toxic, fold) -> gram, context (without the last byte), tail (without the
-    first), size, and counts by fold and class, over all words of all texts."""
-    schema = ", ".join(["gram long", "context long", "tail long", "size int", *(f"{c} long" for c in _COUNTS)])
-    names = ["gram", "context", "tail", "size", *_COUNTS]
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys as one, in order, with the sums of their rows of counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    return keys[cut], np.add.reduceat(counts[order], cut, axis=0) if len(cut) else counts
+
+
+def _packed(rows: DataFrame, columns=(), most: int = 4 << 20) -> DataFrame:
+    """Rows whose last column is the text -> a table of packs in the shared folder: a few MB of texts each.
+
+    rows: the named columns as an Arrow message. words: the pack's distinct words, bordered, in
+    order of their hashes. first, place: each text's first word, and each word's place among the
+    distinct ones. Later jobs, and tasks that run again, see the same packs.
+    """
+    columns = list(columns)
+
+    def pack(batches):
+        at, number = TaskContext.get().partitionId(), 0
+        waiting, size = [], 0
+
+        def row():
+            found, base = [], 0
+            for _, text, offsets in waiting:
+                hashes, first, starts, ends = shared.words(text, offsets)
+                found.append((hashes, np.diff(first), starts + base, ends + base))
+                base += len(text)
+            hashes, counts, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+            _, some, place = np.unique(hashes, return_index=True, return_inverse=True)
+            kind = np.uint16 if len(some) <= 1 << 16 else np.uint32
+            words = _bordered(np.concatenate([text for _, text, _ in waiting]), starts[some], ends[some])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, waiting[0][0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for x, _, _ in waiting:
+                    out.write_batch(x)
+            return pa.record_batch({"pack": pa.array([(at << 33) + number], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "words": pa.array([_press(words)], pa.binary()),
+                                    "first": pa.array([_press(counts.astype(np.int64))], pa.binary()), "place": pa.array([np.uint64(np.dtype(kind).itemsize).tobytes() + _press(place.astype(kind))], pa.binary())})
 
-    def count(batches):
         for x in batches:
-            data, offsets = shared.buffer(x.column(0))
-            cell = np.asarray(x.column(2)).astype(np.int64) * 2 + np.asarray(x.column(1)).astype(np.int64)
+            data, offsets = shared.buffer(x.column(x.num_columns - 1))
+            own = x.select(columns)
             for a, b in shared.slices(offsets):
-                text = _plain(data[offsets[a] : offsets[b]])
-                _, first, starts, ends = shared.words(text, offsets[a : b + 1] - offsets[a])
-                if not len(starts):
-                    continue
-                run, _, place = _bordered(text, starts, ends)
-                owner = np.repeat(np.repeat(cell[a:b], np.diff(first)), ends - starts + 2)
-                grams = _Grams(run)
-                for size in range(1, ORDER + 1):
-                    at = np.flatnonzero((place >= size - 1) & (place > 0))
-                    if not len(at):
-                        continue
-                    keys = grams(at - size + 1, at + 1)
-                    unique, where, back = np.unique(keys, return_index=True, return_inverse=True)
-                    counts = np.bincount(back * 4 + owner[at], minlength=4 * len(unique)).reshape(-1, 4)
-                    at = at[where]
-                    columns = [unique.view(np.int64), grams(at - size + 1, at).view(np.int64), grams(at - size + 2, at + 1).view(np.int64), np.full(len(at), size, np.int32), *counts.T]
-                    yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
-
-    rows = texts.select("text", "toxic", "fold").mapInArrow(count, schema)
-    return rows.groupBy("gram").agg(*(F.first(c).alias(c) for c in ("context", "tail", "size")), *(F.sum(c).alias(c) for c in _COUNTS))
+                if waiting and size + offsets[b] - offsets[a] > most:
+                    yield row()
+                    number, waiting, size = number + 1, [], 0
+                waiting.append((own.slice(a, b - a), _plain(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]))
+                size += int(offsets[b] - offsets[a])
+        if waiting:
+            yield row()
+
+    shared.small_batches(rows.sparkSession)
+    return shared.kept(rows.mapInArrow(pack, "pack long, rows binary, words binary, first binary, place binary"))
+
+
+def _unpacked(rows: bytes, first: bytes, place: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A pack's rows, where each one's words begin, and the words' places among the distinct ones."""
+    wide = int(np.frombuffer(place[:8], np.uint64)[0])
+    return pa.ipc.open_stream(rows).read_all(), np.concatenate([[0], np.cumsum(_open(first, np.int64))]), _open(place[8:], np.dtype(f"u{wide}"))
+
+
+def gram_counts(packed: DataFrame) -> DataFrame:
+    """Packs of rows (toxic, fold) -> gram, and its counts by fold and class, over all words of all texts."""
+
+    def count(batches):
+        held, n = [], 0
+
+        def sums():
+            keys, counts = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.record_batch([pa.array(keys), *(pa.array(np.ascontiguousarray(c)) for c in counts.T)], names=["gram", *_COUNTS])
+
+        for x in batches:
+            for rows, words, first, place in zip(*(x.column(i).to_pylist() for i in range(4)), strict=True):
+                table, first, place = _unpacked(rows, first, place)
+                run = _open(words, np.uint8)
+                begin, at = _places(run)
+                cell = np.repeat(np.asarray(table["fold"]).astype(np.int64) * 2 + np.asarray(table["toxic"]).astype(np.int64), np.diff(first))
+                weights = np.bincount(place.astype(np.int64) * 4 + cell, minlength=4 * len(begin)).reshape(-1, 4)
+                owner = np.cumsum(at == 0) - 1
+                for size, keys in _expressions(run):
+                    use = np.flatnonzero((at >= size - 1) & (at > 0))
+                    held.append(_summed(keys[use], weights[owner[use]]))
+                    n += len(held[-1][0])
+                if n > _HELD:
+                    yield sums()
+                    held, n = [], 0
+        if held:
+            yield sums()
+
+    rows = packed.select("rows", "words", "first", "place").mapInArrow(count, ", ".join(["gram long", *(f"{c} long" for c in _COUNTS)]))
+    return rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in _COUNTS))
 
 
 def estimates(counts: DataFrame) -> DataFrame:
-    """All expressions with their counts -> a row for each run of bytes (key): its counts as an
-    expression, and as a context the sum of its followers' counts (total) and how many (after).
+    """All expressions with their counts -> the models, as a table of arrays in the shared folder.
+
+    Of each version, for each run of bytes (key): its counts as an expression, and as a context
+    the sum of its followers' counts (total) and how many (after); what a run is not has 0.
 
     Counts of both classes together make an interpolated Kneser-Ney model: long expressions by
     their counts, shorter ones by in how many longer ones they end. Each class discounts its own
     counts of the longest expression at a place and gives the rest, and PRIOR counts more, to
     that shared model. An expression rare in a class so has nearly the same chance in both.
-    Versions 0 and 1 know only the other fold's counts, version 2 all. What a run is not has 0.
+    Versions 0 and 1 know only the other fold's counts, version 2 all.
     """
     kinds = [f"{kind}{v}" for v in VERSIONS for kind in _KINDS]
     halves = {0: ("n10", "n11"), 1: ("n00", "n01"), 2: ("n00 + n10", "n01 + n11")}
     raw = [F.expr(x).alias(f"{kind}{v}") for v, pair in halves.items() for kind, x in zip(_KINDS[1:], pair, strict=True)]
-    rows = counts.select("gram", "context", "tail", "size", *raw)
+    rows = counts.select("gram", *raw)
     seen = {v: F.col(f"plain{v}") + F.col(f"toxic{v}") for v in VERSIONS}
-    ends = rows.where(F.col("size") > 1).groupBy(F.col("tail").alias("gram")).agg(*(F.count_if(seen[v] > 0).alias(f"ends{v}") for v in VERSIONS))
+    # Without its first byte, and without its last one, an expression is a number of one size less.
+    tail = F.expr("(gram & (shiftleft(1L, cast(8 * (shiftright(gram, 56) - 1) AS INT)) - 1)) + shiftleft(shiftright(gram, 56) - 1, 56)")
+    context = F.expr("shiftright(gram & (shiftleft(1L, 56) - 1), 8) + shiftleft(shiftright(gram, 56) - 1, 56)")
+    ends = rows.where(F.expr("shiftright(gram, 56) > 1")).groupBy(tail.alias("gram")).agg(*(F.count_if(seen[v] > 0).alias(f"ends{v}") for v in VERSIONS))
     # Counts come dealt by expression, so neither join moves them again.
-    rows = rows.drop("tail", "size").join(ends.hint("merge"), "gram", "left")
+    rows = rows.join(ends.hint("merge"), "gram", "left")
     rows = rows.withColumns({f"both{v}": F.when(F.col(f"ends{v}") > 0, F.col(f"ends{v}")).otherwise(seen[v]) for v in VERSIONS})
     followers = [x for k in kinds for x in (F.sum(k).alias(f"total_{k}"), F.count_if(F.col(k) > 0).alias(f"after_{k}"))]
-    contexts = rows.groupBy(F.col("context").alias("key")).agg(*followers)
+    contexts = rows.groupBy(context.alias("key")).agg(*followers)
     both = rows.select(F.col("gram").alias("key"), *kinds).join(contexts.hint("merge"), "key", "full")
-    return shared.kept(both.select("key", *(F.coalesce(c, F.lit(0)).alias(c) for v in VERSIONS for c in _values(v))))
+    both = both.select("key", *(F.coalesce(c, F.lit(0)).alias(c) for v in VERSIONS for c in _values(v)))
+
+    def arrays(batches):
+        for x in batches:
+            keys, out = np.asarray(x["key"]), []
+            for v in VERSIONS:
+                values = np.stack([np.asarray(x[c]) for c in _values(v)])
+                some = values.any(0)
+                out.append((v, _press(np.diff(keys[some], prepend=0)), _press(values[:, some])))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _MODEL, strict=True)], schema=_MODEL)
+
+    return shared.kept(both.mapInArrow(arrays, "version int, keys binary, values binary"))
 
 
 def _values(v: int) -> list[str]:
     return [f"{part}{kind}{v}" for part in ("", "total_", "after_") for kind in _KINDS]
 
 
-def _runs(run: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The distinct keys that `ratios` of these words looks up."""
-    grams, at, out = _Grams(run), np.flatnonzero(place > 0), []
-    for size in range(1, ORDER + 1):
-        end = at[place[at] >= size - 1] + 1
-        out += [np.unique(grams(end - size, end - 1)), np.unique(grams(end - size, end))]
-    return np.unique(np.concatenate(out))
+def _model(rows: pa.Table, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys of a version and their `_values`."""
+    mine = [(np.cumsum(_open(k, np.int64)), _open(x, np.int64).reshape(9, -1)) for version, k, x in zip(*(rows[c].to_pylist() for c in ("version", "keys", "values")), strict=True) if version == v]
+    keys = shared.joined([k for k, _ in mine], np.int64)
+    values = np.concatenate([x for _, x in mine], 1) if mine else np.zeros((9, 0), np.int64)
+    order = np.argsort(keys)
+    narrow = np.int32 if not values.size or values.max() < 1 << 31 else np.int64
+    return keys[order], values.T[order].astype(narrow)
 
 
-def ratios(keys: np.ndarray, values: np.ndarray, run: np.ndarray, begin: np.ndarray, place: np.ndarray) -> np.ndarray:
+def ratios(keys: np.ndarray, values: np.ndarray, run: np.ndarray) -> np.ndarray:
     """Of bordered words: log P(word | toxic) - log P(word | ordinary), from ascending keys and
     their `_values`."""
-    grams, at = _Grams(run), np.flatnonzero(place > 0)
-    values = np.concatenate([values, np.zeros((1, 9))])
+    begin, place = _places(run)
+    at = np.flatnonzero(place > 0)
+    values = np.concatenate([values, np.zeros((1, 9), values.dtype)])
     chance = np.full(len(at), 1 / 256)
     ratio = np.zeros(len(at))
 
@@ -136,13 +230,16 @@ def ratios(keys: np.ndarray, values: np.ndarray, run: np.ndarray, begin: np.ndar
         where = np.searchsorted(keys, wanted)
         known = where < len(keys)
         known[known] = keys[where[known]] == wanted[known]
-        return values[np.where(known, where, len(keys))]
+        return np.where(known, where, len(keys))
 
-    for size in range(1, ORDER + 1):
+    shorter = np.repeat(look(np.zeros(1, np.int64)), len(run))
+    for size, wanted in _expressions(run):
+        longer = look(wanted)
         can = np.flatnonzero(place[at] >= size - 1)
-        end = at[can] + 1
-        counts, context = look(grams(end - size, end))[:, :3], look(grams(end - size, end - 1))
-        total, loose = context[:, 3:6] + [0.0, PRIOR, PRIOR], DISCOUNT * context[:, 6:] + [0.0, PRIOR, PRIOR]
+        end = at[can]
+        counts, context = values[longer[end], :3], values[shorter[end - 1], 3:]
+        shorter = longer
+        total, loose = context[:, :3] + [0.0, PRIOR, PRIOR], DISCOUNT * context[:, 3:] + [0.0, PRIOR, PRIOR]
         some = total > 0
         safe = np.where(some, total, 1.0)
         alpha, rest = np.where(some, np.maximum(counts - DISCOUNT, 0), 0.0) / safe, np.where(some, loose / safe, 1.0)
@@ -154,103 +251,53 @@ def ratios(keys: np.ndarray, values: np.ndarray, run: np.ndarray, begin: np.ndar
     return np.bincount(word, weights=ratio, minlength=len(begin))
 
 
-def _packed(rows: DataFrame, most: int = 4 << 20) -> DataFrame:
-    """Rows whose last column is the text -> a table of packs in the shared folder: a few MB of
-    rows as one Arrow message. Later jobs, and tasks that run again, see the same packs."""
-
-    def pack(batches):
-        at, number = TaskContext.get().partitionId(), 0
-        waiting, size = [], 0
-
-        def row():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, waiting[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for x in waiting:
-                    out.write_batch(x)
-            return pa.record_batch({"pack": pa.array([(at << 33) + number], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-        for x in batches:
-            _, offsets = shared.buffer(x.column(x.num_columns - 1))
-            for a, b in shared.slices(offsets):
-                if waiting and size + offsets[b] - offsets[a] > most:
-                    yield row()
-                    number, waiting, size = number + 1, [], 0
-                waiting.append(x.slice(a, b - a))
-                size += int(offsets[b] - offsets[a])
-        if waiting:
-            yield row()
-
-    shared.small_batches(rows.sparkSession)
-    return shared.kept(rows.mapInArrow(pack, "pack long, rows binary"))
-
-
-def _unpacked(blob: bytes):
-    """The record batches of a pack, each with its texts' bytes (plain) and offsets."""
-    for x in pa.ipc.open_stream(blob):
-        data, offsets = shared.buffer(x.column(x.num_columns - 1))
-        yield x, _plain(data), offsets
-
+def _hashed(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of bordered words, and where each starts and ends."""
+    text = np.where(run == BORDER, np.uint8(32), run)
+    hashes, _, starts, ends = shared.words(text, np.array([0, len(run)]))
+    return hashes, starts, ends
 
-def _distinct(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """A pack's distinct words: ascending hashes, sizes, and bytes in that order."""
-    keys, found = np.zeros(0, np.uint64), []
-    for _, text, offsets in _unpacked(blob):
-        hashes, _, starts, ends = shared.words(text, offsets)
-        some, at = np.unique(hashes, return_index=True)
-        new = ~np.isin(some, keys, assume_unique=True)
-        some, at = some[new], at[new]
-        raw = text.tobytes()
-        found += [(h, raw[a:b]) for h, a, b in zip(some.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)]
-        keys = np.union1d(keys, some)
-    found.sort()
-    return keys, np.array([len(w) for _, w in found], np.int32), b"".join(w for _, w in found)
 
-
-def _words_of(table: pa.Table) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The distinct words of requests: their ascending hashes, and `_bordered`."""
-    parts = [[np.frombuffer(x, kind) for x in table[c].to_pylist()] for c, kind in (("hashes", np.uint64), ("sizes", np.int32), ("bytes", np.uint8))]
-    hashes, sizes, data = (shared.joined(x, kind) for x, kind in zip(parts, (np.uint64, np.int64, np.uint8), strict=True))
-    ends = np.cumsum(sizes, dtype=np.int64)
-    keys, at = np.unique(hashes, return_index=True)
-    return keys, _bordered(data, (ends - sizes)[at], ends[at])
-
-
-def word_ratios(packed: DataFrame, model: DataFrame, versions: list[int]) -> DataFrame:
+def word_ratios(packed: DataFrame, model: DataFrame, versions: list[int], together: int = 32) -> DataFrame:
     """Packs -> pack, part, ratios: of each pack's distinct words of that part, in order of their
     hashes, the ratios by each version in turn.
 
-    Words are dealt into parts by hash, so a word is decided once however many packs have it. A
-    part asks the model's table, by a join, for the runs of its words: no task and no driver
-    holds more of the model than the words of one part need.
+    Words are dealt into parts by hash, so a word is decided once however many packs have it.
+    A part gets the whole model, which the sample of `fit` bounds; there is one part for
+    `together` packs, so the copies of the model are a small share of the texts.
     """
-    parts = max(8, -(-packed.count() // 8))
+    parts = max(1, -(-packed.count() // together))
 
     def ask(batches):
         for x in batches:
             for pack, blob in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                keys, sizes, data = _distinct(blob)
-                ends = np.cumsum(sizes, dtype=np.int64)
-                dealt = [(p, at[0], at[-1] + 1) for p, at in packs.by_part(keys, parts)]
-                rows = [(p, pack, keys[a:b].tobytes(), sizes[a:b].tobytes(), data[ends[a] - sizes[a] : ends[b - 1]]) for p, a, b in dealt]
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 5, _ASKED, strict=True)], schema=_ASKED)
-
-    def runs(key, table):
-        found = _runs(*_words_of(table)[1][::2]).view(np.int64)
-        return pa.table({"part": pa.array(np.full(len(found), key[0].as_py())), "key": pa.array(found)})
+                run = _open(blob, np.uint8)
+                hashes, starts, ends = _hashed(run)
+                rows = [(p, pack, _press(run[starts[at[0]] - 1 : ends[at[-1]] + 1])) for p, at in packs.by_part(hashes, parts)]
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 3, _ASKED, strict=True)], schema=_ASKED)
 
     def decide(key, asked, known):
-        keys, words = _words_of(asked)
-        table = np.asarray(known["key"], np.int64).view(np.uint64)
-        order = np.argsort(table)
-        values = [np.stack([np.asarray(known[c], float)[order] for c in _values(v)], 1) for v in versions]
-        found = np.stack([ratios(table[order], x, *words) for x in values])
-        blobs = [found[:, np.searchsorted(keys, np.frombuffer(x, np.uint64))].tobytes() for x in asked["hashes"].to_pylist()]
+        tables, own, runs = [_model(known, v) for v in versions], [], []
+        keys = np.zeros(0, np.uint64)
+        for blob in asked["words"].to_pylist():
+            run = _open(blob, np.uint8)
+            hashes, starts, ends = _hashed(run)
+            own.append(hashes)
+            new = ~np.isin(hashes, keys, assume_unique=True)
+            runs.append((hashes[new], _bordered(run, starts[new], ends[new])))
+            keys = np.union1d(keys, hashes)
+        found = np.zeros((len(versions), len(keys)))
+        for hashes, run in runs:
+            begin, _ = _places(run)
+            cuts = np.append(begin, len(run))
+            for a, b in shared.slices(cuts, _AT_ONCE):
+                found[:, np.searchsorted(keys, hashes[a:b])] = [ratios(*x, run[cuts[a] : cuts[b]]) for x in tables]
+        blobs = [_press(found[:, np.searchsorted(keys, x)]) for x in own]
         return pa.table({"pack": asked["pack"], "part": asked["part"], "ratios": pa.array(blobs, pa.binary())})
 
-    asked = shared.kept(packed.mapInArrow(ask, "part long, pack long, hashes binary, sizes binary, bytes binary"))
-    wanted = asked.groupBy("part").applyInArrow(runs, "part long, key long")
-    known = wanted.join(model.select("key", *(c for v in versions for c in _values(v))), "key")
-    return asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(decide, "pack long, part long, ratios binary")
+    asked = packed.select("pack", "words").mapInArrow(ask, "part long, pack long, words binary")
+    given = model.where(F.col("version").isin(*versions)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return asked.groupBy("part").cogroup(given.groupBy("part")).applyInArrow(decide, "pack long, part long, ratios binary")
 
 
 def _measures(row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,24 +315,18 @@ def _measures(row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _measured(packed: DataFrame, model: DataFrame, versions: list[int], finish, schema) -> DataFrame:
-    """finish(batch, the measures by each version) of every batch of every pack, without its text."""
+    """finish(rows, the measures by each version) of every pack."""
 
     def apply(key, blobs, replies):
         order = np.argsort(np.asarray(replies["part"], np.int64))
         answers = replies["ratios"].to_pylist()
-        values = [np.frombuffer(answers[i], float).reshape(len(versions), -1) for i in order]
+        values = [_open(answers[i], float).reshape(len(versions), -1) for i in order]
         values = np.concatenate(values, 1) if values else np.zeros((len(versions), 0))
-        out = []
-        for blob in blobs["rows"].to_pylist():
-            found = [(x, *shared.words(text, offsets)[:2]) for x, text, offsets in _unpacked(blob)]
-            keys = np.unique(np.concatenate([hashes for _, hashes, _ in found]))
-            for x, hashes, first in found:
-                at = np.searchsorted(keys, hashes)
-                out.append(finish(x, [_measures(v[at], first) for v in values]))
-        return pa.Table.from_batches(out)
+        rows, first, place = _unpacked(*(blobs[c][0].as_py() for c in ("rows", "first", "place")))
+        return finish(rows, [_measures(v[place], first) for v in values])
 
     replies = word_ratios(packed, model, versions)
-    return packed.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(apply, schema)
+    return packed.drop("words").groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(apply, schema)
 
 
 def _features(mean: np.ndarray, above: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -330,16 +371,14 @@ def fit(documents: DataFrame, labels: DataFrame, held: int = 1, base: int = 3, r
     few = [known.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(rows) for c in (0, 1)]
     sample = few[0].unionByName(few[1]).select("doc_id", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("fold"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.kept(sample), "doc_id")
-    texts = shared.kept(texts.select("toxic", "fold", "text"))
-    counts = gram_counts(texts).persist()
-    model = estimates(counts)
-    counts.unpersist()
+    packed = _packed(texts.select("toxic", "fold", "text"), ["toxic", "fold"])
+    model = estimates(gram_counts(packed))
 
-    def cross(x, both):
-        fold = np.asarray(x.column(1))
-        return pa.record_batch([x.column(0), *(pa.array(np.where(fold == 0, a, b)) for a, b in zip(*both, strict=True))], names=["toxic", "mean", "above", "n"])
+    def cross(rows, both):
+        fold = np.asarray(rows["fold"])
+        return pa.table([rows["toxic"], *(pa.array(np.where(fold == 0, a, b)) for a, b in zip(*both, strict=True))], names=["toxic", "mean", "above", "n"])
 
-    scored = _measured(_packed(texts), model, [0, 1], cross, "toxic int, mean double, above double, n long").toArrow()
+    scored = _measured(packed, model, [0, 1], cross, "toxic int, mean double, above double, n long").toArrow()
     y, *parts = (np.asarray(scored[c]).astype(float) for c in ("toxic", "mean", "above", "n"))
     beta = np.zeros(4)
     if len(y):
@@ -358,11 +397,11 @@ def score(documents: DataFrame, classifier: Classifier, columns=("doc_id",), thr
     rows = documents.select(*(c for c in columns if c != "text"), "text")
     schema = rows.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
-    def apply(x, measures):
+    def apply(rows, measures):
         p = 1 / (1 + np.exp(-np.clip(_features(*measures[0]) @ beta, -50, 50)))
-        return pa.record_batch([*(x.column(x.schema.get_field_index(c)) for c in columns), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
+        return pa.table([*(rows[c] for c in columns), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
 
-    return _measured(_packed(rows), classifier.model, [2], apply, schema)
+    return _measured(_packed(rows, columns), classifier.model, [2], apply, schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, held: int = 1, base: int = 3) -> DataFrame:

@@ -251,7 +251,8 @@ def test_toxicity(spark, odd, none):
 def test_toxicity_keeps_every_expression(spark):
     rng = random.Random(11)
     rows = [(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(200)), i % 2, i // 2 % 2) for i in range(60)]
-    counts = shared.kept(toxicity.gram_counts(spark.createDataFrame(rows, "text string, toxic int, fold int")))
+    frame = spark.createDataFrame(rows, "text string, toxic int, fold int").select("toxic", "fold", "text")
+    counts = shared.kept(toxicity.gram_counts(toxicity._packed(frame, ["toxic", "fold"])))
     seen = {}
     for text, bad, _ in rows:
         for word in text.split():
@@ -287,7 +288,7 @@ def test_toxicity_keeps_every_expression(spark):
     text = f"{rows[0][0]} {rows[1][0]} nowhereseen q"
     packed = toxicity._packed(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     replies = toxicity.word_ratios(packed, toxicity.estimates(counts), [2]).orderBy("part").collect()
-    got = np.concatenate([np.frombuffer(r["ratios"]) for r in replies])
+    got = np.concatenate([toxicity._open(r["ratios"], float) for r in replies])
     hashes = shared.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
     expected = dict(zip(hashes.tolist(), map(plain, text.split()), strict=True))
     assert np.allclose(got, [expected[h] for h in sorted(expected)], atol=1e-9) and len(got) == 402
