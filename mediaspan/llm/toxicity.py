@@ -22,7 +22,7 @@ _COUNTS = [f"n{fold}{toxic}" for fold in (0, 1) for toxic in (0, 1)]
 #: The models: for fold 0, for fold 1, and for all; and what each has of an expression.
 VERSIONS, _KINDS = (0, 1, 2), ("both", "plain", "toxic")
 #: Rows of counts that a task holds before it hands them on; bytes of words that are decided at a time.
-_HELD, _AT_ONCE = 2_000_000, 1 << 18
+_HELD, _AT_ONCE = 2_000_000, 1 << 22
 _ASKED = pa.schema([("part", pa.int64()), ("pack", pa.int64()), ("words", pa.binary())])
 _MODEL = pa.schema([("version", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
 
@@ -78,12 +78,13 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[cut], np.add.reduceat(counts[order], cut, axis=0) if len(cut) else counts
 
 
-def _packed(rows: DataFrame, columns=(), most: int = 4 << 20) -> DataFrame:
+def _packed(rows: DataFrame, columns=(), most: int = 8 << 20) -> DataFrame:
     """Rows whose last column is the text -> a table of packs in the shared folder: a few MB of texts each.
 
     rows: the named columns as an Arrow message. words: the pack's distinct words, bordered, in
-    order of their hashes. first, place: each text's first word, and each word's place among the
-    distinct ones. Later jobs, and tasks that run again, see the same packs.
+    order of their hashes. counts: how many words each text has. places: where its words stand
+    among the distinct ones, ascending (no measure heeds their order), as steps. Later jobs, and
+    tasks that run again, see the same packs.
     """
     columns = list(columns)
 
@@ -99,14 +100,16 @@ def _packed(rows: DataFrame, columns=(), most: int = 4 << 20) -> DataFrame:
                 base += len(text)
             hashes, counts, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
             _, some, place = np.unique(hashes, return_index=True, return_inverse=True)
-            kind = np.uint16 if len(some) <= 1 << 16 else np.uint32
+            owner = np.repeat(np.arange(len(counts)), counts)
+            place = np.sort((owner << 32) + place) & 0xFFFFFFFF
+            steps = np.where(owner == np.concatenate([[-1], owner[:-1]]), np.diff(place, prepend=0), place).astype(np.uint32)
             words = _bordered(np.concatenate([text for _, text, _ in waiting]), starts[some], ends[some])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, waiting[0][0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for x, _, _ in waiting:
                     out.write_batch(x)
             return pa.record_batch({"pack": pa.array([(at << 33) + number], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "words": pa.array([_press(words)], pa.binary()),
-                                    "first": pa.array([_press(counts.astype(np.int64))], pa.binary()), "place": pa.array([np.uint64(np.dtype(kind).itemsize).tobytes() + _press(place.astype(kind))], pa.binary())})
+                                    "counts": pa.array([_press(counts.astype(np.int64))], pa.binary()), "places": pa.array([_press(steps.view(np.uint8).reshape(-1, 4).T)], pa.binary())})
 
         for x in batches:
             data, offsets = shared.buffer(x.column(x.num_columns - 1))
@@ -121,13 +124,16 @@ def _packed(rows: DataFrame, columns=(), most: int = 4 << 20) -> DataFrame:
             yield row()
 
     shared.small_batches(rows.sparkSession)
-    return shared.kept(rows.mapInArrow(pack, "pack long, rows binary, words binary, first binary, place binary"))
+    return shared.kept(rows.mapInArrow(pack, "pack long, rows binary, words binary, counts binary, places binary"))
 
 
-def _unpacked(rows: bytes, first: bytes, place: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+def _unpacked(rows: bytes, counts: bytes, places: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """A pack's rows, where each one's words begin, and the words' places among the distinct ones."""
-    wide = int(np.frombuffer(place[:8], np.uint64)[0])
-    return pa.ipc.open_stream(rows).read_all(), np.concatenate([[0], np.cumsum(_open(first, np.int64))]), _open(place[8:], np.dtype(f"u{wide}"))
+    first = np.concatenate([[0], np.cumsum(_open(counts, np.int64))])
+    steps = np.ascontiguousarray(_open(places, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    ends = np.cumsum(steps, dtype=np.int64)
+    before = np.concatenate([[0], ends])[first[:-1]]
+    return pa.ipc.open_stream(rows).read_all(), first, ends - np.repeat(before, np.diff(first))
 
 
 def gram_counts(packed: DataFrame) -> DataFrame:
@@ -141,12 +147,12 @@ def gram_counts(packed: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(keys), *(pa.array(np.ascontiguousarray(c)) for c in counts.T)], names=["gram", *_COUNTS])
 
         for x in batches:
-            for rows, words, first, place in zip(*(x.column(i).to_pylist() for i in range(4)), strict=True):
-                table, first, place = _unpacked(rows, first, place)
+            for rows, words, counts, places in zip(*(x.column(i).to_pylist() for i in range(4)), strict=True):
+                table, first, place = _unpacked(rows, counts, places)
                 run = _open(words, np.uint8)
                 begin, at = _places(run)
                 cell = np.repeat(np.asarray(table["fold"]).astype(np.int64) * 2 + np.asarray(table["toxic"]).astype(np.int64), np.diff(first))
-                weights = np.bincount(place.astype(np.int64) * 4 + cell, minlength=4 * len(begin)).reshape(-1, 4)
+                weights = np.bincount(place * 4 + cell, minlength=4 * len(begin)).reshape(-1, 4)
                 owner = np.cumsum(at == 0) - 1
                 for size, keys in _expressions(run):
                     use = np.flatnonzero((at >= size - 1) & (at > 0))
@@ -158,7 +164,7 @@ def gram_counts(packed: DataFrame) -> DataFrame:
         if held:
             yield sums()
 
-    rows = packed.select("rows", "words", "first", "place").mapInArrow(count, ", ".join(["gram long", *(f"{c} long" for c in _COUNTS)]))
+    rows = packed.select("rows", "words", "counts", "places").mapInArrow(count, ", ".join(["gram long", *(f"{c} long" for c in _COUNTS)]))
     return rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in _COUNTS))
 
 
@@ -177,7 +183,7 @@ def estimates(counts: DataFrame) -> DataFrame:
     kinds = [f"{kind}{v}" for v in VERSIONS for kind in _KINDS]
     halves = {0: ("n10", "n11"), 1: ("n00", "n01"), 2: ("n00 + n10", "n01 + n11")}
     raw = [F.expr(x).alias(f"{kind}{v}") for v, pair in halves.items() for kind, x in zip(_KINDS[1:], pair, strict=True)]
-    rows = counts.select("gram", *raw)
+    rows = shared.kept(counts).select("gram", *raw)
     seen = {v: F.col(f"plain{v}") + F.col(f"toxic{v}") for v in VERSIONS}
     # Without its first byte, and without its last one, an expression is a number of one size less.
     tail = F.expr("(gram & (shiftleft(1L, cast(8 * (shiftright(gram, 56) - 1) AS INT)) - 1)) + shiftleft(shiftright(gram, 56) - 1, 56)")
@@ -217,14 +223,13 @@ def _model(rows: pa.Table, v: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], values.T[order].astype(narrow)
 
 
-def ratios(keys: np.ndarray, values: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Of bordered words: log P(word | toxic) - log P(word | ordinary), from ascending keys and
-    their `_values`."""
-    begin, place = _places(run)
-    at = np.flatnonzero(place > 0)
+def _grams(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Of ascending expressions: log P(last byte | those before, toxic) - the same for ordinary.
+
+    An expression's chance takes in that of the one without its first byte, so the distinct
+    expressions of each size are decided once, from the shortest up. All look-ups are in order.
+    """
     values = np.concatenate([values, np.zeros((1, 9), values.dtype)])
-    chance = np.full(len(at), 1 / 256)
-    ratio = np.zeros(len(at))
 
     def look(wanted):
         where = np.searchsorted(keys, wanted)
@@ -232,23 +237,41 @@ def ratios(keys: np.ndarray, values: np.ndarray, run: np.ndarray) -> np.ndarray:
         known[known] = keys[where[known]] == wanted[known]
         return np.where(known, where, len(keys))
 
-    shorter = np.repeat(look(np.zeros(1, np.int64)), len(run))
-    for size, wanted in _expressions(run):
-        longer = look(wanted)
-        can = np.flatnonzero(place[at] >= size - 1)
-        end = at[can]
-        counts, context = values[longer[end], :3], values[shorter[end - 1], 3:]
-        shorter = longer
+    cuts = np.searchsorted(asked, np.arange(ORDER + 2) << 56)
+    levels, longer = {}, np.zeros(0, np.int64)
+    for size in range(ORDER, 0, -1):
+        tails = (longer & ((1 << 8 * size) - 1)) + (size << 56)
+        levels[size] = longer = np.union1d(asked[cuts[size] : cuts[size + 1]], tails)
+    out, chance, shorter = np.zeros(len(asked)), np.full(1, 1 / 256), np.zeros(1, np.int64)
+    for size in range(1, ORDER + 1):
+        own = levels[size]
+        low = own & ((1 << 56) - 1)
+        chance = chance[np.searchsorted(shorter, (low & ((1 << 8 * (size - 1)) - 1)) + (size - 1 << 56))]
+        counts, context = values[look(own), :3], values[look((low >> 8) + (size - 1 << 56)), 3:]
         total, loose = context[:, :3] + [0.0, PRIOR, PRIOR], DISCOUNT * context[:, 3:] + [0.0, PRIOR, PRIOR]
         some = total > 0
         safe = np.where(some, total, 1.0)
         alpha, rest = np.where(some, np.maximum(counts - DISCOUNT, 0), 0.0) / safe, np.where(some, loose / safe, 1.0)
-        chance[can] = chance[can] * rest[:, 0] + alpha[:, 0]
-        last = np.flatnonzero(np.minimum(place[at[can]] + 1, ORDER) == size)
-        plain, toxic = (chance[can[last]] * rest[last, c] + alpha[last, c] for c in (1, 2))
-        ratio[can[last]] = np.log(toxic) - np.log(plain)
+        chance, shorter = chance * rest[:, 0] + alpha[:, 0], own
+        mine = np.searchsorted(own, asked[cuts[size] : cuts[size + 1]])
+        plain, toxic = (chance[mine] * rest[mine, c] + alpha[mine, c] for c in (1, 2))
+        out[cuts[size] : cuts[size + 1]] = np.log(toxic) - np.log(plain)
+    return out
+
+
+def ratios(models: list[tuple[np.ndarray, np.ndarray]], run: np.ndarray) -> np.ndarray:
+    """Of bordered words: log P(word | toxic) - log P(word | ordinary) by each model, a pair of
+    ascending keys and their `_values`. A byte counts by the longest expression that ends at it."""
+    begin, place = _places(run)
+    at = np.flatnonzero(place > 0)
+    longest = np.minimum(place[at] + 1, ORDER)
+    ends = np.zeros(len(at), np.int64)
+    for size, wanted in _expressions(run):
+        some = longest == size
+        ends[some] = wanted[at[some]]
+    asked, back = np.unique(ends, return_inverse=True)
     word = np.cumsum(place == 0)[at] - 1
-    return np.bincount(word, weights=ratio, minlength=len(begin))
+    return np.stack([np.bincount(word, weights=_grams(*x, asked)[back], minlength=len(begin)) for x in models])
 
 
 def _hashed(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,7 +281,7 @@ def _hashed(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, starts, ends
 
 
-def word_ratios(packed: DataFrame, model: DataFrame, versions: list[int], together: int = 32) -> DataFrame:
+def word_ratios(packed: DataFrame, model: DataFrame, versions: list[int], together: int = 16) -> DataFrame:
     """Packs -> pack, part, ratios: of each pack's distinct words of that part, in order of their
     hashes, the ratios by each version in turn.
 
@@ -277,21 +300,19 @@ def word_ratios(packed: DataFrame, model: DataFrame, versions: list[int], togeth
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 3, _ASKED, strict=True)], schema=_ASKED)
 
     def decide(key, asked, known):
-        tables, own, runs = [_model(known, v) for v in versions], [], []
+        tables, own, fresh = [_model(known, v) for v in versions], [], []
         keys = np.zeros(0, np.uint64)
         for blob in asked["words"].to_pylist():
             run = _open(blob, np.uint8)
             hashes, starts, ends = _hashed(run)
             own.append(hashes)
             new = ~np.isin(hashes, keys, assume_unique=True)
-            runs.append((hashes[new], _bordered(run, starts[new], ends[new])))
-            keys = np.union1d(keys, hashes)
-        found = np.zeros((len(versions), len(keys)))
-        for hashes, run in runs:
-            begin, _ = _places(run)
-            cuts = np.append(begin, len(run))
-            for a, b in shared.slices(cuts, _AT_ONCE):
-                found[:, np.searchsorted(keys, hashes[a:b])] = [ratios(*x, run[cuts[a] : cuts[b]]) for x in tables]
+            fresh.append((hashes[new], _bordered(run, starts[new], ends[new])))
+            keys = np.union1d(keys, hashes[new])
+        hashes, run = (np.concatenate(x) for x in zip(*fresh, strict=True))
+        found, cuts = np.zeros((len(versions), len(keys))), np.append(_places(run)[0], len(run))
+        for a, b in shared.slices(cuts, _AT_ONCE):
+            found[:, np.searchsorted(keys, hashes[a:b])] = ratios(tables, run[cuts[a] : cuts[b]])
         blobs = [_press(found[:, np.searchsorted(keys, x)]) for x in own]
         return pa.table({"pack": asked["pack"], "part": asked["part"], "ratios": pa.array(blobs, pa.binary())})
 
@@ -322,7 +343,7 @@ def _measured(packed: DataFrame, model: DataFrame, versions: list[int], finish,
         answers = replies["ratios"].to_pylist()
         values = [_open(answers[i], float).reshape(len(versions), -1) for i in order]
         values = np.concatenate(values, 1) if values else np.zeros((len(versions), 0))
-        rows, first, place = _unpacked(*(blobs[c][0].as_py() for c in ("rows", "first", "place")))
+        rows, first, place = _unpacked(*(blobs[c][0].as_py() for c in ("rows", "counts", "places")))
         return finish(rows, [_measures(v[place], first) for v in values])
 
     replies = word_ratios(packed, model, versions)
