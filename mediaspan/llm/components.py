@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mediaspan.llm.shared import kept
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One large and one small star round over edges(u, v) with u > v."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """One large and one small star round over edges(u, v) with u > v.
+
+    Large: each node's greater neighbours go to the least node about it. Small: each node's
+    lesser neighbours, and itself, go to the least of them. Only minima are gathered by node.
+    """
+    other = F.struct(F.col("v").alias("node"), F.col("u").alias("near"))
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("near")), other)))
+    least = ends.groupBy("node").agg(F.min("near").alias("near")).select(F.col("node").alias("v"), F.least("node", "near").alias("m"))
+    large = edges.join(least, "v").select("u", F.col("m").alias("v"))
     low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return kept(small.unionByName(low.withColumnRenamed("m", "v")).where(F.col("u") != F.col("v")).distinct())
+    small = large.join(low, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+    return small.where(F.col("u") != F.col("v")).distinct()
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and what tells two tables apart; both from one job."""
+    seen = Observation(uuid.uuid4().hex)
+    table = kept(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+    return table, (seen.get["n"], seen.get["sum"])
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -24,14 +38,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Each round replaces the links by links to smaller ids; it ends when every id has one link,
     to an id that has none. A hot id's links stay spread: only minima are gathered by id.
     """
-    edges = kept(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges, now = _counted(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     for _ in range(rounds):
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen or not now[0]:
+        if now == seen or not now[0]:
             break
-        seen = tuple(now)
-        edges = _stars(edges)
+        seen = now
+        edges, now = _counted(_stars(edges))
     else:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
