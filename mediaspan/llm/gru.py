@@ -6,8 +6,9 @@ import heapq
 
 import numpy as np
 
-#: Width of the state, classes, words in a class, tokens a window, and streams side by side.
-STATE, CLASSES, MEMBERS, WINDOW, STREAMS = 16, 32, 32, 16, 256
+#: Width of the state, classes, words in a class, tokens a window, streams side by side, and the
+#: least tokens whose gradients make a step.
+STATE, CLASSES, MEMBERS, WINDOW, STREAMS, LEAST = 24, 64, 64, 16, 256, 1024
 WORDS = CLASSES * MEMBERS
 END, RARE = 0, WORDS - 1
 
@@ -56,92 +57,116 @@ def streams(lengths: np.ndarray, wide: int = STREAMS) -> tuple[np.ndarray, np.nd
     return rank[where[:, 0]] * used.max() + where[:, 1], used[order]
 
 
-def laid(ids: np.ndarray, first: np.ndarray, wide: int = STREAMS):
-    """Texts' tokens (each text ends with END) as arrays of steps x streams: the token before
-    (END at a text's start), the token, whether a text starts, and each token's place in ids;
-    then how many streams, the first ones, go on at each step."""
-    lengths = np.diff(first)
-    wide = max(1, min(wide, int((lengths > 0).sum())))
-    place, used = streams(lengths, wide)
-    deep = int(used[0])
-    spot = np.repeat(place - first[:-1], lengths) + np.arange(len(ids))
-    token, before = np.full(wide * deep, -1, np.int64), np.zeros(wide * deep, np.int64)
-    begin, at = np.zeros(wide * deep, bool), np.zeros(wide * deep, np.int64)
-    token[spot], at[spot] = ids, np.arange(len(ids))
-    before[spot[1:]] = ids[:-1]
-    opening = place[lengths > 0]
-    before[opening], begin[opening] = END, True
-    width = wide - np.searchsorted(used[::-1], np.arange(deep), "right")
-    return *(np.ascontiguousarray(x.reshape(wide, deep).T) for x in (before, token, begin, at)), width
+class Laid:
+    """Texts' tokens (each text ends with END) dealt to streams, one array after another."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, wide: int = STREAMS):
+        lengths = np.diff(first)
+        wide = max(1, min(wide, int((lengths > 0).sum())))
+        place, used = streams(lengths, wide)
+        stream, spot = np.divmod(place, max(1, int(used[0])))
+        self.used, self.start = used, np.cumsum(used) - used
+        place = self.start[stream] + spot
+        self.at = np.empty(len(ids), np.int64)
+        self.at[np.repeat(place - first[:-1], lengths) + np.arange(len(ids))] = np.arange(len(ids))
+        self.token = ids[self.at]
+        self.opens = np.zeros(len(ids) + 1, bool)
+        self.opens[place[lengths > 0]] = True
+
+    def windows(self, size: int):
+        """Arrays of steps x streams: the token before (END at a text's start), the token (-1 past
+        a stream's end), whether a text starts, and each token's place in ids. The streams that
+        go on are the first ones."""
+        for a in range(0, int(self.used[0]), size):
+            wide = int(np.searchsorted(-self.used, -a))
+            step = np.arange(a, min(a + size, int(self.used[0])))[:, None]
+            inside = step < self.used[:wide]
+            spot = np.minimum(self.start[:wide] + step, len(self.token) - 1)
+            token, begin = self.token[spot], self.opens[spot] & inside
+            before = np.where(begin | ~inside, END, self.token[spot - 1])
+            yield before, np.where(inside, token, -1), begin, self.at[spot]
 
 
 def run(p, before, begin, h, keep: bool):
     """States after each step; the states and gates behind them if they are to be kept."""
     out = np.empty((*before.shape, STATE), np.float32)
     kept = []
-    into, over = p["into"], p["over"]
+    drawn, over, opens = p["into"][before], p["over"], begin.any(1)
     for t in range(len(before)):
-        if begin[t].any():
+        if opens[t]:
             h = np.where(begin[t][:, None], np.float32(0), h)
-        x, y = into[before[t]], h @ over
+        x, y = drawn[t], h @ over
         gates = x[:, : 2 * STATE] + y[:, : 2 * STATE]
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
         reset, hold = gates[:, :STATE], gates[:, STATE:]
-        fresh = np.tanh(x[:, 2 * STATE :] + reset * y[:, 2 * STATE :])
-        new = fresh + hold * (h - fresh)
+        fresh = reset * y[:, 2 * STATE :]
+        fresh += x[:, 2 * STATE :]
+        np.tanh(fresh, out=fresh)
+        new = out[t]
+        np.subtract(h, fresh, out=new)
+        new *= hold
+        new += fresh
         if keep:
             kept.append((h, gates, fresh, y[:, 2 * STATE :]))
-        out[t] = h = new
+        h = new
     return out, h, kept
 
 
-def _soft(x):
-    x -= x.max(1, keepdims=True)
+def _powers(x):
+    """e to the scores, in place, and each row's sum (a product with ones, which is much the faster)."""
+    if x.size and (x.max() > 60 or x.min() < -60):
+        x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
+
+def _by_class(tokens: np.ndarray):
+    """The tokens' order by class; (class, from, to) for each class that has some."""
+    order = np.argsort((tokens // MEMBERS).astype(np.int16), kind="stable")
+    cuts = np.cumsum(np.bincount(tokens // MEMBERS, minlength=CLASSES))
+    return order, [(c, int(b - n), int(b)) for c, (b, n) in enumerate(zip(cuts, np.diff(cuts, prepend=0), strict=True)) if n]
 
 
 def log_chances(p, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log of P(token | state): of its class, and of the word within it."""
-    kind, member = tokens // MEMBERS, tokens % MEMBERS
+    order, classes = _by_class(tokens)
+    states, tokens = states[order], tokens[order]
     rows = np.arange(len(tokens))
-    soft = _soft(states @ p["kind"] + p["kind_bias"])
-    out = np.log(soft[rows, kind])
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        own = order[cuts[c] : cuts[c + 1]]
-        if len(own):
-            soft = _soft(states[own] @ p["word"][c] + p["word_bias"][c])
-            out[own] += np.log(soft[np.arange(len(own)), member[own]])
+    power, total = _powers(states @ p["kind"] + p["kind_bias"])
+    chance = power[rows, tokens // MEMBERS] / total
+    for c, a, b in classes:
+        power, total = _powers(states[a:b] @ p["word"][c] + p["word_bias"][c])
+        chance[a:b] *= power[rows[: b - a], tokens[a:b] - c * MEMBERS] / total
+    out = np.empty_like(chance)
+    out[order] = np.log(np.maximum(chance, np.finfo(np.float32).tiny))
     return out
 
 
 def _output_step(p, states, tokens, grads):
     """Adds the output's gradients of -sum log P to grads; returns those of the states."""
-    kind, member = tokens // MEMBERS, tokens % MEMBERS
-    soft = _soft(states @ p["kind"] + p["kind_bias"])
-    soft[np.arange(len(tokens)), kind] -= 1
+    order, classes = _by_class(tokens)
+    states, tokens = states[order], tokens[order]
+    rows = np.arange(len(tokens))
+    soft, total = _powers(states @ p["kind"] + p["kind_bias"])
+    soft /= total[:, None]
+    soft[rows, tokens // MEMBERS] -= 1
     back = soft @ p["kind"].T
     grads["kind"] = states.T @ soft
     grads["kind_bias"] = soft.sum(0)
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
     grads["word"], grads["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-    for c in range(CLASSES):
-        own = order[cuts[c] : cuts[c + 1]]
-        if len(own):
-            mine = states[own]
-            soft = _soft(mine @ p["word"][c] + p["word_bias"][c])
-            soft[np.arange(len(own)), member[own]] -= 1
-            back[own] += soft @ p["word"][c].T
-            grads["word"][c] = mine.T @ soft
-            grads["word_bias"][c] = soft.sum(0)
-    return back
+    for c, a, b in classes:
+        soft, total = _powers(states[a:b] @ p["word"][c] + p["word_bias"][c])
+        soft /= total[:, None]
+        soft[rows[: b - a], tokens[a:b] - c * MEMBERS] -= 1
+        back[a:b] += soft @ p["word"][c].T
+        np.matmul(states[a:b].T, soft, out=grads["word"][c])
+        soft.sum(0, out=grads["word_bias"][c])
+    out = np.empty_like(back)
+    out[order] = back
+    return out
 
 
 def train_window(p, before, token, begin, h):
@@ -154,8 +179,7 @@ def train_window(p, before, token, begin, h):
     n = int(real.sum())
     back[real] = _output_step(p, states[real], token[real], grads)
     over = p["over"]
-    grads["over"] = np.zeros_like(over)
-    into = np.empty((steps, wide, 3 * STATE), np.float32)
+    into, ys = np.empty((2, steps, wide, 3 * STATE), np.float32)
     carry = np.zeros((wide, STATE), np.float32)
     for t in range(steps - 1, -1, -1):
         h, gates, fresh, drawn = kept[t]
@@ -166,12 +190,13 @@ def train_window(p, before, token, begin, h):
         x[:, 2 * STATE :] = d_fresh
         x[:, :STATE] = d_fresh * drawn * reset * (1 - reset)
         x[:, STATE : 2 * STATE] = d * (h - fresh) * hold * (1 - hold)
-        y = x.copy()
+        y = ys[t]
+        y[:] = x
         y[:, 2 * STATE :] *= reset
-        grads["over"] += h.T @ y
         carry = d * hold + y @ over.T
         if begin[t].any():
             carry[begin[t]] = 0
+    grads["over"] = np.concatenate([x[0] for x in kept]).T @ ys.reshape(-1, 3 * STATE)
     flat, rows = before.ravel(), into.reshape(-1, 3 * STATE)
     order = np.argsort(flat, kind="stable")
     used, cut = np.unique(flat[order], return_index=True)
@@ -180,10 +205,18 @@ def train_window(p, before, token, begin, h):
     return grads, last, n
 
 
+def _both(a: dict, b: dict) -> dict:
+    """Sums of gradients."""
+    used, back = np.unique(np.concatenate([a["into"][0], b["into"][0]]), return_inverse=True)
+    into = np.zeros((len(used), 3 * STATE), np.float32)
+    np.add.at(into, back, np.concatenate([a["into"][1], b["into"][1]]))
+    return {k: a[k] + b[k] for k in a if k != "into"} | {"into": (used, into)}
+
+
 class Learner:
     """Adagrad over windows."""
 
-    def __init__(self, p, rate: float = 0.08):
+    def __init__(self, p, rate: float = 0.12):
         self.p, self.rate = {k: v.copy() for k, v in p.items()}, rate
         self.square = {k: np.full_like(v, 1e-4) for k, v in p.items()}
 
@@ -201,25 +234,27 @@ class Learner:
                 self.p[k] -= self.rate * g / np.sqrt(self.square[k])
 
     def learn(self, ids: np.ndarray, first: np.ndarray) -> int:
-        """One pass over whole texts; the state is carried from window to window."""
-        before, token, begin, _, width = laid(ids, first)
-        h = np.zeros((before.shape[1], STATE), np.float32)
-        for a in range(0, len(before), WINDOW):
-            w = width[a]
-            grads, h, n = train_window(self.p, *(x[a : a + WINDOW, :w] for x in (before, token, begin)), h[:w])
-            if n:
-                self.step(grads, n)
+        """One pass over whole texts; the state is carried from window to window. Where few streams
+        go on, the windows of several steps in time make one step of learning."""
+        rows, held, total = Laid(ids, first), None, 0
+        h = np.zeros((len(rows.used), STATE), np.float32)
+        for before, token, begin, _ in rows.windows(WINDOW):
+            grads, h, n = train_window(self.p, before, token, begin, h[: before.shape[1]])
+            held, total = grads if held is None else _both(held, grads), total + n
+            if total >= LEAST:
+                self.step(held, total)
+                held, total = None, 0
+        if total:
+            self.step(held, total)
         return len(ids)
 
 
 def score(p, ids: np.ndarray, first: np.ndarray, window: int = 64) -> np.ndarray:
     """Natural log of P of each token given all tokens of its text before it."""
-    before, token, begin, at, width = laid(ids, first)
-    h = np.zeros((before.shape[1], STATE), np.float32)
-    out = np.zeros(len(ids))
-    for a in range(0, len(before), window):
-        w = width[a]
-        states, h, _ = run(p, before[a : a + window, :w], begin[a : a + window, :w], h[:w], False)
-        real = token[a : a + window, :w] >= 0
-        out[at[a : a + window, :w][real]] = log_chances(p, states[real], token[a : a + window, :w][real])
+    rows, out = Laid(ids, first), np.zeros(len(ids))
+    h = np.zeros((len(rows.used), STATE), np.float32)
+    for before, token, begin, at in rows.windows(window):
+        states, h, _ = run(p, before, begin, h[: before.shape[1]], False)
+        real = token >= 0
+        out[at[real]] = log_chances(p, states[real], token[real])
     return out

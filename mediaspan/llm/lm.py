@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from mediaspan.llm import gru, packs, shared
 END = np.uint64(0x243F6A8885A308D3)
 #: Shares of all packs after which the tasks' parameters are averaged.
 ROUNDS = (0.02, 0.1, 0.4, 1.0)
+LEARNT = "task long, n long, flat binary"
 
 
 def held_out(ids: np.ndarray, null: np.ndarray, held: int, base: int) -> np.ndarray:
@@ -96,11 +98,26 @@ class Lexicon:
         return out
 
 
-def trained(packed: DataFrame, lexicon: Lexicon, held: int, base: int, piece: int = 2048) -> np.ndarray:
+def _mean(key, group):
+    n = np.asarray(group["n"]).astype(np.float64)
+    total = sum(w * np.frombuffer(x, np.float32) for w, x in zip(n, group["flat"].to_pylist(), strict=True))
+    return pa.table({"task": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "flat": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
+def averaged(rows: DataFrame, tasks: int, fan: int = 16) -> DataFrame:
+    """rows(task, n, flat) -> their mean by n, in one row: a tree in which each task adds up `fan` of them."""
+    while tasks > 1:
+        rows = rows.withColumn("task", F.floor(F.col("task") / fan)).groupBy("task").applyInArrow(_mean, LEARNT)
+        tasks = -(-tasks // fan)
+    return rows
+
+
+def trained(packed: DataFrame, lexicon: Lexicon, held: int, base: int) -> np.ndarray:
     """Parameters after one pass over all training texts.
 
-    Every task learns from its packs, from the parameters of the round before; a round's result
-    is their mean by tokens, added up in two steps. A text above `piece` tokens is learnt in pieces.
+    Every task learns from its packs, from the parameters of the round before, and its step sizes
+    start anew; a round's result is their mean by tokens, added up in a tree. So the parameters
+    depend on which packs a task has, not on the order of tasks. Texts are learnt whole.
     """
     spark = packed.sparkSession
     flat = gru.packed(gru.start(lexicon.counts))
@@ -111,8 +128,6 @@ def trained(packed: DataFrame, lexicon: Lexicon, held: int, base: int, piece: in
         given = spark.sparkContext.broadcast((flat, lexicon))
 
         def learn(batches, given=given):
-            from pyspark import TaskContext
-
             flat, lexicon = given.value
             learner, n = gru.Learner(gru.unpacked(flat)), 0
             for _, (ids, null, data, offsets) in packs.each(batches):
@@ -120,23 +135,16 @@ def trained(packed: DataFrame, lexicon: Lexicon, held: int, base: int, piece: in
                 train = ~held_out(ids, null, held, base)
                 tokens = lexicon.ids(hashes)[np.repeat(train, np.diff(first))]
                 cuts = np.concatenate([[0], np.cumsum(np.diff(first)[train])])
-                cuts = np.unique(np.concatenate([cuts, *(np.arange(a, b, piece) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > piece)]))
                 if len(tokens):
                     n += learner.learn(tokens, cuts)
             if n:
-                yield pa.record_batch({"task": pa.array([TaskContext.get().partitionId() % 16], pa.int32()), "n": pa.array([n], pa.int64()), "flat": pa.array([gru.packed(learner.p).tobytes()], pa.binary())})
-
-        def mean(key, group):
-            n = np.asarray(group["n"]).astype(np.float64)
-            total = sum(w * np.frombuffer(x, np.float32) for w, x in zip(n, group["flat"].to_pylist(), strict=True))
-            return pa.table({"task": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "flat": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+                yield pa.record_batch({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([n], pa.int64()), "flat": pa.array([gru.packed(learner.p).tobytes()], pa.binary())})
 
-        schema = "task int, n long, flat binary"
         mine = packed.where((spot >= low) & (spot < high)).select("pack", "ids", "offsets", "text")
-        got = mine.mapInArrow(learn, schema).groupBy("task").applyInArrow(mean, schema).toArrow()  # 16 rows at most
-        if len(got):
-            n = np.asarray(got["n"]).astype(np.float64)
-            flat = (sum(w * np.frombuffer(x, np.float32) for w, x in zip(n, got["flat"].to_pylist(), strict=True)) / n.sum()).astype(np.float32)
+        got = averaged(mine.mapInArrow(learn, LEARNT), mine.rdd.getNumPartitions()).collect()  # one row
+        if got:
+            flat = np.frombuffer(got[0]["flat"], np.float32)
+        given.destroy()
         low = high
     return flat
 
@@ -152,7 +160,7 @@ def scores(documents: DataFrame, held: int = 2, base: int = 7, part_bytes: int =
     rare words, so chances over all words and one unseen word sum to 1. Without training texts
     every base_score is 0 and the network scores as it was made.
     """
-    packed = packs.packs(documents)
+    packed = packs.packs(documents, 8 << 20)
     total = packed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-total // part_bytes))
     replies = counted(packed, parts, held, base)

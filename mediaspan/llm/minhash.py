@@ -65,7 +65,7 @@ def signed(documents: DataFrame, size: int, m: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, 2 * m), pa.int32()), pa.array(keys.ravel()))
                 yield pa.record_batch([ids.slice(a, b - a), pa.array(np.diff(at)), pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)), pa.array((more[at[1:]] - more[at[:-1]]).view(np.int64)), lists], schema=_SIGNED)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
@@ -197,40 +197,42 @@ def near_duplicates(documents: DataFrame, size: int = 3, threshold: int = 85) ->
     distinct runs of `size` words, or its whole words as one run if it has fewer; documents with
     100 * intersection >= threshold * union are linked, checked on full sets; component_id is
     the smallest doc_id reached. Without words or text: an empty set, linked with nothing. Rows
-    with a null doc_id are left out; rows that share a doc_id are one node with several texts.
+    with a null doc_id have their n_shingles, are linked with nothing, and have null in the other
+    columns; rows that share a doc_id are one node with several texts.
     Equal sets are one class before any table is built, so copies cost nothing further. A pair
     at the threshold shares no table with a chance of 2e-5; a pair above it with less.
     """
     shared.small_batches(documents.sparkSession)
     m = bands(threshold)
     rows = shared.kept(signed(documents, size, m))
-    filled = rows.where(F.col("n_shingles") > 0)
+    filled = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     same = ["n_shingles", "set_a", "set_b"]
     classes = shared.kept(filled.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     # An id with several texts stands in several classes: their links meet in it.
     several = filled.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id")
-    member = rows.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    nameless = rows.where(F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    member = rows.where(F.col("doc_id").isNotNull()).select("doc_id", *same).join(classes.select(*same, "rep"), same, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     own = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = confirmed(documents, candidates(classes.select("rep", "bands"), m), size, threshold)
     label = shared.kept(components(links.unionByName(own)))
     out = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id").unionByName(nameless).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 #: The same rule in SQL, all pairs that share a shingle.
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
-  FROM documents WHERE doc_id IS NOT NULL),
+  FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM w),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s WHERE doc_id IS NOT NULL),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared
       FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (na + nb - shared)),
 r AS (SELECT doc_id AS id, doc_id AS reached FROM s UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached),
 c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
-FROM s JOIN c ON c.id = s.doc_id
+FROM s LEFT JOIN c ON c.id = s.doc_id
 """
