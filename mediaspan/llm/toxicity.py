@@ -22,7 +22,7 @@ _COUNTS = [f"n{fold}{toxic}" for fold in (0, 1) for toxic in (0, 1)]
 #: The models: for fold 0, for fold 1, and for all; and what each has of an expression.
 VERSIONS, _KINDS = (0, 1, 2), ("both", "plain", "toxic")
 #: Rows of counts that a task holds before it hands them on; bytes of words that are decided at a time.
-_HELD, _AT_ONCE = 2_000_000, 1 << 22
+_HELD, _AT_ONCE = 1_000_000, 1 << 20
 _ASKED = pa.schema([("part", pa.int64()), ("pack", pa.int64()), ("words", pa.binary())])
 _MODEL = pa.schema([("version", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
 
@@ -214,13 +214,19 @@ def _values(v: int) -> list[str]:
 
 
 def _model(rows: pa.Table, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending keys of a version and their `_values`."""
-    mine = [(np.cumsum(_open(k, np.int64)), _open(x, np.int64).reshape(9, -1)) for version, k, x in zip(*(rows[c].to_pylist() for c in ("version", "keys", "values")), strict=True) if version == v]
+    """Ascending keys of a version and their `_values`, with one more row of zeros."""
+    mine = []
+    for version, k, x in zip(*(rows[c].to_pylist() for c in ("version", "keys", "values")), strict=True):
+        if version == v:
+            values = _open(x, np.int64).reshape(9, -1)
+            mine.append((np.cumsum(_open(k, np.int64)), values.astype(np.int32 if values.max(initial=0) < 1 << 31 else np.int64)))
     keys = shared.joined([k for k, _ in mine], np.int64)
-    values = np.concatenate([x for _, x in mine], 1) if mine else np.zeros((9, 0), np.int64)
     order = np.argsort(keys)
-    narrow = np.int32 if not values.size or values.max() < 1 << 31 else np.int64
-    return keys[order], values.T[order].astype(narrow)
+    # The last row is what an unknown run has.
+    values = np.zeros((len(keys) + 1, 9), np.result_type(*(x.dtype for _, x in mine)) if mine else np.int32)
+    for c in range(9):
+        values[:-1, c] = shared.joined([x[c] for _, x in mine], values.dtype)[order]
+    return keys[order], values
 
 
 def _grams(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -229,8 +235,6 @@ def _grams(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarra
     An expression's chance takes in that of the one without its first byte, so the distinct
     expressions of each size are decided once, from the shortest up. All look-ups are in order.
     """
-    values = np.concatenate([values, np.zeros((1, 9), values.dtype)])
-
     def look(wanted):
         where = np.searchsorted(keys, wanted)
         known = where < len(keys)
