@@ -8,7 +8,7 @@ import numpy as np
 
 #: Width of the state, classes, words in a class, tokens a window, streams side by side, and the
 #: least tokens whose gradients make a step.
-STATE, CLASSES, MEMBERS, WINDOW, STREAMS, LEAST = 24, 64, 64, 16, 256, 1024
+STATE, CLASSES, MEMBERS, WINDOW, STREAMS, LEAST = 16, 64, 64, 16, 256, 1024
 WORDS = CLASSES * MEMBERS
 END, RARE = 0, WORDS - 1
 
