@@ -12,16 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The one machine-local folder, made only where no spark.checkpoint.dir is set (tests).
 _LOCAL: list[str] = []
+#: The paths that scratch() has given out, in order.
+_MADE: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below the folder that all executors share."""
+    """A new path below the folder that all executors share.
+
+    Without spark.checkpoint.dir that is a local folder if Spark runs in this process, else an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
         base = f"file://{_LOCAL[0]}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> list[str]:
+    return list(_MADE)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any more; those that are gone already don't matter."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def kept(df: DataFrame) -> DataFrame:
