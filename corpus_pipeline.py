@@ -7,13 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaspan.llm import decontaminate, minhash, mixing, tokens, toxicity
 from mediaspan.llm.queries import vocabulary
-from mediaspan.llm.shared import scratch, table
-
-
-def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a toxicity score of 0.7 or more."""
-    classifier = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, classifier, docs.columns).where(F.col("predicted") == 0).select(*docs.columns)
+from mediaspan.llm.shared import discard, made, scratch, table
 
 
 def _hash(*columns: str) -> Column:
@@ -21,6 +15,18 @@ def _hash(*columns: str) -> Column:
     return F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a toxicity score of 0.7 or more.
+
+    Scores go by row, not by id, so rows with null or repeated ids are each judged by their own
+    text; null and empty texts have the score of no evidence; equal rows have the same score.
+    """
+    rows = docs.withColumn("row_key", _hash(*docs.columns))
+    classifier = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    bad = toxicity.score(rows.select("row_key", "text"), classifier, ["row_key"]).where(F.col("predicted") == 1)
+    return rows.join(bad.select("row_key").distinct(), "row_key", "left_anti").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates (five-word shingles, similarity 0.8) the least doc_id.
 
@@ -38,7 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item. Rows with a null doc_id, whose texts it can't
+    name, stay; of rows that share an id all go if one holds an item; null texts hold none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -71,9 +78,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents. What a stage kept for itself goes once its rows are written;
+    the token files of the last one stay."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
+        before = len(made())
         out, path = stage(spark, docs, sf_dir), scratch(spark)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if k < len(STAGES) - 1:
+            discard(spark, [x for x in made()[before:] if x != path])
     return docs
