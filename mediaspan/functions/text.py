@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Marks around tokens, hesitations, and letters with accents and without.
-MARKS = ".,;:!?…\"'()[]{}<>*#%$&|-"
-HESITATIONS = ("uh", "um", "hmm", "ah", "eh")
+MARKS = ".,;:!?…\"'()[]{}<>*#%$&|-“”‘’–—"
+HESITATIONS = ("eh", "ah", "ãh", "ã", "hum", "hã", "uhm", "uh", "hmm", "hmmm", "ahn")
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN"
 

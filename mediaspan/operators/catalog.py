@@ -44,9 +44,9 @@ def status_counts(rows: DataFrame, keys, status: str, statuses=STATUSES) -> Data
     return rows.groupBy(*keys).agg(*[F.count_if(F.col(status) == s).alias(f"n_{s}") for s in statuses], F.count("*").alias("total"))
 
 
-def batch_status(rows: DataFrame, keys, status: str) -> DataFrame:
-    """succeeded if all items have, failed if none, partial otherwise."""
-    good, n = F.count_if(F.col(status) == "F"), F.count("*")
+def batch_status(rows: DataFrame, keys, status: str, done: str = "succeeded") -> DataFrame:
+    """succeeded if all items have the status `done`, failed if none, partial otherwise."""
+    good, n = F.count_if(F.col(status) == done), F.count("*")
     return rows.groupBy(*keys).agg(good.alias("done"), n.alias("items")).withColumn("status", F.when(F.col("done") == F.col("items"), "succeeded").when(F.col("done") == 0, "failed").otherwise("partial"))
 
 

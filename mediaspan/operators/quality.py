@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +64,64 @@ def median_faces(samples: DataFrame, least_score: float = 0.6, least_area: float
     return n.groupBy("media_id").agg(F.floor(F.median("n")).cast("long").alias("faces"))
 
 
-def camera_role(faces: Column, share: Column, airtime: Column) -> Column:
-    """A camera group's role by faces, the subject's share of voice and the group's airtime."""
-    return (
-        F.when(airtime < 0.01, "ignore").when(faces == 0, "insert").when(faces >= 2, "wide")
-        .when(share.isNull(), "unknown").when(share >= 0.6, "subject").when(share <= 0.3, "reaction").otherwise("unknown")
-    )
+def camera_role(faces: Column, share: Column, airtime: Column, least_airtime: float = 0.01) -> Column:
+    """A camera group's suggested role by faces, the subject's share of voice and the group's airtime; null if open.
+
+    Without faces or airtime it is ignored; a clear share of voice is the subject's; three faces
+    are a wide shot. Two faces are the subject's from a share of 0.3 on, a wide shot up to 0.12;
+    one face with a share up to 0.35 is an interviewer's.
+    """
+    role = F.when((faces == 0) | (airtime < least_airtime), "ignore").when(share >= 0.6, "subject").when(faces >= 3, "wide")
+    role = role.when((faces == 2) & (share >= 0.3), "subject").when((faces == 2) & (share <= 0.12), "wide")
+    return role.when((faces == 1) & (share <= 0.35), "interviewers")
 
 
 def effective_role(confirmed: Column, suggested: Column) -> Column:
     return F.coalesce(confirmed, suggested, F.lit("ignore"))
 
 
-def face_groups(faces: DataFrame, width: int) -> DataFrame:
-    """faces(scene, x: whole number) in order of x: a new group where the next is more than `width` away."""
-    order = Window.partitionBy("scene").orderBy("x")
-    new = F.when(F.col("x") - F.lag("x").over(order) <= width, 0).otherwise(1)
-    return faces.withColumn("_n", new).withColumn("face", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
+def face_groups(faces: DataFrame, width: float = 0.08) -> DataFrame:
+    """faces(scene, center, area) -> scene, face, mean, n, area: a scene's faces as people, left to right.
+
+    In order of their centres, each face joins the first group whose mean centre is at most
+    `width` away, and moves that mean; else it begins a group. area is the group's mean. Only a
+    scene's few samples meet in one task.
+    """
+
+    def fold(rows):
+        sums: list[list[float]] = []  # of centres, of areas, and how many
+        for center, area in sorted(zip(rows["center"], rows["area"], strict=True)):
+            near = next((g for g in sums if abs(g[0] / g[2] - center) <= width), None)
+            if near is None:
+                sums.append(near := [0.0, 0.0, 0])
+            near[0], near[1], near[2] = near[0] + center, near[1] + area, near[2] + 1
+        scene = rows["scene"].iloc[0]
+        return pd.DataFrame([(scene, k, c / n, n, a / n) for k, (c, a, n) in enumerate(sums)], columns=["scene", "face", "mean", "n", "area"])
+
+    return faces.groupBy("scene").applyInPandas(fold, "scene long, face long, mean double, n long, area double")
+
+
+def most_momentary(rows: DataFrame) -> DataFrame:
+    """rows(media_id, log) -> the greatest momentary loudness `M:` in the log above -120, null without one."""
+    found = F.transform(F.regexp_extract_all("log", F.lit(r"\bM:\s*(-?[0-9.]+)"), F.lit(1)), lambda x: x.try_cast("double"))
+    return rows.select("media_id", F.array_max(F.filter(found, lambda x: x > -120)).alias("loudness"))
+
+
+def keyframes(lines: DataFrame) -> DataFrame:
+    """lines(media_id, line_no, line) with `pts_time:T` -> t_us in order: idx counts by time, then line."""
+    t = F.regexp_extract("line", r"pts_time:\s*([0-9.]+)", 1)
+    found = lines.where(t != "").select("media_id", "line_no", F.round(t.try_cast("double") * 1_000_000).cast("long").alias("t_us")).where("t_us IS NOT NULL")
+    return found.select("media_id", (F.row_number().over(Window.partitionBy("media_id").orderBy("t_us", "line_no")) - 1).alias("idx"), "t_us")
+
+
+def media_duration(whole: Column, streams: Column) -> Column:
+    """A medium's duration: the container's (text), else that of the first stream that has one, else 0."""
+    each = F.filter(F.transform(streams, lambda s: s["duration"].try_cast("double")), lambda x: x.isNotNull())
+    return F.coalesce(whole.try_cast("double"), F.try_element_at(each, F.lit(1)), F.lit(0.0))
+
+
+def outside_safe_zone(boxes: DataFrame, zones: DataFrame, tolerance: int = 2) -> DataFrame:
+    """boxes(id, canvas, x0, y0, x1, y1) and a zone(canvas, zx0, zy0, zx1, zy1) a canvas -> id, outside:
+    whether a box leaves its zone by more than `tolerance` pixels; false where a canvas has no zone."""
+    inside = (F.col("x0") >= F.col("zx0") - tolerance) & (F.col("y0") >= F.col("zy0") - tolerance) & (F.col("x1") <= F.col("zx1") + tolerance) & (F.col("y1") <= F.col("zy1") + tolerance)
+    return boxes.join(zones, "canvas", "left").select("id", (~F.coalesce(inside, F.lit(True))).alias("outside"))

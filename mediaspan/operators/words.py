@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mediaspan.functions import text as T
 
 
-def fillers(words: DataFrame, pause_us: int = 350_000, isolated=("é", "né", "the", "de")) -> DataFrame:
+def fillers(words: DataFrame, pause_us: int = 350_000, isolated=("é", "né")) -> DataFrame:
     """Words that can go: hesitations (90), isolated tags with a pause on both sides (70), and
     immediate repeats (85); confidence in hundredths. The ends of a recording are pauses."""
     order = Window.partitionBy("media_id").orderBy("idx")

@@ -61,7 +61,7 @@ def _(spark, d):
 
 @query("g15_batch_status", "WITH g AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS items FROM orders GROUP BY 1) SELECT *, CASE WHEN done = items THEN 'succeeded' WHEN done = 0 THEN 'failed' ELSE 'partial' END AS status FROM g")
 def _(spark, d):
-    return C.batch_status(orders(spark, d), ["o_custkey"], "o_orderstatus")
+    return C.batch_status(orders(spark, d), ["o_custkey"], "o_orderstatus", done="F")
 
 
 @query("g16_next_version", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS version FROM orders")

@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
 POINTERS = ("it", "that", "this", "is", "and", "des", "der", "las")
 
 
-@query("c05_without_hesitations", r"SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(text, '(?i)(^|[^\p{L}])(uh|um|hmm|ah|eh)($|[^\p{L}])', '\1\3', 'g'), ' +', ' ', 'g'))) AS h FROM conversations")
+@query("c05_without_hesitations", r"SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(text, '(?i)(^|[^\p{L}])(eh|ah|ãh|ã|hum|hã|uhm|uh|hmm|hmmm|ahn)($|[^\p{L}])', '\1\3', 'g'), ' +', ' ', 'g'))) AS h FROM conversations")
 def _(spark, d):
     # No hesitation stands next to another in this table, so one pass of either engine suffices.
     return A.table(spark, d, "conversations").select("conv_id", "turn", F.md5(T.without_hesitations(F.col("text"))).alias("h"))

@@ -135,7 +135,7 @@ FILLERS = f"""t AS (SELECT *, {TOKEN} AS token FROM words), n AS (SELECT *, lag(
 
 @query("d01_fillers", A.sql("words", f"{FILLERS} SELECT media_id, idx, start_us, end_us, token, kind, CASE kind WHEN 'hesitation' THEN 90 WHEN 'isolated' THEN 70 ELSE 85 END AS confidence FROM k WHERE kind IS NOT NULL"))
 def _(spark, d):
-    return W.fillers(A.words(spark, d))
+    return W.fillers(A.words(spark, d), isolated=("é", "né", "the", "de"))
 
 
 def fold_sql(name: str, state: str, first: str, step: str) -> str:

@@ -59,5 +59,25 @@ def test_layout_and_roles(spark):
     assert [tuple(r) for r in Q.right_limit(boxes, covers).collect()] == [(1, 5)]
     codes = spark.createDataFrame([(1, ["a"], ["a", "b"]), (2, None, None)], "id long, first array<string>, second array<string>")
     assert sorted(tuple(r) for r in Q.checks(codes, ["a"]).collect() if r["code"]) == [(1, "a", "warning"), (1, "b", "fail")]
-    roles = spark.createDataFrame([(1, 0.9, 0.5), (0, 0.9, 0.5), (2, 0.9, 0.5), (1, 0.1, 0.5), (1, None, 0.5), (1, 0.9, 0.001)], "f int, s double, a double")
-    assert [r[0] for r in roles.select(Q.camera_role(F.col("f"), F.col("s"), F.col("a"))).collect()] == ["subject", "insert", "wide", "reaction", "unknown", "ignore"]
+    roles = spark.createDataFrame([(1, 0.9, 0.5), (0, 0.9, 0.5), (2, 0.9, 0.5), (2, 0.3, 0.5), (2, 0.2, 0.5), (2, 0.1, 0.5), (3, 0.1, 0.5), (3, None, 0.5), (1, 0.35, 0.5), (1, 0.5, 0.5), (1, None, 0.5), (1, 0.9, 0.001)], "f int, s double, a double")
+    got = [r[0] for r in roles.select(Q.camera_role(F.col("f"), F.col("s"), F.col("a"))).collect()]
+    assert got == ["subject", "ignore", "subject", "subject", None, "wide", "wide", "wide", "interviewers", None, None, "ignore"]
+
+
+def test_faces_and_zones(spark):
+    faces = spark.createDataFrame([(1, 0.14, 2.0), (1, 0.0, 1.0), (1, 0.07, 3.0), (2, 0.5, 1.0)], "scene long, center double, area double")
+    assert sorted((r["scene"], r["face"], round(r["mean"], 3), r["n"], r["area"]) for r in Q.face_groups(faces).collect()) == [(1, 0, 0.035, 2, 2.0), (1, 1, 0.14, 1, 2.0), (2, 0, 0.5, 1, 1.0)]
+    samples = spark.createDataFrame([(1, 0, 0.9, 0.1), (1, 0, 0.9, 0.1), (1, 1, 0.9, 0.1), (1, 1, 0.5, 0.1), (1, 2, 0.9, 0.01)], "media_id long, sample long, score double, area double")
+    assert [tuple(r) for r in Q.median_faces(samples).collect()] == [(1, 1)]
+    boxes = spark.createDataFrame([(1, "v", 8, 10, 50, 50), (2, "v", 7, 10, 50, 50), (3, "v", 10, 10, 53, 50), (4, "w", 0, 0, 9, 9)], "id long, canvas string, x0 int, y0 int, x1 int, y1 int")
+    zones = spark.createDataFrame([("v", 10, 10, 50, 50)], "canvas string, zx0 int, zy0 int, zx1 int, zy1 int")
+    assert {r["id"] for r in Q.outside_safe_zone(boxes, zones).collect() if r["outside"]} == {2, 3}
+
+
+def test_media_logs(spark):
+    logs = spark.createDataFrame([(1, "t: 1 M: -23.5 S:-30\nt: 2 M:-120.7\n M: -18.25 x"), (2, "M:-120.0"), (3, None)], "media_id long, log string")
+    assert sorted((r[0], r[1]) for r in Q.most_momentary(logs).collect()) == [(1, -18.25), (2, None), (3, None)]
+    lines = spark.createDataFrame([(1, 0, "pts_time:2.5"), (1, 1, "n: 3 pts_time:0.04 x"), (1, 2, "none")], "media_id long, line_no long, line string")
+    assert sorted(tuple(r) for r in Q.keyframes(lines).collect()) == [(1, 0, 40_000), (1, 1, 2_500_000)]
+    media = spark.createDataFrame([("3.5", [("audio", "1")]), (None, [("audio", "N/A"), ("video", "2.5")]), ("N/A", [])], "w string, s array<struct<kind: string, duration: string>>")
+    assert [r[0] for r in media.select(Q.media_duration(F.col("w"), F.col("s"))).collect()] == [3.5, 2.5, 0.0]

@@ -79,7 +79,7 @@ def words(spark, items):
 
 
 def test_fillers(spark):
-    got = W.fillers(words(spark, [(0, 1, "Um,"), (2, 3, "we"), (4, 5, "We"), (500_000, 500_001, "né"), (900_000, 900_001, "go"), (900_002, 900_003, "né")])).collect()
+    got = W.fillers(words(spark, [(0, 1, "Uhm,"), (2, 3, "we"), (4, 5, "We"), (500_000, 500_001, "né"), (900_000, 900_001, "go"), (900_002, 900_003, "né")])).collect()
     assert [(r["idx"], r["kind"]) for r in got] == [(0, "hesitation"), (2, "repeat"), (3, "isolated")]
 
 
@@ -103,7 +103,7 @@ def test_texts(spark):
     row = spark.range(1).select(
         T.js_number(F.lit(4948.8)).alias("a"), T.js_number(F.lit(1e-7)).alias("b"), T.js_number(F.lit(1e21)).alias("c"), T.js_number(F.lit(3.0)).alias("d"), T.token(F.lit("(Hello!)")).alias("e"),
         T.plain(F.lit("Ção-1")).alias("f"), T.video_id(F.lit("https://youtu.be/abcdefghijk?t=1")).alias("g"), T.video_id(F.lit("https://example.com/x")).alias("h"), T.timestamp(F.lit(3_723_004_000)).alias("i"),
-        T.without_hesitations(F.lit("um well, uh yes")).alias("j"), T.headline(F.lit("  a  b \n\n c")).alias("k"), T.clip_key(F.lit(2), F.lit(4948.8), F.lit(5010.2), F.lit("fast")).alias("l")).first()
+        T.without_hesitations(F.lit("uhm well, uh yes")).alias("j"), T.headline(F.lit("  a  b \n\n c")).alias("k"), T.clip_key(F.lit(2), F.lit(4948.8), F.lit(5010.2), F.lit("fast")).alias("l")).first()
     assert tuple(row) == ("4948.8", "1e-7", "1e+21", "3", "hello", "cao1", "abcdefghijk", None, "01:02:03,004", "well, yes", "a b\nc", "2:4948.8:5010.2:fast")
 
 
