@@ -20,8 +20,9 @@ def start(counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
     whole = np.log(np.exp(log - log.max()).sum(1)) + log.max()
     shapes = {"into": (WORDS, 3 * STATE), "over": (STATE, 3 * STATE), "kind": (STATE, CLASSES), "word": (CLASSES, STATE, MEMBERS)}
     out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes.items()}
-    out["kind_bias"] = (whole - whole.max()).astype(np.float32)
-    out["word_bias"] = (log - whole[:, None]).astype(np.float32)
+    # The last row of an output's weights is its bias.
+    out["kind"] = np.concatenate([out["kind"], (whole - whole.max()).astype(np.float32)[None]])
+    out["word"] = np.concatenate([out["word"], (log - whole[:, None]).astype(np.float32)[:, None]], 1)
     return out
 
 
@@ -88,31 +89,40 @@ class Laid:
 
 
 def run(p, before, begin, h, keep: bool):
-    """States after each step; the states and gates behind them if they are to be kept."""
-    out = np.empty((*before.shape, STATE), np.float32)
-    kept = []
-    drawn, over, opens = p["into"][before], p["over"], begin.any(1)
-    for t in range(len(before)):
+    """States after each step (steps x streams x STATE) and the last ones; the states before, gates,
+    fresh states and draws behind them if they are to be kept.
+
+    Inside, and in what is kept, streams are the last axis, so that each gate is one block of memory.
+    """
+    steps, wide = before.shape
+    drawn, over, opens = np.ascontiguousarray(p["into"][before].transpose(0, 2, 1)), np.ascontiguousarray(p["over"].T), begin.any(1)
+    kind = drawn.dtype
+    # Before the window and after each of its steps.
+    out = np.empty((steps + 1, STATE, wide), np.float32)
+    out[0] = h.T
+    gates, fresh = np.empty((steps if keep else 1, 2 * STATE, wide), kind), np.empty((steps if keep else 1, STATE, wide), kind)
+    ys = np.empty((steps if keep else 1, 3 * STATE, wide), kind)
+    held = np.empty((steps, STATE, wide), np.float32) if keep else None
+    for t in range(steps):
+        k = t if keep else 0
+        x, y, gate, new_part, h = drawn[t], ys[k], gates[k], fresh[k], out[t]
         if opens[t]:
-            h = np.where(begin[t][:, None], np.float32(0), h)
-        x, y = drawn[t], h @ over
-        gates = x[:, : 2 * STATE] + y[:, : 2 * STATE]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        reset, hold = gates[:, :STATE], gates[:, STATE:]
-        fresh = reset * y[:, 2 * STATE :]
-        fresh += x[:, 2 * STATE :]
-        np.tanh(fresh, out=fresh)
-        new = out[t]
-        np.subtract(h, fresh, out=new)
-        new *= hold
-        new += fresh
+            h = np.where(begin[t], np.float32(0), h)
         if keep:
-            kept.append((h, gates, fresh, y[:, 2 * STATE :]))
-        h = new
-    return out, h, kept
+            held[t] = h
+        np.matmul(over, h, out=y)
+        np.add(x[: 2 * STATE], y[: 2 * STATE], out=gate)
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        np.multiply(gate[:STATE], y[2 * STATE :], out=new_part)
+        new_part += x[2 * STATE :]
+        np.tanh(new_part, out=new_part)
+        mixed = h - new_part
+        mixed *= gate[STATE:]
+        np.add(mixed, new_part, out=out[t + 1], casting="same_kind")
+    return np.ascontiguousarray(out[1:].transpose(0, 2, 1)), np.ascontiguousarray(out[-1].T), (held, gates, fresh, ys[:, 2 * STATE :])
 
 
 def _powers(x):
@@ -130,16 +140,27 @@ def _by_class(tokens: np.ndarray):
     return order, [(c, int(b - n), int(b)) for c, (b, n) in enumerate(zip(cuts, np.diff(cuts, prepend=0), strict=True)) if n]
 
 
+def _with_one(states):
+    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
+
+
+def _word_powers(p, states, classes):
+    """Of tokens in order of class: e to the scores of the words of its class, and their sums."""
+    power = np.empty((len(states), MEMBERS), np.result_type(states, p["word"]))
+    for c, a, b in classes:
+        np.matmul(states[a:b], p["word"][c], out=power[a:b])
+    return _powers(power)
+
+
 def log_chances(p, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log of P(token | state): of its class, and of the word within it."""
     order, classes = _by_class(tokens)
-    states, tokens = states[order], tokens[order]
+    states, tokens = _with_one(states[order]), tokens[order]
     rows = np.arange(len(tokens))
-    power, total = _powers(states @ p["kind"] + p["kind_bias"])
+    power, total = _powers(states @ p["kind"])
     chance = power[rows, tokens // MEMBERS] / total
-    for c, a, b in classes:
-        power, total = _powers(states[a:b] @ p["word"][c] + p["word_bias"][c])
-        chance[a:b] *= power[rows[: b - a], tokens[a:b] - c * MEMBERS] / total
+    power, total = _word_powers(p, states, classes)
+    chance *= power[rows, tokens % MEMBERS] / total
     out = np.empty_like(chance)
     out[order] = np.log(np.maximum(chance, np.finfo(np.float32).tiny))
     return out
@@ -148,60 +169,64 @@ def log_chances(p, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 def _output_step(p, states, tokens, grads):
     """Adds the output's gradients of -sum log P to grads; returns those of the states."""
     order, classes = _by_class(tokens)
-    states, tokens = states[order], tokens[order]
+    states, tokens = _with_one(states[order]), tokens[order]
     rows = np.arange(len(tokens))
-    soft, total = _powers(states @ p["kind"] + p["kind_bias"])
-    soft /= total[:, None]
+    soft, total = _powers(states @ p["kind"])
+    soft *= (1 / total)[:, None]
     soft[rows, tokens // MEMBERS] -= 1
     back = soft @ p["kind"].T
     grads["kind"] = states.T @ soft
-    grads["kind_bias"] = soft.sum(0)
-    grads["word"], grads["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
+    soft, total = _word_powers(p, states, classes)
+    soft *= (1 / total)[:, None]
+    soft[rows, tokens % MEMBERS] -= 1
+    grads["word"] = np.zeros_like(p["word"])
+    more = np.empty_like(back)
     for c, a, b in classes:
-        soft, total = _powers(states[a:b] @ p["word"][c] + p["word_bias"][c])
-        soft /= total[:, None]
-        soft[rows[: b - a], tokens[a:b] - c * MEMBERS] -= 1
-        back[a:b] += soft @ p["word"][c].T
-        np.matmul(states[a:b].T, soft, out=grads["word"][c])
-        soft.sum(0, out=grads["word_bias"][c])
-    out = np.empty_like(back)
-    out[order] = back
+        np.matmul(soft[a:b], p["word"][c].T, out=more[a:b])
+        np.matmul(states[a:b].T, soft[a:b], out=grads["word"][c])
+    back += more
+    out = np.empty((len(back), STATE), back.dtype)
+    out[order] = back[:, :STATE]
     return out
 
 
 def train_window(p, before, token, begin, h):
     """Gradients of one window of truncated backpropagation, per token; the state it ends in."""
-    states, last, kept = run(p, before, begin, h, True)
+    states, last, (held, gates, fresh, drawn) = run(p, before, begin, h, True)
     steps, wide = before.shape
     real = token >= 0
     grads = {}
     back = np.zeros((steps, wide, STATE), np.float32)
     n = int(real.sum())
     back[real] = _output_step(p, states[real], token[real], grads)
-    over = p["over"]
-    into, ys = np.empty((2, steps, wide, 3 * STATE), np.float32)
-    carry = np.zeros((wide, STATE), np.float32)
+    back = np.ascontiguousarray(back.transpose(0, 2, 1))
+    over, opens = p["over"], begin.any(1)
+    reset, hold = gates[:, :STATE], gates[:, STATE:]
+    # What a state's gradient is multiplied by on its way to each of the sums below it.
+    to_fresh = (1 - hold) * (1 - fresh * fresh)
+    to_hold = (held - fresh) * hold * (1 - hold)
+    to_reset = drawn * reset * (1 - reset)
+    # Gradients at the sums of reset, hold and (from the state's side, then from the word's) fresh.
+    sums = np.empty((steps, 4 * STATE, wide), np.float32)
+    carry = np.zeros((STATE, wide), np.float32)
     for t in range(steps - 1, -1, -1):
-        h, gates, fresh, drawn = kept[t]
-        reset, hold = gates[:, :STATE], gates[:, STATE:]
-        d = back[t] + carry
-        d_fresh = d * (1 - hold) * (1 - fresh * fresh)
-        x = into[t]
-        x[:, 2 * STATE :] = d_fresh
-        x[:, :STATE] = d_fresh * drawn * reset * (1 - reset)
-        x[:, STATE : 2 * STATE] = d * (h - fresh) * hold * (1 - hold)
-        y = ys[t]
-        y[:] = x
-        y[:, 2 * STATE :] *= reset
-        carry = d * hold + y @ over.T
-        if begin[t].any():
-            carry[begin[t]] = 0
-    grads["over"] = np.concatenate([x[0] for x in kept]).T @ ys.reshape(-1, 3 * STATE)
-    flat, rows = before.ravel(), into.reshape(-1, 3 * STATE)
-    order = np.argsort(flat, kind="stable")
+        d, s = back[t], sums[t]
+        d += carry
+        new_part = s[3 * STATE :]
+        np.multiply(d, to_fresh[t], out=new_part, casting="same_kind")
+        np.multiply(new_part, to_reset[t], out=s[:STATE], casting="same_kind")
+        np.multiply(d, to_hold[t], out=s[STATE : 2 * STATE], casting="same_kind")
+        np.multiply(new_part, reset[t], out=s[2 * STATE : 3 * STATE], casting="same_kind")
+        carry = over @ s[: 3 * STATE]
+        carry += d * hold[t]
+        if opens[t]:
+            carry[:, begin[t]] = 0
+    grads["over"] = np.matmul(held, sums[:, : 3 * STATE].transpose(0, 2, 1)).sum(0)
+    sums[:, 2 * STATE : 3 * STATE] = sums[:, 3 * STATE :]
+    flat, rows = before.ravel(), sums[:, : 3 * STATE].transpose(0, 2, 1).reshape(-1, 3 * STATE)
+    order = np.argsort(flat.astype(np.int16), kind="stable")
     used, cut = np.unique(flat[order], return_index=True)
-    sums = np.add.reduceat(rows[order], cut, axis=0)
-    grads["into"] = (used, sums)
+    grads["into"] = (used, np.add.reduceat(rows[order], cut, axis=0))
     return grads, last, n
 
 

@@ -31,17 +31,23 @@ def _tokens(data, offsets) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, first[1:], END), first + np.arange(len(first))
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, in the order of their first places, and which of them each hash is."""
+    coded = pa.array(hashes.view(np.int64)).dictionary_encode()
+    return np.asarray(coded.dictionary).view(np.uint64), np.asarray(coded.indices)
+
+
 def counted(packed: DataFrame, parts: int, held: int, base: int) -> DataFrame:
     """Counts of every word in training texts, as replies to the packs that hold the word.
 
-    Rows with a pack: the counts of its distinct words of one part, in the order of their hashes.
+    Rows with a pack: the counts of its distinct words of one part, in the order of their first places.
     Rows with pack -1: a part's training tokens, distinct words, and its most frequent words.
     """
 
     def ask(batches):
         for pack, (ids, null, data, offsets) in packs.each(batches):
             hashes, first = _tokens(data, offsets)
-            keys, back = np.unique(hashes, return_inverse=True)
+            keys, back = _distinct(hashes)
             train = np.repeat(~held_out(ids, null, held, base), np.diff(first))
             counts = np.bincount(back[train], minlength=len(keys)).astype(np.uint32)
             rows = [(part, keys[at].tobytes(), counts[at].tobytes()) for part, at in packs.by_part(keys, parts)]
@@ -133,7 +139,8 @@ def trained(packed: DataFrame, lexicon: Lexicon, held: int, base: int) -> np.nda
             for _, (ids, null, data, offsets) in packs.each(batches):
                 hashes, first = _tokens(data, offsets)
                 train = ~held_out(ids, null, held, base)
-                tokens = lexicon.ids(hashes)[np.repeat(train, np.diff(first))]
+                keys, back = _distinct(hashes)
+                tokens = lexicon.ids(keys)[back[np.repeat(train, np.diff(first))]]
                 cuts = np.concatenate([[0], np.cumsum(np.diff(first)[train])])
                 if len(tokens):
                     n += learner.learn(tokens, cuts)
@@ -176,13 +183,13 @@ def scores(documents: DataFrame, held: int = 2, base: int = 7, part_bytes: int =
         out = []
         for _, (ids, null, data, offsets) in packs.each(left.to_batches()):
             hashes, first = _tokens(data, offsets)
-            keys, back = np.unique(hashes, return_inverse=True)
+            keys, back = _distinct(hashes)
             count = np.zeros(len(keys), np.int64)
             for part, at in packs.by_part(keys, parts):
                 count[at] = np.frombuffer(answer[part], np.int64)
             plain = np.log10((count + 1) / (lexicon.tokens + lexicon.kinds + 1))[back]
             share = np.log10((count + 1) / (lexicon.rare_tokens + lexicon.rare_kinds + 1))[back]
-            tokens = lexicon.ids(hashes)
+            tokens = lexicon.ids(keys)[back]
             model = gru.score(p, tokens, first) / np.log(10) + np.where(tokens == gru.RARE, share, 0.0)
             rows = np.repeat(np.arange(len(ids)), np.diff(first))
             add = lambda x: np.bincount(rows, weights=x, minlength=len(ids))
