@@ -12,6 +12,12 @@ SELECTION = "media_id bigint, clips array<struct<rank: int, score: double, start
 PLAN = "plan_id bigint, segments array<struct<start: double, end: double, audio_start: double, audio_end: double, video_start: double, video_end: double, piece: int>>, _corrupt_record string"
 ANALYSIS = "media_id bigint, duration double, vad array<struct<start: double, end: double>>, waveforms array<struct<points: int, frames_per_point: int, sample_rate: int, rms: array<double>>>, _corrupt_record string"
 
+# The fields of an evaluation entry, the longest texts among them, and the verdicts.
+DECISION = "clip_ref: struct<start_second: double, end_second: double>, verdict: string, theme: string, duration_seconds: double, hook_summary: string, payoff_summary: string, speakers: array<string>, reason: string, decided_by: string, decided_at: string"
+EVALUATION = f"dataset_schema_version double, episode struct<title: string, source_sha256: string, duration_seconds: double, transcript_artifact_hash: string>, decisions array<struct<{DECISION}>>"
+LONGEST = {"theme": 300, "hook_summary": 500, "payoff_summary": 500, "reason": 1000, "decided_by": 200}
+VERDICTS = ("approved", "rejected")
+
 
 def micros(seconds) -> F.Column:
     return F.round(seconds * 1_000_000).cast("long")
@@ -57,6 +63,69 @@ def energy(analyses: DataFrame) -> DataFrame:
     return rows.select("media_id", "idx", micros(F.col("idx") * F.col("f") / F.col("r")).alias("t_us"), "rms")
 
 
+def _names(schema) -> F.Column:
+    return F.array(*(F.lit(f.name) for f in schema.fields))
+
+
+def evaluation_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A folder of evaluation entries, one JSON document a file (schema.json is none of them):
+    entries(path, and the fields of EVALUATION) without a violation, and violations(path, location,
+    message), each with the place in its document, as decisions.0.verdict, or root.
+
+    A field that is missing, null or of another type is `missing`, one outside its bounds `invalid`,
+    one that no entry has `unknown`; a file that is no JSON object is `unreadable` at the root.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").where(~F.endswith("path", F.lit("/schema.json")))
+    rows = raw.withColumn("e", F.from_json("value", EVALUATION)).withColumn("keys", F.json_object_keys("value"))
+    rows = rows.withColumn("episode_keys", F.json_object_keys(F.get_json_object("value", "$.episode")))
+    rows = rows.withColumn("decision_keys", F.transform(F.from_json(F.get_json_object("value", "$.decisions"), "array<map<string, string>>"), F.map_keys))
+    top = spark.createDataFrame([], EVALUATION).schema
+    decision, episode = top["decisions"].dataType.elementType, top["episode"].dataType
+
+    def found(bad, where, message):
+        return F.when(bad, F.struct(F.concat(*[F.lit(w) if isinstance(w, str) else w for w in where]).alias("location"), F.lit(message).alias("message")))
+
+    def text(c, most, *where):
+        n = F.length(c)
+        return [found(c.isNull(), where, "missing"), found((n < 1) | (n > most), where, "invalid")]
+
+    def number(c, low, *where):
+        return [found(c.isNull(), where, "missing"), found(~low(c), where, "invalid")]
+
+    def unknown(keys, schema, *where):
+        return F.transform(F.array_except(keys, _names(schema)), lambda k: F.struct(F.concat(*[F.lit(w) if isinstance(w, str) else w for w in where], k).alias("location"), F.lit("unknown").alias("message")))
+
+    above = lambda c: c > 0
+    e = F.col("e")
+    p = e["episode"]
+    whole = [
+        found(F.col("keys").isNull(), ("root",), "unreadable"), *number(e["dataset_schema_version"], lambda c: c == 1, "dataset_schema_version"),
+        *text(p["title"], 300, "episode.title"), found(p["source_sha256"].isNull(), ("episode.source_sha256",), "missing"), found(~p["source_sha256"].rlike("^[a-f0-9]{64,128}$"), ("episode.source_sha256",), "invalid"),
+        *number(p["duration_seconds"], above, "episode.duration_seconds"), *text(p["transcript_artifact_hash"], 200, "episode.transcript_artifact_hash"),
+        found(e["decisions"].isNull(), ("decisions",), "missing"), found(F.size(e["decisions"]) == 0, ("decisions",), "invalid"),
+    ]
+
+    def each(d, i):
+        at = lambda name: ("decisions.", i.cast("string"), f".{name}")
+        rules = [*number(d["clip_ref"]["start_second"], lambda c: c >= 0, *at("clip_ref.start_second")), *number(d["clip_ref"]["end_second"], above, *at("clip_ref.end_second")), *number(d["duration_seconds"], above, *at("duration_seconds"))]
+        rules += [found(d["verdict"].isNull(), at("verdict"), "missing"), found(~d["verdict"].isin(*VERDICTS), at("verdict"), "invalid")]
+        for name, most in LONGEST.items():
+            rules += text(d[name], most, *at(name))
+        rules += [found(d["speakers"].isNull(), at("speakers"), "missing"), found(F.exists(d["speakers"], lambda s: s.isNull() | ~F.length(s).between(1, 100)), at("speakers"), "invalid")]
+        rules += [found(d["decided_at"].isNull(), at("decided_at"), "missing"), found(F.try_to_timestamp(d["decided_at"]).isNull() & d["decided_at"].isNotNull(), at("decided_at"), "invalid")]
+        return F.concat(F.array(*rules), unknown(F.coalesce(F.get("decision_keys", i), F.array().cast("array<string>")), decision, "decisions.", i.cast("string"), "."))
+
+    none = F.array().cast("array<struct<location: string, message: string>>")
+    listed = F.concat(F.array(*whole), F.coalesce(F.flatten(F.transform(e["decisions"], each)), none), F.coalesce(unknown(F.col("keys"), top), none), F.coalesce(unknown(F.col("episode_keys"), episode, "episode."), none))
+    rows = rows.withColumn("found", F.filter(F.when(F.col("keys").isNull(), F.array(whole[0])).otherwise(listed), lambda x: x.isNotNull()))
+    return rows.where(F.size("found") == 0).select("path", "e.*"), rows.select("path", F.explode("found").alias("f")).select("path", "f.*")
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """One JSON document a recording (its row's columns), in place of what is there."""
+    reports.write.mode("overwrite").json(path)
+
+
 def append_new(rows: DataFrame, path: str, *columns: str) -> None:
     """Appends the rows whose content key is not stored yet; running it again adds nothing."""
     keyed = rows.withColumn("content_key", content_key(*columns)).dropDuplicates(["content_key"])

@@ -81,3 +81,25 @@ def test_media_logs(spark):
     assert sorted(tuple(r) for r in Q.keyframes(lines).collect()) == [(1, 0, 40_000), (1, 1, 2_500_000)]
     media = spark.createDataFrame([("3.5", [("audio", "1")]), (None, [("audio", "N/A"), ("video", "2.5")]), ("N/A", [])], "w string, s array<struct<kind: string, duration: string>>")
     assert [r[0] for r in media.select(Q.media_duration(F.col("w"), F.col("s"))).collect()] == [3.5, 2.5, 0.0]
+
+
+def test_evaluation_set(spark, tmp_path):
+    decision = {"clip_ref": {"start_second": 0, "end_second": 9.5}, "verdict": "approved", "theme": "t", "duration_seconds": 9.5, "hook_summary": "h", "payoff_summary": "p", "speakers": ["a"], "reason": "r", "decided_by": "d", "decided_at": "2026-01-02T03:04:05Z"}
+    good = {"dataset_schema_version": 1, "episode": {"title": "x", "source_sha256": "a" * 64, "duration_seconds": 60, "transcript_artifact_hash": "h"}, "decisions": [decision]}
+    bad = {**good, "extra": 1, "episode": {**good["episode"], "source_sha256": "Z", "path": "/x"}, "decisions": [decision, {**decision, "verdict": "maybe", "theme": "", "speakers": ["a", ""], "decided_at": "soon", "more": 1}, {k: v for k, v in decision.items() if k != "reason"}]}
+    for name, entry in (("good", good), ("bad", bad), ("empty", {**good, "dataset_schema_version": 2, "decisions": []}), ("schema", {"type": "object"})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(entry, indent=1))
+    (tmp_path / "broken.json").write_text("{broken")
+    entries, violations = io.evaluation_set(spark, str(tmp_path))
+    assert [(r["path"].rsplit("/", 1)[1], len(r["decisions"]), r["episode"]["title"]) for r in entries.collect()] == [("good.json", 1, "x")]
+    assert sorted((r["path"].rsplit("/", 1)[1], r["location"], r["message"]) for r in violations.collect()) == [
+        ("bad.json", "decisions.1.decided_at", "invalid"), ("bad.json", "decisions.1.more", "unknown"), ("bad.json", "decisions.1.speakers", "invalid"), ("bad.json", "decisions.1.theme", "invalid"), ("bad.json", "decisions.1.verdict", "invalid"),
+        ("bad.json", "decisions.2.reason", "missing"), ("bad.json", "episode.path", "unknown"), ("bad.json", "episode.source_sha256", "invalid"), ("bad.json", "extra", "unknown"), ("broken.json", "root", "unreadable"),
+        ("empty.json", "dataset_schema_version", "invalid"), ("empty.json", "decisions", "invalid"),
+    ]
+
+
+def test_reports(spark, tmp_path):
+    for n in (1, 2):
+        io.write_reports(spark.createDataFrame([(n, 0.5)], "media_id long, recall double"), str(tmp_path / "r"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "r")).select("media_id", "recall").collect()] == [(2, 0.5)]
