@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mediaspan.operators import focus
+from mediaspan.operators import focus, plan
 from mediaspan.sources import adapters as A
 
 QUERIES: dict = {}
@@ -33,6 +33,16 @@ def _focus(spark, d):
     return focus.focus(scenes, faces)
 
 
+def _kind_plan(spark, d):
+    """Forty event numbers are a clip: clicks its slots, every fourth purchase or error their footage."""
+    rows = A.tracks(spark, d).withColumn("clip_id", F.floor(F.col("id") / 40))
+    slots = rows.where("label = 'click'").select("clip_id", F.col("id").alias("slot"), F.col("start_us").alias("anchor_us"), F.lit(2_000_000).cast("long").alias("duration_us"), (F.col("id") % 40 * 8_000_000).alias("output_us"))
+    footage = rows.where("label IN ('purchase', 'error')").select("clip_id", "id", F.when(F.col("id") % 3 == 0, "wide").otherwise("reaction").alias("kind"), F.col("start_us").alias("source_us"), (F.col("id") * 7 % 100).cast("double").alias("score"))
+    offers = slots.select("clip_id", "slot").join(footage, "clip_id").where((F.col("id") + F.col("slot")) % 4 == 0)
+    return plan.kind_plan(slots, offers.select("clip_id", "slot", "kind", "source_us", "score"))
+
+
+QUERIES["e19_kind_plan"] = _kind_plan
 QUERIES["e21_sample_times"] = _sample_times
 QUERIES["j17_focus"] = _focus
 SQL["e21_sample_times"] = A.sql("clips", """s AS (SELECT clip_id // 40 AS scene, start_us, end_us, row_number() OVER (PARTITION BY clip_id // 40 ORDER BY start_us, clip_id) - 1 AS pos FROM clips),

@@ -1,6 +1,6 @@
 """Samples of scenes and the point of a crop, on hand-made rows."""
 
-from mediaspan.operators import focus
+from mediaspan.operators import focus, plan
 
 
 def test_sample_times(spark):
@@ -26,3 +26,20 @@ def test_focus(spark):
     faces = spark.createDataFrame([(1, 0.5, 0.1, 0.1, 0.3), (1, 0.9, 0.1, 0.1, 0.05), (2, 0.9, 0.4, 0.1, 0.2), (2, 0.9, 0.6, 0.1, 0.2), *[(k, *f) for k in (3, 4, 5) for f in two]], "scene long, score double, x double, width double, height double")
     got = {r["scene"]: (r["focus_x"], r["reason"]) for r in focus.focus(scenes, faces).collect()}
     assert got == {1: (0.25, "no_faces"), 2: (0.55, "all_faces"), 3: (0.15, "primary_side"), 4: (0.81, "primary_side"), 5: (0.81, "largest_face"), 6: (0.5, "no_faces")}
+
+
+def test_kind_plan(spark):
+    slots = [(1, k, 100_000_000 * k, 2_000_000, k) for k in range(3)] + [(2, 7, 0, 2_000_000, 0), (3, 8, 0, 2_000_000, 0), (4, 0, 0, 2_000_000, 0), (4, 1, 9_000_000, 2_000_000, 1)]
+    s = spark.createDataFrame(slots, "clip_id long, slot long, anchor_us long, duration_us long, output_us long")
+    offers = [
+        *[(1, k, "wide", 50_000_000, 0.9) for k in range(3)], (1, 1, "wide", 70_000_000, 0.5),  # shown once, then too near
+        (1, 2, "reaction", 10_000_000, 0.3), (1, 2, "reaction", 9_000_000, 0.3),  # a tie: the earlier source
+        (2, 7, "wide", 5, 0.9), (2, 7, "reaction", 9, 0.1),  # a single insert is a reaction
+        (4, 0, "wide", 0, 0.5), (4, 1, "wide", 1_000_000, 0.5),  # the clip's own moment does not count as shown
+    ]
+    c = spark.createDataFrame(offers, "clip_id long, slot long, kind string, source_us long, score double")
+    assert sorted(tuple(r) for r in plan.kind_plan(s, c).collect()) == [
+        (1, 0, 0, "wide", 50_000_000, 0.9), (1, 1, 0, "wide", 70_000_000, 0.5), (1, 2, 0, "reaction", 9_000_000, 0.3), (1, 2, 1, "reaction", 10_000_000, 0.3),
+        (2, 7, 0, "reaction", 9, 0.1), (2, 7, 1, "wide", 5, 0.9), (4, 0, 0, "wide", 0, 0.5), (4, 1, 0, "wide", 1_000_000, 0.5),
+    ]
+    assert plan.kind_plan(s.limit(0), c.limit(0)).count() == 0
