@@ -17,6 +17,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field: none, then the kinds.
 LABELS = 1 + len(KINDS)
 SHAPES = 256  # shapes of candidates that are told apart, for each pattern that finds them
+MAIL_SHAPES = 176  # the first of those of mail names; numbers have the ones before
 SURE = 0.9  # least marginal at which the field adds a span
 ALIKE = 200  # pairs of likes with one label that are taken as seen before any are counted
 
@@ -27,7 +28,14 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Looser: any run of digits with at most two marks between them. Mail has no looser candidates.
+#: Looser: mail names before a host without a dot, or before "at" and "dot" in words or brackets.
+_NAME = re.compile(r"[A-Za-z0-9._%+-]++")
+_MAIL = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]++"
+    r"|\x20?[(\[]\x20?(?i:at)\x20?[)\]]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20(?i:dot)\x20|\x20?[(\[]\x20?(?i:dot)\x20?[)\]]\x20?)[A-Za-z0-9-]++)*"
+    r"|\x20(?i:at)\x20[A-Za-z0-9-]++(?:\x20(?i:dot)\x20[A-Za-z0-9-]++)+)"
+)
+#: Looser: any run of digits with at most two marks between them.
 _NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])++")
 _DIGITS = re.compile(r"[^0-9]")
 
@@ -85,6 +93,8 @@ class Nodes:
         rows = [(s, e, 1 + kind, kind) for s, kind, e in self.base]
         loose = [(s, e, 4 if kind == 2 else kind) for s, kind, e in failed]
         loose += [(m.start(), m.end(), 4) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7]
+        if any(kind == 0 for _, kind, _ in self.base):  # without a found name none can be alike
+            loose += [(m.start(), m.end(), 0) for m in _MAIL.finditer(text)]
         for s, e, kind in set(loose):
             i = int(np.searchsorted(starts, e)) - 1
             if i < 0 or reach[i] <= s:
@@ -94,22 +104,26 @@ class Nodes:
         self.label = np.array([r[2] for r in rows], np.int64)
         self.shape = np.array([self._shape(text[s:e], kind) for s, e, _, kind in rows], np.int64)
         # Alike are numbers that end in the same seven digits, and addresses of the same name.
-        self.key = [text[s:e].split("@")[0].lower() if kind == 0 else _DIGITS.sub("", text[s:e])[-7:] for s, e, _, kind in rows]
+        self.key = [(True, _NAME.match(text, s).group().lower()) if kind == 0 else (False, _DIGITS.sub("", text[s:e])[-7:]) for s, e, _, kind in rows]
 
     @staticmethod
     def _shape(piece: str, kind: int) -> int:
+        if kind == 0:  # of the name alone, so that mail found and mail written otherwise have one shape
+            name = _NAME.match(piece).group()
+            return MAIL_SHAPES + 4 * min(len(name) // 4, 7) + 2 * any(map(str.isdigit, name)) + any(c in name for c in "._%+-")
         digits = _DIGITS.sub("", piece)
         marks = sum(c in piece for c in "+(.-") + 4 * (" " in piece)
-        return 0 if kind == 0 else min(len(digits), 20) * 8 + min(marks, 7) + 1
+        return min(len(digits), 20) * 8 + min(marks, 7) + 1
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of neighbours, and pairs of each candidate with the last one alike."""
+        """Pairs of neighbours, and pairs of each candidate with the last and the first one alike."""
         n = len(self.label)
         chain = np.stack([np.arange(n - 1), np.arange(1, n)], 1) if n > 1 else np.zeros((0, 2), np.int64)
-        last, skip = {}, []
+        first, last, skip = {}, {}, []
         for i, key in enumerate(self.key):
             if key in last:
-                skip.append((last[key], i))
+                skip += [(j, i) for j in {first[key], last[key]}]
+            first.setdefault(key, i)
             last[key] = i
         return chain, np.array(skip, np.int64).reshape(-1, 2)
 
@@ -125,7 +139,9 @@ def _rows(column: pa.Array):
 
 def learn(documents: DataFrame) -> dict[str, np.ndarray]:
     """Potentials from counts over all documents: labels by shape, and pairs of labels that meet
-    as neighbours and as likes. At most SHAPES * LABELS + 2 * LABELS^2 numbers reach the driver."""
+    as neighbours and as likes. Of likes, a found item and one that no pattern finds count for
+    nothing: they are what the field is asked about. At most SHAPES * LABELS + 2 * LABELS^2
+    numbers reach the driver."""
 
     def count(batches):
         for x in batches:
@@ -134,7 +150,8 @@ def learn(documents: DataFrame) -> dict[str, np.ndarray]:
                 nodes = Nodes(text)
                 seen.update(("shape", int(s), int(y)) for s, y in zip(nodes.shape, nodes.label, strict=True))
                 for name, pairs in zip(("chain", "skip"), nodes.links(), strict=True):
-                    seen.update((name, int(nodes.label[a]), int(nodes.label[b])) for a, b in pairs)
+                    labels = ((int(nodes.label[a]), int(nodes.label[b])) for a, b in pairs)
+                    seen.update((name, a, b) for a, b in labels if name == "chain" or (a > 0) == (b > 0))
             rows = [(*k, n) for k, n in seen.items()]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3))], names=["what", "a", "b", "n"])
 
@@ -177,7 +194,7 @@ def marginals(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, roun
 
 
 def added(nodes: Nodes, weights: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
-    """The spans that the field adds to the base ones, none of which overlaps another."""
+    """The spans that the field adds to the base ones: each is like a found one, and none overlaps another."""
     if not (nodes.label == 0).any() or not (nodes.label > 0).any():
         return []
     chain, skip = nodes.links()
@@ -189,9 +206,11 @@ def added(nodes: Nodes, weights: dict[str, np.ndarray]) -> list[tuple[int, int,
     tables = np.concatenate([np.repeat(weights["chain"][None], len(chain), 0), np.repeat(weights["skip"][None], len(skip), 0)])
     p = marginals(unary, edges, tables)
     best = p[:, 1:].argmax(1)
+    known = {k for k, y in zip(nodes.key, nodes.label, strict=True) if y}
+    like = np.array([k in known for k in nodes.key])
     found = []
     free = 0
-    for i in np.flatnonzero((nodes.label == 0) & (p[:, 1:].max(1) >= SURE)):
+    for i in np.flatnonzero((nodes.label == 0) & like & (p[:, 1:].max(1) >= SURE)):
         if nodes.start[i] >= free:
             found.append((nodes.start[i], int(best[i]), nodes.end[i]))
             free = nodes.end[i]

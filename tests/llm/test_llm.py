@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -121,9 +123,56 @@ def test_pii(spark, odd, none):
     assert [(s["kind"], s["by"]) for s in spans] == [("phone", "pattern"), ("phone", "field")]
 
 
+def test_pii_adds_mail_written_otherwise(spark):
+    rows = [(i, f"write to user.{i}@site{i}.org today", "en", "a", 1) for i in range(60)]
+    rows.append((100, "jane.doe@example.org, jane.doe (at) example (dot) org, jane.doe@localhost, Jane.Doe at example dot org; john.roe (at) example.org", "en", "a", 1))
+    rows.append((101, "jane.doe (at) example.org and @decorator x@y", "en", "a", 1))
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs(spark, rows)).collect()}
+    text = rows[60][1]
+    assert [(text[s["start"] : s["end"]], s["by"]) for s in got[100]] == [
+        ("jane.doe@example.org", "pattern"), ("jane.doe (at) example (dot) org", "field"), ("jane.doe@localhost", "field"), ("Jane.Doe at example dot org", "field"),
+    ]
+    assert got[101] == []
+
+
+def test_pii_patterns_are_the_plain_ones():
+    """base() against the patterns as they are stated, on random strings of their characters."""
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def sound(digits):
+        doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+        return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+
+    rng = random.Random(11)
+    for _ in range(4000):
+        text = "".join(rng.choices(rng.choice(["ab@.-1", "0123.9", "0 -42", "+1() .-5", "a@. 0+-é9"]), k=rng.randint(0, 60)))
+        digits = lambda m: re.sub("[^0-9]", "", m.group())
+        want = [(m.start(), 0, m.end()) for m in email.finditer(text)]
+        want += [(m.start(), 1, m.end()) for m in ip.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+        want += [(m.start(), 2, m.end()) for m in card.finditer(text) if 12 <= len(digits(m)) <= 19 and sound(digits(m))]
+        want += [(m.start(), 3, m.end()) for m in phone.finditer(text) if 9 <= len(digits(m)) <= 15]
+        assert pii.base(text)[0] == sorted(want), text
+
+
+def test_pii_marginals():
+    """Sum-product on a tree against the sums over all labellings."""
+    rng = np.random.default_rng(3)
+    edges = np.array([(0, 1), (1, 2), (1, 3)])
+    unary, tables = rng.normal(size=(4, pii.LABELS)), rng.normal(size=(3, pii.LABELS, pii.LABELS))
+    tables = tables + tables.transpose(0, 2, 1)
+    want = np.zeros_like(unary)
+    for labels in itertools.product(range(pii.LABELS), repeat=4):
+        w = np.exp(sum(unary[i, y] for i, y in enumerate(labels)) + sum(t[labels[a], labels[b]] for (a, b), t in zip(edges, tables, strict=True)))
+        want[range(4), labels] += w
+    assert np.allclose(pii.marginals(unary, edges, tables, 60), want / want.sum(1, keepdims=True), atol=1e-6)
+
+
 def test_pii_is_linear():
     for text in ("a" * 200_000 + "@", "1" * 200_000, "+1" + " " * 200_000, "1." * 100_000, "@" * 100_000, "1-" * 100_000):
         pii.base(text)
+    for text in ("a" * 200_000 + "@", "a at " * 40_000, "a (at) b (dot) " * 20_000, "@" * 100_000, "a@" * 100_000):
+        pii.Nodes("x@y.zz " + text).links()
 
 
 def test_decontamination(spark, corpus, odd, none):
