@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def occlusions(boxes: DataFrame, covers: DataFrame) -> DataFrame:
 
 def right_limit(rows: DataFrame, covers: DataFrame) -> DataFrame:
     """rows(id, canvas, y0, y1) -> the least left edge of a cover that the vertical span meets."""
-    return rows.join(covers, "canvas").where("y1 > cy0 AND y0 < cy1").groupBy("id").agg(F.min("cx0").alias("limit"))
+    return rows.join(covers, "canvas").where("y1 > cy0 AND y0 < cy1").groupBy("id").agg(F.min("cx0").alias("limit_x"))
 
 
 def checks(rows: DataFrame, warnings: list[str]) -> DataFrame:
@@ -125,3 +126,47 @@ def outside_safe_zone(boxes: DataFrame, zones: DataFrame, tolerance: int = 2) ->
     whether a box leaves its zone by more than `tolerance` pixels; false where a canvas has no zone."""
     inside = (F.col("x0") >= F.col("zx0") - tolerance) & (F.col("y0") >= F.col("zy0") - tolerance) & (F.col("x1") <= F.col("zx1") + tolerance) & (F.col("y1") <= F.col("zy1") + tolerance)
     return boxes.join(zones, "canvas", "left").select("id", (~F.coalesce(inside, F.lit(True))).alias("outside"))
+
+
+def _micros(log: Column, name: str) -> Column:
+    found = F.transform(durations_in_log(log, name), lambda x: F.round(x * 1_000_000).cast("long"))
+    return F.coalesce(found, F.array().cast("array<bigint>"))
+
+
+def picture_faults(rows: DataFrame) -> DataFrame:
+    """rows(media_id, log, duration_us) -> count, total and longest of black and frozen spans.
+
+    A freeze that begins and has no duration behind it runs to the end of the medium. A null log has none.
+    """
+    black, frozen, begun = _micros(F.col("log"), "black_duration"), _micros(F.col("log"), "freeze_duration"), _micros(F.col("log"), "freeze_start")
+    to_end = F.greatest(F.col("duration_us") - F.try_element_at(begun, F.lit(-1)), F.lit(0)).cast("long")
+    found = rows.select("media_id", black.alias("black"), F.when(F.size(begun) > F.size(frozen), F.concat(frozen, F.array(to_end))).otherwise(frozen).alias("freeze"))
+    zero = F.lit(0).cast("long")
+    sums = [(F.size(n).alias(f"{n}_n"), F.aggregate(n, zero, lambda a, x: a + x).alias(f"{n}_total_us"), F.coalesce(F.array_max(n), zero).alias(f"{n}_longest_us")) for n in ("black", "freeze")]
+    return found.select("media_id", *sums[0], *sums[1])
+
+
+def loudness(rows: DataFrame) -> DataFrame:
+    """rows(media_id, log) -> the measures of the log's last report, null where it has none or they are not finite."""
+    report = F.try_element_at(F.regexp_extract_all("log", F.lit(r'(\{[^{}]*"input_i"[^{}]*\})'), F.lit(1)), F.lit(-1))
+    names = {"input_i": "integrated_lufs", "input_lra": "range_lu", "input_tp": "true_peak_dbfs", "input_thresh": "threshold_lufs"}
+    number = {out: F.get_json_object("_report", f"$.{name}").try_cast("double") for name, out in names.items()}
+    return rows.withColumn("_report", report).select("media_id", *(F.when(F.abs(x) < float("inf"), x).alias(out) for out, x in number.items()))
+
+
+def distinct_boxes(boxes: DataFrame, most: float = 0.4) -> DataFrame:
+    """boxes(frame, id, x, y, width, height, score) -> those kept of each frame: by score, then the lesser
+    id, each box whose overlap over union with every kept one is at most `most`. A frame's boxes meet in one task."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["score", "id"], ascending=[False, True])
+        x0, y0, area = rows["x"].to_numpy(), rows["y"].to_numpy(), (rows["width"] * rows["height"]).to_numpy()
+        x1, y1, kept = x0 + rows["width"].to_numpy(), y0 + rows["height"].to_numpy(), []
+        for i in range(len(rows)):
+            wide, high = np.minimum(x1[i], x1[kept]) - np.maximum(x0[i], x0[kept]), np.minimum(y1[i], y1[kept]) - np.maximum(y0[i], y0[kept])
+            both = np.maximum(wide, 0) * np.maximum(high, 0)
+            if (both <= most * (area[i] + area[kept] - both)).all():
+                kept.append(i)
+        return rows.iloc[kept]
+
+    return boxes.groupBy("frame").applyInPandas(fold, boxes.schema)
