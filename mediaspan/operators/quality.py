@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,21 +151,3 @@ def loudness(rows: DataFrame) -> DataFrame:
     names = {"input_i": "integrated_lufs", "input_lra": "range_lu", "input_tp": "true_peak_dbfs", "input_thresh": "threshold_lufs"}
     number = {out: F.get_json_object("_report", f"$.{name}").try_cast("double") for name, out in names.items()}
     return rows.withColumn("_report", report).select("media_id", *(F.when(F.abs(x) < float("inf"), x).alias(out) for out, x in number.items()))
-
-
-def distinct_boxes(boxes: DataFrame, most: float = 0.4) -> DataFrame:
-    """boxes(frame, id, x, y, width, height, score) -> those kept of each frame: by score, then the lesser
-    id, each box whose overlap over union with every kept one is at most `most`. A frame's boxes meet in one task."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "id"], ascending=[False, True])
-        x0, y0, area = rows["x"].to_numpy(), rows["y"].to_numpy(), (rows["width"] * rows["height"]).to_numpy()
-        x1, y1, kept = x0 + rows["width"].to_numpy(), y0 + rows["height"].to_numpy(), []
-        for i in range(len(rows)):
-            wide, high = np.minimum(x1[i], x1[kept]) - np.maximum(x0[i], x0[kept]), np.minimum(y1[i], y1[kept]) - np.maximum(y0[i], y0[kept])
-            both = np.maximum(wide, 0) * np.maximum(high, 0)
-            if (both <= most * (area[i] + area[kept] - both)).all():
-                kept.append(i)
-        return rows.iloc[kept]
-
-    return boxes.groupBy("frame").applyInPandas(fold, boxes.schema)

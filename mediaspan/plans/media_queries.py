@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mediaspan.operators import edits as E
 from mediaspan.operators import quality as Q
 from mediaspan.sources import adapters as A
 
@@ -161,15 +162,15 @@ def _(spark, d):
     return Q.face_groups(rows)
 
 
-@query("j18_distinct_boxes")
+@query("j18_best_boxes")
 def _(spark, d):
-    k = F.col("k")
-    return Q.distinct_boxes(media(spark, d).select(F.col("media_id").alias("frame"), F.col("event_id").alias("id"), (F.col("v") % 200).alias("x"), k.alias("y"), (60 + k).alias("width"), F.lit(80).cast("long").alias("height"), F.floor(k / 10).alias("score")))
+    x, k = F.col("v") % 200, F.col("k")
+    return E.best_boxes(media(spark, d).select(F.col("media_id").alias("frame"), F.col("event_id").alias("id"), x.alias("x0"), k.alias("y0"), (x + 60 + k).alias("x1"), (k + 80).alias("y1"), (k * 100_000 + F.col("event_id") % 100_000).alias("score")))
 
 
 _BOTH = "greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0))"
-SQL["j18_distinct_boxes"] = f"""WITH RECURSIVE {MEDIA}, b AS (SELECT media_id AS frame, event_id AS id, row_number() OVER (PARTITION BY media_id ORDER BY k // 10 DESC, event_id) AS n, v % 200 AS x0, v % 200 + 60 + k AS x1, k AS y0, k + 80 AS y1, (60 + k) * 80 AS area FROM m),
+SQL["j18_best_boxes"] = f"""WITH RECURSIVE {MEDIA}, b AS (SELECT media_id AS frame, event_id AS id, row_number() OVER (PARTITION BY media_id ORDER BY k * 100000 + event_id % 100000 DESC) AS n, v % 200 AS x0, v % 200 + 60 + k AS x1, k AS y0, k + 80 AS y1, (60 + k) * 80 AS area FROM m),
   p AS (SELECT a.frame, a.n, c.n AS other, {_BOTH} AS met, a.area + c.area AS areas FROM b a JOIN b c ON a.frame = c.frame AND c.n < a.n),
-  o AS (SELECT b.frame, b.n, coalesce(list(p.other) FILTER (p.met > 0.4 * (p.areas - p.met)), []) AS near FROM b LEFT JOIN p USING (frame, n) GROUP BY 1, 2),
+  o AS (SELECT b.frame, b.n, coalesce(list(p.other) FILTER (p.met > 0.3 * (p.areas - p.met)), []) AS near FROM b LEFT JOIN p USING (frame, n) GROUP BY 1, 2),
   r AS (SELECT frame, n, [n] AS kept FROM b WHERE n = 1 UNION ALL SELECT o.frame, o.n, CASE WHEN list_has_any(r.kept, o.near) THEN r.kept ELSE list_append(r.kept, o.n) END FROM r JOIN o ON o.frame = r.frame AND o.n = r.n + 1)
-  SELECT frame, id, x0 AS x, y0 AS y, x1 - x0 AS width, CAST(80 AS BIGINT) AS height, k // 10 AS score FROM r JOIN b USING (frame, n) JOIN (SELECT event_id AS id, k FROM m) USING (id) WHERE list_contains(r.kept, r.n)"""
+  SELECT frame, id, x0, y0, x1, y1, y0 * 100000 + id % 100000 AS score FROM r JOIN b USING (frame, n) WHERE list_contains(r.kept, r.n)"""

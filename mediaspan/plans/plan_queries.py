@@ -50,7 +50,14 @@ def _(spark, d):
 
 
 @query("e04_kept_segments", A.sql("words", f"""{BEST}, e AS (SELECT media_id, cut_start_us AS a, cut_end_us AS b FROM best UNION ALL SELECT media_id, 0, 0 FROM lens UNION ALL SELECT media_id, duration_us, duration_us FROM lens),
-  o AS (SELECT media_id, max(b) OVER (PARTITION BY media_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start_us, a AS end_us FROM e) SELECT * FROM o WHERE end_us - start_us > 500000"""))
+  o AS (SELECT media_id, max(b) OVER (PARTITION BY media_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x, a AS y FROM e),
+  s AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY x) AS pos FROM o WHERE y - x > 500000),
+  g AS (SELECT *, count(*) FILTER (pos = 1 OR y - x >= 720000) OVER (PARTITION BY media_id ORDER BY pos) AS g FROM s),
+  f AS (SELECT media_id, g, min(x) AS x, max(y) AS y FROM g GROUP BY 1, 2),
+  h AS (SELECT media_id, CASE WHEN g = 1 AND y - x < 720000 AND EXISTS (SELECT 1 FROM f n WHERE n.media_id = f.media_id AND n.g = 2) THEN 2 ELSE g END AS g, x, y FROM f),
+  q AS (SELECT media_id, g, min(x) AS start_us, max(y) AS end_us FROM h GROUP BY 1, 2),
+  z AS (SELECT media_id, duration_us, count(g) > 1 AND duration_us - sum(end_us - start_us) >= 700000 AS fine FROM lens LEFT JOIN q USING (media_id) GROUP BY 1, 2)
+  SELECT media_id, start_us, end_us FROM q JOIN z USING (media_id) WHERE fine UNION ALL SELECT media_id, 0, duration_us FROM z WHERE fine IS NOT TRUE"""))
 def _(spark, d):
     return P.kept_segments(best(spark, d), lengths(spark, d))
 
@@ -67,8 +74,11 @@ FRAMES = "fr AS (SELECT media_id, start_us AS t_us, (id * 7919) % 1000 * 1000 AS
 RADIUS = 1_800_000_000
 
 
-@query("e02_quiet_boundary", A.sql("tracks clips decisions", f"""{FRAMES}, ok AS (SELECT f.* FROM fr f WHERE NOT EXISTS (SELECT 1 FROM decisions b WHERE b.media_id = f.media_id AND b.end_us > b.start_us AND f.t_us >= b.start_us AND f.t_us < b.end_us))
-  SELECT c.media_id, c.clip_id AS id, c.start_us AS t_us, coalesce((SELECT f.t_us FROM ok f WHERE f.media_id = c.media_id AND abs(f.t_us - c.start_us) <= {RADIUS} ORDER BY f.level * 3 + abs(f.t_us - c.start_us), f.t_us LIMIT 1), c.start_us) AS quiet_us FROM clips c"""))
+@query("e02_quiet_boundary", A.sql("tracks clips decisions", f"""{FRAMES}, near AS (SELECT c.media_id, c.clip_id, c.start_us, f.t_us, f.level, abs(f.t_us - c.start_us) AS away FROM clips c JOIN fr f ON f.media_id = c.media_id AND f.t_us BETWEEN c.start_us - {RADIUS} AND c.start_us + {RADIUS}),
+  usual AS (SELECT clip_id, list_sort(list(level)) AS l FROM near GROUP BY 1), p AS (SELECT clip_id, coalesce(nullif(l[CAST(round_even((len(l) - 1) * 0.9::DOUBLE, 0) AS BIGINT) + 1], 0), nullif(l[-1], 0), 1)::DOUBLE AS high FROM usual),
+  ok AS (SELECT n.*, least(2.0::DOUBLE, level / high) + away / {RADIUS}.0::DOUBLE * 0.32::DOUBLE AS cost FROM near n JOIN p USING (clip_id) WHERE NOT EXISTS (SELECT 1 FROM decisions b WHERE b.media_id = n.media_id AND b.end_us > b.start_us AND n.t_us BETWEEN b.start_us AND b.end_us)),
+  first AS (SELECT clip_id, t_us FROM ok QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY cost, t_us) = 1)
+  SELECT c.media_id, c.clip_id AS id, c.start_us AS t_us, coalesce(q.t_us, c.start_us) AS quiet_us FROM clips c LEFT JOIN first q USING (clip_id)"""))
 def _(spark, d):
     frames = A.tracks(spark, d).where("label <> 'click'").select("media_id", F.col("start_us").alias("t_us"), ((F.col("id") * 7919) % 1000 * 1000).alias("level"))
     targets = A.clips(spark, d).select("media_id", F.col("clip_id").alias("id"), F.col("start_us").alias("t_us"))

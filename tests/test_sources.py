@@ -105,10 +105,8 @@ def test_reports(spark, tmp_path):
     assert [tuple(r) for r in spark.read.json(str(tmp_path / "r")).select("media_id", "recall").collect()] == [(2, 0.5)]
 
 
-def test_faults_loudness_and_boxes(spark):
+def test_faults_and_loudness(spark):
     logs = spark.createDataFrame([(1, "freeze_start: 2\nfreeze_duration: 1.5\nblack_duration:0.25\nfreeze_start: 7", 10_000_000), (2, "freeze_start: 12", 10_000_000), (3, None, None)], "media_id long, log string, duration_us long")
     assert sorted(tuple(r) for r in Q.picture_faults(logs).collect()) == [(1, 1, 250_000, 250_000, 2, 4_500_000, 3_000_000), (2, 0, 0, 0, 1, 0, 0), (3, 0, 0, 0, 0, 0, 0)]
     logs = spark.createDataFrame([(1, 'x {"input_i" : "-9"} {"input_i" : "-23.5",\n"input_lra" : "4", "input_tp" : "-inf"} {"other": 1}'), (2, "none"), (3, None)], "media_id long, log string")
     assert sorted((tuple(r) for r in Q.loudness(logs).collect()), key=lambda r: r[0]) == [(1, -23.5, 4.0, None, None), (2, None, None, None, None), (3, None, None, None, None)]
-    boxes = spark.createDataFrame([(1, 0, 0, 0, 10, 10, 5), (1, 1, 1, 0, 10, 10, 9), (1, 2, 50, 0, 10, 10, 1), (2, 3, 0, 0, 10, 10, 5), (2, 4, 0, 0, 10, 10, 5)], "frame long, id long, x long, y long, width long, height long, score long")
-    assert sorted(r["id"] for r in Q.distinct_boxes(boxes).collect()) == [1, 2, 3]
