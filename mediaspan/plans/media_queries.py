@@ -12,7 +12,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 MEDIA = "m AS (SELECT event_id // 16 AS media_id, event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS v, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
-COVERS = "covers AS (SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'tall' ELSE 'wide' END AS canvas, r_name AS platform, 'bar' AS name, 150 * r_regionkey AS cx0, 120 * r_regionkey AS cy0, 150 * r_regionkey + 200 AS cx1, 120 * r_regionkey + 180 AS cy1, r_regionkey FROM region)"
+COVERS = "covers AS (SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'tall' ELSE 'wide' END AS canvas, r_name AS platform, 'bar' AS name, 150 * r_regionkey::BIGINT AS cx0, 120 * r_regionkey::BIGINT AS cy0, 150 * r_regionkey::BIGINT + 200 AS cx1, 120 * r_regionkey::BIGINT + 180 AS cy1, r_regionkey FROM region)"
 BOXES = "boxes AS (SELECT event_id AS id, CASE WHEN k % 2 = 0 THEN 'tall' WHEN k % 3 = 0 THEN 'square' ELSE 'wide' END AS canvas, v % 900 AS x0, (k * 17) % 900 AS y0, v % 900 + 60 + k AS x1, (k * 17) % 900 + 40 AS y1 FROM m)"
 
 

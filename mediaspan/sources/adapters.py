@@ -35,8 +35,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as labelled spans of ten media: media_id, id, label, start_us, end_us."""
-    return _timed(spark, sf_dir).select((F.col("user_id") % 10).alias("media_id"), F.col("event_id").alias("id"), F.col("event_type").alias("label"), "start_us", "end_us")
+    """Events as labelled spans, a medium a user: media_id, id, label, start_us, end_us."""
+    return _timed(spark, sf_dir).select(F.col("user_id").alias("media_id"), F.col("event_id").alias("id"), F.col("event_type").alias("label"), "start_us", "end_us")
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,14 +71,14 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as frames: media_id, idx, label, embedding as integers (thousandths)."""
-    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 8).alias("media_id"), F.col("vec_id").alias("idx"), F.col("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("long")).alias("v"))
+    """embeddings as frames, 64 a medium: media_id, idx, label, embedding as integers (thousandths)."""
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("media_id"), F.col("vec_id").alias("idx"), F.col("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("long")).alias("v"))
 
 
 VIEWS = {
     "timed": "timed AS (SELECT event_id, user_id, event_type, props, epoch_us(ts) AS start_us, epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 600000 AS end_us FROM events)",
     "spans": "spans AS (SELECT event_type AS media_id, event_id AS id, start_us, end_us FROM timed)",
-    "tracks": "tracks AS (SELECT user_id % 10 AS media_id, event_id AS id, event_type AS label, start_us, end_us FROM timed)",
+    "tracks": "tracks AS (SELECT user_id AS media_id, event_id AS id, event_type AS label, start_us, end_us FROM timed)",
     "clips": "clips AS (SELECT media_id, id AS clip_id, start_us, end_us FROM tracks WHERE label = 'click')",
     "decisions": "decisions AS (SELECT media_id, id AS decision_id, start_us, end_us, CASE WHEN label = 'signup' THEN 'approved' ELSE 'rejected' END AS verdict FROM tracks WHERE label IN ('signup', 'error'))",
     "points": "points AS (SELECT media_id, id AS point_id, start_us AS t_us FROM tracks WHERE label = 'view')",
@@ -90,7 +90,7 @@ VIEWS = {
       begun AS (SELECT *, greatest(0, CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) - CASE WHEN role = 'assistant' THEN 500000 ELSE 0 END) AS start_us FROM laid),
       turns AS (SELECT conv_id AS media_id, turn AS pos, role AS speaker, start_us, start_us + n AS end_us, text FROM begun)""",
     "jobs": "jobs AS (SELECT user_id AS job_id, event_id, start_us AS at_us, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'running' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS status, CAST(json_extract_string(props, '$.k') AS INTEGER) AS progress FROM timed)",
-    "keyframes": "keyframes AS (SELECT vec_id % 8 AS media_id, vec_id AS idx, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS v FROM embeddings)",
+    "keyframes": "keyframes AS (SELECT vec_id // 64 AS media_id, vec_id AS idx, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS v FROM embeddings)",
 }
 _NEEDS = {"spans": ["timed"], "tracks": ["timed"], "clips": ["timed", "tracks"], "decisions": ["timed", "tracks"], "points": ["timed", "tracks"], "jobs": ["timed"]}
 
