@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaspan.llm import decontaminate, licenses, lm, minhash, mixing, pii, repeats, tokens, topk, toxicity
+from mediaspan.llm import decontaminate, forest, licenses, lloyd, lm, minhash, mixing, pii, repeats, rtree, tokens, topk, toxicity
 from mediaspan.llm.shared import scratch, table
 
 
@@ -56,6 +56,19 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict = {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op3_decontamination": op3_decontamination, "op4_suffix_dedup": op4_suffix_dedup, "op5_toxicity": op5_toxicity, "op6_licenses": op6_licenses, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_minhash": op9_minhash, "op10_token_ids": op10_token_ids}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtree.hard_negatives(rtree.relabelled(table(spark, sf_dir, "embeddings")))
 
-SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op4_suffix_dedup": repeats.ORACLE, "op7_topk": topk.ORACLE, "op9_minhash": minhash.ORACLE}
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_mixing, op2_pii, op3_decontamination, op4_suffix_dedup, op5_toxicity, op6_licenses, op7_topk, op8_lm, op9_minhash, op10_token_ids, op11_hard_negatives, op12_vector_codes, op13_neighbours)
+QUERIES: dict = {f.__name__: f for f in _ALL}
+
+SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op4_suffix_dedup": repeats.ORACLE, "op7_topk": topk.ORACLE, "op9_minhash": minhash.ORACLE, "op11_hard_negatives": rtree.ORACLE, "op12_vector_codes": lloyd.ORACLE}

@@ -11,10 +11,15 @@ _PAIRS = "query_id long, vec_id long, score long"
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
+def usable_rows(vectors: DataFrame) -> DataFrame:
+    """Rows with a vector of finite components, as they are."""
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vectors.where(F.coalesce(fine, F.lit(False)))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows with an id and a vector of finite components."""
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return usable_rows(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull())
 
 
 def packed(rows: DataFrame, block: str, scale: float) -> DataFrame:
