@@ -49,15 +49,18 @@ def _(spark, d):
     return best(spark, d)
 
 
-@query("e04_kept_segments", A.sql("words", f"""{BEST}, e AS (SELECT media_id, cut_start_us AS a, cut_end_us AS b FROM best UNION ALL SELECT media_id, 0, 0 FROM lens UNION ALL SELECT media_id, duration_us, duration_us FROM lens),
+KEPT = f"""{BEST}, e AS (SELECT media_id, cut_start_us AS a, cut_end_us AS b FROM best UNION ALL SELECT media_id, 0, 0 FROM lens UNION ALL SELECT media_id, duration_us, duration_us FROM lens),
   o AS (SELECT media_id, max(b) OVER (PARTITION BY media_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x, a AS y FROM e),
   s AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY x) AS pos FROM o WHERE y - x > 500000),
   g AS (SELECT *, count(*) FILTER (pos = 1 OR y - x >= 720000) OVER (PARTITION BY media_id ORDER BY pos) AS g FROM s),
   f AS (SELECT media_id, g, min(x) AS x, max(y) AS y FROM g GROUP BY 1, 2),
   h AS (SELECT media_id, CASE WHEN g = 1 AND y - x < 720000 AND EXISTS (SELECT 1 FROM f n WHERE n.media_id = f.media_id AND n.g = 2) THEN 2 ELSE g END AS g, x, y FROM f),
   q AS (SELECT media_id, g, min(x) AS start_us, max(y) AS end_us FROM h GROUP BY 1, 2),
-  z AS (SELECT media_id, duration_us, count(g) > 1 AND duration_us - sum(end_us - start_us) >= 700000 AS fine FROM lens LEFT JOIN q USING (media_id) GROUP BY 1, 2)
-  SELECT media_id, start_us, end_us FROM q JOIN z USING (media_id) WHERE fine UNION ALL SELECT media_id, 0, duration_us FROM z WHERE fine IS NOT TRUE"""))
+  z AS (SELECT media_id, duration_us, count(g) > 1 AND duration_us - sum(end_us - start_us) >= 700000 AS fine FROM lens LEFT JOIN q USING (media_id) GROUP BY 1, 2),
+  kept AS (SELECT media_id, start_us, end_us FROM q JOIN z USING (media_id) WHERE fine UNION ALL SELECT media_id, 0, duration_us FROM z WHERE fine IS NOT TRUE)"""
+
+
+@query("e04_kept_segments", A.sql("words", f"{KEPT} SELECT * FROM kept"))
 def _(spark, d):
     return P.kept_segments(best(spark, d), lengths(spark, d))
 
