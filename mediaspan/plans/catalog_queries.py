@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mediaspan.operators import catalog as C
 from mediaspan.sources import adapters as A
+from mediaspan.sources.scratch import folder
 from mediaspan.streaming import jobs as J
 
 QUERIES: dict = {}
@@ -241,31 +239,64 @@ def _(spark, d):
     return A.jobs(spark, d).groupBy("job_id").agg((F.max("at_us") - F.min("at_us")).alias("elapsed_us"), F.max_by("status", F.struct("at_us", "event_id")).alias("status"))
 
 
-def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+#: The job log up to where the stream's watermark ends, numbered by job.
+LOG = """wm AS (SELECT epoch_us(max(ts)) // 1000 - 600000 AS passed FROM events),
+  lg AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY at_us, event_id) AS k FROM jobs, wm WHERE (at_us + 999) // 1000 < passed)"""
+
+
+@query("l01_changes", A.sql("jobs", f"""{LOG}, g AS (SELECT DISTINCT job_id, 0::BIGINT AS k, NULL::VARCHAR AS status, NULL::BIGINT AS at_us, NULL::BIGINT AS event_id, false AS said FROM lg
+    UNION ALL SELECT l.job_id, l.k, CASE WHEN y THEN l.status ELSE g.status END, CASE WHEN y THEN l.at_us ELSE g.at_us END, l.event_id, y
+    FROM (SELECT l.*, g.status AS gs, g.status IS NULL OR l.at_us > g.at_us + 86400000000 OR (g.status NOT IN ('succeeded', 'failed') AND g.status <> l.status) AS y FROM g JOIN lg l ON l.job_id = g.job_id AND l.k = g.k + 1) l JOIN g ON g.job_id = l.job_id AND l.k = g.k + 1)
+  SELECT job_id, event_id, status FROM g WHERE said"""))
+def _(spark, d):
+    return J.drained(J.changes(J.job_log(J.events(spark, d)).drop("progress")), "append", folder(spark))
+
+
+#: Each job's log as a recursion that carries its status, progress, time and whether it has ended.
+LIVES = f"""{LOG}, g AS (SELECT DISTINCT job_id, 0::BIGINT AS k, '' AS status, NULL::INTEGER AS progress, NULL::BIGINT AS at_us, false AS ended, NULL::BIGINT AS event_id, NULL::BIGINT AS event_us, NULL::VARCHAR AS event_status, NULL::VARCHAR AS reason, NULL::BIGINT AS stalled_us FROM lg
+    UNION ALL SELECT job_id, k, CASE WHEN reason IS NULL THEN e_status ELSE status1 END, CASE WHEN reason IS NOT NULL THEN progress1 WHEN e_status = 'succeeded' THEN 100 ELSE coalesce(e_progress, progress1) END, CASE WHEN reason IS NULL THEN e_at ELSE at1 END,
+      CASE WHEN reason IS NULL THEN e_status IN ('succeeded', 'failed') ELSE ended1 END, event_id, e_at, e_status, reason, stalled_us
+    FROM (SELECT *, CASE WHEN ended1 THEN 'ended' WHEN NOT CASE status1 WHEN '' THEN e_status IN ('queued', 'running') WHEN 'queued' THEN e_status IN ('queued', 'running', 'failed') WHEN 'running' THEN e_status IN ('running', 'succeeded', 'failed') ELSE false END THEN 'move' WHEN e_progress < progress1 THEN 'progress' END AS reason
+      FROM (SELECT *, CASE WHEN gone THEN '' WHEN stalled_us IS NOT NULL THEN 'failed' ELSE status END AS status1, CASE WHEN gone THEN NULL ELSE progress END AS progress1, CASE WHEN gone THEN NULL ELSE coalesce(stalled_us, at_us) END AS at1, CASE WHEN gone THEN false ELSE ended OR stalled_us IS NOT NULL END AS ended1
+        FROM (SELECT *, coalesce(e_at > coalesce(stalled_us, at_us) + 86400000000, false) AS gone
+          FROM (SELECT l.job_id, l.k, l.event_id, l.at_us AS e_at, l.status AS e_status, l.progress AS e_progress, g.status, g.progress, g.at_us, g.ended, CASE WHEN g.status = 'running' AND NOT g.ended AND l.at_us > g.at_us + 7200000000 THEN g.at_us + 7200000000 END AS stalled_us
+            FROM g JOIN lg l ON l.job_id = g.job_id AND l.k = g.k + 1)))))"""
+
+
+def lives(spark, d):
+    return J.drained(J.lifecycle(J.job_log(J.events(spark, d))), "append", folder(spark))
+
+
+@query("l02_lifecycle", A.sql("jobs", f"{LIVES} SELECT job_id, event_id, event_us AS at_us, event_status AS status, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS verdict, reason FROM g WHERE k > 0"))
+def _(spark, d):
+    return lives(spark, d).where("verdict <> 'failed'")
 
 
-@query("l01_changes", "WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT user_id AS job_id, event_id, event_type FROM l WHERE p IS NULL OR p <> event_type")
+@query("l03_failed", A.sql("jobs", f"""{LIVES} SELECT job_id, stalled_us AS at_us FROM g WHERE stalled_us IS NOT NULL
+  UNION ALL SELECT job_id, at_us + 7200000000 FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY k DESC) = 1), wm WHERE status = 'running' AND NOT ended AND (at_us + 7200000999) // 1000 < passed"""))
 def _(spark, d):
-    return J.drained(J.changes(J.events(spark, d)), "append", folder(spark))
+    return lives(spark, d).where("verdict = 'failed'").select("job_id", "at_us")
 
 
-@query("l04_throttle")
+@query("l04_throttle", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, CAST(round(value * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, max(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS best FROM events),
+  g AS (SELECT user_id, k, event_id, best, us AS last, true AS said FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.event_id, e.best, CASE WHEN e.us - last >= 3600000000 THEN e.us ELSE last END, e.us - last >= 3600000000 FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1)
+  SELECT user_id AS job_id, event_id, best FROM g WHERE said""")
 def _(spark, d):
     return J.drained(J.throttled(J.events(spark, d)), "append", folder(spark))
 
 
 @query("l06_unique", "SELECT event_id, user_id AS job_id, event_type FROM events")
 def _(spark, d):
-    stream = J.events(spark, d)
+    # Every seventh event comes twice.
+    stream = J.events(spark, d).union(J.events(spark, d).where("event_id % 7 = 0"))
     return J.drained(J.unique(stream).select("event_id", "job_id", "event_type"), "append", folder(spark))
 
 
-@query("l07_density", "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1")
+@query("l07_density", A.sql("timed", "b AS (SELECT start_us, end_us, unnest(range(start_us // 3600000000, (end_us - 1) // 3600000000 + 1)) AS w FROM timed WHERE end_us > start_us), s AS (SELECT w, CAST(sum(least(end_us, (w + 1) * 3600000000) - greatest(start_us, w * 3600000000)) AS BIGINT) AS us, count(*) AS n FROM b GROUP BY 1) SELECT w AS window_id, us AS speech_us, n, round(least(1.0::DOUBLE, us / 3600000000), 6) AS ratio FROM s"))
 def _(spark, d):
-    out = J.drained(J.density(J.events(spark, d)), "complete", folder(spark))
-    return out.select(F.unix_micros("start").alias("start_us"), "n", "cents")
+    start = F.unix_micros("at")
+    spans = J.events(spark, d).select("at", start.alias("start_us"), (start + F.round(F.col("value") * 100).cast("long") * A.MINUTE).alias("end_us"))
+    return J.drained(J.density(spans), "complete", folder(spark))
 
 
 @query("l08_sessions", "WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id AS job_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM g GROUP BY user_id, g")

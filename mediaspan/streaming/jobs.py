@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
+# The statuses that end a job, and those that may follow each one.
+TERMINAL = ("succeeded", "failed", "cancelled")
+MOVES = {"": ("queued", "running"), "queued": ("queued", "running", "cancelled", "failed"), "running": ("running", "succeeded", "cancelled", "failed")}
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of (event_id, at, job_id, event_type, value)."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(path) if _is_folder(spark, path) else spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.select("event_id", F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("job_id"), "event_type", "value")
+    return stream.select("event_id", F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("job_id"), "event_type", "value", "props")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -28,10 +34,19 @@ def unique(stream: DataFrame, key: str = "event_id", late: str = "10 minutes") -
     return stream.withWatermark("at", late).dropDuplicatesWithinWatermark([key])
 
 
-def density(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events and their value (in cents) by tumbling window."""
-    cents = F.round(F.col("value") * 100).cast("long")
-    return stream.withWatermark("at", late).groupBy(F.window("at", width)).agg(F.count("*").alias("n"), F.sum(cents).alias("cents")).select(F.col("window.start").alias("start"), "n", "cents")
+def job_log(stream: DataFrame) -> DataFrame:
+    """events() as a job log: job_id, event_id, at, status, progress."""
+    status = F.element_at(F.create_map(*[F.lit(x) for pair in (("view", "queued"), ("click", "running"), ("purchase", "succeeded"), ("error", "failed"), ("signup", "running")) for x in pair]), F.col("event_type"))
+    return stream.select("job_id", "event_id", "at", status.alias("status"), F.get_json_object("props", "$.k").cast("int").alias("progress"))
+
+
+def density(spans: DataFrame, width_us: int = HOUR_US, late: str = "10 minutes") -> DataFrame:
+    """spans(at, start_us, end_us), `at` being the time of their start: how much of each tumbling window
+    they fill. A span is dealt to every window that it meets, with its length within it."""
+    met = spans.withWatermark("at", late).where("end_us > start_us").withColumn("w", F.explode(F.sequence(F.floor(F.col("start_us") / width_us), F.floor((F.col("end_us") - 1) / width_us))))
+    inside = F.least("end_us", (F.col("w") + 1) * width_us) - F.greatest("start_us", F.col("w") * width_us)
+    out = met.groupBy(F.col("w").alias("window_id")).agg(F.sum(inside).alias("speech_us"), F.count("*").alias("n"))
+    return out.withColumn("ratio", F.round(F.least(F.lit(1.0), F.col("speech_us") / width_us), 6))
 
 
 def utterances(stream: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -39,21 +54,136 @@ def utterances(stream: DataFrame, gap: str = "30 minutes", late: str = "10 minut
     return stream.withWatermark("at", late).groupBy("job_id", F.session_window("at", gap)).agg(F.count("*").alias("n")).select("job_id", F.col("session_window.start").alias("start"), "n")
 
 
-def changes(stream: DataFrame) -> DataFrame:
-    """A job's rows whose status differs from the last one emitted, in order of event_id within a
-    batch; the last status of each job is the state."""
+class Fold:
+    """What a job's events do to its state, in order of their time.
 
-    def emit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("event_id")
-        keep = []
-        for status in rows["event_type"]:
-            keep.append(status != last)
-            last = status
-        state.update((last,))
-        yield rows[keep][["job_id", "event_id", "event_type"]]
-
-    return stream.groupBy("job_id").applyInPandasWithState(emit, "job_id long, event_id long, event_type string", "last string", "append", GroupStateTimeout.NoTimeout)
+    `on` gets a job's state (None at first) and an event, `overdue` a state whose `due` time the
+    watermark has passed; both give the new state (None: forgotten) and rows to emit.
+    """
+
+    def on(self, job: int, state: dict | None, event: dict) -> tuple[dict | None, list[tuple]]:
+        raise NotImplementedError
+
+    def due(self, state: dict) -> int:
+        raise NotImplementedError
+
+    def overdue(self, job: int, state: dict) -> tuple[dict | None, list[tuple]]:
+        raise NotImplementedError
+
+
+def _ms(us: int) -> int:
+    return -(-us // 1000)
+
+
+def in_order(stream: DataFrame, fold: Fold, columns: list[str], schema: str, late: str = "10 minutes") -> DataFrame:
+    """stream(job_id, event_id, at, columns) folded by job in order of (at, event_id), whatever the order of arrival.
+
+    A job's state holds the events that the watermark hasn't passed yet, so what comes out doesn't
+    depend on how events are dealt into batches; a timer in event time calls the job when the
+    watermark passes its next event or the time its state is due, also if nothing comes in.
+    Events later than the watermark are dropped by Spark.
+    """
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def call(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state, waiting = json.loads(held.get[0]) if held.exists else (None, [])
+        if not held.hasTimedOut:
+            for rows in frames:
+                us = rows["at"].astype("datetime64[us, UTC]" if rows["at"].dt.tz else "datetime64[us]").astype("int64")
+                values = [[None if pd.isna(v) else v for v in rows[c].tolist()] for c in columns]
+                waiting += [list(x) for x in zip(us.tolist(), rows["event_id"].tolist(), *values, strict=True)]
+        passed, out = held.getCurrentWatermarkMs(), []
+        waiting.sort(key=lambda x: x[:2])
+        ready = [x for x in waiting if _ms(x[0]) < passed]
+        waiting = waiting[len(ready) :]
+        for at, event, *values in ready:
+            state, rows = fold.on(key[0], state, {"at": at, "event_id": event, **dict(zip(columns, values, strict=True))})
+            out += rows
+        while state is not None and _ms(fold.due(state)) < passed:
+            state, rows = fold.overdue(key[0], state)
+            out += rows
+        if state is None and not waiting:
+            held.remove()
+        else:
+            held.update((json.dumps([state, waiting]),))
+            times = [waiting[0][0]] if waiting else []
+            held.setTimeoutTimestamp(max(passed + 1, min(map(_ms, times + ([] if state is None else [fold.due(state)])))))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    rows = stream.withWatermark("at", late).select("job_id", "event_id", "at", *columns)
+    return rows.groupBy("job_id").applyInPandasWithState(call, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Changes(Fold):
+    """Rows whose status differs from the last one; after a terminal status none until the job is
+    forgotten, `expire_us` after its last change of status."""
+
+    def __init__(self, terminal: tuple[str, ...], expire_us: int):
+        self.terminal, self.expire_us = terminal, expire_us
+
+    def on(self, job, state, event):
+        if state is not None and event["at"] > self.due(state):
+            state = None
+        if state is not None and (state["status"] in self.terminal or state["status"] == event["status"]):
+            return state, []
+        return {"status": event["status"], "at": event["at"]}, [(job, event["event_id"], event["status"])]
+
+    def due(self, state):
+        return state["at"] + self.expire_us
+
+    def overdue(self, job, state):
+        return None, []
+
+
+def changes(stream: DataFrame, terminal: tuple[str, ...] = TERMINAL, expire_us: int = DAY_US, late: str = "10 minutes") -> DataFrame:
+    """stream(job_id, event_id, at, status): see Changes."""
+    return in_order(stream, Changes(terminal, expire_us), ["status"], "job_id long, event_id long, status string", late)
+
+
+class Lifecycle(Fold):
+    """Judges each event of a job: accepted, or rejected (`move` isn't allowed from the status it has,
+    it has `ended`, or its `progress` would go back); a running job without an accepted event for
+    `stale_us` failed then. Jobs are forgotten `expire_us` after their last accepted event or end."""
+
+    def __init__(self, moves: dict[str, tuple[str, ...]], stale_us: int, expire_us: int):
+        self.moves, self.stale_us, self.expire_us = moves, stale_us, expire_us
+
+    def on(self, job, state, event):
+        out = []
+        while state is not None and event["at"] > self.due(state):
+            state, rows = self.overdue(job, state)
+            out += rows
+        status, progress = event["status"], event["progress"]
+        before = state or {"status": "", "progress": None, "ended": False}
+        if before["ended"]:
+            reason = "ended"
+        elif status not in self.moves.get(before["status"], ()):
+            reason = "move"
+        elif progress is not None and before["progress"] is not None and progress < before["progress"]:
+            reason = "progress"
+        else:
+            reason = None
+            done = 100 if status == "succeeded" else before["progress"] if progress is None else progress
+            state = {"status": status, "progress": done, "at": event["at"], "ended": status in TERMINAL}
+        return state, [*out, (job, event["event_id"], event["at"], status, "rejected" if reason else "accepted", reason)]
+
+    def due(self, state):
+        return state["at"] + (self.stale_us if state["status"] == "running" and not state["ended"] else self.expire_us)
+
+    def overdue(self, job, state):
+        if state["status"] == "running" and not state["ended"]:
+            at = self.due(state)
+            return {**state, "status": "failed", "ended": True, "at": at}, [(job, None, at, "failed", "failed", "stalled")]
+        return None, []
+
+
+def lifecycle(stream: DataFrame, moves: dict[str, tuple[str, ...]] = MOVES, stale_us: int = 2 * HOUR_US, expire_us: int = DAY_US, late: str = "10 minutes") -> DataFrame:
+    """stream(job_id, event_id, at, status, progress) -> job_id, event_id, at_us, status, verdict, reason; see Lifecycle.
+
+    `moves` gives the statuses that may follow each one, "" standing for a job not known yet.
+    """
+    return in_order(stream, Lifecycle(moves, stale_us, expire_us), ["status", "progress"], "job_id long, event_id long, at_us long, status string, verdict string, reason string", late)
 
 
 def throttled(stream: DataFrame, least_us: int = 3_600_000_000) -> DataFrame:
