@@ -10,9 +10,17 @@ from mediaspan.llm.queries import vocabulary
 from mediaspan.llm.shared import discard, made, scratch, table
 
 
-def _hash(*columns: str) -> Column:
+def _hash(*columns: str, seed: int = 0) -> Column:
     """The same for the same values; nulls count, so they don't leave a place to another column."""
-    return F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
+    return F.xxhash64(F.lit(seed), *(x for c in columns for x in (F.col(c), F.col(c).isNull())))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of 128 bits, in two halves."""
+    return docs.withColumns({"row_key": _hash(*docs.columns), "row_key_2": _hash(*docs.columns, seed=1)})
+
+
+KEY = ["row_key", "row_key_2"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +29,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Scores go by row, not by id, so rows with null or repeated ids are each judged by their own
     text; null and empty texts have the score of no evidence; equal rows have the same score.
     """
-    rows = docs.withColumn("row_key", _hash(*docs.columns))
+    rows = _keyed(docs)
     classifier = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    bad = toxicity.score(rows.select("row_key", "text"), classifier, ["row_key"]).where(F.col("predicted") == 1)
-    return rows.join(bad.select("row_key").distinct(), "row_key", "left_anti").select(*docs.columns)
+    bad = toxicity.score(rows.select(*KEY, "text"), classifier, KEY).where(F.col("predicted") == 1)
+    return rows.join(bad.select(*KEY).distinct(), KEY, "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +40,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are compared, not ids: rows that share a doc_id stay unless their texts are alike, rows
     with a null doc_id are texts like others (and the last that a group keeps), and of equal rows
-    one stays.
+    one stays. The comparison knows rows by the first half of their keys; unlike rows that share
+    it, should there be any, all stay.
     """
-    rows = docs.withColumn("row_key", _hash(*docs.columns))
+    rows = _keyed(docs)
     found = minhash.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"), size=5, threshold=80)
     groups = found.select(F.col("doc_id").alias("row_key"), "component_id").distinct()
-    groups = groups.join(rows.select("row_key", "doc_id").distinct(), "row_key")
+    groups = groups.join(rows.select(*KEY, "doc_id").distinct(), "row_key")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     kept = groups.groupBy("component_id").agg(least.alias("least")).select("least.row_key")
-    return rows.join(kept.hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    shared_half = groups.groupBy("row_key").agg((F.min("row_key_2") < F.max("row_key_2")).alias("shared")).where("shared").select("row_key")
+    kept = kept.unionByName(shared_half)
+    return rows.join(kept.hint("merge"), "row_key", "left_semi").dropDuplicates(KEY).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +66,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row, whatever its doc_id, gets the copies of one unit: those of rows with the same
     doc_id, source and size, which are alike to the mixing, are handed out in the rows' order.
     """
-    unit = _hash("doc_id", "source", "size").alias("unit")
-    copies = mixing.mix(docs).select(unit, "copies").groupBy("unit").agg(F.array_sort(F.collect_list("copies")).alias("copies"))
-    rows = docs.withColumn("size", mixing.word_count(F.col("text"))).select(*docs.columns, unit, _hash(*docs.columns).alias("row_key"))
-    rows = rows.join(copies.where(F.exists("copies", lambda n: n > 0)).hint("merge"), "unit")
-    place = F.row_number().over(Window.partitionBy("unit").orderBy("row_key"))
+    unit = [_hash("doc_id", "source", "size", seed=k).alias(name) for k, name in enumerate(("unit", "unit_2"))]
+    copies = mixing.mix(docs).select(*unit, "copies").groupBy("unit", "unit_2").agg(F.array_sort(F.collect_list("copies")).alias("copies"))
+    rows = docs.withColumn("size", mixing.word_count(F.col("text"))).select(*docs.columns, *unit, _hash(*docs.columns).alias("row_key"))
+    rows = rows.join(copies.where(F.exists("copies", lambda n: n > 0)).hint("merge"), ["unit", "unit_2"])
+    place = F.row_number().over(Window.partitionBy("unit", "unit_2").orderBy("row_key"))
     rows = rows.withColumn("place", place).withColumn("copies", F.element_at("copies", F.col("place"))).where(F.col("copies") > 0)
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 

@@ -16,6 +16,8 @@ from mediaspan.llm import shared
 #: average; 23 is 4.6 standard deviations above.
 BITS, BLOCKS, RADIUS = 64, 8, 23
 WORDS, SIMILARITY = 5, 0.8
+#: Shingles whose bits are summed at once, and windows of a stretch that are looked at at once.
+SLICE, STRETCH = 1 << 16, 4096
 
 
 def fingerprints(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -113,26 +115,49 @@ def matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> list[tuple[i
         begin = np.maximum(begin, 0)
         full = np.maximum(end - begin - size + 1, 1)  # shingles of the window
         full = np.where((begin == 0) & (end == words), at[row + 1] - at[row], full)
-        cuts = np.cumsum(full) - full
-        mine = found[np.repeat(at[row] + begin - cuts, full) + np.arange(full.sum())]
-        prints = fingerprints(mine, cuts)
-        for length in np.unique(n):
-            group, index, sets = items.groups[int(length)]
-            some = np.flatnonzero(n == length)
-            for k, near in zip(some, index.find(prints[some]), strict=True):
-                own = np.unique(mine[cuts[k] : cuts[k] + full[k]], return_counts=True)
-                for x in near:
-                    if (like := similarity(own, sets[x])) >= SIMILARITY - 1e-12:
-                        out.append((int(row[k]), int(group[x]), int(begin[k]), int(end[k] - begin[k]), like))
+        for a, b in shared.slices(np.concatenate([[0], np.cumsum(full)]), SLICE):
+            own = slice(a, b)
+            cuts = np.cumsum(full[own]) - full[own]
+            mine = found[np.repeat(at[row[own]] + begin[own] - cuts, full[own]) + np.arange(full[own].sum())]
+            prints = fingerprints(mine, cuts)
+            for length in np.unique(n[own]):
+                group, index, sets = items.groups[int(length)]
+                some = np.flatnonzero(n[own] == length)
+                for k, near in zip(some, index.find(prints[some]), strict=True):
+                    counted = np.unique(mine[cuts[k] : cuts[k] + full[a + k]], return_counts=True)
+                    for x in near:
+                        if (like := similarity(counted, sets[x])) >= SIMILARITY - 1e-12:
+                            out.append((int(row[a + k]), int(group[x]), int(begin[a + k]), int(end[a + k] - begin[a + k]), like))
         out += _anywhere(items, met, {(r, i) for r, i, *_ in out}, found, at, np.diff(first), size)
     return out
 
 
+def stretches(places: np.ndarray, width: int, least: int) -> list[tuple[int, int]]:
+    """(first, last) of the runs of places b such that b to b + width - 1 holds `least` of the ascending places."""
+    starts, stops = places - width + 1, places + 1
+    points = np.unique(np.concatenate([starts, stops]))
+    enough = np.searchsorted(starts, points, "right") - np.searchsorted(stops, points, "right") >= least
+    turns = np.flatnonzero(np.diff(enough.astype(np.int8), prepend=0, append=0))
+    return [(int(points[a]), int(points[b]) - 1) for a, b in turns.reshape(-1, 2)]
+
+
+def rolled(found: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """SimHash of found[begin:end] for ascending begins and ends that lie near each other, by running sums of bits."""
+    low, high = int(begin[0]), int(end.max())
+    bits = np.unpackbits(found[low:high].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sums = np.zeros((high - low + 1, BITS), np.int32)
+    np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
+    more = 2 * (sums[end - low] - sums[begin - low]) > (end - begin)[:, None]
+    return np.packbits(more, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def _anywhere(items: Items, met: np.ndarray, done: set, found: np.ndarray, at: np.ndarray, words: np.ndarray, size: int) -> list[tuple[int, int, int, int, float]]:
     """As `matches`, of all windows at all places, for pairs of row and item that are not done.
 
     met: the ascending (row, item, place) of shared shingles. In a window like an item, shingles
-    at 0.8 of as many places as the item has are the item's, so only such windows are compared.
+    at 0.8 of as many places as the item has are the item's; each window of such a stretch gets
+    its fingerprint, and those within the radius of the item's are compared. Stretches are gone
+    through in slices, so memory does not grow with a text's repeats.
     """
     out = []
     cuts = np.flatnonzero(np.any(np.diff(met[:, :2], axis=0), axis=1)) + 1
@@ -143,15 +168,23 @@ def _anywhere(items: Items, met: np.ndarray, done: set, found: np.ndarray, at: n
         n, places = int(items.lengths[item]), met[cuts[k] : cuts[k + 1], 2]
         if (row, item) in done or words[row] < size:
             continue
-        begin = np.unique(np.arange(-n, 1) + places[:, None])
-        begin, end = np.unique(np.stack([np.maximum(begin, 0), np.minimum(begin + n, words[row])], 1), axis=0).T
-        shares = np.searchsorted(places, end - size, "right") - np.searchsorted(places, begin, "left")
-        group, _, sets = items.groups[n]
-        own = sets[int(np.searchsorted(group, item))]
-        for b, e in zip(begin[shares >= least[item]].tolist(), end[shares >= least[item]].tolist(), strict=True):
-            mine = np.unique(found[at[row] + b : at[row] + e - size + 1], return_counts=True)
-            if (like := similarity(mine, own)) >= SIMILARITY - 1e-12:
-                out.append((row, item, b, e - b, like))
+        group, index, sets = items.groups[n]
+        place = int(np.searchsorted(group, item))
+        for low, high in stretches(places, n - size + 1, int(least[item])):
+            for b in range(max(low, -n), high + 1, STRETCH):
+                begin = np.arange(b, min(b + STRETCH, high + 1))
+                end = np.minimum(begin + n, words[row])
+                begin = np.maximum(begin, 0)
+                fits = end - begin >= size
+                begin, end = begin[fits], end[fits]
+                if not len(begin):
+                    continue
+                prints = rolled(found, at[row] + begin, at[row] + end - size + 1)
+                near = np.bitwise_count(prints ^ index.prints[place]) <= RADIUS
+                for x, y in sorted(set(zip(begin[near].tolist(), end[near].tolist(), strict=True))):
+                    mine = np.unique(found[at[row] + x : at[row] + y - size + 1], return_counts=True)
+                    if (like := similarity(mine, sets[place])) >= SIMILARITY - 1e-12:
+                        out.append((row, item, x, y - x, like))
     return out
 
 

@@ -220,6 +220,34 @@ def test_decontamination_of_reordered_items(spark):
     assert [r["doc_id"] for r in decontaminate.clean(table(spark, rows), benchmark).collect()] == [99]
 
 
+def test_stretches_and_rolled_fingerprints():
+    rng = np.random.default_rng(2)
+    places = np.unique(rng.integers(0, 400, 90))
+    for width, least in ((20, 4), (20, 9), (1, 1), (400, 80)):
+        inside = {b for a, z in decontaminate.stretches(places, width, least) for b in range(a, z + 1)}
+        assert inside == {b for b in range(-500, 900) if ((places >= b) & (places < b + width)).sum() >= least}
+    found = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    begin = np.arange(40, 90)
+    end = np.minimum(begin + 60, 120)
+    plain = [decontaminate.fingerprints(found[a:b], np.array([0]))[0] for a, b in zip(begin, end)]
+    assert decontaminate.rolled(found, begin, end).tolist() == plain
+
+
+def test_decontamination_of_long_repeats_is_bounded():
+    import tracemalloc
+
+    words_ = [f"w{k}" for k in range(400)]
+    items = decontaminate.Items([1], [" ".join(words_)])
+    text = " ".join(words_[:200] * 150 + words_[200:] + words_[:200])
+    data, offsets = shared.buffer(pa.array([text]))
+    hashes, first, _, _ = shared.words(data, offsets)
+    tracemalloc.start()
+    got = decontaminate.matches(items, hashes, first)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got and max(x[4] for x in got) > 0.98 and peak < 80 << 20
+
+
 def test_hamming_blocks():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 2**63, 200, dtype=np.uint64)
@@ -600,3 +628,19 @@ def test_pipeline_keeps_odd_rows(spark):
     for r in mixing.mix(frame).collect():
         expected[r["doc_id"], r["source"], r["size"]] += r["copies"]
     assert mixed == +expected and any(k[0] is None for k in mixed)
+
+
+def test_pipeline_loses_no_row_to_a_shared_hash(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from pyspark.sql import functions as F
+
+    whole = pipeline._hash
+    monkeypatch.setattr(pipeline, "_hash", lambda *columns, seed=0: whole(*columns, seed=seed) if seed else F.lit(7).cast("long"))
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(4)]
+    frame = docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 1)])
+    assert sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, frame, "").collect()) == [0, 1, 2, 3]
+    toxic_only = lambda rows, classifier, keys: rows.where(F.col("text") == texts[2]).select(*keys, F.lit(1).alias("predicted"))
+    monkeypatch.setattr(toxicity, "fit", lambda *a: None)
+    monkeypatch.setattr(toxicity, "score", toxic_only)
+    assert sorted(r["doc_id"] for r in pipeline.toxic(spark, frame, "/root/testdata/sf0.001").collect()) == [0, 0, 1, 3]
