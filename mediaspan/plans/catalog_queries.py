@@ -78,7 +78,7 @@ def _(spark, d):
     return pairs.join(A.table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).groupBy("l_orderkey").agg(F.sum("p_size").alias("bytes"))
 
 
-@query("g20_gate", A.sql("jobs", """j AS (SELECT job_id, count(*) AS n, count(*) FILTER (status = 'failed') AS bad, max(progress) AS top FROM jobs GROUP BY 1) SELECT job_id, concat_ws(',', CASE WHEN n < 60 THEN 'few' END, CASE WHEN bad * 5 > n THEN 'failures' END, CASE WHEN top < 99 THEN 'progress' END) AS codes FROM j"""))
+@query("g20_job_gate", A.sql("jobs", """j AS (SELECT job_id, count(*) AS n, count(*) FILTER (status = 'failed') AS bad, max(progress) AS top FROM jobs GROUP BY 1) SELECT job_id, concat_ws(',', CASE WHEN n < 60 THEN 'few' END, CASE WHEN bad * 5 > n THEN 'failures' END, CASE WHEN top < 99 THEN 'progress' END) AS codes FROM j"""))
 def _(spark, d):
     j = A.jobs(spark, d).groupBy("job_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("bad"), F.max("progress").alias("top"))
     return j.select("job_id", F.array_join(F.array_compact(F.array(F.when(F.col("n") < 60, "few"), F.when(F.col("bad") * 5 > F.col("n"), "failures"), F.when(F.col("top") < 99, "progress"))), ",").alias("codes"))

@@ -186,7 +186,7 @@ def _(spark, d):
 DAY = 86_400_000_000
 
 
-@query("g07_density", A.sql("clips", f"""{union_sql('clips', 'u')}, b AS (SELECT media_id, start_us, end_us, unnest(range(start_us // {DAY}, (end_us - 1) // {DAY} + 1)) AS w FROM u)
+@query("g07_union_density", A.sql("clips", f"""{union_sql('clips', 'u')}, b AS (SELECT media_id, start_us, end_us, unnest(range(start_us // {DAY}, (end_us - 1) // {DAY} + 1)) AS w FROM u)
   SELECT media_id, w AS window_id, CAST(sum(least(end_us, (w + 1) * {DAY}) - greatest(start_us, w * {DAY})) AS BIGINT) AS speech_us FROM b GROUP BY 1, 2"""))
 def _(spark, d):
     u = S.union(A.clips(spark, d)).withColumn("window_id", F.explode(F.sequence(F.floor(F.col("start_us") / DAY), F.floor((F.col("end_us") - 1) / DAY))))
@@ -294,7 +294,7 @@ def _(spark, d):
     return A.table(spark, d, "orders").select("o_orderkey", T.clip_key(o % 9, o / 4, o + 60, F.lit("fast")).alias("k"))
 
 
-@query("k12_boundary_safe", A.sql("tracks clips points", """w AS (SELECT * FROM tracks WHERE label = 'purchase' AND end_us > start_us), e AS (SELECT media_id, clip_id, start_us AS t FROM clips)
+@query("k12_start_safe", A.sql("tracks clips points", """w AS (SELECT * FROM tracks WHERE label = 'purchase' AND end_us > start_us), e AS (SELECT media_id, clip_id, start_us AS t FROM clips)
   SELECT e.media_id, e.clip_id, count(w.id) = 0 AS safe FROM e LEFT JOIN w ON w.media_id = e.media_id AND e.t > w.start_us + 15000 AND e.t < w.end_us - 15000 GROUP BY 1, 2"""))
 def _(spark, d):
     dot = A.clips(spark, d).select("media_id", "clip_id", F.col("start_us").alias("right_start_us"), (F.col("start_us") + 1).alias("right_end_us"))

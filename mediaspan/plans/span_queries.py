@@ -312,7 +312,7 @@ def _(spark, d):
     return matched(spark, d).select("media_id", "clip_id", "decision_id", "verdict", "both_us", "all_us", (2 * F.col("both_us") >= F.col("all_us")).alias("matched"))
 
 
-@query("k13_evaluate", A.sql("clips decisions", f"""{MATCH}, b AS (SELECT media_id, decision_id, verdict FROM r WHERE n = 1 AND 2 * both_us >= sum_us - both_us)
+@query("k13_coverage", A.sql("clips decisions", f"""{MATCH}, b AS (SELECT media_id, decision_id, verdict FROM r WHERE n = 1 AND 2 * both_us >= sum_us - both_us)
   SELECT x.media_id, CAST(count(*) FILTER (x.verdict = 'approved') AS BIGINT) AS approved, CAST(count(*) FILTER (x.verdict = 'rejected') AS BIGINT) AS rejected,
   CAST(count(*) FILTER (x.verdict = 'approved' AND f.decision_id IS NOT NULL) AS BIGINT) AS approved_met, CAST(count(*) FILTER (x.verdict = 'rejected' AND f.decision_id IS NOT NULL) AS BIGINT) AS rejected_met,
   round(count(*) FILTER (x.verdict = 'approved' AND f.decision_id IS NOT NULL) / nullif(count(*) FILTER (x.verdict = 'approved'), 0), 6) AS coverage
@@ -325,7 +325,7 @@ def _(spark, d):
     return out.withColumn("coverage", F.round(F.try_divide("approved_met", "approved"), 6))
 
 
-@query("f10_single_match", A.sql("tracks", """k AS (SELECT media_id, label, min(id) AS id, count(*) AS n FROM tracks GROUP BY 1, 2) SELECT media_id, label, CASE WHEN n = 1 THEN id END AS id, n <> 1 AS ambiguous FROM k"""))
+@query("f10_unique", A.sql("tracks", """k AS (SELECT media_id, label, min(id) AS id, count(*) AS n FROM tracks GROUP BY 1, 2) SELECT media_id, label, CASE WHEN n = 1 THEN id END AS id, n <> 1 AS ambiguous FROM k"""))
 def _(spark, d):
     k = A.tracks(spark, d).groupBy("media_id", "label").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     return k.select("media_id", "label", F.when(F.col("n") == 1, F.col("first")).alias("id"), (F.col("n") != 1).alias("ambiguous"))
