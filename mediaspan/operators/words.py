@@ -9,10 +9,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaspan.functions import text as T
+from mediaspan.operators import spans as S
 
 
 def fillers(words: DataFrame, pause_us: int = 350_000, isolated=("é", "né")) -> DataFrame:
@@ -39,68 +41,136 @@ def breaks(words: DataFrame, gap_us: int) -> DataFrame:
     return words.withColumn("_new", new).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def fold_units(start, end, word, gap_us=600_000, long_us=8_000_000, short_us=1_200_000):
-    """The unit of each word: a new one after a gap, and behind a long unit or a sentence's end."""
-    unit, out, begun = -1, [], None
-    for i in range(len(word)):
-        if begun is None or start[i] - end[i - 1] >= gap_us:
-            unit, begun = unit + 1, start[i]
-        out.append(unit)
-        size = end[i] - begun
-        if size >= long_us or word[i][-1:] in ".!?…,;:" and size >= short_us:
-            begun = None
-    return out
-
-
-def fold_phrases(start, end, word, gap_us=250_000, most=14):
-    """The phrase of each word: broken behind marks, at a gap, and at `most` words."""
-    phrase, out, n = -1, [], 0
-    for i in range(len(word)):
-        if n == 0:
-            phrase += 1
-        out.append(phrase)
-        n += 1
-        if word[i][-1:] in ".!?…," or n >= most or i + 1 < len(word) and start[i + 1] - end[i] >= gap_us:
-            n = 0
-    return out
-
-
-def fold_cues(start, end, word, most=5, gap_us=650_000, long_us=3_000_000):
-    """The caption cue of each word: broken at `most` words, at a gap, and before a cue grows too long."""
-    cue, out, n, begun = -1, [], 0, 0
-    for i in range(len(word)):
-        if n == 0 or n >= most or start[i] - end[i - 1] > gap_us or end[i] - begun > long_us:
-            cue, n, begun = cue + 1, 0, start[i]
-        out.append(cue)
-        n += 1
-    return out
-
-
-def folded(words: DataFrame, fold, name: str) -> DataFrame:
-    """Runs a fold over each recording's words in order; one row for each of its groups."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        group = fold(pdf["start_us"].tolist(), pdf["end_us"].tolist(), pdf["word"].tolist())
-        return pdf.assign(part=group).groupby("part", sort=True).agg(media_id=("media_id", "first"), first_idx=("idx", "first"), last_idx=("idx", "last"), start_us=("start_us", "first"), end_us=("end_us", "last"), n_words=("word", "size")).reset_index()
-
-    schema = "part long, media_id long, first_idx long, last_idx long, start_us long, end_us long, n_words long"
-    return words.select("media_id", "idx", "start_us", "end_us", "word").groupBy("media_id").applyInPandas(one, schema).withColumnRenamed("part", name)
-
-
-def selection_units(words: DataFrame) -> DataFrame:
-    return folded(words, fold_units, "unit")
-
-
-def phrases(words: DataFrame) -> DataFrame:
-    return folded(words, fold_phrases, "phrase")
-
-
-def caption_cues(words: DataFrame, floor_us: int = 50_000) -> DataFrame:
-    """Cues with each end moved before the next start, but at least `floor_us` behind its own start."""
-    cues = folded(words, fold_cues, "cue")
-    after = F.lead("start_us").over(Window.partitionBy("media_id").orderBy("cue"))
-    return cues.withColumn("end_us", F.greatest(F.col("start_us") + floor_us, F.least("end_us", F.coalesce(after, F.col("end_us")))))
+def linked_runs(words: DataFrame, breaks: Column, keys=("media_id",), chunk: int = 4096) -> DataFrame:
+    """words(keys, idx, ...) with `run`: the idx of the first word of each word's run. `breaks`, on the
+    word's columns and those of the word before as a struct `prev`, says where a run begins.
+
+    A long recording is many tasks: each chunk of idx is numbered by itself, and takes what the
+    chunks before hand over (their last word, their last run) from a table of a row a chunk.
+    """
+    at = [*keys, "_chunk"]
+    own = Window.partitionBy(*at).orderBy("idx")
+    chunks = Window.partitionBy(*keys).orderBy("_chunk")
+    whole = F.struct(*[c for c in words.columns if c not in keys])
+    rows = words.withColumn("_chunk", F.floor(F.col("idx") / chunk))
+    tails = rows.groupBy(*at).agg(F.max_by(whole, "idx").alias("_tail")).select(*at, F.lag("_tail").over(chunks).alias("_before"))
+    rows = rows.join(tails, at).withColumn("prev", F.coalesce(F.lag(whole).over(own), "_before"))
+    begins = F.when(F.col("prev").isNull() | F.coalesce(breaks, F.lit(False)), F.col("idx"))
+    rows = rows.drop("_before").withColumn("_begin", begins)
+    heads = rows.groupBy(*at).agg(F.max("_begin").alias("_last")).select(*at, F.last("_last", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    run = F.coalesce(F.last("_begin", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), "_carried")
+    return rows.join(heads, at).withColumn("run", run).drop("_chunk", "_begin", "_carried")
+
+
+GROUPS = pa.schema([(n, pa.int64()) for n in ("media_id", "first_idx", "last_idx", "start_us", "end_us", "n_words", "said")])
+
+
+def grouped(rows: DataFrame, before, after) -> DataFrame:
+    """rows(media_id, run, idx, start_us, end_us, mark, says) -> GROUPS: a run's words in groups.
+
+    A group begins with a run, where before(n, begun, start, end) of the group so far and the word
+    holds, and behind a word for which after(n, begun, end, mark) holds. Runs don't depend on each
+    other, so they are dealt to tasks by themselves; within a task one pass over sorted rows.
+    """
+
+    def fold(batches):
+        key, group, closed = None, None, True
+        for x in batches:
+            out = []
+            media, run, idx, start, end, mark, says = (x.column(c).to_pylist() for c in ("media_id", "run", "idx", "start_us", "end_us", "mark", "says"))
+            for i in range(len(idx)):
+                now = (media[i], run[i])
+                if closed or now != key or before(group[5], group[3], start[i], end[i]):
+                    if group is not None:
+                        out.append(group)
+                    key, group = now, [media[i], idx[i], 0, start[i], 0, 0, 0]
+                group[2], group[4] = idx[i], end[i]
+                group[5] += 1
+                group[6] += says[i]
+                closed = after(group[5], group[3], end[i], mark[i])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(GROUPS), schema=GROUPS)
+        if group is not None:
+            yield pa.record_batch([pa.array([v], pa.int64()) for v in group], schema=GROUPS)
+
+    dealt = rows.select("media_id", "run", "idx", "start_us", "end_us", "mark", "says").repartition("media_id", "run").sortWithinPartitions("media_id", "run", "idx")
+    return dealt.mapInArrow(fold, ", ".join(f"{f.name} long" for f in GROUPS))
+
+
+def selection_units(words: DataFrame, segments: DataFrame | None = None, gap_us: int = 600_000, long_us: int = 8_000_000, short_us: int = 1_200_000) -> DataFrame:
+    """words(media_id, idx, start_us, end_us, word[, seg]) -> unit, media_id, first_idx, last_idx, start_us, end_us, n_words.
+
+    A unit ends before a gap, behind a word with which it is long, and behind the end of a sentence
+    or clause with which it isn't short. With segments(media_id, seg, start_us, end_us, text), numbered
+    without holes, and words that name theirs, a segment without words ends a unit and is one
+    itself (n_words 0), and units of hesitations only, or without text, are left out.
+    """
+    gap = F.col("start_us") - F.col("prev.end_us") >= gap_us
+    marked = words.withColumn("mark", F.btrim("word").rlike(r"[.!?…,;:]$"))
+    says = F.lit(1)
+    if segments is not None:
+        gap = gap | (F.col("seg") - F.col("prev.seg") > 1)
+        says = (T.without_hesitations(F.btrim("word")) != "").cast("int")
+    columns = ["media_id", "idx", "start_us", "end_us", "mark", "says", *(["seg"] if segments is not None else [])]
+    rows = linked_runs(marked.withColumn("says", says).select(columns), gap)
+    units = grouped(rows, lambda n, begun, start, end: False, lambda n, begun, end, mark: end - begun >= long_us or mark and end - begun >= short_us)
+    units = units.where("said > 0").select("media_id", "first_idx", "last_idx", "start_us", "end_us", "n_words", F.lit(1).alias("_kind"))
+    order = ["start_us", "first_idx"]
+    if segments is not None:
+        silent = segments.join(words.select("media_id", "seg").distinct(), ["media_id", "seg"], "left_anti").where(T.without_hesitations(F.coalesce("text", F.lit(""))) != "")
+        none = F.lit(None).cast("long")
+        placed = words.groupBy("media_id", "seg").agg(F.min("idx").alias("_i"))
+        units = units.join(placed.withColumnRenamed("_i", "first_idx"), ["media_id", "first_idx"], "left")
+        # A unit stands where its first word's segment does: the last one that begins at or before it.
+        upto = Window.partitionBy("media_id").orderBy("first_idx").rangeBetween(Window.unboundedPreceding, 0)
+        starts = placed.select("media_id", F.col("_i").alias("first_idx"), F.lit(None).cast("long").alias("last_idx"), F.col("seg").alias("_seg"))
+        both = units.drop("seg").withColumn("_seg", none).unionByName(starts, allowMissingColumns=True)
+        both = both.withColumn("_at", F.max("_seg").over(upto)).where("_kind IS NOT NULL").drop("_seg")
+        units = both.unionByName(silent.select("media_id", none.alias("first_idx"), none.alias("last_idx"), "start_us", "end_us", F.lit(0).cast("long").alias("n_words"), F.lit(0).alias("_kind"), F.col("seg").alias("_at")))
+        order = ["_at", F.col("first_idx").asc_nulls_first()]
+    number = F.row_number().over(Window.partitionBy("media_id").orderBy(*order)) - 1
+    return units.select(number.cast("long").alias("unit"), "media_id", "first_idx", "last_idx", "start_us", "end_us", "n_words")
+
+
+def phrases(words: DataFrame, keys=("media_id",), gap_us: int = 250_000, most: int = 14) -> DataFrame:
+    """phrase, keys, first_idx, last_idx, start_us, end_us, n_words: broken behind the end of a sentence
+    or a comma, at a gap, and at `most` words."""
+    marked = words.withColumn("mark", F.btrim("word").rlike(r"[.!?…,]$")).select(*keys, "idx", "start_us", "end_us", "mark")
+    rows = linked_runs(marked, F.col("prev.mark") | (F.col("start_us") - F.col("prev.end_us") >= gap_us), keys)
+    place = F.row_number().over(Window.partitionBy(*keys, "run").orderBy("idx")) - 1
+    rows = rows.withColumn("_part", F.floor(place / most)).groupBy(*keys, "run", "_part")
+    out = rows.agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.min_by("start_us", "idx").alias("start_us"), F.max_by("end_us", "idx").alias("end_us"), F.count("*").alias("n_words"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("first_idx")) - 1
+    return out.select(number.cast("long").alias("phrase"), *keys, "first_idx", "last_idx", "start_us", "end_us", "n_words")
+
+
+def piece_phrases(words: DataFrame, pieces: DataFrame, bucket_us: int) -> DataFrame:
+    """pieces(media_id, clip_id, piece, start_us, end_us) -> the phrases of each piece's words, cut to the
+    piece, numbered by clip in order of piece: phrase, media_id, clip_id, piece, and as phrases().
+
+    A phrase never crosses pieces; a word that two pieces hold is in both.
+    """
+    spans = words.select("media_id", "idx", "word", F.col("start_us").alias("right_start_us"), F.col("end_us").alias("right_end_us")).where(F.btrim("word") != "")
+    met = S.overlap_join(pieces.select("media_id", "clip_id", "piece", "start_us", "end_us"), spans, bucket_us)
+    inside = met.select("media_id", "clip_id", "piece", "idx", "word", F.greatest("start_us", "right_start_us").alias("start_us"), F.least("end_us", "right_end_us").alias("end_us"))
+    found = phrases(inside, ("media_id", "clip_id", "piece"))
+    number = F.row_number().over(Window.partitionBy("media_id", "clip_id").orderBy("piece", "phrase")) - 1
+    return found.withColumn("phrase", number.cast("long"))
+
+
+def caption_cues(words: DataFrame, floor_us: int = 50_000, most: int = 5, gap_us: int = 650_000, long_us: int = 3_000_000) -> DataFrame:
+    """words(media_id, idx, start_us, end_us, word[, segment]) on the output clock -> cue, media_id, first_idx,
+    last_idx, start_us, end_us, n_words: broken at `most` words, at a gap, where the plan's segment
+    changes, and before a word with which the cue would be too long. A cue ends where the next
+    begins, but `floor_us` behind its own start at least."""
+    gap = F.col("start_us") - F.col("prev.end_us") > gap_us
+    columns = ["media_id", "idx", "start_us", "end_us"]
+    if "segment" in words.columns:
+        gap, columns = gap | (F.col("segment") != F.col("prev.segment")), [*columns, "segment"]
+    rows = linked_runs(words.select(columns), gap).withColumn("mark", F.lit(False)).withColumn("says", F.lit(1))
+    cues = grouped(rows, lambda n, begun, start, end: n >= most or end - begun > long_us, lambda n, begun, end, mark: False)
+    order = Window.partitionBy("media_id").orderBy("first_idx")
+    end = F.greatest(F.col("start_us") + floor_us, F.least("end_us", F.coalesce(F.lead("start_us").over(order), F.col("end_us"))))
+    return cues.select((F.row_number().over(order) - 1).cast("long").alias("cue"), "media_id", "first_idx", "last_idx", "start_us", end.alias("end_us"), "n_words")
 
 
 def kept_ranges(rows: DataFrame, keys, order: str) -> DataFrame:

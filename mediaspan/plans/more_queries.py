@@ -82,13 +82,18 @@ def _(spark, d):
     return met.select("o_orderkey", "c_custkey", "c_name", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("c_mktsegment")).alias("teaser"))
 
 
-@query("d04_piece_phrases", A.sql("words", fold_sql("phrase", "", "CAST(0 AS BIGINT) AS part, 1 AS c, regexp_matches(word, '[.!?…,]$') OR coalesce(next_start - end_us >= 250000, false) AS done",
-  "CASE WHEN done THEN part + 1 ELSE part END, CASE WHEN done THEN 1 ELSE c + 1 END, regexp_matches(n.word, '[.!?…,]$') OR coalesce(n.next_start - n.end_us >= 250000, false) OR CASE WHEN done THEN 1 ELSE c + 1 END >= 14")
-  .replace("SELECT f.part AS phrase", "SELECT media_id, phrase, first_idx // 100 AS piece, CAST(row_number() OVER (PARTITION BY media_id, first_idx // 100 ORDER BY phrase) - 1 AS INTEGER) AS place FROM (SELECT f.part AS phrase") + ")"))
+# Two of three runs of 90 words are pieces, whose edges cut words; every sixth reaches into the next run.
+@query("d04_piece_phrases", A.sql("words", """r AS (SELECT media_id, idx // 90 AS piece, min(start_us) + 100000 AS start_us, max(end_us) + CASE WHEN idx // 90 % 6 = 0 THEN 1500000 ELSE -120000 END AS end_us FROM words GROUP BY media_id, idx // 90), q AS (SELECT *, piece // 4 AS clip_id FROM r WHERE piece % 3 < 2 AND end_us > start_us),
+  i AS (SELECT q.media_id, clip_id, piece, idx, word, greatest(w.start_us, q.start_us) AS start_us, least(w.end_us, q.end_us) AS end_us FROM q JOIN words w ON w.media_id = q.media_id AND w.start_us < q.end_us AND q.start_us < w.end_us),
+  m AS (SELECT *, coalesce(regexp_matches(lag(word) OVER w, '[.!?…,]$') OR start_us - lag(end_us) OVER w >= 250000, true) AS new FROM i WINDOW w AS (PARTITION BY media_id, clip_id, piece ORDER BY idx)),
+  g AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY media_id, clip_id, piece ORDER BY idx) AS run FROM m), k AS (SELECT *, (row_number() OVER (PARTITION BY media_id, clip_id, piece, run ORDER BY idx) - 1) // 14 AS part FROM g),
+  p AS (SELECT media_id, clip_id, piece, min(idx) AS first_idx, max(idx) AS last_idx, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_words FROM k GROUP BY media_id, clip_id, piece, run, part)
+  SELECT row_number() OVER (PARTITION BY media_id, clip_id ORDER BY piece, first_idx) - 1 AS phrase, * FROM p"""))
 def _(spark, d):
-    p = W.phrases(A.words(spark, d)).withColumn("piece", F.floor(F.col("first_idx") / 100))
-    place = F.row_number().over(Window.partitionBy("media_id", "piece").orderBy("phrase")) - 1
-    return p.select("media_id", "phrase", "piece", place.alias("place"))
+    words = A.words(spark, d)
+    r = words.groupBy("media_id", F.floor(F.col("idx") / 90).alias("piece")).agg((F.min("start_us") + 100_000).alias("start_us"), F.max("end_us").alias("end_us"))
+    r = r.withColumn("end_us", F.col("end_us") + F.when(F.col("piece") % 6 == 0, 1_500_000).otherwise(-120_000)).withColumn("clip_id", F.floor(F.col("piece") / 4))
+    return W.piece_phrases(words, r.where("piece % 3 < 2"), 60_000_000)
 
 
 @query("d07_teaser", "WITH g AS (SELECT l_orderkey, list(DISTINCT l_linenumber ORDER BY l_linenumber) AS ids FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN len(ids) > 4 THEN 'long' WHEN list_max(ids) - list_min(ids) + 1 <> len(ids) THEN 'gap' ELSE 'ok' END AS reason FROM g")

@@ -158,6 +158,21 @@ def _(spark, d):
     return W.phrases(A.words(spark, d))
 
 
+# Segments of 25 words; every ninth has no words but a text, the one before it hesitations only.
+@query("d02_segment_units", A.sql("words", f"""sw AS (SELECT media_id, idx, start_us, end_us, CASE WHEN idx // 25 % 9 = 7 THEN 'Hum' ELSE word END AS word, idx // 25 AS seg FROM words), lw AS (SELECT * FROM sw WHERE seg % 9 <> 8),
+  n AS (SELECT *, row_number() OVER w AS k, coalesce(start_us - lag(end_us) OVER w >= 600000 OR seg - lag(seg) OVER w > 1, false) AS cut, regexp_matches(word, '[.!?…,;:]$') AS mark FROM lw WINDOW w AS (PARTITION BY media_id ORDER BY idx)),
+  f AS (SELECT media_id, k, 0::BIGINT AS part, start_us AS begun, end_us - start_us >= 8000000 OR mark AND end_us - start_us >= 1200000 AS done FROM n WHERE k = 1
+    UNION ALL SELECT n.media_id, n.k, CASE WHEN done OR cut THEN part + 1 ELSE part END, CASE WHEN done OR cut THEN n.start_us ELSE begun END, n.end_us - CASE WHEN done OR cut THEN n.start_us ELSE begun END >= 8000000 OR n.mark AND n.end_us - CASE WHEN done OR cut THEN n.start_us ELSE begun END >= 1200000 FROM f JOIN n ON n.media_id = f.media_id AND n.k = f.k + 1),
+  u AS (SELECT f.media_id, min(idx) AS first_idx, max(idx) AS last_idx, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_words, arg_min(seg, idx) AS seg, bool_or(lower(trim(word)) NOT IN {T.HESITATIONS}) AS says FROM f JOIN n USING (media_id, k) GROUP BY f.media_id, part),
+  a AS (SELECT * FROM u WHERE says UNION ALL SELECT media_id, NULL, NULL, min(start_us), max(end_us), 0, seg, true FROM sw WHERE seg % 9 = 8 AND seg % 2 = 1 GROUP BY media_id, seg)
+  SELECT row_number() OVER (PARTITION BY media_id ORDER BY seg, first_idx NULLS FIRST) - 1 AS unit, media_id, first_idx, last_idx, start_us, end_us, n_words FROM a"""))
+def _(spark, d):
+    seg = F.floor(F.col("idx") / 25)
+    words = A.words(spark, d).withColumn("seg", seg).withColumn("word", F.when(F.col("seg") % 9 == 7, "Hum").otherwise(F.col("word")))
+    segments = words.groupBy("media_id", "seg").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max(F.when(F.col("seg") % 2 == 1, "noise").otherwise(" ah eh")).alias("text"))
+    return W.selection_units(words.where("seg % 9 <> 8"), segments)
+
+
 @query("d05_kept_ranges", A.sql("words", "k AS (SELECT *, idx - row_number() OVER (PARTITION BY media_id ORDER BY idx) AS g FROM words WHERE (idx * 7 + media_id) % 5 <> 0) SELECT media_id, min(idx) AS first, max(idx) AS last, min(start_us) AS start_us, max(end_us) AS end_us FROM k GROUP BY media_id, g"))
 def _(spark, d):
     return W.kept_ranges(A.words(spark, d).where("(idx * 7 + media_id) % 5 <> 0"), ["media_id"], "idx")
@@ -199,6 +214,16 @@ def _(spark, d):
     return W.apply_corrections(w, fix).select("media_id", "idx", "word", "ok")
 
 
+# The plan's segment changes every 33 words.
+@query("d10_segment_cues", A.sql("words", """n AS (SELECT *, row_number() OVER w AS k, coalesce(start_us - lag(end_us) OVER w > 650000 OR idx // 33 <> lag(idx // 33) OVER w, false) AS cut FROM words WINDOW w AS (PARTITION BY media_id ORDER BY idx)),
+  f AS (SELECT media_id, k, 0::BIGINT AS part, 1 AS c, start_us AS begun FROM n WHERE k = 1
+    UNION ALL SELECT media_id, k, CASE WHEN y THEN part + 1 ELSE part END, CASE WHEN y THEN 1 ELSE c + 1 END, CASE WHEN y THEN start_us ELSE begun END FROM (SELECT n.media_id, n.k, n.start_us, part, c, begun, c >= 5 OR cut OR n.end_us - begun > 3000000 AS y FROM f JOIN n ON n.media_id = f.media_id AND n.k = f.k + 1)),
+  g AS (SELECT f.part AS cue, f.media_id, min(idx) AS first_idx, max(idx) AS last_idx, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_words FROM f JOIN n USING (media_id, k) GROUP BY f.media_id, f.part)
+  SELECT cue, media_id, first_idx, last_idx, start_us, greatest(start_us + 50000, least(end_us, coalesce(lead(start_us) OVER (PARTITION BY media_id ORDER BY cue), end_us))) AS end_us, n_words FROM g"""))
+def _(spark, d):
+    return W.caption_cues(A.words(spark, d).withColumn("segment", F.floor(F.col("idx") / 33)))
+
+
 @query("d11_beat_spans")
 def _(spark, d):
     w = A.words(spark, d)

@@ -83,14 +83,62 @@ def test_fillers(spark):
     assert [(r["idx"], r["kind"]) for r in got] == [(0, "hesitation"), (2, "repeat"), (3, "isolated")]
 
 
-def test_folds():
+def parts(df, number):
+    return [(r["first_idx"], r["last_idx"]) for r in df.orderBy(number).collect()]
+
+
+def test_units_phrases_and_cues(spark):
     second = 1_000_000
-    start = [0, second, 2 * second, 20 * second]
-    end = [s + second // 2 for s in start]
-    assert W.fold_units(start, end, ["a", "b.", "c", "d"]) == [0, 0, 1, 2]
-    assert W.fold_units([0, 600_000, 1_200_000], [500_000, 1_150_000, 1_700_000], ["a", "b", "c."]) == [0, 0, 0]
-    assert W.fold_phrases([0] * 16, [0] * 16, ["w"] * 16) == [0] * 14 + [1, 1]
-    assert W.fold_cues(list(range(7)), list(range(1, 8)), ["w"] * 7) == [0] * 5 + [1, 1]
+    items = [(0, second // 2, "a"), (second, 1_500_000, "b."), (2 * second, 2_500_000, "c"), (20 * second, 20_500_000, "d")]
+    assert parts(W.selection_units(words(spark, items), gap_us=600_000), "unit") == [(0, 1), (2, 2), (3, 3)]
+    assert parts(W.selection_units(words(spark, [(0, 500_000, "a"), (600_000, 1_150_000, "b"), (1_200_000, 1_700_000, "c.")])), "unit") == [(0, 2)]
+    assert parts(W.phrases(words(spark, [(i, i + 1, "w") for i in range(16)])), "phrase") == [(0, 13), (14, 15)]
+    assert parts(W.caption_cues(words(spark, [(i, i + 1, "w") for i in range(7)])), "cue") == [(0, 4), (5, 6)]
+
+
+def plain_units(items, gap=600_000, long_=8_000_000, short=1_200_000):
+    out, current = [], []
+    for i, (a, b, w) in enumerate(items):
+        if current and a - items[i - 1][1] >= gap:
+            out.append(current)
+            current = []
+        current.append(i)
+        size = b - items[current[0]][0]
+        if size >= long_ or w[-1] in ".!?…,;:" and size >= short:
+            out.append(current)
+            current = []
+    return [(c[0], c[-1]) for c in out + ([current] if current else [])]
+
+
+def test_folds_do_not_depend_on_chunks(spark):
+    import random
+
+    rng, t, items = random.Random(3), 0, []
+    for _ in range(700):
+        t += rng.choice([0, 30_000, 200_000, 590_000, 600_000, 900_000])
+        items.append((t, t + rng.randrange(50_000, 900_000), rng.choice(["a", "b", "c,", "d.", "e"])))
+        t = items[-1][1]
+    rows = words(spark, items)
+    assert parts(W.selection_units(rows), "unit") == plain_units(items)
+    begins = [r.run for r in W.linked_runs(rows, F.col("start_us") - F.col("prev.end_us") >= 600_000).orderBy("idx").collect()]
+    for chunk in (7, 64):
+        assert [r.run for r in W.linked_runs(rows, F.col("start_us") - F.col("prev.end_us") >= 600_000, chunk=chunk).orderBy("idx").collect()] == begins
+    assert begins == [max(j for j in range(i + 1) if j == 0 or items[j][0] - items[j - 1][1] >= 600_000) for i in range(700)]
+
+
+def test_units_of_segments(spark):
+    rows = words(spark, [(0, 100_000, "one"), (150_000, 300_000, "two"), (350_000, 500_000, "Hum"), (2_000_000, 2_100_000, "ah"), (2_150_000, 2_300_000, "three")]).withColumn("seg", F.when(F.col("idx") < 2, 0).when(F.col("idx") < 4, 2).otherwise(4))
+    segments = spark.createDataFrame([(1, 0, 0, 1, "x"), (1, 1, 310_000, 340_000, "applause"), (1, 2, 0, 1, "x"), (1, 3, 2_100_000, 2_150_000, " uhm "), (1, 4, 0, 1, "x"), (1, 5, 3_000_000, 3_100_000, None)], "media_id long, seg long, start_us long, end_us long, text string")
+    got = [(r.unit, r.first_idx, r.last_idx, r.start_us, r.n_words) for r in W.selection_units(rows, segments).orderBy("unit").collect()]
+    # The words before and after a segment without words are no unit together; hesitations alone are none.
+    assert got == [(0, 0, 1, 0, 2), (1, None, None, 310_000, 0), (2, 4, 4, 2_150_000, 1)]
+
+
+def test_phrases_stay_inside_pieces(spark):
+    rows = words(spark, [(i * 100_000, i * 100_000 + 90_000, "w") for i in range(10)])
+    pieces = spark.createDataFrame([(1, 5, 0, 50_000, 420_000), (1, 5, 1, 400_000, 700_000), (1, 6, 0, 0, 95_000)], "media_id long, clip_id long, piece long, start_us long, end_us long")
+    got = [(r.clip_id, r.phrase, r.piece, r.first_idx, r.last_idx, r.start_us, r.end_us) for r in W.piece_phrases(rows, pieces, 1_000_000).orderBy("clip_id", "phrase").collect()]
+    assert got == [(5, 0, 0, 0, 4, 50_000, 420_000), (5, 1, 1, 4, 6, 400_000, 690_000), (6, 0, 0, 0, 0, 0, 90_000)]
 
 
 def test_beats(spark):
