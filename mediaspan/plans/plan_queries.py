@@ -136,9 +136,13 @@ def greedy_sql(clash: str) -> str:
       z AS (SELECT media_id, unnest(kept) AS id FROM g WHERE k = (SELECT max(k) FROM o WHERE o.media_id = g.media_id)) SELECT media_id, id FROM z"""
 
 
-@query("e18_spaced", A.sql("clips", f"{SCORED}, " + greedy_sql("len(list_filter(ks, lambda x: abs(x - o.start_us) < 7200000000)) > 0")))
+# One of a medium's picks for each 60 hours of its own.
+@query("e18_spaced", A.sql("clips", f"{SCORED}, " + greedy_sql("len(list_filter(ks, lambda x: abs(x - o.start_us) < 7200000000)) > 0").replace("SELECT media_id, id FROM z", """, du AS (SELECT media_id, greatest(2, (max(end_us) - min(start_us)) // 216000000000) AS most FROM sc GROUP BY 1)
+  SELECT media_id, id FROM (SELECT z.media_id, z.id, most, row_number() OVER (PARTITION BY z.media_id ORDER BY score DESC, start_us, z.id) AS n FROM z JOIN sc ON sc.media_id = z.media_id AND sc.id = z.id JOIN du ON du.media_id = z.media_id) WHERE n <= most""")))
 def _(spark, d):
-    return P.spaced(scored(spark, d).withColumnRenamed("start_us", "t_us").drop("end_us"), 7_200_000_000).select("media_id", "id")
+    rows = scored(spark, d)
+    durations = rows.groupBy("media_id").agg((F.max("end_us") - F.min("start_us")).alias("duration_us"))
+    return P.spaced(rows.withColumnRenamed("start_us", "t_us").drop("end_us"), 7_200_000_000, durations=durations, every_us=216_000_000_000).select("media_id", "id")
 
 
 @query("h05_without_overlaps", A.sql("clips", f"{SCORED}, " + greedy_sql("len(list_filter(range(1, len(ks) + 1), lambda i: ks[i] < o.end_us AND ke[i] > o.start_us)) > 0")))
