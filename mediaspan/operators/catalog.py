@@ -61,6 +61,50 @@ def changed_settings(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.exceptAll(before)
 
 
+def with_dimension(rows: DataFrame, dimension: DataFrame, on, how: str = "inner", most_rows: int = 100_000) -> DataFrame:
+    """rows joined to a dimension table: broadcast where a count proves it small, else left to Spark."""
+    small = dimension.limit(most_rows + 1).count() <= most_rows
+    return rows.join(F.broadcast(dimension) if small else dimension, on, how)
+
+
+def leaves(documents: DataFrame, column: str = "settings", depth: int = 6) -> DataFrame:
+    """documents(k, a JSON object as text) -> k, path, value: its leaves, as arrays of keys and JSON text.
+
+    Arrays and empty objects are leaves; what lies deeper than `depth` is one leaf.
+    """
+    kind = "array<struct<path: array<string>, value: string>>"
+    nodes = lambda path, text: F.transform(F.map_entries(F.from_json(text, "map<string, variant>")), lambda e: F.struct(F.concat(path, F.array(e["key"])).alias("path"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
+    rows = documents.select("k", F.coalesce(nodes(F.array().cast("array<string>"), F.col(column)), F.array()).cast(kind).alias("nodes"))
+    for _ in range(depth - 1):
+        inner = lambda n: F.when(n["value"].startswith("{") & (n["value"] != "{}"), nodes(n["path"], n["value"])).otherwise(F.array(n))
+        rows = rows.withColumn("nodes", F.flatten(F.transform("nodes", inner)).cast(kind))
+    return rows.select("k", F.explode("nodes").alias("n")).select("k", "n.path", "n.value")
+
+
+def settings_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Leaves (k, path, value) of two documents a key -> op, k, path, value: `set` what is new or
+    changed in after, `unset` what it has no more (value null). A section in place of a leaf, or a
+    leaf in place of a section, is an unset and sets."""
+    both = before.select("k", "path", F.col("value").alias("_b")).join(after.select("k", "path", F.col("value").alias("_a")), ["k", "path"], "full")
+    changed = both.where(~F.col("_a").eqNullSafe(F.col("_b")))
+    return changed.select(F.when(F.col("_a").isNull(), "unset").otherwise("set").alias("op"), "k", "path", F.col("_a").alias("value"))
+
+
+def apply_diff(before: DataFrame, diff: DataFrame) -> DataFrame:
+    """The leaves of `before` after the diff; leaves that a set path runs through, or ends above, go."""
+    sets, unsets = diff.where("op = 'set'").select("k", "path", "value"), diff.where("op = 'unset'").select("k", "path")
+    kept = without_paths(before.join(unsets, ["k", "path"], "left_anti"), sets)
+    return kept.unionByName(sets)
+
+
+def without_paths(override: DataFrame, change: DataFrame) -> DataFrame:
+    """override(k, path, value) without the leaves that `change` mentions: at, below or above its paths."""
+    prefixes = lambda df: df.select("k", F.col("path").alias("_whole"), F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("_p"))
+    below = prefixes(override).join(change.select("k", F.col("path").alias("_p")), ["k", "_p"], "left_semi").select("k", F.col("_whole").alias("path"))
+    above = prefixes(change).select("k", F.col("_p").alias("path"))
+    return override.join(below.unionByName(above).distinct(), ["k", "path"], "left_anti")
+
+
 def spread(rows: DataFrame, keys, order: list, most: int) -> DataFrame:
     """At most `most` rows of each key, evenly spread: places round(i * (n - 1) / (most - 1)), half to even."""
     by = Window.partitionBy(*keys)

@@ -89,6 +89,21 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket_us: int, keys=KEYS) -
     return a.join(b, [*keys, "_bucket"]).where(meets & owner).drop("_bucket")
 
 
+def overlap_semi(left: DataFrame, right: DataFrame, keys=KEYS) -> DataFrame:
+    """Left rows whose span overlaps some right span of the key (start_us, end_us), each once.
+
+    No pair is made: the right spans' union is disjoint and in order, so of each left row only the
+    last of them that begins before its end counts, found by one sort of both.
+    """
+    columns = left.columns
+    ranges = union(right, keys)
+    rows = left.where((F.col("start_us") >= 0) & (F.col("end_us") > F.col("start_us"))).select(*keys, F.col("end_us").alias("_t"), F.lit(0).alias("_side"), F.struct(*columns).alias("_row"), F.lit(None).cast("long").alias("_end"))
+    marks = ranges.select(*keys, F.col("start_us").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col("end_us").alias("_end"))
+    order = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.unionByName(marks).withColumn("_last", F.last("_end", ignorenulls=True).over(order))
+    return met.where((F.col("_side") == 0) & (F.col("_last") > F.col("_row.start_us"))).select("_row.*")
+
+
 def right_side(spans: DataFrame, **names: str) -> DataFrame:
     """spans with the names that overlap_join wants; further columns by old=new."""
     return spans.select(*[c for c in spans.columns if c not in ("start_us", "end_us", *names)], F.col("start_us").alias("right_start_us"), F.col("end_us").alias("right_end_us"), *[F.col(a).alias(b) for a, b in names.items()])

@@ -34,6 +34,57 @@ def scores(rows: DataFrame, profiles: DataFrame, keys) -> DataFrame:
     return rows.join(profiles.select(*keys, F.col("v").alias("profile")), list(keys)).withColumn("score", dot("v", "profile"))
 
 
+def mean_unit(rows: DataFrame, keys, vector: str = "v") -> DataFrame:
+    """keys, v, n: the direction of each key's mean vector, of length 1 (0 if they cancel out)."""
+    return sums(rows, keys, vector).withColumn("v", unit("v"))
+
+
+def span_embeddings(windows: DataFrame, keys, least_us: int = 300_000) -> DataFrame:
+    """windows(keys, start_us, end_us, v) of spans -> keys, us, n, v: the direction of the mean of the
+    windows' directions; null where the span, from its first start to its last end, is too short."""
+    rows = windows.withColumn("v", unit("v"))
+    length = rows.groupBy(*keys).agg((F.max("end_us") - F.min("start_us")).alias("us"))
+    return length.join(mean_unit(rows, keys), list(keys)).select(*keys, "us", "n", F.when(F.col("us") >= least_us, F.col("v")).alias("v"))
+
+
+def real_dot(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosines(rows: DataFrame, profiles: DataFrame, keys) -> DataFrame:
+    """Each row's cosine with its key's profile (keys, v); null against nothing, 0 for zero vectors."""
+    wanted = profiles.select(*keys, unit("v").alias("profile"))
+    return rows.join(wanted, list(keys), "left").withColumn("score", real_dot(unit("v"), F.col("profile"))).drop("profile")
+
+
+def without_own(rows: DataFrame, keys) -> DataFrame:
+    """Each row's cosine with the mean direction of its key's other rows; null where there is none."""
+    units = rows.withColumn("_u", unit("v"))
+    total = sums(units, keys, "_u").select(*keys, F.col("v").alias("_all"), F.col("n").alias("_n"))
+    others = F.zip_with("_all", "_u", lambda t, x: t - x)
+    return units.join(total, list(keys)).withColumn("score", F.when(F.col("_n") > 1, real_dot("_u", unit(others)))).drop("_u", "_all", "_n")
+
+
+def distance(a, b) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def nearest_centre(rows: DataFrame, centres: DataFrame, keys, id: str = "idx") -> DataFrame:
+    """rows(keys, id, v), centres(keys, centre, v) -> keys, id, centre, distance: the centre of the key at
+    the least distance, the least of equals. Rows of keys without centres have none."""
+    met = rows.select(*keys, id, "v").join(centres.select(*keys, "centre", F.col("v").alias("_c")), list(keys))
+    best = F.min(F.struct(distance("v", "_c").alias("distance"), "centre")).alias("b")
+    return met.groupBy(*keys, id).agg(best).select(*keys, id, "b.centre", "b.distance")
+
+
+def medoids(rows: DataFrame, keys, id: str = "idx") -> DataFrame:
+    """Each key's row nearest to the mean of its rows, the least id of those that are equal to nine digits
+    (two rows are as far from their mean, but for rounding)."""
+    mean = sums(rows, keys).select(*keys, F.transform("v", lambda x: x / F.col("n")).alias("_m"))
+    met = rows.select(*keys, id, "v").join(mean, list(keys))
+    return met.groupBy(*keys).agg(F.min(F.struct(F.round(distance("v", "_m"), 9).alias("distance"), F.col(id).alias("id"))).alias("b")).select(*keys, F.col("b.id").alias(id), "b.distance")
+
+
 def calibrate(scored: DataFrame, keys) -> DataFrame:
     """scored(keys, score, positive) -> the threshold of best balanced accuracy: among midpoints of
     adjacent distinct scores (doubled, so that they are whole), the middle of the best."""

@@ -201,6 +201,16 @@ def ngram_first(words: DataFrame, phrases: DataFrame, most: int = 3) -> DataFram
     return rows.join(phrases, "tokens").groupBy("media_id", "phrase_id").agg(F.min("idx").alias("idx"))
 
 
+def find_replace(words: DataFrame, pieces: DataFrame, find: str, replacement: str) -> DataFrame:
+    """Words inside pieces(media_id, start_us, end_us) that are `find`, whatever their case, with their
+    marks kept around the replacement: media_id, idx, word, corrected, n (replaced in the recording)."""
+    core = F.btrim("word", F.lit(T.MARKS))
+    hit = S.overlap_semi(words.where(F.lower(core) == find.lower()), pieces)
+    at = F.instr("word", core)
+    new = F.concat(F.substring("word", F.lit(1), at - 1), F.lit(replacement), F.substring("word", at + F.length(core), F.length("word")))
+    return hit.select("media_id", "idx", "word", new.alias("corrected"), F.count("*").over(Window.partitionBy("media_id")).alias("n"))
+
+
 def apply_corrections(words: DataFrame, corrections: DataFrame) -> DataFrame:
     """corrections(media_id, idx, original, corrected) put in place; ok is false where the original differs."""
     met = words.join(corrections, ["media_id", "idx"], "left")

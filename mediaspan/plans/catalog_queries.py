@@ -223,6 +223,45 @@ def _(spark, d):
     return C.changed_settings(*settings(spark, d))
 
 
+@query("f11_dimension", "SELECT o_orderkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def _(spark, d):
+    rows = A.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    rows = C.with_dimension(rows, A.table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey")), "c_custkey", most_rows=1_000)
+    return C.with_dimension(rows, A.table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey").select("o_orderkey", "c_mktsegment", "n_name")
+
+
+def nested(spark, d):
+    """Two documents a customer: sections that come, go, change, and turn into leaves."""
+    k = F.col("k")
+    c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment", "c_nationkey")
+    old = F.format_string('{"a": {"x": %d, "y": "%s"}, "b": %d, "c": {"d": {"e": [1, %d]}}}', k % 3, F.col("c_mktsegment"), F.col("c_nationkey") % 4, k % 2)
+    new = F.format_string('{"a": %s, "b": %s, "c": {"d": {"e": [1, %d], "f": null}}}', F.when(k % 5 == 0, F.lit("7")).otherwise(F.format_string('{"x": %d, "z": "%s"}', k % 4, F.col("c_mktsegment"))), F.when(k % 7 == 0, F.lit('{"q": true}')).otherwise((F.col("c_nationkey") % 3).cast("string")), k % 3)
+    return C.leaves(c.select("k", old.alias("settings"))), C.leaves(c.select("k", new.alias("settings")))
+
+
+#: The leaves of both documents as SQL spells them out.
+NESTED = """WITH o AS (SELECT c_custkey AS k, 'a.x' AS path, CAST(c_custkey % 3 AS VARCHAR) AS value FROM customer UNION ALL SELECT c_custkey, 'a.y', '"' || c_mktsegment || '"' FROM customer UNION ALL SELECT c_custkey, 'b', CAST(c_nationkey % 4 AS VARCHAR) FROM customer UNION ALL SELECT c_custkey, 'c.d.e', '[1,' || c_custkey % 2 || ']' FROM customer),
+  n AS (SELECT c_custkey AS k, 'a' AS path, '7' AS value FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'a.x', CAST(c_custkey % 4 AS VARCHAR) FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 'a.z', '"' || c_mktsegment || '"' FROM customer WHERE c_custkey % 5 <> 0
+    UNION ALL SELECT c_custkey, 'b.q', 'true' FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'b', CAST(c_nationkey % 3 AS VARCHAR) FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, 'c.d.e', '[1,' || c_custkey % 3 || ']' FROM customer UNION ALL SELECT c_custkey, 'c.d.f', 'null' FROM customer)"""
+
+
+@query("c20_settings_diff", f"{NESTED} SELECT k, path, CASE WHEN n.value IS NULL THEN 'unset' ELSE 'set' END AS op, n.value FROM o FULL JOIN n USING (k, path) WHERE o.value IS DISTINCT FROM n.value")
+def _(spark, d):
+    return C.settings_diff(*nested(spark, d)).select("k", F.array_join("path", ".").alias("path"), "op", "value")
+
+
+@query("c20_merged_again", f"{NESTED} SELECT k, path, value FROM n")
+def _(spark, d):
+    old, new = nested(spark, d)
+    return C.apply_diff(old, C.settings_diff(old, new)).select("k", F.array_join("path", ".").alias("path"), "value")
+
+
+@query("c20_without_paths", f"{NESTED} SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k = o.k AND (n.path = o.path OR starts_with(n.path, o.path || '.') OR starts_with(o.path, n.path || '.')))")
+def _(spark, d):
+    old, new = nested(spark, d)
+    return C.without_paths(old, new).select("k", F.array_join("path", ".").alias("path"), "value")
+
+
 @query("l02_transitions", A.sql("jobs", """r AS (SELECT *, coalesce(max(CASE WHEN status IN ('succeeded', 'failed') THEN 1 ELSE 0 END) OVER w, 0) AS ended, max(progress) OVER w AS best FROM jobs WINDOW w AS (PARTITION BY job_id ORDER BY at_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   SELECT job_id, event_id, CASE WHEN ended = 1 THEN 'ended' ELSE 'progress' END AS reason FROM r WHERE ended = 1 OR progress < best"""))
 def _(spark, d):

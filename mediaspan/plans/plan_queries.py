@@ -265,13 +265,46 @@ def _(spark, d):
     return V.cluster(A.keyframes(spark, d), 900.0)
 
 
-@query("j12_nearest_centre", A.sql("keyframes", f"{SCORES}, s AS (SELECT k.idx, p.label AS centre, CAST(list_inner_product(CAST(k.v AS DOUBLE[]), CAST(p.v AS DOUBLE[])) AS BIGINT) AS score FROM keyframes k, p), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY score DESC, centre) AS n FROM s) SELECT idx, centre, score FROM r WHERE n = 1"))
+# Vectors as tables of (row, place, x), so that lengths and means are plain sums.
+FLAT = "e AS (SELECT media_id, idx, label, unnest(v)::DOUBLE AS x, unnest(range(len(v))) AS place FROM keyframes), l AS (SELECT idx, sqrt(sum(x * x)) AS len FROM e GROUP BY 1), u AS (SELECT e.*, CASE WHEN len > 0 THEN x / len ELSE x END AS y FROM e JOIN l USING (idx))"
+SIX = "round({}, 6) AS score"
+
+
+@query("j02_mean_direction", A.sql("keyframes", f"{FLAT}, s AS (SELECT media_id, label, place, sum(x) AS x FROM e GROUP BY ALL) SELECT media_id, label, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY media_id, label)), 6) AS x FROM s"))
+def _(spark, d):
+    m = V.mean_unit(A.keyframes(spark, d), ["media_id", "label"])
+    return m.select("media_id", "label", F.posexplode("v").alias("place", "x")).select("media_id", "label", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
+# Spans of five frames of 70 ms; the last one of a medium may be too short.
+@query("j03_span_direction", A.sql("keyframes", f"{FLAT}, s AS (SELECT media_id, idx % 64 // 5 AS span, place, sum(y) AS x, count(*) AS n, max(idx % 64) - min(idx % 64) + 1 AS frames FROM u GROUP BY ALL) SELECT media_id, span, place, n, CASE WHEN frames * 70000 >= 300000 THEN round(x / sqrt(sum(x * x) OVER (PARTITION BY media_id, span)), 6) END AS x FROM s"))
+def _(spark, d):
+    at = F.col("idx") % 64
+    rows = A.keyframes(spark, d).select("media_id", F.floor(at / 5).alias("span"), (at * 70_000).alias("start_us"), ((at + 1) * 70_000).alias("end_us"), "v")
+    out = V.span_embeddings(rows, ["media_id", "span"])
+    out = out.select("media_id", "span", "n", F.posexplode(F.coalesce("v", F.array_repeat(F.lit(None).cast("double"), 64))).alias("place", "x"))
+    return out.select("media_id", "span", F.col("place").cast("long").alias("place"), "n", F.round("x", 6).alias("x"))
+
+
+@query("j04_cosines", A.sql("keyframes", f"{FLAT}, s AS (SELECT label, place, sum(x) AS x FROM e GROUP BY ALL), p AS (SELECT label, place, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM s) SELECT idx, u.label, {SIX.format('sum(y * p.x)')} FROM u JOIN p USING (label, place) GROUP BY idx, u.label"))
+def _(spark, d):
+    frames = A.keyframes(spark, d)
+    return V.cosines(frames, V.sums(frames, ["label"]), ["label"]).select("idx", "label", F.round("score", 6).alias("score"))
+
+
+@query("j05_without_own", A.sql("keyframes", f"{FLAT}, s AS (SELECT label, place, sum(y) AS x, count(*) AS n FROM u GROUP BY ALL), o AS (SELECT idx, u.label, n, y, s.x - y AS rest FROM u JOIN s USING (label, place)) SELECT idx, label, CASE WHEN max(n) > 1 THEN round(sum(y * rest) / sqrt(sum(rest * rest)), 6) END AS score FROM o GROUP BY 1, 2"))
+def _(spark, d):
+    return V.without_own(A.keyframes(spark, d), ["label"]).select("idx", "label", F.round("score", 6).alias("score"))
+
+
+CENTRES = f"{FLAT}, c AS (SELECT media_id, label AS centre, place, avg(x) AS x FROM e GROUP BY ALL)"
+
+
+@query("j12_nearest_centre", A.sql("keyframes", f"{CENTRES}, d AS (SELECT e.media_id, idx, centre, sqrt(sum((e.x - c.x) * (e.x - c.x))) AS distance FROM e JOIN c ON c.media_id = e.media_id AND c.place = e.place GROUP BY ALL) SELECT media_id, idx, centre, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY idx ORDER BY distance, centre) = 1"))
 def _(spark, d):
     frames = A.keyframes(spark, d)
-    # The centres, a row for each of a few labels, ride along as one array.
-    centres = V.sums(frames, ["label"]).agg(F.collect_list(F.struct(F.col("label").alias("centre"), "v")).alias("centres"))
-    scored = frames.crossJoin(F.broadcast(centres)).select("idx", F.transform("centres", lambda c: F.struct((-V.dot("v", c["v"])).alias("s"), c["centre"].alias("centre"))).alias("a"))
-    return scored.select("idx", F.array_min("a")["centre"].alias("centre"), (-F.array_min("a")["s"]).alias("score"))
+    centres = V.sums(frames, ["media_id", "label"]).select("media_id", F.col("label").alias("centre"), F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    return V.nearest_centre(frames, centres, ["media_id"]).withColumn("distance", F.round("distance", 6))
 
 
 @query("j13_renumber", A.sql("tracks", "g AS (SELECT media_id, label, CAST(sum((end_us - start_us) // 600000) AS BIGINT) AS airtime FROM tracks GROUP BY 1, 2) SELECT media_id, label, CAST(row_number() OVER (PARTITION BY media_id ORDER BY airtime DESC, label) - 1 AS INTEGER) AS group_id FROM g"))
@@ -280,9 +313,9 @@ def _(spark, d):
     return g.select("media_id", "label", (F.row_number().over(Window.partitionBy("media_id").orderBy(F.col("airtime").desc(), "label")) - 1).alias("group_id"))
 
 
-@query("j14_medoid", A.sql("keyframes", f"{SCORES}, s AS (SELECT k.label, k.idx, list_inner_product(CAST(k.v AS DOUBLE[]), CAST(p.v AS DOUBLE[])) AS score FROM keyframes k JOIN p USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, idx) AS n FROM s) SELECT label, idx FROM r WHERE n = 1"))
+@query("j14_medoid", A.sql("keyframes", f"{CENTRES}, d AS (SELECT e.media_id, e.label, idx, sqrt(sum((e.x - c.x) * (e.x - c.x))) AS distance FROM e JOIN c ON c.media_id = e.media_id AND c.centre = e.label AND c.place = e.place GROUP BY ALL) SELECT media_id, label, idx, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY media_id, label ORDER BY round(distance, 9), idx) = 1"))
 def _(spark, d):
-    return profiled(spark, d).groupBy("label").agg(F.min_by("idx", F.struct(-F.col("score"), "idx")).alias("idx"))
+    return V.medoids(A.keyframes(spark, d), ["media_id", "label"]).withColumn("distance", F.round("distance", 6))
 
 
 @query("j15_airtime", A.sql("points", "SELECT media_id, point_id, coalesce(lead(t_us) OVER (PARTITION BY media_id ORDER BY t_us, point_id), (SELECT max(t_us) FROM points q WHERE q.media_id = p.media_id) + 1000000) - t_us AS airtime_us FROM points p"))

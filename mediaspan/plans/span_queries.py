@@ -307,6 +307,11 @@ def _(spark, d):
     return met.select("media_id", "clip_id", "decision_id", S.overlap(F.col("start_us"), F.col("end_us"), F.col("right_start_us"), F.col("right_end_us")).alias("both_us"))
 
 
+@query("f04_overlap_semi", A.sql("clips decisions", "SELECT * FROM clips c WHERE end_us > start_us AND EXISTS (SELECT 1 FROM decisions x WHERE x.media_id = c.media_id AND x.end_us > x.start_us AND x.start_us < c.end_us AND c.start_us < x.end_us)"))
+def _(spark, d):
+    return S.overlap_semi(A.clips(spark, d), A.decisions(spark, d))
+
+
 @query("f09_best_match", A.sql("clips decisions", f"{MATCH} SELECT media_id, clip_id, decision_id, verdict, both_us, sum_us - both_us AS all_us, 2 * both_us >= sum_us - both_us AS matched FROM r WHERE n = 1"))
 def _(spark, d):
     return matched(spark, d).select("media_id", "clip_id", "decision_id", "verdict", "both_us", "all_us", (2 * F.col("both_us") >= F.col("all_us")).alias("matched"))

@@ -83,10 +83,15 @@ def _(spark, d):
     return k.withColumn("place", place).where("place <= 3").select("doc_id", "place", F.md5("line").alias("h"))
 
 
-@query("c12_find_replace", A.sql("words", "SELECT media_id, idx, replace(lower(word), 'the', 'a') AS word FROM words WHERE lower(trim(word, '.,')) = 'the' AND start_us >= 3000000 AND start_us < 60000000"))
-def _(spark, d):
-    hit = A.words(spark, d).where("start_us >= 3000000 AND start_us < 60000000").where(F.lower(F.btrim("word", F.lit(".,"))) == "the")
-    return hit.select("media_id", "idx", F.replace(F.lower("word"), F.lit("the"), F.lit("a")).alias("word"))
+# Three of four runs of 50 words are pieces, the second of them reaching into the third.
+@query("c12_find_replace", A.sql("words", r"""p AS (SELECT media_id, min(start_us) AS start_us, max(end_us) + CASE WHEN idx // 50 % 4 = 1 THEN 2000000 ELSE 0 END AS end_us FROM words WHERE idx // 50 % 4 <> 3 GROUP BY media_id, idx // 50),
+  h AS (SELECT *, regexp_extract(word, '[[:alpha:]]+') AS core FROM words w WHERE lower(trim(word, '.,;:!?…"''()[]{}<>*#%$&|-“”‘’–—')) = 'the' AND EXISTS (SELECT 1 FROM p WHERE p.media_id = w.media_id AND p.start_us < w.end_us AND w.start_us < p.end_us))
+  SELECT media_id, idx, word, replace(word, core, 'a') AS corrected, count(*) OVER (PARTITION BY media_id) AS n FROM h"""))
+def _(spark, d):
+    words = A.words(spark, d)
+    run = F.floor(F.col("idx") / 50)
+    pieces = words.withColumn("run", run).where("run % 4 <> 3").groupBy("media_id", "run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    return W.find_replace(words, pieces.withColumn("end_us", F.col("end_us") + F.when(F.col("run") % 4 == 1, 2_000_000).otherwise(0)), "the", "a")
 
 
 @query("c25_paragraphs", r"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents), u AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS pos FROM p)
