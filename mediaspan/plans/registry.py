@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from mediaspan.plans import span_queries, word_queries, plan_queries, catalog_queries, review_queries, edit_queries, more_queries, focus_queries, media_queries, repair_queries, evaluate_queries
+from mediaspan.plans import span_queries, word_queries, plan_queries, catalog_queries, review_queries, edit_queries, more_queries, focus_queries, media_queries, repair_queries, evaluate_queries, selection_queries
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (span_queries, word_queries, plan_queries, catalog_queries, review_queries, edit_queries, more_queries, focus_queries, media_queries, repair_queries, evaluate_queries):
+for module in (span_queries, word_queries, plan_queries, catalog_queries, review_queries, edit_queries, more_queries, focus_queries, media_queries, repair_queries, evaluate_queries, selection_queries):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)
 

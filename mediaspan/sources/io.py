@@ -63,6 +63,40 @@ def energy(analyses: DataFrame) -> DataFrame:
     return rows.select("media_id", "idx", micros(F.col("idx") * F.col("f") / F.col("r")).alias("t_us"), "rms")
 
 
+TRACKS = (
+    "media_id bigint, vad array<struct<start: double, end: double>>, pauses array<struct<start: double, end: double>>, speech_density array<struct<start: double, end: double, speech_ratio: double>>, "
+    "fillers array<struct<start: double, end: double, kind: string, confidence: double>>, _corrupt_record string"
+)
+#: The tracks of an analysis document: its field, and what else than times a row of it holds.
+_FIELDS = (("vad", "vad", None, None), ("pauses", "pauses", None, None), ("density", "speech_density", "speech_ratio", None), ("fillers", "fillers", "confidence", "kind"))
+
+
+def analysis_tracks(analyses: DataFrame, unread: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents read with TRACKS, and the texts of those that don't read -> (tracks, violations).
+
+    tracks: media_id, track (vad, pauses, density, fillers), pos, start_us, end_us, value (a speech
+    ratio or a confidence), kind. One explode of all tracks at once. violations: media_id, track,
+    pos, message; a track that is missing (`missing`), a row without times, with a negative or
+    turned time (`interval`), or with a value outside 0 to 1 (`value`) is one, and a document that
+    doesn't read (`unreadable`, with its text as track). Rows in violation are no tracks.
+    """
+
+    def listed(track: str, field: str, value: str | None, kind: str | None):
+        row = lambda x: F.struct(F.lit(track).alias("track"), x["start"].alias("a"), x["end"].alias("b"), (x[value] if value else F.lit(None).cast("double")).alias("value"), (x[kind] if kind else F.lit(None).cast("string")).alias("kind"), F.lit(value is not None).alias("valued"))
+        return F.transform(F.coalesce(F.col(field), F.array()), lambda x, i: F.struct(i.cast("long").alias("pos"), row(x).alias("r")))
+
+    gone = F.array_compact(F.array(*(F.when(F.col(field).isNull(), track) for track, field, _, _ in _FIELDS)))
+    rows = analyses.select("media_id", F.explode(F.concat(*(listed(*f) for f in _FIELDS))).alias("x")).select("media_id", "x.pos", "x.r.*")
+    turned = F.coalesce((F.col("a") < 0) | (F.col("b") <= F.col("a")), F.lit(True))
+    wrong = F.col("valued") & ~F.coalesce(F.col("value").between(0, 1), F.lit(False))
+    rows = rows.withColumn("message", F.when(turned, "interval").when(wrong, "value"))
+    bad = rows.where("message IS NOT NULL").select("media_id", "track", "pos", "message")
+    none = F.lit(None).cast("long").alias("pos")
+    bad = bad.unionByName(analyses.select("media_id", F.explode(gone).alias("track")).select("media_id", "track", none, F.lit("missing").alias("message")))
+    bad = bad.unionByName(unread.select(F.lit(None).cast("long").alias("media_id"), F.col("text").alias("track"), none, F.lit("unreadable").alias("message")))
+    return rows.where("message IS NULL").select("media_id", "track", "pos", micros(F.col("a")).alias("start_us"), micros(F.col("b")).alias("end_us"), "value", "kind"), bad
+
+
 def _names(schema) -> F.Column:
     return F.array(*(F.lit(f.name) for f in schema.fields))
 
