@@ -65,6 +65,13 @@ def video_id(url: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
+def paragraphs(text: Column) -> Column:
+    """What stands between blank lines, its white space squeezed, without empty ones."""
+    parts = F.split(text, r"\n[ \t\r\f\x0B]*\n")
+    squeezed = F.transform(parts, lambda p: F.btrim(F.regexp_replace(p, r"[ \t\r\n\f\x0B]+", " ")))
+    return F.filter(squeezed, lambda p: p != "")
+
+
 def timestamp(us: Column, comma: str = ",") -> Column:
     """hh:mm:ss,mmm of microseconds."""
     ms = F.floor(us / 1000)

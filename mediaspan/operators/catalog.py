@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediaspan.functions import text as T
+
 STATUSES = ("posted", "discarded", "saved", "exported", "approved", "new")
 
 
@@ -50,6 +52,63 @@ def batch_status(rows: DataFrame, keys, status: str, done: str = "succeeded") ->
     return rows.groupBy(*keys).agg(good.alias("done"), n.alias("items")).withColumn("status", F.when(F.col("done") == F.col("items"), "succeeded").when(F.col("done") == 0, "failed").otherwise("partial"))
 
 
+def rescaled(score: Column, parts: Column, legacy: tuple[str, ...], by: float = 3.5) -> Column:
+    """Scores of old rows, those that have all the legacy parts, on the scale of new ones."""
+    old = reduce(lambda a, k: a & F.coalesce(F.map_contains_key(parts, k), F.lit(False)), legacy, F.lit(True))
+    return F.when(old, F.round(score / by, 1)).otherwise(score)
+
+
+def is_draft(path: Column, purpose: Column) -> Column:
+    """By what a render was made for, or its file's name."""
+    return F.coalesce(purpose == "draft", F.lit(False)) | F.startswith(F.regexp_extract(path, "([^/]*)$", 1), F.lit("draft"))
+
+
+def board(clips: DataFrame, states: DataFrame, items: DataFrame) -> DataFrame:
+    """clips(run_id, clip_key, pos, rank), states(run_id, clip_key, posted, discarded, saved, approved),
+    items(run_id, clip_key, artifact_id, status, exported_at, draft) -> a row a clip of each run:
+    run_id, clip_key, rank, place, exports, newest, status.
+
+    Of clips of one key the first by pos counts. Exports are succeeded items with an artifact that is
+    no draft; place is by rank, clips without one last.
+    """
+    first = latest(clips, ["run_id", "clip_key"], [F.col("pos").asc()])
+    good = (F.col("status") == "succeeded") & F.col("artifact_id").isNotNull() & ~F.coalesce(F.col("draft"), F.lit(False))
+    exports = items.where(good).groupBy("run_id", "clip_key").agg(F.count("*").alias("exports"), F.max("exported_at").alias("newest"))
+    rows = first.select("run_id", "clip_key", "rank", "pos").join(states, ["run_id", "clip_key"], "left").join(exports, ["run_id", "clip_key"], "left").fillna(0, ["exports"])
+    held = [F.coalesce(F.col(c), F.lit(False)) for c in ("posted", "discarded", "saved")]
+    status = clip_status(*held, F.col("exports") > 0, F.coalesce(F.col("approved"), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("rank").asc_nulls_last(), "pos"))
+    return rows.select("run_id", "clip_key", "rank", place.alias("place"), "exports", "newest", status.alias("status"))
+
+
+def other_exports(renders: DataFrame, items: DataFrame) -> DataFrame:
+    """renders(project_id, artifact_id, created_at, draft) that no item names, whatever became of it, and
+    that are no drafts; place: newest first by project."""
+    loose = renders.where(~F.coalesce(F.col("draft"), F.lit(False))).join(items.where(F.col("artifact_id").isNotNull()).select("artifact_id").distinct(), "artifact_id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("created_at").desc(), "artifact_id"))
+    return loose.select("project_id", "artifact_id", "created_at", place.alias("place"))
+
+
+def episodes(projects: DataFrame, sources: DataFrame, archived: DataFrame, local: DataFrame) -> DataFrame:
+    """projects(project_id), sources(project_id, source_id, url), archived(episode_id), local(episode_id,
+    project_id: what earlier local episodes hold) -> episode_id, url, projects (ascending), hidden.
+
+    Projects are grouped by the video that a source's address names; a project with sources of which
+    none has an address, and that no group holds, is a local episode of its own. Archived
+    episodes are hidden, and local ones all of whose projects a group holds.
+    """
+    named = sources.withColumn("episode_id", T.video_id(F.col("url"))).where("episode_id IS NOT NULL").select("episode_id", "project_id").distinct()
+    held = named.select("project_id").distinct()
+    bare = sources.groupBy("project_id").agg(F.count("url").alias("n")).where("n = 0").select("project_id")
+    alone = projects.select("project_id").join(bare, "project_id", "left_semi").join(held, "project_id", "left_anti")
+    own = local.select("episode_id", "project_id").unionByName(alone.select(F.concat(F.lit("local-"), F.col("project_id").cast("string")).alias("episode_id"), "project_id")).distinct()
+    marked = own.join(held.withColumn("_held", F.lit(True)), "project_id", "left").select("episode_id", "project_id", F.lit(False).alias("url"), F.col("_held").isNotNull().alias("_held"))
+    both = named.select("episode_id", "project_id", F.lit(True).alias("url"), F.lit(False).alias("_held")).unionByName(marked)
+    rows = both.groupBy("episode_id", "url").agg(F.array_sort(F.collect_set("project_id")).alias("projects"), F.bool_and("_held").alias("_covered"))
+    gone = archived.select("episode_id", F.lit(True).alias("_gone")).distinct()
+    return rows.join(gone, "episode_id", "left").select("episode_id", "url", "projects", (F.col("_gone").isNotNull() | F.col("_covered")).alias("hidden"))
+
+
 def merged_settings(base: DataFrame, override: DataFrame, keys) -> DataFrame:
     """Settings as (keys, path, value): overrides win, other paths stay."""
     o = override.select(*keys, "path", F.col("value").alias("_o"))

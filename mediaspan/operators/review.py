@@ -105,3 +105,24 @@ def default_roles(confirmed: DataFrame, suggested: DataFrame, keys) -> DataFrame
 def expected_roles(frames: DataFrame, keys) -> DataFrame:
     """frames(keys, role, expected): true where a window has frames and all have the expected role."""
     return frames.groupBy(*keys).agg((F.coalesce(F.bool_and(F.col("role") == F.col("expected")), F.lit(False)) & (F.count("role") > 0)).alias("ok"))
+
+
+def candidates(providers: dict[str, tuple[DataFrame, dict[str, str]]], longest: int = 300) -> DataFrame:
+    """Each provider's table, with what it calls ref, title, note, and seconds or ms, in one schema:
+    provider, ref, title (untitled if missing), note (cut to `longest` characters, empty if missing), seconds."""
+    out = None
+    for name, (rows, columns) in providers.items():
+        seconds = F.col(columns["seconds"]).cast("double") if "seconds" in columns else F.col(columns["ms"]) / 1000
+        one = rows.select(F.lit(name).alias("provider"), F.col(columns["ref"]).cast("string").alias("ref"), F.coalesce(columns["title"], F.lit("untitled")).alias("title"), F.substring(F.coalesce(columns["note"], F.lit("")), 1, longest).alias("note"), seconds.alias("seconds"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def retention(files: DataFrame, days: int, listed: int = 20) -> DataFrame:
+    """files(store, path, bytes, age) older than `days`: by store how many, their bytes, and the `listed`
+    oldest paths. The listing is a window's head, so no task holds a store's files."""
+    old = files.where(F.col("age") > days)
+    place = F.row_number().over(Window.partitionBy("store").orderBy(F.col("age").desc(), "path"))
+    head = old.withColumn("n", place).where(F.col("n") <= listed).groupBy("store").agg(F.array_sort(F.collect_list(F.struct("n", "path"))).alias("f"))
+    sums = old.groupBy("store").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    return sums.join(head, "store").select("store", "files", "bytes", F.transform("f", lambda x: x["path"]).alias("first"))

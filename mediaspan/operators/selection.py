@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediaspan.functions import text as T
+
 # Bounds of a teaser, how far it may stand out of its piece, and bounds of a clip.
 TEASER_US, SLACK_US, MOST_PIECES, SCORES = (1_200_000, 4_500_000), 10_000, 15, (1, 10)
 
+# Words that point back at something said before.
+POINTERS = ("isso", "isto", "esse", "essa", "esses", "essas", "ele", "ela", "eles", "elas", "aquilo", "aquele", "aquela")
+
+
+def dangling(pieces: DataFrame, pointers: tuple[str, ...] = POINTERS) -> DataFrame:
+    """pieces(media_id, pos, text) after the first one that open with a pointer: media_id, pos, opens."""
+    opens = T.token(F.element_at(F.split(F.btrim("text"), " "), 1))
+    return pieces.where(F.col("pos") > 0).withColumn("opens", opens).where(F.col("opens").isin(*pointers)).select("media_id", "pos", "opens")
+
 
 def teasers(clips: DataFrame, pieces: DataFrame, units: DataFrame) -> DataFrame:
     """clips(media_id, clip_id, ids), pieces(media_id, clip_id, from_id, to_id, start_us, end_us),

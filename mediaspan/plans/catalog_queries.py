@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mediaspan.functions import text as T
 from mediaspan.operators import catalog as C
 from mediaspan.sources import adapters as A
 from mediaspan.sources.scratch import folder
@@ -154,6 +155,80 @@ def _(spark, d):
     return stated(spark, d).join(li, "o_orderkey", "left").select("o_custkey", "o_orderkey", "status", F.coalesce("exports", F.lit(0)).alias("exports"), "newest", place.alias("place"))
 
 
+# A customer is a run, two orders a clip key, a line an item: of them some failed, are drafts or have no artifact.
+BOARD = """cl AS (SELECT o_custkey AS run_id, o_orderkey % 8 AS clip_key, o_orderkey AS pos, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 11 END AS rank FROM orders), st AS (SELECT o_custkey AS run_id, o_orderkey % 8 AS clip_key, bool_or(o_totalprice > 400000) AS posted, bool_or(o_orderpriority = '5-LOW') AS discarded, bool_or(o_orderkey % 7 = 0) AS saved, bool_or(o_orderstatus = 'O') AS approved FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2),
+  it AS (SELECT o_custkey AS run_id, o_orderkey % 8 AS clip_key, CASE WHEN l_linenumber <> 6 THEN l_orderkey * 10 + l_linenumber END AS artifact_id, CASE l_returnflag WHEN 'N' THEN 'failed' ELSE 'succeeded' END AS status, l_shipdate AS exported_at, CASE WHEN l_linenumber <> 7 THEN l_linenumber = 5 END AS draft FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  ex AS (SELECT run_id, clip_key, count(*) AS exports, max(exported_at) AS newest FROM it WHERE status = 'succeeded' AND artifact_id IS NOT NULL AND NOT coalesce(draft, false) GROUP BY 1, 2),
+  bd AS (SELECT c.run_id, c.clip_key, rank, CAST(row_number() OVER (PARTITION BY c.run_id ORDER BY rank NULLS LAST, pos) AS INTEGER) AS place, coalesce(exports, 0) AS exports, newest, CASE WHEN posted THEN 'posted' WHEN discarded THEN 'discarded' WHEN saved THEN 'saved' WHEN exports > 0 THEN 'exported' WHEN approved THEN 'approved' ELSE 'new' END AS status
+    FROM (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY run_id, clip_key ORDER BY pos) = 1) c LEFT JOIN st ON st.run_id = c.run_id AND st.clip_key = c.clip_key LEFT JOIN ex ON ex.run_id = c.run_id AND ex.clip_key = c.clip_key)"""
+
+
+def exported(spark, d):
+    o = orders(spark, d).select(F.col("o_custkey").alias("run_id"), (F.col("o_orderkey") % 8).alias("clip_key"), F.col("o_orderkey").alias("l_orderkey"))
+    n = F.col("l_linenumber")
+    rows = A.table(spark, d, "lineitem").join(o, "l_orderkey")
+    return rows.select("run_id", "clip_key", F.when(n != 6, F.col("l_orderkey") * 10 + n).alias("artifact_id"), F.when(F.col("l_returnflag") == "N", "failed").otherwise("succeeded").alias("status"), F.col("l_shipdate").alias("exported_at"), F.when(n != 7, n == 5).alias("draft"))
+
+
+def boarded(spark, d):
+    o = orders(spark, d).withColumn("clip_key", (F.col("o_orderkey") % 8)).withColumnRenamed("o_custkey", "run_id")
+    clips = o.select("run_id", "clip_key", F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 11).alias("rank"))
+    flags = [("posted", F.col("o_totalprice") > 400000), ("discarded", F.col("o_orderpriority") == "5-LOW"), ("saved", F.col("o_orderkey") % 7 == 0), ("approved", F.col("o_orderstatus") == "O")]
+    states = o.where("o_orderkey % 3 <> 0").groupBy("run_id", "clip_key").agg(*(F.bool_or(f).alias(n) for n, f in flags))
+    return C.board(clips, states, exported(spark, d))
+
+
+@query("k02_clip_board", f"WITH {BOARD} SELECT * FROM bd")
+def _(spark, d):
+    return boarded(spark, d)
+
+
+@query("k02_counts", f"WITH {BOARD} SELECT run_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in C.STATUSES) + ", count(*) AS total FROM bd GROUP BY 1")
+def _(spark, d):
+    return C.status_counts(boarded(spark, d), ["run_id"], "status")
+
+
+@query("k02_other_exports", f"WITH {BOARD}, rn AS (SELECT l_suppkey AS project_id, l_orderkey * 10 + l_linenumber AS artifact_id, l_shipdate AS created_at, l_linenumber = 3 AS draft FROM lineitem WHERE l_linenumber <> 2 UNION ALL SELECT l_suppkey, l_orderkey * 10 + 8, l_shipdate, l_linenumber = 1 AND l_orderkey % 5 = 0 FROM lineitem WHERE l_linenumber = 1) "
+  "SELECT project_id, artifact_id, created_at, CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, artifact_id) AS INTEGER) AS place FROM rn WHERE NOT draft AND artifact_id NOT IN (SELECT artifact_id FROM it WHERE artifact_id IS NOT NULL)")
+def _(spark, d):
+    n, lines = F.col("l_linenumber"), A.table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "project_id")
+    renders = lines.where(n != 2).select("project_id", (F.col("l_orderkey") * 10 + n).alias("artifact_id"), F.col("l_shipdate").alias("created_at"), (n == 3).alias("draft"))
+    more = lines.where(n == 1).select("project_id", (F.col("l_orderkey") * 10 + 8).alias("artifact_id"), F.col("l_shipdate").alias("created_at"), (F.col("l_orderkey") % 5 == 0).alias("draft"))
+    return C.other_exports(renders.unionByName(more), exported(spark, d))
+
+
+# A page is a source: five of them a project; addresses of several forms, without a video, or none.
+SOURCES = r"""sr AS (SELECT page_id, page_id // 5 AS project_id, CASE WHEN page_id // 5 % 4 = 0 THEN NULL ELSE CASE page_id % 6 WHEN 0 THEN 'https://www.youtube.com/watch?list=x&v=' WHEN 1 THEN 'http://youtu.be/' WHEN 2 THEN 'https://m.youtube.com/live/' WHEN 3 THEN 'https://youtube.com/shorts/' WHEN 4 THEN 'https://example.com/watch?v=' END || lpad(CAST(page_id // 5 * 7 % 40 AS VARCHAR), CASE WHEN page_id % 11 = 0 THEN 10 ELSE 11 END, 'x_') END AS url FROM pages),
+  vi AS (SELECT page_id, project_id, url, CASE WHEN page_id // 5 % 4 <> 0 AND page_id % 6 < 4 AND page_id % 11 <> 0 THEN lpad(CAST(page_id // 5 * 7 % 40 AS VARCHAR), 11, 'x_') END AS video FROM sr)"""
+
+
+def video_sources(spark, d):
+    page, project = F.col("page_id"), F.floor(F.col("page_id") / 5)
+    starts = ["https://www.youtube.com/watch?list=x&v=", "http://youtu.be/", "https://m.youtube.com/live/", "https://youtube.com/shorts/", "https://example.com/watch?v="]
+    start = F.try_element_at(F.array(*map(F.lit, starts)), (page % 6 + 1).cast("int"))
+    name = (project * 7 % 40).cast("string")
+    name = F.when(page % 11 == 0, F.lpad(name, 10, "x_")).otherwise(F.lpad(name, 11, "x_"))
+    return A.table(spark, d, "pages").select(page.alias("source_id"), project.alias("project_id"), F.when(project % 4 != 0, F.concat(start, name)).alias("url"))
+
+
+@query("a17_canonical_id", f"WITH {SOURCES} SELECT page_id AS source_id, video FROM vi")
+def _(spark, d):
+    return video_sources(spark, d).select("source_id", T.video_id(F.col("url")).alias("video"))
+
+
+@query("k08_episodes", f"""WITH {SOURCES}, nm AS (SELECT DISTINCT video AS episode_id, project_id FROM vi WHERE video IS NOT NULL), be AS (SELECT project_id FROM sr GROUP BY 1 HAVING count(url) = 0),
+  ow AS (SELECT 'old-' || project_id % 90 AS episode_id, project_id FROM sr WHERE project_id % 3 = 0 UNION SELECT 'local-' || project_id, project_id FROM be WHERE project_id NOT IN (SELECT project_id FROM nm)),
+  al AS (SELECT episode_id, true AS url, project_id, false AS held FROM nm UNION ALL SELECT episode_id, false, project_id, project_id IN (SELECT project_id FROM nm) FROM ow)
+  SELECT episode_id, url, array_to_string(list(DISTINCT project_id ORDER BY project_id), ',') AS projects, bool_and(held) OR ends_with(episode_id, '7') AS hidden FROM al GROUP BY 1, 2""")
+def _(spark, d):
+    sources = video_sources(spark, d)
+    projects = sources.select("project_id").distinct()
+    local = projects.where("project_id % 3 = 0").select(F.concat(F.lit("old-"), (F.col("project_id") % 90).cast("string")).alias("episode_id"), "project_id")
+    named = sources.select(T.video_id(F.col("url")).alias("episode_id")).unionByName(local.select("episode_id")).unionByName(projects.select(F.concat(F.lit("local-"), F.col("project_id").cast("string")).alias("episode_id")))
+    out = C.episodes(projects, sources, named.where("episode_id LIKE '%7'"), local)
+    return out.select("episode_id", "url", F.array_join(F.col("projects").cast("array<string>"), ",").alias("projects"), "hidden")
+
+
 @query("f02_grouped", "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS items FROM orders GROUP BY 1")
 def _(spark, d):
     return orders(spark, d).groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("items"))
@@ -185,7 +260,7 @@ def _(spark, d):
     return h.groupBy("source", "h").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@query("k08_episodes", r"WITH u AS (SELECT page_id, coalesce(nullif(regexp_extract(url, '^https?://([^/]+)', 1), ''), 'local') AS host FROM pages) SELECT host, count(*) AS pages, min(page_id) AS first FROM u GROUP BY 1")
+@query("k08_hosts", r"WITH u AS (SELECT page_id, coalesce(nullif(regexp_extract(url, '^https?://([^/]+)', 1), ''), 'local') AS host FROM pages) SELECT host, count(*) AS pages, min(page_id) AS first FROM u GROUP BY 1")
 def _(spark, d):
     host = F.coalesce(F.nullif(F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("")), F.lit("local"))
     return A.table(spark, d, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.min("page_id").alias("first"))

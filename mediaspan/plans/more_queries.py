@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from mediaspan.functions import text as T
 from mediaspan.operators import spans as S
+from mediaspan.operators.catalog import is_draft, rescaled
+from mediaspan.operators.selection import POINTERS, dangling
 from mediaspan.operators import vectors as V
 from mediaspan.operators import words as W
 from mediaspan.plans.span_queries import HOURS, SEGMENTS, TIMELINE, segments
@@ -27,8 +29,6 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-# Words that point back at something said before.
-POINTERS = ("it", "that", "this", "is", "and", "des", "der", "las")
 
 
 @query("c05_without_hesitations", r"SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(text, '(?i)(^|[^\p{L}])(eh|ah|ãh|ã|hum|hã|uhm|uh|hmm|hmmm|ahn)($|[^\p{L}])', '\1\3', 'g'), ' +', ' ', 'g'))) AS h FROM conversations")
@@ -42,15 +42,23 @@ def _(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.headline(F.col("text")).alias("headline"))
 
 
-@query("c13_dangling", A.sql("turns", f"SELECT media_id, pos, lower(string_split(text, ' ')[1]) AS opens FROM turns WHERE pos > 0 AND lower(string_split(text, ' ')[1]) IN {POINTERS}"))
+# Every third turn gets a pointer to open with, in one of several forms.
+OPENED = "CASE WHEN (media_id + pos) % 3 = 0 THEN CASE pos % 4 WHEN 0 THEN 'Isso, ' WHEN 1 THEN 'ela ' WHEN 2 THEN '\"Aquele\" ' ELSE 'issox ' END || text ELSE text END"
+
+
+@query("c13_dangling", A.sql("turns", f"o AS (SELECT media_id, pos, lower(trim(string_split(trim({OPENED}), ' ')[1], '.,;:!?…\"''()[]{{}}<>*#%$&|-“”‘’–—')) AS opens FROM turns) SELECT media_id, pos, opens FROM o WHERE pos > 0 AND opens IN {POINTERS}"))
 def _(spark, d):
-    first = F.lower(F.element_at(F.split("text", " "), 1))
-    return A.turns(spark, d).where(F.col("pos") > 0).where(first.isin(*POINTERS)).select("media_id", "pos", first.alias("opens"))
+    opener = F.when(F.col("pos") % 4 == 0, "Isso, ").when(F.col("pos") % 4 == 1, "ela ").when(F.col("pos") % 4 == 2, '"Aquele" ').otherwise("issox ")
+    pieces = A.turns(spark, d).withColumn("text", F.when((F.col("media_id") + F.col("pos")) % 3 == 0, F.concat(opener, F.col("text"))).otherwise(F.col("text")))
+    return dangling(pieces.select("media_id", "pos", "text"))
 
 
-@query("c14_draft", "SELECT page_id, starts_with(regexp_extract(url, '([^/]+)$', 1), 'draft') OR contains(url, 'page=') AS draft FROM pages")
+@query("c14_draft", "SELECT page_id, coalesce(page_id % 5 = 2, false) OR (page_id % 3 = 0 AND page_id % 2 = 0) AS draft FROM pages")
 def _(spark, d):
-    return A.table(spark, d, "pages").select("page_id", (F.startswith(F.regexp_extract("url", "([^/]+)$", 1), F.lit("draft")) | F.contains("url", F.lit("page="))).alias("draft"))
+    page = F.col("page_id")
+    path = F.concat(F.lit("/renders/"), F.when(page % 3 == 0, F.concat(F.when(page % 2 == 0, "draft-").otherwise("final-draft-"), page.cast("string"))).otherwise(page.cast("string")), F.lit(".mp4"))
+    purpose = F.when(page % 5 == 2, "draft").when(page % 5 == 3, "export")
+    return A.table(spark, d, "pages").select("page_id", is_draft(path, purpose).alias("draft"))
 
 
 @query("c15_complete", "SELECT doc_id, trim(coalesce(text, '')) <> '' AND trim(coalesce(source, '')) <> '' AND trim(coalesce(lang, '')) <> '' AS complete FROM documents")
@@ -64,10 +72,16 @@ def _(spark, d):
     return A.tracks(spark, d).select("id", (F.col("end_us") - F.col("start_us")).between(1_500_000_000, 18_000_000_000).alias("ok"))
 
 
-@query("c17_old_scores", "SELECT c_custkey, CASE WHEN c_nationkey < 7 AND c_mktsegment = 'BUILDING' THEN CAST(round(c_acctbal * 100) AS BIGINT) * 2 // 7 ELSE CAST(round(c_acctbal * 100) AS BIGINT) END AS score FROM customer WHERE c_acctbal >= 0")
+# Seven legacy parts of a score; one customer in three lacks the last.
+LEGACY = ("hook", "clarity", "story", "emotion", "value", "pace", "ending")
+
+
+@query("c17_old_scores", "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN round(CAST(round(c_acctbal) AS BIGINT) / 3.5::DOUBLE, 1) ELSE CAST(round(c_acctbal) AS BIGINT) END AS score FROM customer")
 def _(spark, d):
-    c = A.table(spark, d, "customer").where("c_acctbal >= 0").withColumn("n", F.round(F.col("c_acctbal") * 100).cast("long"))
-    return c.select("c_custkey", F.when((F.col("c_nationkey") < 7) & (F.col("c_mktsegment") == "BUILDING"), F.expr("n * 2 div 7")).otherwise(F.col("n")).alias("score"))
+    parts = [x for k in LEGACY[:-1] for x in (F.lit(k), F.lit(1))]
+    scores = F.map_concat(F.create_map(*parts), F.when(F.col("c_custkey") % 3 != 0, F.create_map(F.lit(LEGACY[-1]), F.lit(1))).otherwise(F.create_map().cast("map<string, int>")))
+    c = A.table(spark, d, "customer").select("c_custkey", scores.alias("scores"), F.round("c_acctbal").cast("double").alias("score"))
+    return c.select("c_custkey", rescaled(F.col("score"), F.col("scores"), LEGACY).alias("score"))
 
 
 @query("c18_public", "SELECT c_custkey, c_name, c_mktsegment, c_acctbal < 0 AS owes FROM customer")

@@ -205,11 +205,15 @@ def _(spark, d):
     return A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("pick"))
 
 
-@query("a16_two_providers", "SELECT 'part' AS provider, p_partkey AS ref, left(p_name, 8) AS name, p_size * 1000 AS ms FROM part UNION ALL SELECT 'supplier', s_suppkey, left(s_name, 8), 0 FROM supplier")
+# Two searches' answers with names, texts (long, blank or missing) and lengths of their own.
+@query("a16_two_providers", """WITH a AS (SELECT doc_id, doc_id % 2 AS side, CASE WHEN doc_id % 5 <> 0 THEN source END AS title, CASE WHEN doc_id % 7 <> 0 THEN text END AS text, n_chars FROM documents)
+  SELECT CASE side WHEN 0 THEN 'first' ELSE 'second' END AS provider, CAST(doc_id AS VARCHAR) AS ref, coalesce(title, 'untitled') AS title, md5(left(coalesce(text, ''), 300)) AS note, CASE side WHEN 0 THEN n_chars / 1000.0::DOUBLE ELSE CASE WHEN n_chars % 3 <> 0 THEN CAST(n_chars AS DOUBLE) END END AS seconds FROM a""")
 def _(spark, d):
-    a = A.table(spark, d, "part").select(F.lit("part").alias("provider"), F.col("p_partkey").alias("ref"), F.substring("p_name", 1, 8).alias("name"), (F.col("p_size") * 1000).alias("ms"))
-    b = A.table(spark, d, "supplier").select(F.lit("supplier").alias("provider"), F.col("s_suppkey").alias("ref"), F.substring("s_name", 1, 8).alias("name"), F.lit(0).alias("ms"))
-    return a.unionByName(b)
+    rows = A.table(spark, d, "documents").withColumn("title", F.when(F.col("doc_id") % 5 != 0, F.col("source"))).withColumn("text", F.when(F.col("doc_id") % 7 != 0, F.col("text")))
+    first = rows.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("title").alias("name"), F.col("text").alias("description"), F.col("n_chars").alias("length_ms"))
+    second = rows.where("doc_id % 2 = 1").select(F.col("doc_id").alias("key"), "title", F.col("text").alias("prompt"), F.when(F.col("n_chars") % 3 != 0, F.col("n_chars")).alias("length_s"))
+    found = R.candidates({"first": (first, {"ref": "id", "title": "name", "note": "description", "ms": "length_ms"}), "second": (second, {"ref": "key", "title": "title", "note": "prompt", "seconds": "length_s"})})
+    return found.withColumn("note", F.md5("note"))
 
 
 @query("a19_newest_per_number", "SELECT l_linenumber, l_suppkey, arg_max(l_orderkey, (l_shipdate, l_orderkey)) AS newest FROM lineitem GROUP BY 1, 2")
@@ -217,6 +221,11 @@ def _(spark, d):
     return A.table(spark, d, "lineitem").groupBy("l_linenumber", "l_suppkey").agg(F.max_by("l_orderkey", F.struct("l_shipdate", "l_orderkey")).alias("newest"))
 
 
-@query("a20_retention", "SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents WHERE n_chars > 1000 GROUP BY 1")
+# Documents as files, a day older for each fifty characters.
+@query("a20_retention", """WITH f AS (SELECT source AS store, doc_id AS path, n_chars AS bytes, n_chars // 50 AS age FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY age DESC, path) AS n FROM f WHERE age > 30)
+  SELECT store, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, string_agg(CAST(path AS VARCHAR), ',' ORDER BY n) FILTER (n <= 20) AS first FROM o GROUP BY 1""")
 def _(spark, d):
-    return A.table(spark, d, "documents").where("n_chars > 1000").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes"))
+    files = A.table(spark, d, "documents").select(F.col("source").alias("store"), F.col("doc_id").alias("path"), F.col("n_chars").alias("bytes"), F.floor(F.col("n_chars") / 50).alias("age"))
+    return R.retention(files, 30).withColumn("first", F.array_join(F.col("first").cast("array<string>"), ","))
+
+

@@ -94,11 +94,15 @@ def _(spark, d):
     return W.find_replace(words, pieces.withColumn("end_us", F.col("end_us") + F.when(F.col("run") % 4 == 1, 2_000_000).otherwise(0)), "the", "a")
 
 
-@query("c25_paragraphs", r"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents), u AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS pos FROM p)
-  SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(trim(regexp_replace(p, '[ \t]+', ' ', 'g'))) AS h FROM u WHERE trim(regexp_replace(p, '[ \t]+', ' ', 'g')) <> ''""")
+# Every third line is blank, of white space only.
+@query("c25_paragraphs", r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), t AS (SELECT doc_id, array_to_string(list_transform(range(1, len(ls) + 1), lambda i: ls[i] || CASE WHEN i % 3 = 0 THEN chr(10) || ' ' || chr(9) ELSE '' END), chr(10)) AS text FROM l),
+  p AS (SELECT doc_id, regexp_split_to_array(text, '\n[ \t\r\f\v]*\n') AS ps FROM t), u AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS pos FROM p), c AS (SELECT doc_id, pos, trim(regexp_replace(p, '[ \t\r\n\f\v]+', ' ', 'g')) AS p FROM u)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, md5(p) AS h FROM c WHERE p <> ''""")
 def _(spark, d):
-    u = A.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "p")).withColumn("p", F.btrim(F.regexp_replace("p", r"[ \t]+", " ")))
-    return u.where("p <> ''").select("doc_id", "pos", F.md5("p").alias("h"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(x, F.when((i + 1) % 3 == 0, F.lit("\n \t")).otherwise("")))
+    texts = A.table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    u = texts.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "p"))
+    return u.select("doc_id", "pos", F.md5("p").alias("h"))
 
 
 @query("c28_hotwords", r"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '[,;' || chr(10) || ']') AS ps FROM documents), u AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS pos FROM s),
@@ -127,11 +131,11 @@ def _(spark, d):
     return rows.groupBy("media_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("t")))), lambda x: x["t"]), "|")).alias("h"))
 
 
-@query("a22_transcript_lines", A.sql("turns", "SELECT media_id, pos, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY media_id ORDER BY pos) THEN '' ELSE speaker || ': ' END || left(text, 20) AS line FROM turns"))
+@query("a22_transcript_lines", A.sql("turns", "SELECT media_id, pos, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY media_id ORDER BY pos) THEN '' ELSE speaker || ': ' END || text AS line FROM turns"))
 def _(spark, d):
     order = Window.partitionBy("media_id").orderBy("pos")
     label = F.when(F.col("speaker") == F.lag("speaker").over(order), "").otherwise(F.concat("speaker", F.lit(": ")))
-    return A.turns(spark, d).select("media_id", "pos", F.concat(label, F.substring("text", 1, 20)).alias("line"))
+    return A.turns(spark, d).select("media_id", "pos", F.concat(label, F.col("text")).alias("line"))
 
 
 FILLERS = f"""t AS (SELECT *, {TOKEN} AS token FROM words), n AS (SELECT *, lag(token) OVER ({BY}) AS prior, coalesce(start_us - lag(end_us) OVER ({BY}), 1152921504606846976) AS before, coalesce(lead(start_us) OVER ({BY}) - end_us, 1152921504606846976) AS after FROM t),
@@ -205,9 +209,9 @@ def _(spark, d):
     return W.caption_cues(A.words(spark, d))
 
 
-@query("c10_doubtful_words", A.sql("words", "SELECT media_id, idx FROM words WHERE (idx * 37 + media_id * 11) % 100 < 60 AND (idx * 3 + media_id) % 7 <> 0 AND length(word) > 12"))
+@query("c10_doubtful_words", A.sql("words", "SELECT media_id, idx FROM words WHERE (idx * 37 + media_id * 11) % 100 < 60 AND (idx * 3 + media_id) % 7 <> 0"))
 def _(spark, d):
-    w = A.words(spark, d).where("length(word) > 12")
+    w = A.words(spark, d)
     corrected = A.words(spark, d).where("(idx * 3 + media_id) % 7 = 0").select("media_id", "idx")
     return w.where("(idx * 37 + media_id * 11) % 100 < 60").join(corrected, ["media_id", "idx"], "left_anti").select("media_id", "idx")
 
