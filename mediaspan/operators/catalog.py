@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,19 @@ def latest(rows: DataFrame, keys, order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def ranked(rows: DataFrame, order: list[Column], parts: int, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with `place`, from 1, in one order over all of them, ties as they fall.
+
+    Rows are dealt into `parts` ranges of the order and numbered within each; what goes through one
+    task is a count for each range. `kept` writes the dealt rows, so that both steps see the same.
+    """
+    dealt = kept(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return dealt.join(F.broadcast(counts), "_part").withColumn("place", place.cast("long")).drop("_part", "_before")
+
+
 def upsert(stored: DataFrame, changes: DataFrame, keys, at: str, keep=()) -> DataFrame:
     """stored with changes put in: a key's last change by `at` wins, columns in `keep` stay as stored."""
     newest = latest(changes, keys, [F.col(at).desc()])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediaspan.functions import text as T
 from mediaspan.operators import catalog as C
 from mediaspan.sources import adapters as A
-from mediaspan.sources.scratch import folder
+from mediaspan.sources.scratch import folder, kept
 from mediaspan.streaming import jobs as J
 
 QUERIES: dict = {}
@@ -120,10 +120,11 @@ def _(spark, d):
     return orders(spark, d).withColumn("n", n).where("n <= 5").select("o_custkey", "o_orderkey")
 
 
-@query("h11_active_jobs", A.sql("jobs", "l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY at_us DESC, event_id DESC) AS n FROM jobs) SELECT job_id, status, CAST(row_number() OVER (ORDER BY status = 'running' DESC, at_us DESC, job_id) AS INTEGER) AS place FROM l WHERE n = 1 AND status IN ('running', 'queued')"))
+@query("h11_active_jobs", A.sql("jobs", "l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY at_us DESC, event_id DESC) AS n FROM jobs) SELECT job_id, status, row_number() OVER (ORDER BY status = 'running' DESC, at_us DESC, job_id) AS place FROM l WHERE n = 1 AND status IN ('running', 'queued')"))
 def _(spark, d):
     last = C.latest(A.jobs(spark, d), ["job_id"], [F.col("at_us").desc(), F.col("event_id").desc()]).where(F.col("status").isin("running", "queued"))
-    return last.select("job_id", "status", F.row_number().over(Window.orderBy((F.col("status") == "running").desc(), F.col("at_us").desc(), "job_id")).alias("place"))
+    order = [(F.col("status") == "running").desc(), F.col("at_us").desc(), F.col("job_id").asc()]
+    return C.ranked(last.select("job_id", "status", "at_us"), order, 32, kept).select("job_id", "status", "place")
 
 
 @query("i01_union_in_order", "WITH u AS (SELECT l_partkey AS ref, 1 AS src FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_partkey, 2 FROM lineitem WHERE l_returnflag = 'R') SELECT ref, min(src) AS src FROM u WHERE ref NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) GROUP BY 1")

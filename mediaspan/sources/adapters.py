@@ -30,8 +30,8 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as spans of their type: media_id, id, start_us, end_us."""
-    return _timed(spark, sf_dir).select(F.col("event_type").alias("media_id"), F.col("event_id").alias("id"), "start_us", "end_us")
+    """All events as spans, a medium a user: media_id, id, start_us, end_us."""
+    return _timed(spark, sf_dir).select(F.col("user_id").alias("media_id"), F.col("event_id").alias("id"), "start_us", "end_us")
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VIEWS = {
     "timed": "timed AS (SELECT event_id, user_id, event_type, props, epoch_us(ts) AS start_us, epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 600000 AS end_us FROM events)",
-    "spans": "spans AS (SELECT event_type AS media_id, event_id AS id, start_us, end_us FROM timed)",
+    "spans": "spans AS (SELECT user_id AS media_id, event_id AS id, start_us, end_us FROM timed)",
     "tracks": "tracks AS (SELECT user_id AS media_id, event_id AS id, event_type AS label, start_us, end_us FROM timed)",
     "clips": "clips AS (SELECT media_id, id AS clip_id, start_us, end_us FROM tracks WHERE label = 'click')",
     "decisions": "decisions AS (SELECT media_id, id AS decision_id, start_us, end_us, CASE WHEN label = 'signup' THEN 'approved' ELSE 'rejected' END AS verdict FROM tracks WHERE label IN ('signup', 'error'))",
