@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediaspan.llm.shared import small_batches
+
 _PAIRS = "query_id long, vec_id long, score long"
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -98,8 +100,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0
     another vec_id. Score: inner product of floor(scale * x) components; missing components of a
     shorter vector are 0. Null ids or vectors and null or non-finite components take no part.
     Repeated rows are candidates of their own; a query of repeated rows is answered once, by the
-    components of any of them when they differ. Each (query block, candidate block) is one task
-    of bounded size that keeps k rows a query; blocks are dealt by a hash of the id. Scores
+    components of any of them when they differ. A pair of query and candidate block is one row
+    of bounded size, of which k rows a query are kept; blocks are dealt by a hash of the id. Scores
     outside 64 bits are held at its ends. Fewer candidates give fewer rows; no rows, no rows.
     """
     rows = usable(vectors)
@@ -110,14 +112,15 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0
     asking = packed(asked.withColumn("qblock", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(query_blocks))), "qblock", scale)
     asking = asking.select("qblock", *(F.col(x).alias(f"q_{x}") for x in ("ids", "lengths", "components")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("cblock"))
 
-    def score(key, group):
-        parts = []
-        for x in group.to_pylist():
-            queries, block_rows = _matrix(x["q_ids"], x["q_lengths"], x["q_components"]), _matrix(x["ids"], x["lengths"], x["components"])
-            parts.append(pa.table(block_top(k, queries, block_rows), schema=_OUT))
-        return pa.concat_tables(parts) if parts else _OUT.empty_table()
+    def score(batches):
+        for batch in batches:
+            for x in batch.to_pylist():
+                queries, block_rows = _matrix(x["q_ids"], x["q_lengths"], x["q_components"]), _matrix(x["ids"], x["lengths"], x["components"])
+                yield pa.record_batch(block_top(k, queries, block_rows), schema=_OUT)
 
-    best = candidates.join(asking, "cblock").groupBy("cblock", "qblock").applyInArrow(score, _PAIRS)
+    # A candidate block goes through the shuffle once, whatever the number of query blocks that it meets.
+    small_batches(vectors.sparkSession)
+    best = candidates.join(asking, "cblock").mapInArrow(score, _PAIRS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
