@@ -116,7 +116,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0
         for batch in batches:
             for x in batch.to_pylist():
                 queries, block_rows = _matrix(x["q_ids"], x["q_lengths"], x["q_components"]), _matrix(x["ids"], x["lengths"], x["components"])
-                yield pa.record_batch(block_top(k, queries, block_rows), schema=_OUT)
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in block_top(k, queries, block_rows)], schema=_OUT)
 
     # A candidate block goes through the shuffle once, whatever the number of query blocks that it meets.
     small_batches(vectors.sparkSession)
