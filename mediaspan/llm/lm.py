@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,38 @@ def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(coded.dictionary).view(np.uint64), np.asarray(coded.indices)
 
 
+CODED = "pack long, ids binary, first binary, keys binary, back binary"
+
+
+def coded(packed: DataFrame) -> DataFrame:
+    """The packs' words as numbers, hashed this once: a pack's distinct hashes, which of them each of its
+    tokens is, and where its rows begin among the tokens; a table in the shared folder."""
+
+    def code(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for x in batches:
+            for i in range(x.num_rows):
+                one = x.slice(i, 1)
+                for pack, (_, _, data, offsets) in packs.each([one]):
+                    hashes, first = _tokens(data, offsets)
+                    keys, back = _distinct(hashes)
+                    kind = np.uint16 if len(keys) <= 1 << 16 else np.uint32
+                    yield pa.record_batch({"pack": pa.array([pack], pa.int64()), "ids": one.column("ids"), "first": pa.array([first.astype(np.int64).tobytes()]), "keys": pa.array([keys.tobytes()]), "back": pa.array([press.compress(back.astype(kind).tobytes())])})
+
+    return shared.kept(packed.select("pack", "ids", "offsets", "text").mapInArrow(code, CODED))
+
+
+def _each(batches):
+    """The coded packs of a task, one after another: pack, (ids, null), keys, back, first."""
+    open_ = zstandard.ZstdDecompressor()
+    for x in batches:
+        for row in range(x.num_rows):
+            got = {name: x.column(name)[row].as_py() for name in ("pack", "ids", "first", "keys", "back")}
+            n, keys = len(got["ids"]) // 9, np.frombuffer(got["keys"], np.uint64)
+            back = np.frombuffer(open_.decompress(got["back"]), np.uint16 if len(keys) <= 1 << 16 else np.uint32).astype(np.int64)
+            yield got["pack"], (np.frombuffer(got["ids"], np.int64, n), np.frombuffer(got["ids"], np.uint8, n, 8 * n).astype(bool)), keys, back, np.frombuffer(got["first"], np.int64)
+
+
 def counted(packed: DataFrame, parts: int, held: int, base: int) -> DataFrame:
     """Counts of every word in training texts, as replies to the packs that hold the word.
 
@@ -45,9 +78,7 @@ def counted(packed: DataFrame, parts: int, held: int, base: int) -> DataFrame:
     """
 
     def ask(batches):
-        for pack, (ids, null, data, offsets) in packs.each(batches):
-            hashes, first = _tokens(data, offsets)
-            keys, back = _distinct(hashes)
+        for pack, (ids, null), keys, back, first in _each(batches):
             train = np.repeat(~held_out(ids, null, held, base), np.diff(first))
             counts = np.bincount(back[train], minlength=len(keys)).astype(np.uint32)
             rows = [(part, keys[at].tobytes(), counts[at].tobytes()) for part, at in packs.by_part(keys, parts)]
@@ -68,7 +99,7 @@ def counted(packed: DataFrame, parts: int, held: int, base: int) -> DataFrame:
             "words": pa.array([*[None] * n, keys[best].tobytes()], pa.binary()), "tokens": pa.array([*[None] * n, int(sums.sum())], pa.int64()), "kinds": pa.array([*[None] * n, int((sums > 0).sum())], pa.int64()),
             "ends": pa.array([*[None] * n, int(sums[keys == END].sum())], pa.int64())})
 
-    asked = packed.select("pack", "ids", "offsets", "text").mapInArrow(ask, "pack long, part int, hashes binary, counts binary")
+    asked = packed.mapInArrow(ask, "pack long, part int, hashes binary, counts binary")
     return shared.kept(asked.groupBy("part").applyInArrow(reply, "pack long, part int, counts binary, words binary, tokens long, kinds long, ends long"))
 
 
@@ -136,10 +167,8 @@ def trained(packed: DataFrame, lexicon: Lexicon, held: int, base: int) -> np.nda
         def learn(batches, given=given):
             flat, lexicon = given.value
             learner, n = gru.Learner(gru.unpacked(flat)), 0
-            for _, (ids, null, data, offsets) in packs.each(batches):
-                hashes, first = _tokens(data, offsets)
+            for _, (ids, null), keys, back, first in _each(batches):
                 train = ~held_out(ids, null, held, base)
-                keys, back = _distinct(hashes)
                 tokens = lexicon.ids(keys)[back[np.repeat(train, np.diff(first))]]
                 cuts = np.concatenate([[0], np.cumsum(np.diff(first)[train])])
                 if len(tokens):
@@ -147,7 +176,7 @@ def trained(packed: DataFrame, lexicon: Lexicon, held: int, base: int) -> np.nda
             if n:
                 yield pa.record_batch({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([n], pa.int64()), "flat": pa.array([gru.packed(learner.p).tobytes()], pa.binary())})
 
-        mine = packed.where((spot >= low) & (spot < high)).select("pack", "ids", "offsets", "text")
+        mine = packed.where((spot >= low) & (spot < high))
         got = averaged(mine.mapInArrow(learn, LEARNT), mine.rdd.getNumPartitions()).collect()  # one row
         if got:
             flat = np.frombuffer(got[0]["flat"], np.float32)
@@ -167,8 +196,12 @@ def scores(documents: DataFrame, held: int = 2, base: int = 7, part_bytes: int =
     rare words, so chances over all words and one unseen word sum to 1. Without training texts
     every base_score is 0 and the network scores as it was made.
     """
-    packed = packs.packs(documents, 8 << 20)
-    total = packed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    before = len(shared.made())
+    texts = packs.packs(documents, 8 << 20)
+    total = texts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    gone = shared.made()[before:]
+    packed = coded(texts)
+    shared.discard(documents.sparkSession, gone)
     parts = max(1, -(-total // part_bytes))
     replies = counted(packed, parts, held, base)
     lexicon = Lexicon(replies)
@@ -181,9 +214,7 @@ def scores(documents: DataFrame, held: int = 2, base: int = 7, part_bytes: int =
         p = gru.unpacked(flat)
         answer = dict(zip(right["part"].to_pylist(), right["counts"].to_pylist(), strict=True))
         out = []
-        for _, (ids, null, data, offsets) in packs.each(left.to_batches()):
-            hashes, first = _tokens(data, offsets)
-            keys, back = _distinct(hashes)
+        for _, (ids, null), keys, back, first in _each(left.to_batches()):
             count = np.zeros(len(keys), np.int64)
             for part, at in packs.by_part(keys, parts):
                 count[at] = np.frombuffer(answer[part], np.int64)
@@ -197,6 +228,6 @@ def scores(documents: DataFrame, held: int = 2, base: int = 7, part_bytes: int =
             out.append(pa.table(columns, names=names))
         return pa.concat_tables(out)
 
-    left = packed.select("pack", "ids", "offsets", "text").groupBy("pack")
+    left = packed.groupBy("pack")
     right = replies.where(F.col("pack") >= 0).select("pack", "part", "counts").groupBy("pack")
     return left.cogroup(right).applyInArrow(score, schema)

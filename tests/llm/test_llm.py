@@ -467,7 +467,7 @@ def test_lm(spark, corpus, odd, none):
 
 def test_lm_chances_sum_to_one(spark, corpus):
     packed = packs.packs(table(spark, corpus))
-    lexicon = lm.Lexicon(lm.counted(packed, 3, 2, 7))
+    lexicon = lm.Lexicon(lm.counted(lm.coded(packed), 3, 2, 7))
     p = gru.start(lexicon.counts)
     h = np.random.default_rng(0).standard_normal((1, gru.STATE)).astype(np.float32)
     assert np.exp(gru.log_chances(p, np.repeat(h, gru.WORDS, 0), np.arange(gru.WORDS))).sum() == pytest.approx(1, abs=1e-4)
