@@ -74,7 +74,7 @@ def rescaled(score: Column, parts: Column, legacy: tuple[str, ...], by: float =
 
 def is_draft(path: Column, purpose: Column) -> Column:
     """By what a render was made for, or its file's name."""
-    return F.coalesce(purpose == "draft", F.lit(False)) | F.startswith(F.regexp_extract(path, "([^/]*)$", 1), F.lit("draft"))
+    return F.coalesce(purpose == "draft", F.lit(False)) | F.coalesce(F.startswith(F.regexp_extract(path, "([^/]*)$", 1), F.lit("draft")), F.lit(False))
 
 
 def board(clips: DataFrame, states: DataFrame, items: DataFrame) -> DataFrame:
