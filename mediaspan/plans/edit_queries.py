@@ -9,6 +9,7 @@ from mediaspan.operators import edits as E
 from mediaspan.operators import spans as S
 from mediaspan.operators import words as W
 from mediaspan.plans.span_queries import HOURS, union_sql
+from mediaspan.plans.word_queries import fold_sql
 from mediaspan.sources import adapters as A
 
 QUERIES: dict = {}
@@ -25,7 +26,18 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query("d06_pieces")
+#: Units as the recursion of d02_units finds them, then the ranges of each clip folded in order of place.
+PIECES = A.sql("words", fold_sql("unit", "", "CAST(0 AS BIGINT) AS part, start_us AS begun, end_us - start_us >= 8000000 OR regexp_matches(word, '[.!?…,;:]$') AND end_us - start_us >= 1200000 AS done",
+  """CASE WHEN done OR n.start_us - n.prior_end >= 600000 THEN part + 1 ELSE part END, CASE WHEN done OR n.start_us - n.prior_end >= 600000 THEN n.start_us ELSE begun END,
+  n.end_us - CASE WHEN done OR n.start_us - n.prior_end >= 600000 THEN n.start_us ELSE begun END >= 8000000 OR regexp_matches(n.word, '[.!?…,;:]$') AND n.end_us - CASE WHEN done OR n.start_us - n.prior_end >= 600000 THEN n.start_us ELSE begun END >= 1200000""")
+  .replace("SELECT f.part AS unit", ", un AS (SELECT f.part AS unit") + """), rg AS (SELECT media_id, unit // 12 AS clip_id, unit AS a, unit + n_words % 3 AS b FROM un WHERE n_words > 3),
+  kn AS (SELECT rg.*, row_number() OVER (PARTITION BY rg.media_id, clip_id ORDER BY a) AS k FROM rg WHERE EXISTS (SELECT 1 FROM un WHERE un.media_id = rg.media_id AND un.unit = rg.b)),
+  fo AS (SELECT media_id, clip_id, k, [{'a': a, 'b': b}] AS ps FROM kn WHERE k = 1 UNION ALL SELECT n.media_id, n.clip_id, n.k, CASE WHEN n.a <= ps[-1].b THEN ps WHEN n.a = ps[-1].b + 1 THEN list_append(ps[:-2], {'a': ps[-1].a, 'b': n.b}) ELSE list_append(ps, {'a': n.a, 'b': n.b}) END FROM fo JOIN kn n ON n.media_id = fo.media_id AND n.clip_id = fo.clip_id AND n.k = fo.k + 1),
+  la AS (SELECT *, unnest(range(len(ps))) AS piece FROM fo QUALIFY row_number() OVER (PARTITION BY media_id, clip_id ORDER BY k DESC) = 1)
+  SELECT la.media_id, clip_id, piece, ps[piece + 1].a AS from_id, ps[piece + 1].b AS to_id, x.start_us, y.end_us FROM la JOIN un x ON x.media_id = la.media_id AND x.unit = ps[piece + 1].a JOIN un y ON y.media_id = la.media_id AND y.unit = ps[piece + 1].b WHERE y.end_us - x.start_us >= 600000""")
+
+
+@query("d06_pieces", PIECES)
 def _(spark, d):
     units = W.selection_units(A.words(spark, d))
     pos = F.row_number().over(Window.partitionBy("media_id").orderBy("unit"))
@@ -62,7 +74,12 @@ def _segments(spark, d):
     return S.union(A.clips(spark, d)).withColumn("id", F.row_number().over(order).cast("long"))
 
 
-@query("e07_remove_spans")
+@query("e07_remove_spans", A.sql("tracks clips", f"""{union_sql('clips', 'u')}, sg AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_us) AS id FROM u),
+  c AS (SELECT s.media_id, s.id, s.end_us, x.start_us AS a, x.end_us AS b, row_number() OVER (PARTITION BY s.media_id, s.id ORDER BY x.start_us, x.end_us) AS k FROM sg s JOIN tracks x ON x.media_id = s.media_id AND x.label = 'error' AND x.end_us > x.start_us AND x.start_us > s.start_us AND x.end_us < s.end_us),
+  g AS (SELECT media_id, id, 0::BIGINT AS k, start_us AS cur, []::STRUCT(a BIGINT, b BIGINT)[] AS ps FROM sg UNION ALL SELECT media_id, id, k, CASE WHEN y THEN b ELSE cur END, CASE WHEN y THEN list_append(ps, {{'a': cur, 'b': a}}) ELSE ps END
+    FROM (SELECT c.*, cur, ps, c.b - c.a >= 20000 AND c.a - cur >= 60000000 AND c.end_us - c.b >= 60000000 AS y FROM g JOIN c ON c.media_id = g.media_id AND c.id = g.id AND c.k = g.k + 1)),
+  l AS (SELECT g.media_id, g.id, list_append(ps, {{'a': cur, 'b': sg.end_us}}) AS ps FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY media_id, id ORDER BY k DESC) = 1) g JOIN sg ON sg.media_id = g.media_id AND sg.id = g.id)
+  SELECT media_id, id, part, ps[part + 1].a AS start_us, ps[part + 1].b AS end_us FROM (SELECT *, unnest(range(len(ps))) AS part FROM l)"""))
 def _(spark, d):
     cuts = A.tracks(spark, d).where("label = 'error' AND end_us > start_us").select("media_id", F.col("start_us").alias("cut_from"), F.col("end_us").alias("cut_to"))
     return E.remove_spans(_segments(spark, d), cuts, HOURS, 60_000_000)
@@ -74,7 +91,12 @@ def _(spark, d):
     return E.sound_offsets(_segments(spark, d), frames, A.decisions(spark, d).where("end_us > start_us"), 1_800_000_000)
 
 
-@query("b35_place_inserts")
+@query("b35_place_inserts", A.sql("clips points", f"""{union_sql('clips', 'u')}, sg AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_us) AS host FROM u),
+  h AS (SELECT p.media_id, p.point_id AS id, p.t_us, min(host) AS host, arg_min(sg.end_us, host) AS b FROM points p LEFT JOIN sg ON sg.media_id = p.media_id AND greatest(sg.start_us - 1000, 0) <= p.t_us AND p.t_us < sg.end_us AND (sg.end_us - p.t_us >= 499000 OR p.t_us + 900000000 <= sg.end_us + 1000) GROUP BY 1, 2, 3),
+  r AS (SELECT *, coalesce(least(900000000, b - t_us), 900000000) AS n, row_number() OVER (PARTITION BY media_id ORDER BY id) AS k FROM h),
+  g AS (SELECT media_id, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::VARCHAR AS state, []::STRUCT(h BIGINT, a BIGINT, b BIGINT)[] AS taken FROM r WHERE k = 1 UNION ALL SELECT media_id, k, id, state, CASE WHEN state = 'applied' THEN list_append(taken, {{'h': host, 'a': t_us, 'b': t_us + n}}) ELSE taken END
+    FROM (SELECT r.*, taken, CASE WHEN host IS NULL THEN 'outside' WHEN len(list_filter(taken, lambda x: x.h = r.host AND r.t_us < x.b AND x.a < r.t_us + r.n)) > 0 THEN 'overlaps' ELSE 'applied' END AS state FROM g JOIN r ON r.media_id = g.media_id AND r.k = g.k + 1))
+  SELECT r.media_id, r.id, t_us, coalesce(host, -1) AS host, n AS length_us, state FROM r JOIN g ON g.media_id = r.media_id AND g.k = r.k"""))
 def _(spark, d):
     inserts = A.points(spark, d).select("media_id", F.col("point_id").alias("id"), "t_us", F.lit(900_000_000).cast("long").alias("length_us"))
     return E.place_inserts(inserts, _segments(spark, d).withColumnRenamed("id", "host"), HOURS)

@@ -150,7 +150,12 @@ def _(spark, d):
     return P.without_overlaps(scored(spark, d)).select("media_id", "id")
 
 
-@query("e06_absorb_short")
+# One step of the recursion looks at one segment of a medium's list.
+@query("e06_absorb_short", A.sql("clips", f"""{union_sql('clips', 'u')}, g AS (SELECT media_id, list({{'a': start_us, 'b': end_us}} ORDER BY start_us) AS rs, 1::BIGINT AS i FROM u GROUP BY 1
+    UNION ALL SELECT media_id, CASE how WHEN 'keep' THEN rs WHEN 'drop' THEN rs[1:i - 1] || rs[i + 1:] WHEN 'prev' THEN rs[1:i - 2] || [{{'a': rs[i - 1].a, 'b': greatest(rs[i - 1].b, r.b)}}] || rs[i + 1:] ELSE rs[1:i - 1] || [{{'a': least(rs[i + 1].a, r.a), 'b': rs[i + 1].b}}] || rs[i + 2:] END, CASE how WHEN 'keep' THEN i + 1 ELSE greatest(1, i - 1) END
+    FROM (SELECT *, CASE WHEN r.b - r.a >= 3600000000 THEN 'keep' WHEN least(before, after) > 900000000 THEN 'drop' WHEN before <= after THEN 'prev' ELSE 'next' END AS how
+      FROM (SELECT *, rs[i] AS r, CASE WHEN i > 1 THEN rs[i].a - rs[i - 1].b ELSE 1::BIGINT << 60 END AS before, CASE WHEN i < len(rs) THEN rs[i + 1].a - rs[i].b ELSE 1::BIGINT << 60 END AS after FROM g WHERE len(rs) > 1 AND i <= len(rs)))),
+  z AS (SELECT media_id, unnest(rs) AS r FROM g WHERE len(rs) = 1 OR i > len(rs)) SELECT media_id, r.a AS start_us, r.b AS end_us FROM z"""))
 def _(spark, d):
     return P.absorb_short(S.union(A.clips(spark, d)), 3_600_000_000, 900_000_000)
 
