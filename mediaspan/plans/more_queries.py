@@ -201,10 +201,10 @@ def _(spark, d):
     return A.table(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(rank.asc_nulls_last(), "o_orderkey")).alias("place"))
 
 
-@query("j01_unit", A.sql("keyframes", "n AS (SELECT idx, sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * x))) AS n, v FROM keyframes) SELECT idx, round(v[1] / n, 6) AS first, round(v[64] / n, 6) AS last FROM n"))
+@query("j01_unit", A.sql("keyframes", "n AS (SELECT idx, sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * x))) AS n, v FROM keyframes), e AS (SELECT idx, n, unnest(v) AS x, unnest(range(len(v))) AS place FROM n) SELECT idx, place, round(x / n, 6) AS x FROM e"))
 def _(spark, d):
-    u = A.keyframes(spark, d).withColumn("u", V.unit("v"))
-    return u.select("idx", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"))
+    u = A.keyframes(spark, d).select("idx", F.posexplode(V.unit("v")).alias("place", "x"))
+    return u.select("idx", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
 @query("j03_span_mean", A.sql("keyframes", "e AS (SELECT media_id, idx // 40 AS span, unnest(v) AS x, unnest(range(len(v))) AS place FROM keyframes), s AS (SELECT media_id, span, place, CAST(sum(x) AS BIGINT) AS x FROM e GROUP BY 1, 2, 3), n AS (SELECT media_id, span, count(*) AS frames FROM (SELECT media_id, idx // 40 AS span FROM keyframes) GROUP BY 1, 2) SELECT media_id, span, frames, array_to_string(list(x ORDER BY place), ',') AS v FROM s JOIN n USING (media_id, span) WHERE frames >= 3 GROUP BY 1, 2, 3"))
@@ -213,14 +213,14 @@ def _(spark, d):
     return V.sums(rows, ["media_id", "span"]).where("n >= 3").select("media_id", "span", F.col("n").alias("frames"), F.array_join(F.col("v").cast("array<string>"), ",").alias("v"))
 
 
-@query("j08_calibration_units", A.sql("turns", "u AS (SELECT media_id, pos, speaker, start_us, end_us FROM turns WHERE end_us - start_us >= 2000000), f AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM turns o WHERE o.media_id = u.media_id AND o.speaker <> u.speaker AND o.start_us < u.end_us AND u.start_us < o.end_us)), r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY media_id, pos) - 1 AS k, count(*) OVER (PARTITION BY speaker) AS n FROM f) SELECT media_id, pos, speaker FROM r WHERE n <= 20 OR k IN (SELECT round_even(i * (n - 1) / 19, 0) FROM range(20) t(i))"))
+@query("j08_calibration_units", A.sql("turns", "u AS (SELECT media_id, pos, speaker, start_us, end_us FROM turns WHERE end_us - start_us >= 2000000), f AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM turns o WHERE o.media_id = u.media_id AND o.speaker <> u.speaker AND o.start_us < u.end_us AND u.start_us < o.end_us)), r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY media_id, pos) - 1 AS k, count(*) OVER (PARTITION BY speaker) AS n FROM f) SELECT media_id, pos, speaker FROM r WHERE n <= 400 OR k IN (SELECT round_even(i * (n - 1) / 399, 0) FROM range(400) t(i))"))
 def _(spark, d):
     from mediaspan.operators.catalog import spread
 
     t = A.turns(spark, d)
     u = t.where("end_us - start_us >= 2000000").select("media_id", "pos", "speaker", "start_us", "end_us")
     met = S.overlap_join(u, S.right_side(t.select("media_id", "start_us", "end_us", F.col("speaker").alias("other"))), 10_000_000).where("speaker <> other").select("media_id", "pos").distinct()
-    return spread(u.join(met, ["media_id", "pos"], "left_anti"), ["speaker"], ["media_id", "pos"], 20).select("media_id", "pos", "speaker")
+    return spread(u.join(met, ["media_id", "pos"], "left_anti"), ["speaker"], ["media_id", "pos"], 400).select("media_id", "pos", "speaker")
 
 
 @query("k14_voice_accepted", A.sql("turns", """e AS (SELECT media_id, speaker, sum(end_us - start_us) AS us FROM turns GROUP BY 1, 2), s AS (SELECT media_id, CAST(sum(us) FILTER (speaker = 'user') AS BIGINT) AS own, CAST(sum(us) AS BIGINT) AS total FROM e GROUP BY 1) SELECT media_id, coalesce(2 * own >= total, false) AS accepted FROM s"""))

@@ -164,12 +164,7 @@ def append_new(rows: DataFrame, path: str, *columns: str) -> None:
     """Appends the rows whose content key is not stored yet; running it again adds nothing."""
     keyed = rows.withColumn("content_key", content_key(*columns)).dropDuplicates(["content_key"])
     spark = rows.sparkSession
-    try:
-        stored = spark.read.parquet(path).select("content_key")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = None
-    if stored is not None:
-        keyed = keyed.join(stored, "content_key", "left_anti")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        keyed = keyed.join(spark.read.parquet(path).select("content_key"), "content_key", "left_anti")
     keyed.write.mode("append").parquet(path)
