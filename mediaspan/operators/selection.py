@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaspan.functions import text as T
+from mediaspan.operators import spans as S
 
 # Bounds of a teaser, how far it may stand out of its piece, and bounds of a clip.
 TEASER_US, SLACK_US, MOST_PIECES, SCORES = (1_200_000, 4_500_000), 10_000, 15, (1, 10)
@@ -76,6 +77,24 @@ def dropped(verdicts: DataFrame) -> DataFrame:
     return by.groupBy("media_id").agg(n, F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))), F.lit(0)).alias("dropped"), listed)
 
 
+def voice_accepted(pieces: DataFrame, turns: DataFrame, speaker: str, bucket_us: int, least: float = 0.5) -> DataFrame:
+    """pieces(media_id, clip_id, start_us, end_us), turns(media_id, speaker, start_us, end_us) -> media_id, clip_id,
+    pieces, editorial, envelope, accepted.
+
+    The shares are of the time at which anyone speaks the time at which only the speaker does: within
+    the pieces, and from the first one's start to the last one's end. A clip needs `least` of the
+    former, and of the latter too if it is one piece; where nobody speaks a share is 0.
+    """
+    keys = ("media_id", "clip_id")
+    whole = pieces.groupBy(*keys).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("pieces"))
+    near = S.overlap_join(whole.select(*keys, "start_us", "end_us"), S.right_side(turns.select("media_id", "speaker", "start_us", "end_us")), bucket_us)
+    said = near.select(*keys, "speaker", F.col("right_start_us").alias("start_us"), F.col("right_end_us").alias("end_us"))
+    share = lambda spans, name: S.exclusive_time(spans, said, speaker, bucket_us, keys).select(*keys, F.col("share").alias(name))
+    rows = whole.select(*keys, "pieces").join(share(pieces.select(*keys, "start_us", "end_us"), "editorial"), list(keys), "left").join(share(whole.select(*keys, "start_us", "end_us"), "envelope"), list(keys), "left").fillna(0.0, ["editorial", "envelope"])
+    good = (F.col("editorial") >= least) & ((F.col("pieces") > 1) | (F.col("envelope") >= least))
+    return rows.withColumn("accepted", good)
+
+
 def blocks(samples: DataFrame, points: int) -> DataFrame:
     """samples(media_id, pos from 0, x) -> media_id, block, peak, rms at `points` blocks a medium.
 
@@ -96,8 +115,6 @@ def room_tone(samples: DataFrame, pauses: DataFrame, rate: int, bucket_us: int,
 
     Pauses of 0.2 s and more count, without a fifth of their length, 50 ms at most, at either end.
     """
-    from mediaspan.operators import spans as S
-
     length = F.col("end_us") - F.col("start_us")
     margin = F.least(F.lit(50_000), F.floor(length / 5))
     inner = pauses.where(length >= 200_000).select("media_id", F.floor((F.col("start_us") + margin) * rate / 1_000_000).alias("start_us"), F.floor((F.col("end_us") - margin) * rate / 1_000_000).alias("end_us"), F.col("start_us").alias("_a"), F.col("end_us").alias("_b"))

@@ -123,3 +123,17 @@ def _(spark, d):
     whole.select(F.to_json(F.struct("media_id", "vad", "pauses", "speech_density", "fillers")).alias("value")).write.text(path)
     tracks, _ = io.analysis_tracks(*io.documents(spark, path, io.TRACKS))
     return tracks.select("media_id", "track", "pos", "start_us", "end_us", "value")
+
+
+# Three turns are a clip, its pieces the first and, 0.7 s shorter, the third of them.
+@query("k14_voice_shares", A.sql("turns", """pc AS (SELECT media_id, pos // 3 AS clip_id, start_us AS a, end_us - CASE pos % 3 WHEN 2 THEN 700000 ELSE 0 END AS b FROM turns WHERE pos % 3 <> 1), en AS (SELECT media_id, clip_id, min(a) AS a, max(b) AS b, count(*) AS pieces FROM pc GROUP BY 1, 2),
+  tn AS (SELECT en.media_id, clip_id, speaker = 'user' AS own, t.start_us AS a, t.end_us AS b FROM en JOIN turns t ON t.media_id = en.media_id AND t.start_us < en.b AND en.a < t.end_us),
+  ed AS (SELECT media_id, clip_id, unnest([a, b]) AS t FROM pc UNION SELECT media_id, clip_id, unnest([a, b]) FROM tn), el AS (SELECT *, lead(t) OVER (PARTITION BY media_id, clip_id ORDER BY t) AS n FROM ed),
+  fl AS (SELECT el.media_id, el.clip_id, n - t AS us, EXISTS (SELECT 1 FROM pc p WHERE p.media_id = el.media_id AND p.clip_id = el.clip_id AND p.a <= t AND p.b >= n) AS cut, t >= en.a AND n <= en.b AS wide,
+    EXISTS (SELECT 1 FROM tn x WHERE x.media_id = el.media_id AND x.clip_id = el.clip_id AND own AND x.a <= t AND x.b >= n) AS me, EXISTS (SELECT 1 FROM tn x WHERE x.media_id = el.media_id AND x.clip_id = el.clip_id AND NOT own AND x.a <= t AND x.b >= n) AS they FROM el JOIN en ON en.media_id = el.media_id AND en.clip_id = el.clip_id WHERE n IS NOT NULL),
+  sh AS (SELECT media_id, clip_id, round(coalesce(sum(us) FILTER (cut AND me AND NOT they), 0) / sum(us) FILTER (cut AND (me OR they)), 6) AS editorial, round(coalesce(sum(us) FILTER (wide AND me AND NOT they), 0) / sum(us) FILTER (wide AND (me OR they)), 6) AS envelope FROM fl GROUP BY 1, 2),
+  r AS (SELECT media_id, clip_id, pieces, coalesce(editorial, 0) AS editorial, coalesce(envelope, 0) AS envelope FROM en LEFT JOIN sh USING (media_id, clip_id)) SELECT *, editorial >= 0.5 AND (pieces > 1 OR envelope >= 0.5) AS accepted FROM r"""))
+def _(spark, d):
+    turns = A.turns(spark, d)
+    pieces = turns.where("pos % 3 <> 1").select("media_id", F.floor(F.col("pos") / 3).alias("clip_id"), "start_us", (F.col("end_us") - F.when(F.col("pos") % 3 == 2, 700_000).otherwise(0)).alias("end_us"))
+    return C.voice_accepted(pieces, turns, "user", 10_000_000)

@@ -37,6 +37,13 @@ def test_judged_and_dropped(spark):
     assert C.judged(clips, pieces, durations.withColumn("duration_us", F.lit(SEC)), (SEC, None)).where("clip_id = 0").first().reason == "beyond_end"
 
 
+def test_voice_shares(spark):
+    pieces = spark.createDataFrame([(1, 0, 0, 4 * SEC), (1, 0, 8 * SEC, 10 * SEC), (1, 1, 0, 10 * SEC), (1, 2, 20 * SEC, 30 * SEC)], "media_id long, clip_id long, start_us long, end_us long")
+    turns = spark.createDataFrame([(1, "a", 0, 4 * SEC), (1, "b", 3 * SEC, 8 * SEC), (1, "a", 9 * SEC, 11 * SEC)], "media_id long, speaker string, start_us long, end_us long")
+    got = {r.clip_id: (r.pieces, r.editorial, r.envelope, r.accepted) for r in C.voice_accepted(pieces, turns, "a", SEC).collect()}
+    assert got == {0: (2, 0.8, 0.444444, True), 1: (1, 0.444444, 0.444444, False), 2: (1, 0.0, 0.0, False)}
+
+
 def test_sound(spark):
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate([0.5, -1.0, 0.0, 0.5, 0.5])], "media_id long, pos long, x double")
     got = [(r.block, r.peak, r.rms) for r in C.blocks(rows, 4).orderBy("block").collect()]
