@@ -9,11 +9,11 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaspan.functions import text as T
+from mediaspan.operators import runs as R
 from mediaspan.operators import spans as S
 
 
@@ -62,40 +62,6 @@ def linked_runs(words: DataFrame, breaks: Column, keys=("media_id",), chunk: int
     return rows.join(heads, at).withColumn("run", run).drop("_chunk", "_begin", "_carried")
 
 
-GROUPS = pa.schema([(n, pa.int64()) for n in ("media_id", "first_idx", "last_idx", "start_us", "end_us", "n_words", "said")])
-
-
-def grouped(rows: DataFrame, before, after) -> DataFrame:
-    """rows(media_id, run, idx, start_us, end_us, mark, says) -> GROUPS: a run's words in groups.
-
-    A group begins with a run, where before(n, begun, start, end) of the group so far and the word
-    holds, and behind a word for which after(n, begun, end, mark) holds. Runs don't depend on each
-    other, so they are dealt to tasks by themselves; within a task one pass over sorted rows.
-    """
-
-    def fold(batches):
-        key, group, closed = None, None, True
-        for x in batches:
-            out = []
-            media, run, idx, start, end, mark, says = (x.column(c).to_pylist() for c in ("media_id", "run", "idx", "start_us", "end_us", "mark", "says"))
-            for i in range(len(idx)):
-                now = (media[i], run[i])
-                if closed or now != key or before(group[5], group[3], start[i], end[i]):
-                    if group is not None:
-                        out.append(group)
-                    key, group = now, [media[i], idx[i], 0, start[i], 0, 0, 0]
-                group[2], group[4] = idx[i], end[i]
-                group[5] += 1
-                group[6] += says[i]
-                closed = after(group[5], group[3], end[i], mark[i])
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(GROUPS), schema=GROUPS)
-        if group is not None:
-            yield pa.record_batch([pa.array([v], pa.int64()) for v in group], schema=GROUPS)
-
-    dealt = rows.select("media_id", "run", "idx", "start_us", "end_us", "mark", "says").repartition("media_id", "run").sortWithinPartitions("media_id", "run", "idx")
-    return dealt.mapInArrow(fold, ", ".join(f"{f.name} long" for f in GROUPS))
-
-
 def selection_units(words: DataFrame, segments: DataFrame | None = None, gap_us: int = 600_000, long_us: int = 8_000_000, short_us: int = 1_200_000) -> DataFrame:
     """words(media_id, idx, start_us, end_us, word[, seg]) -> unit, media_id, first_idx, last_idx, start_us, end_us, n_words.
 
@@ -104,26 +70,22 @@ def selection_units(words: DataFrame, segments: DataFrame | None = None, gap_us:
     without holes, and words that name theirs, a segment without words ends a unit and is one
     itself (n_words 0), and units of hesitations only, or without text, are left out.
     """
-    gap = F.col("start_us") - F.col("prev.end_us") >= gap_us
-    marked = words.withColumn("mark", F.btrim("word").rlike(r"[.!?…,;:]$"))
-    says = F.lit(1)
+    says, seg = F.lit(1), None
     if segments is not None:
-        gap = gap | (F.col("seg") - F.col("prev.seg") > 1)
-        says = (T.without_hesitations(F.btrim("word")) != "").cast("int")
-    columns = ["media_id", "idx", "start_us", "end_us", "mark", "says", *(["seg"] if segments is not None else [])]
-    rows = linked_runs(marked.withColumn("says", says).select(columns), gap)
-    units = grouped(rows, lambda n, begun, start, end: False, lambda n, begun, end, mark: end - begun >= long_us or mark and end - begun >= short_us)
+        says, seg = T.without_hesitations(F.btrim("word")) != "", F.col("seg")
+    begins = lambda now, prev: (now["start_us"] - prev["end_us"] >= gap_us) | (now["part"] - prev["part"] > 1)
+    after = lambda n, begun, end, mark: end - begun >= long_us or mark and end - begun >= short_us
+    units = R.grouped(words, begins, lambda n, begun, start, end: False, after, mark=F.btrim("word").rlike(r"[.!?…,;:]$"), said=says, part=seg)
     units = units.where("said > 0").select("media_id", "first_idx", "last_idx", "start_us", "end_us", "n_words", F.lit(1).alias("_kind"))
     order = ["start_us", "first_idx"]
     if segments is not None:
-        silent = segments.join(words.select("media_id", "seg").distinct(), ["media_id", "seg"], "left_anti").where(T.without_hesitations(F.coalesce("text", F.lit(""))) != "")
         none = F.lit(None).cast("long")
         placed = words.groupBy("media_id", "seg").agg(F.min("idx").alias("_i"))
-        units = units.join(placed.withColumnRenamed("_i", "first_idx"), ["media_id", "first_idx"], "left")
+        silent = segments.join(placed, ["media_id", "seg"], "left_anti").where(T.without_hesitations(F.coalesce("text", F.lit(""))) != "")
         # A unit stands where its first word's segment does: the last one that begins at or before it.
         upto = Window.partitionBy("media_id").orderBy("first_idx").rangeBetween(Window.unboundedPreceding, 0)
         starts = placed.select("media_id", F.col("_i").alias("first_idx"), F.lit(None).cast("long").alias("last_idx"), F.col("seg").alias("_seg"))
-        both = units.drop("seg").withColumn("_seg", none).unionByName(starts, allowMissingColumns=True)
+        both = units.withColumn("_seg", none).unionByName(starts, allowMissingColumns=True)
         both = both.withColumn("_at", F.max("_seg").over(upto)).where("_kind IS NOT NULL").drop("_seg")
         units = both.unionByName(silent.select("media_id", none.alias("first_idx"), none.alias("last_idx"), "start_us", "end_us", F.lit(0).cast("long").alias("n_words"), F.lit(0).alias("_kind"), F.col("seg").alias("_at")))
         order = ["_at", F.col("first_idx").asc_nulls_first()]
@@ -131,14 +93,12 @@ def selection_units(words: DataFrame, segments: DataFrame | None = None, gap_us:
     return units.select(number.cast("long").alias("unit"), "media_id", "first_idx", "last_idx", "start_us", "end_us", "n_words")
 
 
-def phrases(words: DataFrame, keys=("media_id",), gap_us: int = 250_000, most: int = 14) -> DataFrame:
+def phrases(words: DataFrame, keys=("media_id",), gap_us: int = 250_000, most: int = 14, mark: Column | None = None) -> DataFrame:
     """phrase, keys, first_idx, last_idx, start_us, end_us, n_words: broken behind the end of a sentence
-    or a comma, at a gap, and at `most` words."""
-    marked = words.withColumn("mark", F.btrim("word").rlike(r"[.!?…,]$")).select(*keys, "idx", "start_us", "end_us", "mark")
-    rows = linked_runs(marked, F.col("prev.mark") | (F.col("start_us") - F.col("prev.end_us") >= gap_us), keys)
-    place = F.row_number().over(Window.partitionBy(*keys, "run").orderBy("idx")) - 1
-    rows = rows.withColumn("_part", F.floor(place / most)).groupBy(*keys, "run", "_part")
-    out = rows.agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.min_by("start_us", "idx").alias("start_us"), F.max_by("end_us", "idx").alias("end_us"), F.count("*").alias("n_words"))
+    or a comma (or where `mark` says so), at a gap, and at `most` words."""
+    mark = F.btrim("word").rlike(r"[.!?…,]$") if mark is None else mark
+    begins = lambda now, prev: (prev["mark"] > 0) | (now["start_us"] - prev["end_us"] >= gap_us)
+    out = R.grouped(words, begins, lambda n, begun, start, end: n >= most, lambda n, begun, end, mark: False, keys, mark)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("first_idx")) - 1
     return out.select(number.cast("long").alias("phrase"), *keys, "first_idx", "last_idx", "start_us", "end_us", "n_words")
 
@@ -149,10 +109,12 @@ def piece_phrases(words: DataFrame, pieces: DataFrame, bucket_us: int) -> DataFr
 
     A phrase never crosses pieces; a word that two pieces hold is in both.
     """
-    spans = words.select("media_id", "idx", "word", F.col("start_us").alias("right_start_us"), F.col("end_us").alias("right_end_us")).where(F.btrim("word") != "")
+    mark = F.btrim("word").rlike(r"[.!?…,]$").alias("mark")
+    spans = words.select("media_id", "idx", mark, F.col("start_us").alias("right_start_us"), F.col("end_us").alias("right_end_us"), F.btrim("word").alias("word")).where("word <> ''").drop("word")
     met = S.overlap_join(pieces.select("media_id", "clip_id", "piece", "start_us", "end_us"), spans, bucket_us)
-    inside = met.select("media_id", "clip_id", "piece", "idx", "word", F.greatest("start_us", "right_start_us").alias("start_us"), F.least("end_us", "right_end_us").alias("end_us"))
-    found = phrases(inside, ("media_id", "clip_id", "piece"))
+    inside = met.select("media_id", "clip_id", "piece", "idx", "mark", F.greatest("start_us", "right_start_us").alias("start_us"), F.least("end_us", "right_end_us").alias("end_us"))
+    inside = inside.sortWithinPartitions("media_id", "clip_id", "piece", "idx")
+    found = phrases(inside, ("media_id", "clip_id", "piece"), mark=F.col("mark"))
     number = F.row_number().over(Window.partitionBy("media_id", "clip_id").orderBy("piece", "phrase")) - 1
     return found.withColumn("phrase", number.cast("long"))
 
@@ -162,12 +124,9 @@ def caption_cues(words: DataFrame, floor_us: int = 50_000, most: int = 5, gap_us
     last_idx, start_us, end_us, n_words: broken at `most` words, at a gap, where the plan's segment
     changes, and before a word with which the cue would be too long. A cue ends where the next
     begins, but `floor_us` behind its own start at least."""
-    gap = F.col("start_us") - F.col("prev.end_us") > gap_us
-    columns = ["media_id", "idx", "start_us", "end_us"]
-    if "segment" in words.columns:
-        gap, columns = gap | (F.col("segment") != F.col("prev.segment")), [*columns, "segment"]
-    rows = linked_runs(words.select(columns), gap).withColumn("mark", F.lit(False)).withColumn("says", F.lit(1))
-    cues = grouped(rows, lambda n, begun, start, end: n >= most or end - begun > long_us, lambda n, begun, end, mark: False)
+    begins = lambda now, prev: (now["start_us"] - prev["end_us"] > gap_us) | (now["part"] != prev["part"])
+    before = lambda n, begun, start, end: n >= most or end - begun > long_us
+    cues = R.grouped(words, begins, before, lambda n, begun, end, mark: False, part=F.col("segment") if "segment" in words.columns else None)
     order = Window.partitionBy("media_id").orderBy("first_idx")
     end = F.greatest(F.col("start_us") + floor_us, F.least("end_us", F.coalesce(F.lead("start_us").over(order), F.col("end_us"))))
     return cues.select((F.row_number().over(order) - 1).cast("long").alias("cue"), "media_id", "first_idx", "last_idx", "start_us", end.alias("end_us"), "n_words")
