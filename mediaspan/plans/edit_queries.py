@@ -11,6 +11,7 @@ from mediaspan.operators import words as W
 from mediaspan.plans.span_queries import HOURS, union_sql
 from mediaspan.plans.word_queries import fold_sql
 from mediaspan.sources import adapters as A
+from mediaspan.sources.scratch import kept
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,7 +40,7 @@ PIECES = A.sql("words", fold_sql("unit", "", "CAST(0 AS BIGINT) AS part, start_u
 
 @query("d06_pieces", PIECES)
 def _(spark, d):
-    units = W.selection_units(A.words(spark, d))
+    units = kept(W.selection_units(A.words(spark, d)))
     pos = F.row_number().over(Window.partitionBy("media_id").orderBy("unit"))
     pick = units.where("n_words > 3").withColumn("pos", pos)
     ranges = pick.select("media_id", F.floor(F.col("unit") / 12).alias("clip_id"), F.col("pos").cast("long").alias("pos"), F.col("unit").alias("from_id"), (F.col("unit") + F.col("n_words") % 3).alias("to_id"))

@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from mediaspan.operators import runs as R
 
-BEFORE = lambda n, begun, start, end: n >= 4
-AFTER = lambda n, begun, end, mark: bool(mark)
-
-
-def begins(now, prev):
-    return now["start_us"] - prev["end_us"] >= 50
+def rules():
+    """begins, before, after; made here so that they reach the workers by value."""
+    return lambda now, prev: now["start_us"] - prev["end_us"] >= 50, lambda n, begun, start, end: n >= 4, lambda n, begun, end, mark: bool(mark)
 
 
 def plain(rows):
@@ -39,9 +36,9 @@ def test_groups_do_not_depend_on_the_deal(spark, monkeypatch, deal):
                 rows.append((media, i, t, t + 8, int(draw.random() < 0.1)))
     if deal == "mixed":
         draw.shuffle(rows)
-    words = spark.createDataFrame(rows, "media_id long, idx long, start_us long, end_us long, m long").repartition(1).repartition(3) if deal == "mixed" else spark.createDataFrame(rows, "media_id long, idx long, start_us long, end_us long, m long").coalesce(2)
+    words = spark.createDataFrame(rows, "media_id long, idx long, start_us long, end_us long, m long")
     for chunk in (5, 4096):
-        got = R.grouped(words, begins, BEFORE, AFTER, mark=F.col("m"), chunk=chunk).drop("said").collect()
+        got = R.grouped(words, *rules(), mark=F.col("m"), chunk=chunk).drop("said").collect()
         assert sorted(map(tuple, got)) == plain(rows), chunk
 
 
@@ -49,6 +46,16 @@ def test_words_in_order_are_grouped_where_they_are_read(spark):
     words = spark.range(2000, numPartitions=1).select(F.lit(1).cast("long").alias("media_id"), F.col("id").alias("idx"), (F.col("id") * 10 + F.floor(F.col("id") / 5) * 60).alias("start_us"))
     zero = F.lit(0).cast("long")
     words = words.select("media_id", F.col("idx").alias("first_idx"), F.col("idx").alias("last_idx"), "start_us", (F.col("start_us") + 8).alias("end_us"), *[zero.alias(c) for c in R.STATE[4:]])
-    out = words.mapInArrow(R._local(("media_id",), begins, BEFORE, AFTER, None), words.schema)
+    out = words.mapInArrow(R._local(("media_id",), *rules(), None), words.schema)
     assert out.where("n_words = 0").count() == 10  # the first and the last run may go on in other tasks
     assert out.agg(F.sum("n_words")).first()[0] == 1990
+
+
+def test_a_clip_that_goes_on_in_the_next_batch_is_one(spark):
+    import pyarrow as pa
+
+    from mediaspan.operators import edits as E
+
+    names = ["media_id", "clip_id", "from_id", "to_id"]
+    batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names) for rows in ([(1, 1, 0, 2)], [(1, 1, 2, 9), (1, 1, 3, 4), (1, 1, 6, 6)], [(1, 2, 7, 7)])]
+    assert [tuple(r.values()) for b in E.fold_ranges(batches) for r in b.to_pylist()] == [(1, 1, 0, 0, 4), (1, 1, 1, 6, 6), (1, 2, 0, 7, 7)]
