@@ -39,8 +39,19 @@ def fold_patches(patches: pd.DataFrame) -> pd.DataFrame:
 
 
 def patched(patches: DataFrame) -> DataFrame:
-    """patches(k, at, status, reason) folded by key in order of `at`."""
-    return patches.select("k", "at", "status", "reason").groupBy("k").applyInPandas(fold_patches, "k long, status string, reason string, changed_at long")
+    """patches(k, at, status, reason) folded by key in order of `at`, as fold_patches does: the status is
+    the last one given, the reason the last one given since the status became discarded."""
+    order = Window.partitionBy("k").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    gone = F.coalesce(F.col("status") == "discarded", F.lit(False))
+    rows = patches.select("k", "at", F.last("status", ignorenulls=True).over(upto).alias("status"), F.col("reason").alias("_given"))
+    rows = rows.withColumn("_since", F.count_if(~gone).over(upto))
+    streak = Window.partitionBy("k", "_since").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("reason", F.when(gone, F.last(F.when(gone, F.col("_given")), ignorenulls=True).over(streak)))
+    same = F.col("status").eqNullSafe(F.lag("status").over(order)) & F.col("reason").eqNullSafe(F.lag("reason").over(order))
+    rows = rows.withColumn("_same", same).withColumn("_last", F.lead(F.lit(1)).over(order).isNull())
+    rows = rows.withColumn("changed_at", F.last(F.when(~F.col("_same"), F.col("at")), ignorenulls=True).over(upto)).where("_last")
+    return rows.select(F.col("k").cast("long").alias("k"), "status", "reason", F.col("changed_at").cast("long").alias("changed_at"))
 
 
 def nearest_label(units: DataFrame, keys=("media_id",)) -> DataFrame:
