@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaspan.functions import text as T
+from mediaspan.operators import catalog as C
 from mediaspan.operators import runs as R
 from mediaspan.operators import spans as S
 
@@ -151,13 +152,17 @@ def leading_fillers(words: DataFrame, is_filler, most: int = 4, most_us: int = 1
 
 
 def ngram_first(words: DataFrame, phrases: DataFrame, most: int = 3) -> DataFrame:
-    """phrases(phrase_id, tokens: array of 1 to `most`) -> where each first occurs in each recording."""
+    """phrases(phrase_id, tokens: array of 1 to `most`) -> where each first occurs in each recording. The
+    phrases are counted, to see whether they can be sent to every task."""
     order = Window.partitionBy("media_id").orderBy("idx")
-    w = words.withColumn("token", T.token(F.col("word")))
-    w = w.withColumns({f"_t{i}": F.lead("token", i).over(order) for i in range(1, most)})
+    vocabulary = phrases.select(F.explode("tokens").alias("token")).distinct().withColumn("_in", F.lit(True))
+    # Only words of some phrase pass the shuffle by name.
+    w = C.with_dimension(words.select("media_id", "idx", T.token(F.col("word")).alias("token")), vocabulary, "token", "left")
+    w = w.select("media_id", "idx", F.when(F.col("_in"), F.col("token")).alias("token"))
+    w = w.withColumns({f"_t{i}": F.lead("token", i).over(order) for i in range(1, most)}).where("token IS NOT NULL")
     grams = [F.array("token", *[f"_t{i}" for i in range(1, n)]) for n in range(1, most + 1)]
     rows = w.select("media_id", "idx", F.explode(F.array(*grams)).alias("tokens")).where(~F.exists("tokens", lambda x: x.isNull()))
-    return rows.join(phrases, "tokens").groupBy("media_id", "phrase_id").agg(F.min("idx").alias("idx"))
+    return C.with_dimension(rows, phrases, "tokens").groupBy("media_id", "phrase_id").agg(F.min("idx").alias("idx"))
 
 
 def find_replace(words: DataFrame, pieces: DataFrame, find: str, replacement: str) -> DataFrame:

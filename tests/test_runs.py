@@ -59,3 +59,13 @@ def test_a_clip_that_goes_on_in_the_next_batch_is_one(spark):
     names = ["media_id", "clip_id", "from_id", "to_id"]
     batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names) for rows in ([(1, 1, 0, 2)], [(1, 1, 2, 9), (1, 1, 3, 4), (1, 1, 6, 6)], [(1, 2, 7, 7)])]
     assert [tuple(r.values()) for b in E.fold_ranges(batches) for r in b.to_pylist()] == [(1, 1, 0, 0, 4), (1, 1, 1, 6, 6), (1, 2, 0, 7, 7)]
+
+
+def test_phrases_are_sent_to_the_words(spark):
+    from mediaspan.operators import words as W
+
+    words = spark.createDataFrame([(1, i, w) for i, w in enumerate("Not the end, of The End of".split())] + [(2, 0, "end")], "media_id long, idx long, word string")
+    phrases = spark.createDataFrame([(1, ["the", "end"]), (2, ["end", "of"]), (3, ["end"]), (4, ["of", "not"])], "phrase_id long, tokens array<string>")
+    got = W.ngram_first(words, phrases)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (1, 2, 2), (1, 3, 2), (2, 3, 0)]
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
