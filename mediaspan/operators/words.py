@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,19 +183,101 @@ def apply_corrections(words: DataFrame, corrections: DataFrame) -> DataFrame:
     return met.withColumn("ok", same).withColumn("word", F.when(same, F.coalesce("corrected", "word")).otherwise(F.col("word"))).drop("original", "corrected")
 
 
+#: Token pairs below which difflib compares two lists, and pairs of equal runs held at once.
+PLAIN_PAIRS, MOST_RUNS = 1 << 14, 1 << 22
+
+
+def _equal_runs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """All longest runs (i, j, n) with a[i:i+n] == b[j:j+n] and n >= size, a power of two; None if they are too many."""
+    both, step = np.concatenate([a, [-1], b]), 1
+    while step < size:
+        both = np.unique(both[:-step] * (both.max() + 2) + both[step:] + 1, return_inverse=True)[1]
+        step *= 2
+    x, y = both[: len(a) - size + 1], both[len(a) + 1 :]
+    order = np.argsort(y, kind="stable")
+    low, high = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+    counts = high - low
+    if (total := int(counts.sum())) > MOST_RUNS:
+        return None
+    i = np.repeat(np.arange(len(x)), counts)
+    j = order[np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)]
+    by = np.lexsort((i, j - i))
+    i, j = i[by], j[by]
+    first = np.ones(total, bool)
+    first[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+    at = np.flatnonzero(first)
+    return i[at], j[at], np.diff(at, append=total) + size - 1
+
+
+def matching_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
+    """difflib's matching blocks of two lists (nothing is junk; neighbours stay apart): the longest block, of equals the first in a
+    and then in b, and so on to its left and right.
+
+    Long blocks are found among runs of 2^k equal tokens, which are few, by falling k; only short
+    stretches between them are left to difflib.
+    """
+    ids: dict = {}
+    x, y = (np.array([ids.setdefault(t, len(ids)) for t in side], np.int64) for side in (a, b))
+    out = []
+    todo = [(0, len(a), 0, len(b), 1 << 30, None)]
+    while todo:
+        alo, ahi, blo, bhi, size, runs = todo.pop()
+        if alo >= ahi or blo >= bhi:
+            continue
+        if (ahi - alo) * (bhi - blo) <= PLAIN_PAIRS or size == 0:
+            out += [(alo + i, blo + j, n) for i, j, n in difflib.SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks() if n]
+            continue
+        if runs is None:
+            size = min(size, 1 << (min(ahi - alo, bhi - blo).bit_length() - 1))
+            runs = _equal_runs(x[alo:ahi], y[blo:bhi], size)
+            if runs is None:
+                todo.append((alo, ahi, blo, bhi, 0, None))
+                continue
+            runs = (runs[0] + alo, runs[1] + blo, runs[2])
+        i, j, n = runs
+        skip = np.maximum(0, np.maximum(alo - i, blo - j))
+        i, j = i + skip, j + skip
+        n = np.minimum(n - skip, np.minimum(ahi - i, bhi - j))
+        if not (fits := n >= size).any():
+            todo.append((alo, ahi, blo, bhi, size // 2, None))
+            continue
+        i, j, n = i[fits], j[fits], n[fits]
+        best = np.flatnonzero(n == n.max())
+        k = best[np.lexsort((j[best], i[best]))[0]]
+        i0, j0, n0 = int(i[k]), int(j[k]), int(n[k])
+        out.append((i0, j0, n0))
+        todo += [(alo, i0, blo, j0, size, (i, j, n)), (i0 + n0, ahi, j0 + n0, bhi, size, (i, j, n))]
+    return sorted(out)
+
+
 def beat_spans(words: DataFrame, beats: DataFrame) -> DataFrame:
     """Aligns a script's beats(media_id, beat, text) with the words heard: each beat's first and
-    last word by the longest matching blocks; null where a beat was not heard."""
+    last word by the longest matching blocks; null where a beat was not heard. A recording's beats
+    and then its words come to one task in order."""
 
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("idx"), right.sort_values("beat")
-        heard = [w.lower().strip(T.MARKS) for w in left["word"]]
-        script = [(b, t.lower().strip(T.MARKS)) for b, text in zip(right["beat"], right["text"], strict=True) for t in text.split()]
+    def aligned(key, script: list, heard: list) -> pa.RecordBatch:
+        said = [(b, t.lower().strip(T.MARKS)) for b, text in script for t in text.split()]
         at: dict = {}
-        for i, j, n in difflib.SequenceMatcher(None, [t for _, t in script], heard, autojunk=False).get_matching_blocks():
+        for i, j, n in matching_blocks([t for _, t in said], [w.lower().strip(T.MARKS) for _, w in heard]):
             for k in range(n):
-                at.setdefault(script[i + k][0], []).append(left["idx"].iloc[j + k])
-        rows = [(key[0], b, min(at[b]) if b in at else None, max(at[b]) if b in at else None) for b in right["beat"]]
-        return pd.DataFrame(rows, columns=["media_id", "beat", "first_idx", "last_idx"]).astype({"first_idx": "Int64", "last_idx": "Int64"})
-
-    return words.groupBy("media_id").cogroup(beats.groupBy("media_id")).applyInPandas(one, "media_id long, beat long, first_idx long, last_idx long")
+                at.setdefault(said[i + k][0], []).append(heard[j + k][0])
+        ends = [(at[b][0], at[b][-1]) if b in at else (None, None) for b, _ in script]
+        columns = [[key] * len(script), [b for b, _ in script], [e[0] for e in ends], [e[1] for e in ends]]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["media_id", "beat", "first_idx", "last_idx"])
+
+    def fold(batches):
+        key, sides = None, ([], [])
+        for batch in batches:
+            for media, side, n, text in zip(*(batch.column(c).to_pylist() for c in ("media_id", "side", "n", "text")), strict=True):
+                if media != key:
+                    if sides[0]:
+                        yield aligned(key, *sides)
+                    key, sides = media, ([], [])
+                sides[side].append((n, text))
+        if sides[0]:
+            yield aligned(key, *sides)
+
+    rows = beats.select("media_id", F.lit(0).alias("side"), F.col("beat").cast("long").alias("n"), "text")
+    rows = rows.unionByName(words.select("media_id", F.lit(1).alias("side"), F.col("idx").cast("long").alias("n"), F.col("word").alias("text")))
+    rows = rows.repartition("media_id").sortWithinPartitions("media_id", "side", "n")
+    return rows.mapInArrow(fold, "media_id long, beat long, first_idx long, last_idx long")

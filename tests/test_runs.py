@@ -69,3 +69,42 @@ def test_phrases_are_sent_to_the_words(spark):
     got = W.ngram_first(words, phrases)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (1, 2, 2), (1, 3, 2), (2, 3, 0)]
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_those_of_difflib(monkeypatch):
+    import difflib
+
+    from mediaspan.operators import words as W
+
+    def joined(blocks):
+        out = []
+        for i, j, n in blocks:
+            if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (i, j):
+                i, j, m = out.pop()
+                n += m
+            out.append((i, j, n))
+        return out
+
+    rng = random.Random(5)
+    monkeypatch.setattr(W, "PLAIN_PAIRS", 4)
+    for n in range(400):
+        monkeypatch.setattr(W, "MOST_RUNS", 20 if n % 5 == 0 else 1 << 22)
+        b = [rng.randrange(rng.choice([2, 3, 10, 50])) for _ in range(rng.randrange(60))]
+        a = [w for w in b if rng.random() < 0.8] if n % 2 else [rng.randrange(10) for _ in range(rng.randrange(60))]
+        assert joined(W.matching_blocks(a, b)) == [tuple(m) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m[2]]
+
+
+def test_a_long_recording_is_aligned_soon(monkeypatch):
+    import difflib
+    import time
+
+    from mediaspan.operators import words as W
+
+    # Only short stretches go to difflib, whose time grows with the square of a recording.
+    seen, plain = [], difflib.SequenceMatcher
+    monkeypatch.setattr(W.difflib, "SequenceMatcher", lambda junk, a, b, autojunk: seen.append(len(a) * len(b)) or plain(junk, a, b, autojunk))
+    rng = random.Random(6)
+    heard = [int(rng.paretovariate(0.8)) for _ in range(10_000)]
+    began = time.time()
+    blocks = W.matching_blocks([w for i, w in enumerate(heard) if i % 13], heard)
+    assert max(seen) <= W.PLAIN_PAIRS and sum(n for *_, n in blocks) > 9000 and time.time() - began < 20
