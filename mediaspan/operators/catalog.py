@@ -147,7 +147,8 @@ def leaves(documents: DataFrame, column: str = "settings", depth: int = 6) -> Da
     """
     kind = "array<struct<path: array<string>, value: string>>"
     nodes = lambda path, text: F.transform(F.map_entries(F.from_json(text, "map<string, variant>")), lambda e: F.struct(F.concat(path, F.array(e["key"])).alias("path"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
-    rows = documents.select("k", F.coalesce(nodes(F.array().cast("array<string>"), F.col(column)), F.array()).cast(kind).alias("nodes"))
+    # Documents that lie in one file are read by one task: they are dealt out before they grow.
+    rows = documents.repartition("k").select("k", F.coalesce(nodes(F.array().cast("array<string>"), F.col(column)), F.array()).cast(kind).alias("nodes"))
     for _ in range(depth - 1):
         inner = lambda n: F.when(n["value"].startswith("{") & (n["value"] != "{}"), nodes(n["path"], n["value"])).otherwise(F.array(n))
         rows = rows.withColumn("nodes", F.flatten(F.transform("nodes", inner)).cast(kind))
@@ -171,11 +172,12 @@ def apply_diff(before: DataFrame, diff: DataFrame) -> DataFrame:
 
 
 def without_paths(override: DataFrame, change: DataFrame) -> DataFrame:
-    """override(k, path, value) without the leaves that `change` mentions: at, below or above its paths."""
-    prefixes = lambda df: df.select("k", F.col("path").alias("_whole"), F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("_p"))
-    below = prefixes(override).join(change.select("k", F.col("path").alias("_p")), ["k", "_p"], "left_semi").select("k", F.col("_whole").alias("path"))
-    above = prefixes(change).select("k", F.col("_p").alias("path"))
-    return override.join(below.unionByName(above).distinct(), ["k", "path"], "left_anti")
+    """override(k, path, value) without the leaves that `change` mentions: at, below or above its paths.
+    A document's paths meet as one row, as its leaves came from one."""
+    paths = change.groupBy("k").agg(F.collect_list("path").alias("_paths"))
+    head = lambda p, q: F.slice(p, F.lit(1), F.size(q)) == q
+    met = override.join(paths, "k", "left").withColumn("_hit", F.exists("_paths", lambda p: head(p, F.col("path")) | head(F.col("path"), p)))
+    return met.where(~F.coalesce("_hit", F.lit(False))).select("k", "path", "value")
 
 
 def spread(rows: DataFrame, keys, order: list, most: int) -> DataFrame:

@@ -60,3 +60,15 @@ def test_candidates_and_retention(spark):
     files = spark.createDataFrame([("s", i, 10, i) for i in range(50)], "store string, path long, bytes long, age long")
     row = R.retention(files, 20, 3).first()
     assert (row.files, row.bytes, list(row.first)) == (29, 290, [49, 48, 47])
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paths_meet_without_their_prefixes(spark):
+    rows = lambda x: spark.createDataFrame(x, "k long, path array<string>, value string")
+    old, new = rows([(1, ["a"], "1"), (1, ["b", "c"], "2"), (1, ["d"], "3"), (1, ["ab"], "4"), (2, ["a"], "5")]), rows([(1, ["a", "x"], "6"), (1, ["b"], "7"), (1, ["b"], "8")])
+    got = C.without_paths(old, new)
+    assert sorted((r.k, r.value) for r in got.collect()) == [(1, "3"), (1, "4"), (2, "5")]
+    assert "Generate" not in planned(got)
