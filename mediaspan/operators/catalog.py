@@ -98,7 +98,7 @@ def board(clips: DataFrame, states: DataFrame, items: DataFrame) -> DataFrame:
 def other_exports(renders: DataFrame, items: DataFrame) -> DataFrame:
     """renders(project_id, artifact_id, created_at, draft) that no item names, whatever became of it, and
     that are no drafts; place: newest first by project."""
-    loose = renders.where(~F.coalesce(F.col("draft"), F.lit(False))).join(items.where(F.col("artifact_id").isNotNull()).select("artifact_id").distinct(), "artifact_id", "left_anti")
+    loose = renders.where(~F.coalesce(F.col("draft"), F.lit(False))).join(items.where(F.col("artifact_id").isNotNull()).select("artifact_id"), "artifact_id", "left_anti")
     place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("created_at").desc(), "artifact_id"))
     return loose.select("project_id", "artifact_id", "created_at", place.alias("place"))
 

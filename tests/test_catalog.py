@@ -72,3 +72,11 @@ def test_paths_meet_without_their_prefixes(spark):
     got = C.without_paths(old, new)
     assert sorted((r.k, r.value) for r in got.collect()) == [(1, "3"), (1, "4"), (2, "5")]
     assert "Generate" not in planned(got)
+
+
+def test_items_are_not_made_distinct(spark):
+    renders = spark.createDataFrame([(1, 1, 5, False), (1, 2, 6, None), (1, 3, 7, True), (1, 4, 8, False)], "project_id long, artifact_id long, created_at long, draft boolean")
+    items = spark.createDataFrame([(4,), (4,), (None,)], "artifact_id long")
+    got = C.other_exports(renders, items)
+    assert sorted((r.artifact_id, r.place) for r in got.collect()) == [(1, 2), (2, 1)]
+    assert "Aggregate" not in planned(got)
