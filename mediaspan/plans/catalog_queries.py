@@ -130,9 +130,9 @@ def _(spark, d):
 @query("i01_union_in_order", "WITH u AS (SELECT l_partkey AS ref, 1 AS src FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_partkey, 2 FROM lineitem WHERE l_returnflag = 'R') SELECT ref, min(src) AS src FROM u WHERE ref NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) GROUP BY 1")
 def _(spark, d):
     li = A.table(spark, d, "lineitem")
-    u = li.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("ref"), F.lit(1).alias("src")).unionByName(li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("ref"), F.lit(2).alias("src")))
-    chosen = li.where("l_quantity = 50").select(F.col("l_partkey").alias("ref")).distinct()
-    return u.join(chosen, "ref", "left_anti").groupBy("ref").agg(F.min("src").alias("src"))
+    src = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2)
+    by = li.groupBy(F.col("l_partkey").alias("ref")).agg(F.min(src).alias("src"), F.bool_or(F.col("l_quantity") == 50).alias("_chosen"))
+    return by.where("src IS NOT NULL AND NOT (coalesce(_chosen, false) AND ref IS NOT NULL)").select("ref", "src")
 
 
 @query("i02_sets", "SELECT l_partkey AS ref, 'both' AS what FROM (SELECT l_partkey FROM lineitem WHERE l_tax = 0 INTERSECT SELECT l_partkey FROM lineitem WHERE l_discount = 0) UNION ALL SELECT l_partkey, 'first' FROM (SELECT l_partkey FROM lineitem WHERE l_tax = 0 EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount = 0)")

@@ -80,3 +80,9 @@ def test_items_are_not_made_distinct(spark):
     got = C.other_exports(renders, items)
     assert sorted((r.artifact_id, r.place) for r in got.collect()) == [(1, 2), (2, 1)]
     assert "Aggregate" not in planned(got)
+
+
+def test_a_union_in_order_is_one_aggregate(spark):
+    from mediaspan.plans import registry
+
+    assert "Join" not in planned(registry.QUERIES["i01_union_in_order"](spark, "/root/testdata/sf0.001"))
