@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,20 +85,37 @@ def face_groups(faces: DataFrame, width: float = 0.08) -> DataFrame:
 
     In order of their centres, each face joins the first group whose mean centre is at most
     `width` away, and moves that mean; else it begins a group. area is the group's mean. Only a
-    scene's few samples meet in one task.
+    scene's few samples meet in one list.
     """
 
-    def fold(rows):
+    def people(scene, faces):
         sums: list[list[float]] = []  # of centres, of areas, and how many
-        for center, area in sorted(zip(rows["center"], rows["area"], strict=True)):
+        for center, area in faces:
             near = next((g for g in sums if abs(g[0] / g[2] - center) <= width), None)
             if near is None:
                 sums.append(near := [0.0, 0.0, 0])
             near[0], near[1], near[2] = near[0] + center, near[1] + area, near[2] + 1
-        scene = rows["scene"].iloc[0]
-        return pd.DataFrame([(scene, k, c / n, n, a / n) for k, (c, a, n) in enumerate(sums)], columns=["scene", "face", "mean", "n", "area"])
-
-    return faces.groupBy("scene").applyInPandas(fold, "scene long, face long, mean double, n long, area double")
+        return [(scene, k, c / n, n, a / n) for k, (c, a, n) in enumerate(sums)]
+
+    def fold(batches):
+        # Scenes follow each other, and one may go on in the next batch.
+        scene, faces = None, []
+        for batch in batches:
+            out = []
+            for s, *face in zip(*(batch.column(c).to_pylist() for c in ("scene", "center", "area")), strict=True):
+                if faces and s != scene:
+                    out += people(scene, faces)
+                    faces = []
+                scene = s
+                faces.append(face)
+            if out:
+                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], names=names)
+        if faces:
+            yield pa.record_batch([pa.array(c) for c in zip(*people(scene, faces), strict=True)], names=names)
+
+    names = ["scene", "face", "mean", "n", "area"]
+    rows = faces.select(F.col("scene").cast("long").alias("scene"), F.col("center").cast("double").alias("center"), F.col("area").cast("double").alias("area"))
+    return rows.repartition("scene").sortWithinPartitions("scene", "center", "area").mapInArrow(fold, "scene long, face long, mean double, n long, area double")
 
 
 def most_momentary(rows: DataFrame) -> DataFrame:

@@ -43,3 +43,12 @@ def test_kind_plan(spark):
         (2, 7, 0, "reaction", 9, 0.1), (2, 7, 1, "wide", 5, 0.9), (4, 0, 0, "wide", 0, 0.5), (4, 1, 0, "wide", 1_000_000, 0.5),
     ]
     assert plan.kind_plan(s.limit(0), c.limit(0)).count() == 0
+
+
+def test_people_of_many_scenes_come_in_one_stream(spark):
+    from mediaspan.operators.quality import face_groups
+
+    faces = spark.range(3000).selectExpr("id div 3 scene", "(id % 3) * 0.05 center", "0.1 + 0.0 * id area")
+    got = face_groups(faces)
+    assert {(r.face, r.n) for r in got.collect()} == {(0, 2), (1, 1)} and got.count() == 2000
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
