@@ -48,7 +48,7 @@ def test_kind_plan(spark):
 def test_people_of_many_scenes_come_in_one_stream(spark):
     from mediaspan.operators.quality import face_groups
 
-    faces = spark.range(3000).selectExpr("id div 3 scene", "(id % 3) * 0.05 center", "0.1 + 0.0 * id area")
+    faces = spark.range(3000).selectExpr("id div 3 scene", "(id % 3) * 0.06 center", "0.1 + 0.0 * id area")
     got = face_groups(faces)
     assert {(r.face, r.n) for r in got.collect()} == {(0, 2), (1, 1)} and got.count() == 2000
     assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
