@@ -34,8 +34,11 @@ def teasers(clips: DataFrame, pieces: DataFrame, units: DataFrame) -> DataFrame:
     rows = clips.select("media_id", "clip_id", "ids").where(F.size("ids") > 0).withColumn("_a", first).withColumn("_b", last).join(known, "media_id", "left")
     rows = rows.withColumn("_unknown", F.coalesce(F.exists("ids", lambda i: i.isNull() | (i < 0) | (i > F.col("_most"))), F.lit(True)))
     steps = F.forall(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.get("ids", i) == F.col("_a") + i)
-    at = units.select("media_id", "unit", F.col("start_us").alias("_s"), F.col("end_us").alias("_e"))
-    rows = rows.join(at.select("media_id", F.col("unit").alias("_a"), "_s"), ["media_id", "_a"], "left").join(at.select("media_id", F.col("unit").alias("_b"), "_e"), ["media_id", "_b"], "left")
+    # Both ends of a clip meet the units in one join, so the units pass the shuffle once.
+    ends = rows.select("media_id", "clip_id", "_a", "_b", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("unit"))
+    met = ends.join(units.select("media_id", "unit", "start_us", "end_us"), ["media_id", "unit"]).groupBy("media_id", "clip_id")
+    met = met.agg(F.max(F.when(F.col("unit") == F.col("_a"), F.col("start_us"))).alias("_s"), F.max(F.when(F.col("unit") == F.col("_b"), F.col("end_us"))).alias("_e"))
+    rows = rows.join(met, ["media_id", "clip_id"], "left")
     own = rows.select("media_id", "clip_id", "_a", "_b", "_s", "_e").join(pieces, ["media_id", "clip_id"])
     inside = (F.col("from_id") <= F.col("_a")) & (F.col("_b") <= F.col("to_id"))
     within = (F.col("_s") >= F.col("start_us") - SLACK_US) & (F.col("_e") <= F.col("end_us") + SLACK_US)

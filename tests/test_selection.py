@@ -116,3 +116,15 @@ def test_directions_and_distances(spark):
     centres = spark.createDataFrame([(1, 7, [3.0, 3.0]), (1, 5, [0.0, 1.0])], "media_id long, centre long, v array<double>")
     assert sorted((r.idx, r.centre, r.distance) for r in V.nearest_centre(rows, centres, ["media_id"]).collect()) == [(0, 7, 1.0), (1, 5, 1.0), (2, 5, 1.0)]
     assert {r.media_id: r.idx for r in V.medoids(rows, ["media_id"]).collect()} == {1: 1, 2: 3}
+
+
+def test_both_ends_of_a_teaser_are_found_in_one_join(spark, tmp_path):
+    units = [(m, u, u * 1_000_000, u * 1_000_000 + 900_000) for m in range(3) for u in range(10)]
+    spark.createDataFrame(units, "media_id long, unit long, start_us long, end_us long").write.parquet(f"{tmp_path}/the_units")
+    units = spark.read.parquet(f"{tmp_path}/the_units")
+    pieces = spark.createDataFrame([(m, 0, 0, 9, 0, 9_900_000) for m in range(3)], "media_id long, clip_id long, from_id long, to_id long, start_us long, end_us long")
+    clips = spark.createDataFrame([(0, 0, [2, 3]), (1, 0, [4, 5, 6]), (2, 0, [None, 3]), (2, 1, [])], "media_id long, clip_id long, ids array<bigint>")
+    out = C.teasers(clips, pieces, units)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == [(0, 0, 2_000_000, 3_900_000, None), (1, 0, 4_000_000, 6_900_000, None), (2, 0, None, None, "unknown"), (2, 1, None, None, None)]
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and not any("_b#" in x for x in joins)
