@@ -76,8 +76,8 @@ def selection_units(words: DataFrame, segments: DataFrame | None = None, gap_us:
     if segments is not None:
         says, seg = T.without_hesitations(F.btrim("word")) != "", F.col("seg")
     begins = lambda now, prev: (now["start_us"] - prev["end_us"] >= gap_us) | (now["part"] - prev["part"] > 1)
-    after = lambda n, begun, end, mark: end - begun >= long_us or mark and end - begun >= short_us
-    units = R.grouped(words, begins, lambda n, begun, start, end: False, after, mark=F.btrim("word").rlike(r"[.!?…,;:]$"), said=says, part=seg)
+    after = lambda n, begun, end, mark: (end - begun >= long_us) | (mark > 0) & (end - begun >= short_us)
+    units = R.grouped(words, begins, lambda n, begun, start, end: False, after, mark=F.btrim("word").rlike(r"[.!?…,;:]$"), said=says, part=seg, arrays=True)
     units = units.where("said > 0").select("media_id", "first_idx", "last_idx", "start_us", "end_us", "n_words", F.lit(1).alias("_kind"))
     order = ["start_us", "first_idx"]
     if segments is not None:
@@ -100,7 +100,7 @@ def phrases(words: DataFrame, keys=("media_id",), gap_us: int = 250_000, most: i
     or a comma (or where `mark` says so), at a gap, and at `most` words."""
     mark = F.btrim("word").rlike(r"[.!?…,]$") if mark is None else mark
     begins = lambda now, prev: (prev["mark"] > 0) | (now["start_us"] - prev["end_us"] >= gap_us)
-    out = R.grouped(words, begins, lambda n, begun, start, end: n >= most, lambda n, begun, end, mark: False, keys, mark)
+    out = R.grouped(words, begins, lambda n, begun, start, end: n >= most, lambda n, begun, end, mark: False, keys, mark, arrays=True)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("first_idx")) - 1
     return out.select(number.cast("long").alias("phrase"), *keys, "first_idx", "last_idx", "start_us", "end_us", "n_words")
 
@@ -127,8 +127,8 @@ def caption_cues(words: DataFrame, floor_us: int = 50_000, most: int = 5, gap_us
     changes, and before a word with which the cue would be too long. A cue ends where the next
     begins, but `floor_us` behind its own start at least."""
     begins = lambda now, prev: (now["start_us"] - prev["end_us"] > gap_us) | (now["part"] != prev["part"])
-    before = lambda n, begun, start, end: n >= most or end - begun > long_us
-    cues = R.grouped(words, begins, before, lambda n, begun, end, mark: False, part=F.col("segment") if "segment" in words.columns else None)
+    before = lambda n, begun, start, end: (n >= most) | (end - begun > long_us)
+    cues = R.grouped(words, begins, before, lambda n, begun, end, mark: False, part=F.col("segment") if "segment" in words.columns else None, arrays=True)
     order = Window.partitionBy("media_id").orderBy("first_idx")
     end = F.greatest(F.col("start_us") + floor_us, F.least("end_us", F.coalesce(F.lead("start_us").over(order), F.col("end_us"))))
     return cues.select((F.row_number().over(order) - 1).cast("long").alias("cue"), "media_id", "first_idx", "last_idx", "start_us", end.alias("end_us"), "n_words")

@@ -43,7 +43,8 @@ def teased(spark, d):
     c, m = F.col("clip_id"), (F.col("media_id") + F.col("clip_id")) % 7
     begin = c * 10 + (F.col("media_id") + c) % 9
     ids = F.when(m == 3, F.array().cast("array<bigint>")).when(m == 5, F.array(c * 10 + 1, c * 10 + 3)).when(m == 6, F.array(c * 10 + 8, c * 10 + 900)).otherwise(F.sequence(begin, begin + c % 3))
-    return rows.select("media_id", "clip_id").distinct().withColumn("ids", ids), pieces, units
+    # Units are numbered without holes, so each clip has its first one.
+    return rows.where(place == 0).select("media_id", "clip_id").withColumn("ids", ids), pieces, units
 
 
 @query("d07_teasers", A.sql("words", f"""{TEASED}, x AS (SELECT cl.media_id, clip_id, ids, (SELECT max(unit) FROM un WHERE un.media_id = cl.media_id) AS most, a.start_us AS s, b.end_us AS e FROM cl LEFT JOIN un a ON a.media_id = cl.media_id AND a.unit = ids[1] LEFT JOIN un b ON b.media_id = cl.media_id AND b.unit = ids[-1]),

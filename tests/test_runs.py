@@ -108,3 +108,26 @@ def test_a_long_recording_is_aligned_soon(monkeypatch):
     began = time.time()
     blocks = W.matching_blocks([w for i, w in enumerate(heard) if i % 13], heard)
     assert max(seen) <= W.PLAIN_PAIRS and sum(n for *_, n in blocks) > 9000 and time.time() - began < 20
+
+
+@pytest.mark.parametrize("sizes", [[1], [400], [3, 1, 5] * 40, [30] * 9 + [900]])
+def test_runs_of_a_batch_are_grouped_at_once(sizes):
+    import numpy as np
+
+    calls, rng = [0], random.Random(len(sizes))
+    n = sum(sizes)
+    start = np.cumsum([rng.choice([10, 30]) for _ in range(n)])
+    opens = np.zeros(n, bool)
+    opens[np.cumsum([0, *sizes[:-1]])] = True
+    x = {"media_id": np.repeat(np.arange(len(sizes)), sizes), "first_idx": np.arange(n), "start_us": start, "end_us": start + 8, "mark": np.array([rng.random() < 0.1 for _ in range(n)], np.int64), "said": np.ones(n, np.int64)}
+
+    def before(n, begun, start, end):
+        calls[0] += 1
+        return (n >= 5) | (end - begun > 70)
+
+    after = lambda n, begun, end, mark: (mark > 0) & (end - begun >= 20)
+    found = R._Groups(("media_id",), before, after, True).whole(x, np.arange(n), opens)
+    steps = calls[0]
+    one = R._Groups(("media_id",), before, after)
+    assert list(zip(*(c.tolist() for c in found), strict=True)) == [tuple(g) for g in one.add(x, np.arange(n), opens) + one.rest()]
+    assert len(sizes) < 8 or steps < 32 + max(sizes)
