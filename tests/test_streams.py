@@ -75,6 +75,31 @@ def test_a_job_that_ended_stays_so_until_it_is_forgotten(spark):
     assert verdicts(out) == [(0, "accepted", None), (5, "accepted", None), (6, "rejected", "ended"), (124, "rejected", "ended"), (130, "accepted", None), (None, "failed", "stalled")]
 
 
+def test_neighbouring_jobs_share_a_row_of_state(spark):
+    log = [at(j / 100, job=j, event=j, status="queued") for j in range(64)] + [at(30, job=0, event=64, status="queued")]
+    out, last = replayed(spark, log, 2, J.lifecycle)
+    assert out.count() == 64 and {r.verdict for r in out.collect()} == {"accepted"}
+    # 64 jobs are known and one event of job 0 is held.
+    assert sum(s["numRowsTotal"] for s in last["stateOperators"]) == 4
+
+
+def test_neighbouring_jobs_do_not_matter_to_each_other(spark):
+    op = lambda s: J.lifecycle(s, stale_us=60 * MINUTE, expire_us=120 * MINUTE)
+    rng = random.Random(5)
+    log = [at(m, job=rng.randrange(-20, 20), event=m, status=rng.choice(["queued", "running", "running", "succeeded", "failed"]), progress=rng.choice([None, m % 97])) for m in range(0, 3000, 5)]
+    near, _ = replayed(spark, log, 3, op)
+    apart, _ = replayed(spark, [(1000 * r[0], *r[1:]) for r in log], 3, op)
+    assert rows(near) == rows(apart.withColumn("job_id", (F.col("job_id") / 1000).cast("long")))
+    assert {r.reason for r in near.collect()} == {None, "ended", "move", "progress", "stalled"}
+
+
+def test_large_ids_beside_a_stalled_job_are_exact_and_events_without_a_time_are_left_out(spark):
+    big = 2**53
+    log = [at(0, event=big + 1), at(1, job=big + 1, event=big + 3), (1, 7, None, "running", None), at(1000, job=2), at(1001, job=2)]
+    out, _ = replayed(spark, log, 1, J.lifecycle)
+    assert sorted((r.job_id, r.event_id or 0, r.verdict) for r in out.where("job_id <> 2").collect()) == [(1, 0, "failed"), (1, big + 1, "accepted"), (big + 1, 0, "failed"), (big + 1, big + 3, "accepted")]
+
+
 def test_the_feed_stops_at_the_end(spark):
     log = [at(0, status="queued"), at(1, status="queued"), at(2), at(3, status="failed"), at(4), at(5, status="queued"), at(3000, status="queued"), at(9000, job=2)]
     out, _ = replayed(spark, log, 2, lambda s: J.changes(s.drop("progress")))
