@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from mediaspan.llm.shared import small_batches
 
 _PAIRS = "query_id long, vec_id long, score long"
+#: Queries whose score arrays are filled together.
+TILE = 16
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -55,42 +57,54 @@ def block_top(k: int, queries, candidates) -> tuple[np.ndarray, np.ndarray, np.n
     """Each query's k best of one block of candidates, its own row apart, ties to the smaller id.
 
     The postings of a term (a dimension) are the candidates where it is not 0, with their
-    weights. Each query's sparse row scatters its weight times them into its dense score array.
+    weights. Each query's sparse row scatters its weight times them into its dense score array,
+    a few queries at a time, whose arrays are so short that they stay in the cache.
     """
     (qid, q), (cid, c) = queries, candidates
     order = np.argsort(cid, kind="stable")
     cid, c = cid[order], c[order]
     dims = min(q.shape[1], c.shape[1])
     most = sum(int(np.abs(q[:, t]).max(initial=0)) * int(np.abs(c[:, t]).max(initial=0)) for t in range(dims))
-    scores = np.zeros((len(qid), len(cid)), np.int64 if most < 2**62 else object)
+    kind = np.int32 if most < 2**31 else np.int64 if most < 2**62 else object
+    # A component beyond the kind meets only zeros, or `most` were larger: it is never multiplied.
+    # Where most candidates have a posting, all of them are added, noughts too: that is ten times faster than by places.
+    postings = []
     for t in range(dims):
-        asking, posting = np.flatnonzero(q[:, t]), np.flatnonzero(c[:, t])
-        if len(asking) and len(posting):
-            weights = c[posting, t] if scores.dtype != object else c[posting, t].astype(object)
-            whole = len(posting) == len(cid)
-            for i in asking:
+        posting = np.flatnonzero(c[:, t])
+        whole = 4 * len(posting) >= len(cid)
+        postings.append((posting, np.ascontiguousarray(c[:, t] if whole else c[posting, t]).astype(kind), whole))
+    own = np.isin(qid, cid)
+    found = []
+    for first in range(0, len(qid), TILE):
+        tile = q[first : first + TILE]
+        scores = np.zeros((len(tile), len(cid)), kind)
+        for t, (posting, weights, whole) in enumerate(postings):
+            if not len(posting):
+                continue
+            asking = np.flatnonzero(tile[:, t])
+            for i, weight in zip(asking.tolist(), tile[asking, t].astype(kind), strict=True):
                 if whole:
-                    scores[i] += q[i, t] * weights
+                    scores[i] += weight * weights
                 else:
-                    scores[i, posting] += q[i, t] * weights
-    found = []
-    for i in range(len(qid)):
-        row, ids = scores[i], cid
-        if (own := cid == qid[i]).any():
-            row, ids = row[~own], cid[~own]
-        if not len(row):
-            continue
-        if len(row) > k:
-            bar = np.partition(row, len(row) - k)[len(row) - k]
-            above, level = np.flatnonzero(row > bar), np.flatnonzero(row == bar)
-            chosen = np.concatenate([above, level[: k - len(above)]])  # ids ascend within a level
-        else:
-            chosen = np.arange(len(row))
-        found.append((np.full(len(chosen), qid[i]), ids[chosen], row[chosen]))
+                    scores[i, posting] += weight * weights
+        for i, row in enumerate(scores):
+            ids, at = cid, first + i
+            if own[at]:
+                other = cid != qid[at]
+                row, ids = row[other], cid[other]
+            if not len(row):
+                continue
+            if len(row) > k:
+                bar = np.partition(row, len(row) - k)[len(row) - k]
+                above, level = np.flatnonzero(row > bar), np.flatnonzero(row == bar)
+                chosen = np.concatenate([above, level[: k - len(above)]])  # ids ascend within a level
+            else:
+                chosen = np.arange(len(row))
+            found.append((np.full(len(chosen), qid[at]), ids[chosen], row[chosen]))
     if not found:
         return (np.zeros(0, np.int64),) * 3
     a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
-    return a, b, np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in s], np.int64) if s.dtype == object else s
+    return a, b, np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in s], np.int64) if s.dtype == object else s.astype(np.int64)
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, block: int = 4096, query_block: int = 1024) -> DataFrame:
@@ -118,9 +132,12 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0
                 queries, block_rows = _matrix(x["q_ids"], x["q_lengths"], x["q_components"]), _matrix(x["ids"], x["lengths"], x["components"])
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in block_top(k, queries, block_rows)], schema=_OUT)
 
-    # A candidate block goes through the shuffle once, whatever the number of query blocks that it meets.
+    # A candidate block goes through the shuffle once, whatever the number of query blocks that it meets. Spark takes
+    # the size of the query blocks for that of their copies, one for each candidate block, so without the hint it
+    # broadcasts those, which grow with the square of the rows. Of a merge the right side is held: one row a block.
     small_batches(vectors.sparkSession)
-    best = candidates.join(asking, "cblock").mapInArrow(score, _PAIRS)
+    candidates = candidates.repartition(blocks, "cblock")  # so the tasks are many, though their bytes are few
+    best = asking.join(candidates.hint("merge"), "cblock").mapInArrow(score, _PAIRS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

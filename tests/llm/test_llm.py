@@ -407,6 +407,27 @@ def test_topk(spark):
     assert topk.search(frame.where("vec_id = 50")).count() == 0
 
 
+def test_topk_copies_of_query_blocks_are_not_broadcast(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice((0.0, 0.25, -0.5, x)) for x in (0.1, 0.7, -0.9)]) for i in range(400)]
+    found = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, block=50, query_block=7)
+    assert {tuple(r) for r in found.collect()} == best(rows, every=10)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topk_of_dense_rare_and_long_postings():
+    for most in (200, 2**20, 2**40):
+        rng = np.random.default_rng(most)
+        ids, c = np.arange(90), rng.integers(-most, most, (90, 4))
+        c[rng.random(90) < 0.9, 1] = 0
+        c[rng.random(90) < 0.4, 2] = 0
+        a, b, s = topk.block_top(3, (ids[::2], c[::2]), (ids, c))
+        for q in ids[::2]:
+            scored = sorted((-sum(int(x) * int(y) for x, y in zip(c[q], c[i], strict=True)), i) for i in ids if i != q)[:3]
+            hold = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+            assert sorted(zip(b[a == q].tolist(), s[a == q].tolist(), strict=True)) == sorted((i, hold(-x)) for x, i in scored)
+
+
 def test_gru_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) + rng.standard_normal(v.shape) * 0.3 for k, v in gru.start(np.ones(gru.WORDS)).items()}
