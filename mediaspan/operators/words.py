@@ -10,13 +10,16 @@ import difflib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaspan.functions import text as T
+from mediaspan.operators import align as L
 from mediaspan.operators import catalog as C
 from mediaspan.operators import runs as R
 from mediaspan.operators import spans as S
+from mediaspan.sources.scratch import small_batches
 
 
 def fillers(words: DataFrame, pause_us: int = 350_000, isolated=("é", "né")) -> DataFrame:
@@ -209,17 +212,11 @@ def _equal_runs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np
     return i[at], j[at], np.diff(at, append=total) + size - 1
 
 
-def matching_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
-    """difflib's matching blocks of two lists (nothing is junk; neighbours stay apart): the longest block, of equals the first in a
-    and then in b, and so on to its left and right.
-
-    Long blocks are found among runs of 2^k equal tokens, which are few, by falling k; only short
-    stretches between them are left to difflib.
-    """
-    ids: dict = {}
-    x, y = (np.array([ids.setdefault(t, len(ids)) for t in side], np.int64) for side in (a, b))
-    out = []
-    todo = [(0, len(a), 0, len(b), 1 << 30, None)]
+def _falling(x: np.ndarray, y: np.ndarray, below: int) -> list[tuple[int, int, int]]:
+    """The blocks of two lists without equal runs of `below` tokens: long ones are found among runs of 2^k equal
+    tokens, which are few, by falling k; only short stretches between them are left to difflib."""
+    a, b, out = x.tolist(), y.tolist(), []
+    todo = [(0, len(a), 0, len(b), below // 2, None)]
     while todo:
         alo, ahi, blo, bhi, size, runs = todo.pop()
         if alo >= ahi or blo >= bhi:
@@ -250,34 +247,95 @@ def matching_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def matching_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
+    """difflib's matching blocks of two lists (nothing is junk; neighbours stay apart)."""
+    ids: dict = {}
+    x, y = (np.array([ids.setdefault(t, len(ids)) for t in side], np.int64) for side in (a, b))
+    found = L.blocks(x, np.array([0, len(a)]), y, np.array([0, len(b)]), _falling)
+    return list(zip(*(c.tolist() for c in found), strict=True))
+
+
+def _tokens(words: pa.Array) -> np.ndarray:
+    """A number for each word, the same where they are alike in lower case and without marks."""
+    coded = words.dictionary_encode()
+    each, plain = coded.dictionary, pc.string_is_ascii(coded.dictionary)
+    low = pc.utf8_trim(pc.ascii_lower(each), characters=T.MARKS)
+    if not (ascii := np.asarray(plain)).all():
+        others = [t.lower().strip(T.MARKS) for t in each.filter(pc.invert(plain)).to_pylist()]
+        low = pc.replace_with_mask(low, pa.array(~ascii), pa.array(others, each.type))
+    known = low.dictionary_encode().indices
+    return np.asarray(known).astype(np.int64)[np.asarray(coded.indices)]
+
+
+def _aligned(rows: pa.Table) -> pa.RecordBatch:
+    """Beats (side 0) and packed words (side 1; see align.packed) of whole recordings, in order -> media_id, beat, first_idx, last_idx."""
+    media, side, n, sizes, data = (rows[c].combine_chunks() for c in ("media_id", "side", "n", "sizes", "bytes"))
+    rec, side = np.cumsum(np.append(False, L.changes(media))), np.asarray(side)
+    lines, packs = (pa.array(np.flatnonzero(side == k)) for k in (0, 1))
+    of, beat, script = rec[lines], n.take(lines), data.take(lines).cast(pa.large_binary()).cast(pa.large_string())
+    row, heard, said = L.unpacked(n.take(packs), sizes.take(packs), data.take(packs))
+    heard_of, value = rec[packs][row], np.asarray(heard.fill_null(-1))
+    if ((heard_of[1:] == heard_of[:-1]) & (value[1:] < value[:-1])).any():
+        order = np.lexsort((value, heard_of))
+        heard_of, heard, said = heard_of[order], heard.take(pa.array(order)), said.take(pa.array(order))
+    # Arrow and Python have the same white space.
+    split = pc.utf8_split_whitespace(script.fill_null(""))
+    line, tokens = np.repeat(np.arange(len(split)), np.asarray(split.value_lengths())), split.flatten()
+    full = np.asarray(pc.not_equal(tokens, ""))
+    line, tokens = line[full], tokens.filter(pa.array(full))
+    every = _tokens(pa.concat_arrays([tokens, said]))
+    x, y, n = every[: len(line)], every[len(line) :], rec[-1] + 1
+    i, j, size = L.blocks(x, np.searchsorted(of[line], np.arange(n + 1)), y, np.searchsorted(heard_of, np.arange(n + 1)), _falling)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    # Lines with the same number are one beat.
+    same = np.cumsum(np.append(False, (of[1:] != of[:-1]) | L.changes(beat)))[: len(of)]
+    met, place = same[line[np.repeat(i, size) + step]], np.repeat(j, size) + step
+    first = np.flatnonzero(np.append(True, met[1:] != met[:-1])[: len(met)])
+    last = np.append(first[1:], len(met))[: len(first)] - 1
+    ends = []
+    for at in (first, last):
+        spot = np.full(len(of), -1)
+        spot[met[at]] = place[at]
+        spot = spot[same]
+        ends.append(heard.take(pa.array(spot, mask=spot < 0)))
+    key = media.take(pa.array(np.searchsorted(rec, of)))
+    return pa.record_batch([key.cast(pa.int64()), beat, *ends], names=["media_id", "beat", "first_idx", "last_idx"])
+
+
+#: Words and lines that are aligned at once.
+ALIGNED = 1 << 16
+
+
 def beat_spans(words: DataFrame, beats: DataFrame) -> DataFrame:
     """Aligns a script's beats(media_id, beat, text) with the words heard: each beat's first and
-    last word by the longest matching blocks; null where a beat was not heard. A recording's beats
-    and then its words come to one task in order."""
-
-    def aligned(key, script: list, heard: list) -> pa.RecordBatch:
-        said = [(b, t.lower().strip(T.MARKS)) for b, text in script for t in text.split()]
-        at: dict = {}
-        for i, j, n in matching_blocks([t for _, t in said], [w.lower().strip(T.MARKS) for _, w in heard]):
-            for k in range(n):
-                at.setdefault(said[i + k][0], []).append(heard[j + k][0])
-        ends = [(at[b][0], at[b][-1]) if b in at else (None, None) for b, _ in script]
-        columns = [[key] * len(script), [b for b, _ in script], [e[0] for e in ends], [e[1] for e in ends]]
-        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["media_id", "beat", "first_idx", "last_idx"])
+    last word by the longest matching blocks; null where a beat was not heard. Words that follow each
+    other pass the shuffle as one row; a recording's beats and then its words come to one task in order,
+    and recordings are aligned many at once."""
 
     def fold(batches):
-        key, sides = None, ([], [])
+        count = lambda batch: batch.num_rows + (pc.sum(pc.binary_length(batch.column("sizes"))).as_py() or 0) // 4
+        held, n, most = [], 0, ALIGNED
         for batch in batches:
-            for media, side, n, text in zip(*(batch.column(c).to_pylist() for c in ("media_id", "side", "n", "text")), strict=True):
-                if media != key:
-                    if sides[0]:
-                        yield aligned(key, *sides)
-                    key, sides = media, ([], [])
-                sides[side].append((n, text))
-        if sides[0]:
-            yield aligned(key, *sides)
-
-    rows = beats.select("media_id", F.lit(0).alias("side"), F.col("beat").cast("long").alias("n"), "text")
-    rows = rows.unionByName(words.select("media_id", F.lit(1).alias("side"), F.col("idx").cast("long").alias("n"), F.col("word").alias("text")))
+            held.append(batch)
+            n += count(batch)
+            if n < most:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            # The last recording may go on.
+            at = np.flatnonzero(L.changes(rows["media_id"].chunk(0)))
+            if len(at):
+                yield _aligned(rows.slice(0, at[-1] + 1))
+                rows = rows.slice(at[-1] + 1)
+            held = rows.to_batches()
+            n = sum(map(count, held))
+            most = max(ALIGNED, 2 * n)
+        if n:
+            yield _aligned(pa.Table.from_batches(held))
+
+    said = words.select("media_id", F.col("idx").cast("long").alias("n"), F.col("word").alias("text"))
+    small_batches(words.sparkSession)
+    said = said.mapInArrow(L.packed, f"media_id {said.schema['media_id'].dataType.simpleString()}, n long, sizes binary, bytes binary")
+    rows = beats.select("media_id", F.lit(0).alias("side"), F.col("beat").cast("long").alias("n"), F.lit(None).cast("binary").alias("sizes"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    rows = rows.unionByName(said.withColumn("side", F.lit(1)))
     rows = rows.repartition("media_id").sortWithinPartitions("media_id", "side", "n")
     return rows.mapInArrow(fold, "media_id long, beat long, first_idx long, last_idx long")

@@ -235,9 +235,7 @@ def _(spark, d):
 
 @query("d11_beat_spans")
 def _(spark, d):
-    w = A.words(spark, d)
-    beats = w.withColumn("beat", F.floor(F.col("idx") / 40)).where("idx % 13 <> 0").groupBy("media_id", "beat").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ").alias("text"))
-    return W.beat_spans(w, beats.select(*[F.col(c).alias(c) for c in beats.columns]))
+    return W.beat_spans(A.words(spark, d), A.lines(spark, d, 40, 13).withColumnRenamed("line", "beat"))
 
 
 @query("l08_utterances", A.sql("words", f"o AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER ({BY}) < 600000 THEN 0 ELSE 1 END AS n FROM words), g AS (SELECT *, sum(n) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS run FROM o) SELECT media_id, CAST(run AS BIGINT) AS run, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_words FROM g GROUP BY 1, 2"))

@@ -5,7 +5,7 @@ VIEWS holds the same rules in SQL: common table expressions for the queries' ora
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MINUTE = 600_000  # microseconds for a hundredth of an event's value
@@ -24,6 +24,27 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("end_us", F.col("start_us") + 250_000 + ((F.col("idx") * 13) % 4) * 20_000)
 
 
+def lines(spark: SparkSession, sf_dir: str, size: int, without: int) -> DataFrame:
+    """documents' words but every `without`-th, `size` places a line: media_id, line, text. They are those of words(), but found
+    in a document's text, which passes a shuffle as one row, and not word by word."""
+    texts = table(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("media_id")).agg(F.collect_list("text").alias("texts"))
+    texts = texts.select("media_id", F.transform("texts", lambda t: F.split(t, "[ \\n\\t\\r]+")).alias("parts"))
+
+    def line(n: Column) -> Column:
+        def said(part: Column) -> Column:
+            placed = F.transform(F.slice(part, n * size + 1, F.lit(size)), lambda w, i: F.struct((n * size + i).alias("idx"), w.alias("word")))
+            return F.filter(placed, lambda w: (w["idx"] % without != 0) & (w["word"] != ""))
+
+        # Of documents with one id words stand side by side.
+        rows = F.when(F.size("parts") == 1, said(F.col("parts")[0])).otherwise(F.sort_array(F.flatten(F.transform("parts", said))))
+        return F.transform(rows, lambda w: w["word"])
+
+    last = F.array_max(F.transform("parts", F.size)) - 1
+    every = F.transform(F.sequence(F.lit(0), F.floor(last / size).cast("int")), lambda n: F.struct(n.cast("long").alias("line"), line(n).alias("words")))
+    found = texts.where(F.size("parts") > 0).select("media_id", F.explode(every).alias("l")).where(F.size("l.words") > 0)
+    return found.select("media_id", "l.line", F.array_join("l.words", " ").alias("text"))
+
+
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props", start.alias("start_us"), (start + F.round(F.col("value") * 100).cast("long") * MINUTE).alias("end_us"))

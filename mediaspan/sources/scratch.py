@@ -30,6 +30,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From here on Spark hands Python batches of about so many bytes, unless the session says
+    otherwise: by default a batch is a number of rows, however long they are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(most))
+
+
 @contextmanager
 def shuffled(spark: SparkSession):
     """Tables written within it are joined by shuffles only. Spark takes a Parquet file's size for that of its

@@ -110,6 +110,56 @@ def test_a_long_recording_is_aligned_soon(monkeypatch):
     assert max(seen) <= W.PLAIN_PAIRS and sum(n for *_, n in blocks) > 9000 and time.time() - began < 20
 
 
+def test_blocks_of_many_recordings_are_found_at_once(monkeypatch):
+    import difflib
+
+    import numpy as np
+
+    from mediaspan.operators import align as L
+    from mediaspan.operators import words as W
+
+    rng = random.Random(7)
+    heard = [[rng.randrange(rng.choice([2, 400])) for _ in range(rng.randrange(300))] for _ in range(30)]
+    for h in heard[::3]:  # a passage that comes again, so that runs cross each other
+        h[40:40] = h[:30] * 2
+    script = [[t for i, t in enumerate(h) if i % 13] for h in heard]
+    script[4] = script[4][50:] + script[4][:50]
+    flat = lambda lists: (np.array([t for x in lists for t in x], np.int64), np.cumsum([0, *map(len, lists)]))
+    rest = []
+    got = L.blocks(*flat(script), *flat(heard), lambda x, y, below: rest.append(len(x)) or W._falling(x, y, below))
+    met = {(int(i) + k, int(j) + k) for i, j, n in zip(*got, strict=True) for k in range(n)}
+    a, b, expected = 0, 0, set()
+    for x, y in zip(script, heard, strict=True):
+        expected |= {(a + i + k, b + j + k) for i, j, n in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for k in range(n)}
+        a, b = a + len(x), b + len(y)
+    assert met == expected
+    assert sum(rest) < sum(map(len, script)) / 2
+
+
+def test_words_of_a_recording_pass_as_one_row():
+    import pyarrow as pa
+
+    from mediaspan.operators import align as L
+
+    batch = pa.record_batch({"media_id": [1, 1, 1, 1, 2, None], "n": pa.array([0, 1, 3, 4, 5, None], pa.int64()), "text": ["a", "béc", "", None, "d", "e"]})
+    (rows,) = L.packed([batch.slice(0, 0), batch])
+    assert rows.column("n").to_pylist() == [0, 3, 5, None]
+    row, n, text = L.unpacked(*(rows.column(c).slice(0, 3) for c in ("n", "sizes", "bytes")))
+    assert (row.tolist(), n.to_pylist(), text.to_pylist()) == ([0, 0, 1, 1, 2], [0, 1, 3, 4, 5], ["a", "béc", "", "", "d"])
+
+
+def test_lines_of_documents_with_one_id(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from mediaspan.sources import adapters as A
+
+    texts = [(1, " ".join(f"w{i}" for i in range(100))), (1, "x  y\nz"), (2, ""), (3, None), (4, "only")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = A.words(spark, str(tmp_path)).withColumn("line", F.floor(F.col("idx") / 40)).where("idx % 13 <> 0")
+    words = words.groupBy("media_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ").alias("text"))
+    assert sorted(A.lines(spark, str(tmp_path), 40, 13).collect()) == sorted(words.collect()) != []
+
+
 @pytest.mark.parametrize("sizes", [[1], [400], [3, 1, 5] * 40, [30] * 9 + [900]])
 def test_runs_of_a_batch_are_grouped_at_once(sizes):
     import numpy as np
