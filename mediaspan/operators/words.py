@@ -98,30 +98,35 @@ def selection_units(words: DataFrame, segments: DataFrame | None = None, gap_us:
     return units.select(number.cast("long").alias("unit"), "media_id", "first_idx", "last_idx", "start_us", "end_us", "n_words")
 
 
+def _phrases(words: DataFrame, keys, gap_us: int, most: int, mark: Column) -> DataFrame:
+    begins = lambda now, prev: (prev["mark"] > 0) | (now["start_us"] - prev["end_us"] >= gap_us)
+    return R.grouped(words, begins, lambda n, begun, start, end: n >= most, lambda n, begun, end, mark: False, keys, mark, arrays=True)
+
+
 def phrases(words: DataFrame, keys=("media_id",), gap_us: int = 250_000, most: int = 14, mark: Column | None = None) -> DataFrame:
     """phrase, keys, first_idx, last_idx, start_us, end_us, n_words: broken behind the end of a sentence
     or a comma (or where `mark` says so), at a gap, and at `most` words."""
-    mark = F.btrim("word").rlike(r"[.!?…,]$") if mark is None else mark
-    begins = lambda now, prev: (prev["mark"] > 0) | (now["start_us"] - prev["end_us"] >= gap_us)
-    out = R.grouped(words, begins, lambda n, begun, start, end: n >= most, lambda n, begun, end, mark: False, keys, mark, arrays=True)
+    out = _phrases(words, keys, gap_us, most, F.btrim("word").rlike(r"[.!?…,]$") if mark is None else mark)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("first_idx")) - 1
     return out.select(number.cast("long").alias("phrase"), *keys, "first_idx", "last_idx", "start_us", "end_us", "n_words")
 
 
-def piece_phrases(words: DataFrame, pieces: DataFrame, bucket_us: int) -> DataFrame:
+def piece_phrases(words: DataFrame, pieces: DataFrame, bucket_us: int, dealt: bool = False) -> DataFrame:
     """pieces(media_id, clip_id, piece, start_us, end_us) -> the phrases of each piece's words, cut to the
     piece, numbered by clip in order of piece: phrase, media_id, clip_id, piece, and as phrases().
 
-    A phrase never crosses pieces; a word that two pieces hold is in both.
+    A phrase never crosses pieces; a word that two pieces hold is in both. Words that are `dealt` by
+    medium, each one's in order, meet the pieces where they are and aren't sorted.
     """
     mark = F.btrim("word").rlike(r"[.!?…,]$").alias("mark")
     spans = words.select("media_id", "idx", mark, F.col("start_us").alias("right_start_us"), F.col("end_us").alias("right_end_us"), F.btrim("word").alias("word")).where("word <> ''").drop("word")
-    met = S.overlap_join(pieces.select("media_id", "clip_id", "piece", "start_us", "end_us"), spans, bucket_us)
+    pieces = pieces.select("media_id", "clip_id", "piece", "start_us", "end_us")
+    met = S.overlap_join(pieces.hint("shuffle_hash") if dealt else pieces, spans, bucket_us)
     inside = met.select("media_id", "clip_id", "piece", "idx", "mark", F.greatest("start_us", "right_start_us").alias("start_us"), F.least("end_us", "right_end_us").alias("end_us"))
-    inside = inside.sortWithinPartitions("media_id", "clip_id", "piece", "idx")
-    found = phrases(inside, ("media_id", "clip_id", "piece"), mark=F.col("mark"))
-    number = F.row_number().over(Window.partitionBy("media_id", "clip_id").orderBy("piece", "phrase")) - 1
-    return found.withColumn("phrase", number.cast("long"))
+    inside = inside if dealt else inside.sortWithinPartitions("media_id", "clip_id", "piece", "idx")
+    found = _phrases(inside, ("media_id", "clip_id", "piece"), 250_000, 14, F.col("mark"))
+    number = F.row_number().over(Window.partitionBy("media_id", "clip_id").orderBy("piece", "first_idx")) - 1
+    return found.select(number.cast("long").alias("phrase"), "media_id", "clip_id", "piece", "first_idx", "last_idx", "start_us", "end_us", "n_words")
 
 
 def caption_cues(words: DataFrame, floor_us: int = 50_000, most: int = 5, gap_us: int = 650_000, long_us: int = 3_000_000) -> DataFrame:

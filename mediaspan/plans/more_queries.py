@@ -14,6 +14,7 @@ from mediaspan.operators import words as W
 from mediaspan.plans.span_queries import HOURS, SEGMENTS, TIMELINE, segments
 from mediaspan.plans.word_queries import BY, fold_sql
 from mediaspan.sources import adapters as A
+from mediaspan.sources.scratch import dealt_once
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -107,7 +108,8 @@ def _(spark, d):
     words = A.words(spark, d)
     r = words.groupBy("media_id", F.floor(F.col("idx") / 90).alias("piece")).agg((F.min("start_us") + 100_000).alias("start_us"), F.max("end_us").alias("end_us"))
     r = r.withColumn("end_us", F.col("end_us") + F.when(F.col("piece") % 6 == 0, 1_500_000).otherwise(-120_000)).withColumn("clip_id", F.floor(F.col("piece") / 4))
-    return W.piece_phrases(words, r.where("piece % 3 < 2"), 60_000_000)
+    with dealt_once(spark):
+        return W.piece_phrases(A.words(spark, d, True), r.where("piece % 3 < 2"), 60_000_000, True)
 
 
 @query("d07_teaser", "WITH g AS (SELECT l_orderkey, list(DISTINCT l_linenumber ORDER BY l_linenumber) AS ids FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN len(ids) > 4 THEN 'long' WHEN list_max(ids) - list_min(ids) + 1 <> len(ids) THEN 'gap' ELSE 'ok' END AS reason FROM g")

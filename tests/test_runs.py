@@ -181,3 +181,25 @@ def test_runs_of_a_batch_are_grouped_at_once(sizes):
     one = R._Groups(("media_id",), before, after)
     assert list(zip(*(c.tolist() for c in found), strict=True)) == [tuple(g) for g in one.add(x, np.arange(n), opens) + one.rest()]
     assert len(sizes) < 8 or steps < 32 + max(sizes)
+
+
+def test_words_meet_pieces_where_their_texts_were_dealt(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from mediaspan.operators import words as W
+    from mediaspan.plans import more_queries as Q
+    from mediaspan.sources import adapters as A
+
+    texts = [(k, " ".join(f"w{(i * 7 + k) % 11}{',' if i % 23 == 5 else ''}" for i in range(300 + 70 * k))) for k in range(12)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, kept = [], R.kept
+    monkeypatch.setattr(R, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    found = Q.QUERIES["d04_piece_phrases"](spark, str(tmp_path))
+    assert "ShuffledHashJoin" in plans[0] and not any("_bucket" in line for line in plans[0].splitlines() if "Exchange hashpartitioning" in line)
+    # Clips are numbered by one shuffle, not by another one for each piece before.
+    assert sum("Window [row_number" in line for line in found._jdf.queryExecution().executedPlan().toString().splitlines()) == 1
+    words = A.words(spark, str(tmp_path))
+    r = words.groupBy("media_id", F.floor(F.col("idx") / 90).alias("piece")).agg((F.min("start_us") + 100_000).alias("start_us"), F.max("end_us").alias("end_us"))
+    r = r.withColumn("end_us", F.col("end_us") + F.when(F.col("piece") % 6 == 0, 1_500_000).otherwise(-120_000)).withColumn("clip_id", F.floor(F.col("piece") / 4))
+    plain = W.piece_phrases(words, r.where("piece % 3 < 2"), 60_000_000)
+    assert sorted(found.collect()) == sorted(plain.collect()) != []
