@@ -186,3 +186,33 @@ def test_a_span_without_length_inside_another_is_met(spark):
     tracks = spark.createDataFrame([(1, "a", 150, 150), (1, "b", 290, 310), (1, "c", 400, 400), (1, "c", 500, 500)], "media_id long, label string, start_us long, end_us long")
     for bucket in (7, 50, 1000):
         assert sorted((r.id, r.label, r.us) for r in S.dominant(clips, tracks, "label", bucket).collect()) == [(1, "a", 0), (2, "b", 0)]
+
+
+def test_short_segments_of_many_keys_are_one_stream(spark):
+    import random
+
+    rng = random.Random(11)
+    given = [(rng.choice([None, *"abcdefg"]), s, s + rng.choice([1, 2, 9])) for s in rng.sample(range(600), 150)]
+    frame = spark.createDataFrame(given, "key string, start_us long, end_us long").repartition(3)
+
+    def plain(rows):
+        rows, i = [list(r) for r in sorted(rows)], 0
+        while len(rows) > 1 and i < len(rows):
+            (a, b), gaps = rows[i], []
+            if b - a >= 5:
+                i += 1
+                continue
+            gaps += [(a - rows[i - 1][1], i - 1)] if i else []
+            gaps += [(rows[i + 1][0] - b, i + 1)] if i + 1 < len(rows) else []
+            gap, to = min(gaps)
+            if gap <= 3:
+                rows[to] = [rows[to][0], max(rows[to][1], b)] if to < i else [min(rows[to][0], a), rows[to][1]]
+            del rows[i]
+            i = max(0, i - 1)
+        return rows
+
+    found = P.absorb_short(frame, 5, 3, ("key",))
+    expected = [(k, *r) for k in {g[0] for g in given} for r in plain([g[1:] for g in given if g[0] == k])]
+    order = lambda r: (r[0] or "", *r[1:])
+    assert sorted(map(tuple, found.collect()), key=order) == sorted(expected, key=order)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
